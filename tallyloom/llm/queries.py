@@ -3,10 +3,14 @@
 from tallyloom.llm.fingerprints import op10_fingerprints
 from tallyloom.llm.line_dedup import OP4_SQL, op4_line_dedup
 from tallyloom.llm.mixing import OP2_SQL, op2_mix_sources
+from tallyloom.llm.quality import op9_quality_rules
+from tallyloom.llm.secrets import op1_secret_scan
 
 QUERIES = {
+    "op1_secret_scan": op1_secret_scan,
     "op2_mix_sources": op2_mix_sources,
     "op4_line_dedup": op4_line_dedup,
+    "op9_quality_rules": op9_quality_rules,
     "op10_fingerprints": op10_fingerprints,
 }
 ORACLES = {"op2_mix_sources": OP2_SQL, "op4_line_dedup": OP4_SQL}
