@@ -2,8 +2,7 @@
 
 Lines are exploded, normalised and hashed (128 bits); documents are counted per hash; the lines of
 frequent hashes go, except in the largest document id that holds them; texts are put together again
-by line position.  Only hashes and positions are shuffled for the counting; texts move once, and
-only if the list of dropped positions is too large to broadcast under the session's threshold.
+by line position.  Only hashes and positions are shuffled for the counting; texts move once.
 """
 
 from __future__ import annotations
@@ -37,9 +36,11 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     key = ["_ld_h1", "_ld_h2"]
     holder = F.struct(~F.col("_ld_null"), F.col("_ld_id"))
     frequent = hashed.select(*key, "_ld_null", "_ld_id").distinct().groupBy(*key).agg(F.count("*").alias("_ld_n"), F.max(holder).alias("_ld_keeper")).filter(F.col("_ld_n") >= min_docs).drop("_ld_n")
+    frequent = stash(frequent, "line-frequent")  # as a table, so that both sides of the join are plain exchanges, whose hot keys Spark splits
     dropped = hashed.join(frequent, key).filter(holder != F.col("_ld_keeper")).groupBy(*row).agg(F.array_distinct(F.collect_list("_ld_pos")).alias("_ld_drop"))
     dropped = stash(dropped, "line-drops")
-    joined = known.join(dropped, row, "left")
+    # the same plan at every size: texts move once, however few lines go
+    joined = known.join(dropped.hint("merge"), row, "left")
     kept = F.transform(F.array(lines), lambda a: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(a) - 1), F.col("_ld_drop")), lambda p: F.get(a, p)), "\n"))
     out = joined.withColumns({"n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce(F.size("_ld_drop"), F.lit(0)).cast("long"), "kept_text": F.when(F.col("_ld_drop").isNull(), body).otherwise(F.get(kept, F.lit(0)))})
     return out.drop(*row, "_ld_drop")
