@@ -3,13 +3,17 @@
 from tallyloom.llm.fingerprints import op10_fingerprints
 from tallyloom.llm.line_dedup import OP4_SQL, op4_line_dedup
 from tallyloom.llm.mixing import OP2_SQL, op2_mix_sources
+from tallyloom.llm.packing import op3_packing
 from tallyloom.llm.quality import op9_quality_rules
 from tallyloom.llm.secrets import op1_secret_scan
+from tallyloom.llm.tokens import op6_token_files
 
 QUERIES = {
     "op1_secret_scan": op1_secret_scan,
     "op2_mix_sources": op2_mix_sources,
+    "op3_packing": op3_packing,
     "op4_line_dedup": op4_line_dedup,
+    "op6_token_files": op6_token_files,
     "op9_quality_rules": op9_quality_rules,
     "op10_fingerprints": op10_fingerprints,
 }
