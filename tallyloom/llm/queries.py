@@ -1,6 +1,7 @@
 """The registered queries of this subpackage and, where SQL can express them, the same in DuckDB's SQL."""
 
 from tallyloom.llm.fingerprints import op10_fingerprints
+from tallyloom.llm.jaccard import op8_jaccard_join
 from tallyloom.llm.line_dedup import OP4_SQL, op4_line_dedup
 from tallyloom.llm.mixing import OP2_SQL, op2_mix_sources
 from tallyloom.llm.packing import op3_packing
@@ -14,6 +15,7 @@ QUERIES = {
     "op3_packing": op3_packing,
     "op4_line_dedup": op4_line_dedup,
     "op6_token_files": op6_token_files,
+    "op8_jaccard_join": op8_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
     "op10_fingerprints": op10_fingerprints,
 }
