@@ -1,8 +1,10 @@
 """The registered queries of this subpackage and, where SQL can express them, the same in DuckDB's SQL."""
 
 from tallyloom.llm.fingerprints import op10_fingerprints
+from tallyloom.llm.html_extract import op5_html_extract
 from tallyloom.llm.jaccard import op8_jaccard_join
 from tallyloom.llm.line_dedup import OP4_SQL, op4_line_dedup
+from tallyloom.llm.lm import op7_lm_scores
 from tallyloom.llm.mixing import OP2_SQL, op2_mix_sources
 from tallyloom.llm.packing import op3_packing
 from tallyloom.llm.quality import op9_quality_rules
@@ -14,7 +16,9 @@ QUERIES = {
     "op2_mix_sources": op2_mix_sources,
     "op3_packing": op3_packing,
     "op4_line_dedup": op4_line_dedup,
+    "op5_html_extract": op5_html_extract,
     "op6_token_files": op6_token_files,
+    "op7_lm_scores": op7_lm_scores,
     "op8_jaccard_join": op8_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
     "op10_fingerprints": op10_fingerprints,
