@@ -1,34 +1,27 @@
 """Token ids of whole texts from public tokenizer files, and canonical Huffman files of token ids.
 
-Encoding is cached by white-space chunk: both vocabularies split texts so that no token crosses from
-a chunk into the next, and most chunks come again and again.
+Texts are cut into chunks that no token crosses, by array operations on their bytes; each chunk is
+looked up by its hash, and only new chunks go to the tokenizers library.
 """
 
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from tallyloom.llm.scratch import scratch_path, stash
+from tallyloom.llm.textscan import SPACE, U, Texts, batches
 
-#: White space as the tokenizers' patterns see it.
-_WS = "\t-\r \x85\xa0  -     　"
-#: Letters that a full stop or comma at a chunk's end is split from (both vocabularies split there too), so that more chunks are alike.
-_END = f"(?![^{_WS}])"
-_WORD = f"[A-Za-zÀ-ÖØ-öø-ÿ]+(?=[.,]?{_END})|(?<=[A-Za-zÀ-ÖØ-öø-ÿ])[.,]{_END}"
-#: The vocabulary that drops white space: chunks without it.  The one that keeps it: a chunk takes one space before it, other white space stands by itself.
-PLAIN = re.compile(f"{_WORD}|[^{_WS}]+")
-SPACED = re.compile(f" ?{_WORD}| ?[^{_WS}]+|[{_WS}]+{_END}|[{_WS}]+")
-#: Chunks held by a worker, twice so many at most.
-CACHE = 1 << 19
+#: Chunks that a worker remembers at most, and slots of its table.
+ENTRIES, SLOTS = 1 << 21, 1 << 22
+LETTER = np.isin(np.arange(256), list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
+STOP = np.isin(np.arange(256), list(b".,"))
 
 
 def default_path(name: str) -> str:
@@ -37,6 +30,37 @@ def default_path(name: str) -> str:
     return public_tokenizers.path(name)
 
 
+def _stops(t: Texts, space: np.ndarray, edge: np.ndarray) -> np.ndarray:
+    """Full stops and commas at a word's end behind a letter (ASCII or Latin-1): both vocabularies split there, and more chunks are alike."""
+    d = t.data
+    letter = LETTER[d]
+    letter[1:] |= (d[:-1] == 0xC3) & (d[1:] >= 0x80) & (d[1:] != 0x97) & (d[1:] != 0xB7)
+    behind = np.concatenate(([False], letter[:-1])) & ~edge[:-1]
+    last = np.concatenate((space[1:], [True])) | edge[1:]
+    return STOP[d] & behind & last
+
+
+def chunks(t: Texts, keeps_space: bool) -> tuple[np.ndarray, np.ndarray]:
+    """Start and end of each chunk: words without white space; or, if that is kept, words with one space before them, and runs of other white space."""
+    d = t.data
+    if not len(d):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    space = SPACE[d]
+    edge = np.zeros(len(d) + 1, bool)
+    edge[t.off] = True
+    stops = _stops(t, space, edge)
+    before = np.concatenate(([False], space[:-1])) & ~edge[:-1]
+    after = np.concatenate((space[1:], [True])) | edge[1:]
+    if not keeps_space:
+        start = np.flatnonzero(~space & (before | edge[:-1]) | stops)
+        last = ~space & after
+        last[:-1] |= stops[1:]
+        return start, np.flatnonzero(last) + 1
+    blank = np.concatenate(([False], d[:-1] == 32))
+    start = np.flatnonzero(space & (~before | ~after) | ~space & (edge[:-1] | before & ~blank) | stops)
+    return start, np.append(start[1:], len(d))
+
+
 class Encoder:
     """Token ids of texts; the same as the tokenizers library gives for each whole text."""
 
@@ -48,26 +72,112 @@ class Encoder:
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.vocabulary = self.tokenizer.get_vocab_size()
         self.kind = np.dtype("<u2" if self.vocabulary <= 1 << 16 else "<u4")
-        self.chunks = SPACED if keeps_space else PLAIN
-        self.young: dict[str, bytes] = {}
-        self.old: dict[str, bytes] = {}
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text, of type kind.  Chunks that were met lately are looked up, others encoded together."""
-        if len(self.young) > CACHE:
-            self.young, self.old = {}, self.young
-        young, old = self.young, self.old
-        split = [self.chunks.findall(t) for t in texts]
-        wanted = set().union(*split).difference(young)
-        for c in [c for c in wanted if c in old]:
-            young[c] = old[c]
-        new = list(wanted.difference(young))
-        for lo in range(0, len(new), 4096):
-            part = new[lo : lo + 4096]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                young[c] = np.array(e.ids, self.kind).tobytes()
-        get = young.__getitem__
-        return [np.frombuffer(b"".join(map(get, s)), self.kind) for s in split]
+        self.keeps_space = keeps_space
+        #: What is put between new chunks that are encoded together, and its id.
+        self.mark = "\n" if keeps_space else "\x02"
+        self.between = "\n" if keeps_space else " \x02 "
+        ids = self._plain([self.mark])[0]
+        self.mark_id = int(ids[0]) if len(ids) == 1 else -1
+        self._clear()
+
+    def _clear(self) -> None:
+        self.slots = np.zeros(SLOTS, np.uint64)  # keys; 0 is free
+        self.entry = np.zeros(SLOTS, np.int32)
+        self.at, self.size = np.zeros(ENTRIES, np.int64), np.zeros(ENTRIES, np.int32)
+        self.pool = np.zeros(1 << 20, self.kind)
+        self.entries = self.used = 0
+
+    def _plain(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _new(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """An order of the chunks, their ids in it one after the other, and how many each has: many in one call, with marks between; those that hold a mark or white space alone by themselves."""
+        apart = [i for i, x in enumerate(texts) if self.mark in x or not x.strip()] if self.mark_id >= 0 else list(range(len(texts)))
+        held = set(apart)
+        rest = [i for i in range(len(texts)) if i not in held]
+        order, flat, sizes = [], [], []
+        for lo in range(0, len(rest), 4096):
+            part = rest[lo : lo + 4096]
+            ids = np.array(self._plain([self.between.join([texts[i] for i in part])])[0], self.kind)
+            at = np.flatnonzero(ids == self.mark_id)
+            if len(at) != len(part) - 1:  # not expected; they are encoded one by one
+                apart += part
+                continue
+            order.append(np.array(part))
+            flat.append(np.delete(ids, at))
+            sizes.append(np.diff(np.concatenate(([-1], at, [len(ids)]))) - 1)
+        own = self._plain([texts[i] for i in apart])
+        order.append(np.array(apart, np.int64))
+        flat += [np.array(x, self.kind) for x in own]
+        sizes.append(np.array([len(x) for x in own], np.int64))
+        order, flat, sizes = np.concatenate(order), np.concatenate(flat) if flat else np.zeros(0, self.kind), np.concatenate(sizes)
+        return order, flat, sizes
+
+    def _find(self, key: np.ndarray) -> np.ndarray:
+        """Entry of each key, or -1."""
+        out = np.full(len(key), -1, np.int64)
+        todo, slot = np.arange(len(key)), (key >> U(42)).astype(np.int64)
+        while len(todo):
+            held = self.slots[slot]
+            hit = held == key[todo]
+            out[todo[hit]] = self.entry[slot[hit]]
+            on = ~hit & (held != 0)
+            todo, slot = todo[on], (slot[on] + 1) & (SLOTS - 1)
+        return out
+
+    def _add(self, key: np.ndarray, texts: list[str]) -> np.ndarray:
+        """Entries for new distinct keys."""
+        n = len(key)
+        order, flat, size = self._new(texts)
+        while self.used + len(flat) > len(self.pool):
+            self.pool = np.concatenate((self.pool, np.zeros_like(self.pool)))
+        new = np.empty(n, np.int64)
+        new[order] = np.arange(self.entries, self.entries + n)
+        self.pool[self.used : self.used + len(flat)] = flat
+        self.at[new[order]], self.size[new[order]] = self.used + np.cumsum(size) - size, size
+        self.entries, self.used = self.entries + n, self.used + len(flat)
+        todo, slot = np.arange(n), (key >> U(42)).astype(np.int64)
+        while len(todo):
+            _, first = np.unique(slot, return_index=True)
+            free = first[self.slots[slot[first]] == 0]
+            self.slots[slot[free]], self.entry[slot[free]] = key[todo[free]], new[todo[free]]
+            on = np.ones(len(todo), bool)
+            on[free] = False
+            todo, slot = todo[on], (slot[on] + 1) & (SLOTS - 1)
+        return new
+
+    def encode(self, t: Texts) -> list[np.ndarray]:
+        """The ids of each text, of type kind."""
+        start, end = chunks(t, self.keeps_space)
+        key = np.maximum(t.hashes(start, end), U(1))
+        entry = self._find(key)
+        missing = np.flatnonzero(entry < 0)
+        if len(missing):
+            new, first, back = np.unique(key[missing], return_index=True, return_inverse=True)
+            if self.entries + len(new) > ENTRIES:
+                self._clear()
+                return self.encode(t) if len(new) < ENTRIES else self._whole(t)
+            raw = t.data.tobytes()
+            texts = [raw[a:b].decode() for a, b in zip(start[missing][first].tolist(), end[missing][first].tolist())]
+            entry[missing] = self._add(new, texts)[back]
+        size = self.size[entry].astype(np.int64)
+        total = np.concatenate(([0], np.cumsum(size)))
+        flat = self.pool[np.repeat(self.at[entry] - total[:-1], size) + np.arange(total[-1])]
+        edge = total[np.searchsorted(start, t.off)]
+        out = [flat[a:b] for a, b in zip(edge, edge[1:])]
+        if self.keeps_space:
+            # white space beyond ASCII may join with what is around it: such texts are encoded whole
+            d = t.data
+            lead = np.flatnonzero((d == 0xC2) | (d >= 0xE1) & (d <= 0xE3))
+            lead = lead[lead + 1 < len(d)]
+            two = d[lead].astype(np.int64) << 8 | d[lead + 1]
+            odd = lead[np.isin(two, (0xC285, 0xC2A0, 0xE19A, 0xE280, 0xE281, 0xE380))]
+            for i in np.unique(np.searchsorted(t.off, odd, "right") - 1):
+                out[i] = np.array(self._plain([t.data[t.off[i] : t.off[i + 1]].tobytes().decode()])[0], self.kind)
+        return out
+
+    def _whole(self, t: Texts) -> list[np.ndarray]:
+        return [np.array(x, self.kind) for x in self._plain([t.data[a:b].tobytes().decode() for a, b in zip(t.off, t.off[1:])])]
 
 
 @lru_cache(maxsize=4)
@@ -76,16 +186,11 @@ def encoder(path: str, keeps_space: bool) -> Encoder:
     return Encoder(path, keeps_space)
 
 
-def encode_batches(parts: Iterator[pa.RecordBatch], coder: Encoder, text: str, limit: int = 1 << 20) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
-    """Slices of the batches of about limit bytes of text, with the ids of each row."""
+def encode_batches(parts: Iterator[pa.RecordBatch], coder: Encoder, text: str) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]]:
+    """Slices of the batches, with the ids of each row."""
     for part in parts:
-        column, lo = part.column(text), 0
-        size = np.asarray(pc.binary_length(column).fill_null(0))
-        while lo < part.num_rows:
-            hi = lo + max(1, int(np.searchsorted(np.cumsum(size[lo : lo + 2000]), limit)))
-            hi = min(hi, part.num_rows)
-            yield part.slice(lo, hi - lo), coder.encode([t or "" for t in column[lo:hi].to_pylist()])
-            lo = hi
+        for lo, hi, t in batches(part.column(text)):
+            yield part.slice(lo, hi - lo), coder.encode(t)
 
 
 def crc(ids: np.ndarray) -> int:
