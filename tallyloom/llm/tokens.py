@@ -288,7 +288,7 @@ class Codes:
 
 #: A shard's magic bytes; a shard holds SHARD ids or one document, whichever is more.
 MAGIC, SHARD = b"TLH1", 1 << 18
-SHARD_TYPE = "part int, shard int, n_ids long, payload binary"
+SHARD_TYPE = "part int, shard int, before long, n_ids long, payload binary"
 
 
 def pack_shard(doc_ids: np.ndarray, missing: np.ndarray, sizes: np.ndarray, ids: np.ndarray, codes: Codes) -> bytes:
@@ -318,8 +318,8 @@ def unpack_shard(blob: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.nd
 def write_token_files(docs: DataFrame, path: str, *, doc_id: str = "doc_id", text: str = "text", tokenizer: str = "word_bpe_49k.json", tokenizer_path: str | None = None, end_id: int = 2, vocabulary: int = 49408) -> None:
     """Encode all texts, count all ids, and write shards of Huffman-coded ids to path in ascending doc_id order.
 
-    path gets a table of shards ``part, shard, n_ids, payload``; part and shard give the order, payload is the
-    shard's file.  Written through Spark's committer, so lost executors leave no half-written shard.
+    path gets a table of shards ``part, shard, before, n_ids, payload``; part and shard give the order, before is the
+    number of ids in the part's earlier shards, payload is the shard's file.  Written through Spark's committer, so lost executors leave no half-written shard.
     Null text: empty, its end id only.  Null ids come first, equal ids in the order of their ids' bytes.
     An empty table gives a table without shards.
     """
@@ -328,36 +328,39 @@ def write_token_files(docs: DataFrame, path: str, *, doc_id: str = "doc_id", tex
     end = np.array([end_id], kind).tobytes()
 
     def encode(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for part, ids in encode_batches(parts, encoder(at, False), "text"):
-            blobs = [x.astype(kind).tobytes() + end for x in ids]
-            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array(blobs, pa.binary())], names=["doc_id", "ids"])
-
-    encoded = stash(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(encode, "doc_id long, ids binary"), "token-ids")
-
-    def count(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(vocabulary, np.int64)
-        for part in parts:
-            for blob in part.column("ids").to_pylist():
-                total += np.bincount(np.frombuffer(blob, kind), minlength=vocabulary)
-        used = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(used, pa.int64()), pa.array(total[used], pa.int64())], names=["id", "n"])
-
+        names = ["doc_id", "ids", "used", "counts"]
+        for part, ids in encode_batches(parts, encoder(at, False), "text"):
+            n = len(ids)
+            for x in ids:
+                total += np.bincount(x, minlength=vocabulary) if len(x) > vocabulary // 8 else 0
+            short = [x for x in ids if len(x) <= vocabulary // 8]
+            if short:
+                total += np.bincount(np.concatenate(short), minlength=vocabulary)
+            total[end_id] += n
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), pa.array([x.astype(kind).tobytes() + end for x in ids], pa.binary()), pa.nulls(n, pa.list_(pa.int32())), pa.nulls(n, pa.list_(pa.int64()))], names=names)
+        used = np.flatnonzero(total)  # a task's counts come in a row of their own
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.nulls(1, pa.binary()), pa.array([used.astype(np.int32)], pa.list_(pa.int32())), pa.array([total[used]], pa.list_(pa.int64()))], names=names)
+
+    written = stash(docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text")).mapInArrow(encode, "doc_id long, ids binary, used array<int>, counts array<bigint>"), "token-ids")
+    encoded = written.filter("ids IS NOT NULL").select("doc_id", "ids")
     counts = np.zeros(vocabulary, np.int64)
-    for row in encoded.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect():  # one row per id of the vocabulary
+    pairs = written.filter("used IS NOT NULL").select(F.explode(F.arrays_zip("used", "counts")).alias("x"))
+    for row in pairs.groupBy(F.col("x.used").alias("id")).agg(F.sum("x.counts").alias("n")).collect():  # one row per id of the vocabulary
         counts[row.id] = row.n
     lengths = docs.sparkSession.sparkContext.broadcast(code_lengths(counts))
 
     def shards(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        codes, number, held = Codes(lengths.value), 0, []
+        codes, number, before, held = Codes(lengths.value), 0, 0, []
 
         def cut() -> pa.RecordBatch:
             ids = [np.frombuffer(b, kind) for _, b in held]
             doc_ids = np.array([d or 0 for d, _ in held], np.int64)
             whole = np.concatenate(ids).astype(np.uint32)
             blob = pack_shard(doc_ids, np.array([d is None for d, _ in held]), np.array([len(x) for x in ids], np.int64), whole, codes)
-            return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([number], pa.int32()), pa.array([len(whole)], pa.int64()), pa.array([blob], pa.binary())], names=["part", "shard", "n_ids", "payload"])
+            return pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int32()), pa.array([number], pa.int32()), pa.array([before], pa.int64()), pa.array([len(whole)], pa.int64()), pa.array([blob], pa.binary())], names=["part", "shard", "before", "n_ids", "payload"])
 
         size = 0
         for part in parts:
@@ -366,43 +369,42 @@ def write_token_files(docs: DataFrame, path: str, *, doc_id: str = "doc_id", tex
                 size += len(row[1]) // kind.itemsize
                 if size >= SHARD:
                     yield cut()
-                    number, held, size = number + 1, [], 0
+                    number, before, held, size = number + 1, before + size, [], 0
         if held:
             yield cut()
 
-    encoded.repartitionByRange(F.col("doc_id").asc_nulls_first(), "ids").sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids").mapInArrow(shards, SHARD_TYPE).write.option("compression", "none").parquet(path)
+    encoded.repartitionByRange(F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first(), "ids").mapInArrow(shards, SHARD_TYPE).write.option("compression", "none").parquet(path)
 
 
-def read_token_files(spark: SparkSession, path: str) -> DataFrame:
-    """One row per document of the files: ``doc_id, start, n_tokens, ids_crc32, ids``; start: ids of all documents before it.
+def read_token_files(spark: SparkSession, path: str, with_ids: bool = True) -> DataFrame:
+    """One row per document of the files: ``doc_id, start, n_tokens, ids_crc32`` and its ids; start: ids of all documents before it.
 
-    Sums of the shards of a part, then of the parts (one row per task of the writer), give each shard's
-    start; payloads stay where they are.
+    Only the sums of the writer's tasks are added up and told to the readers (16 bytes a task); payloads stay
+    where they are.
     """
     files = spark.read.schema(SHARD_TYPE).parquet(path)
-    before = lambda w, c: F.coalesce(F.sum(c).over(w.rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
-    sizes = files.select("part", "shard", "n_ids")
-    parts = sizes.groupBy("part").agg(F.sum("n_ids").alias("n")).withColumn("_p", before(W.orderBy("part"), "n")).drop("n")
-    starts = sizes.withColumn("_s", before(W.partitionBy("part").orderBy("shard"), "n_ids")).join(parts, "part").select("part", "shard", (F.col("_s") + F.col("_p")).alias("base"))
-    # one small row per shard of a megabyte or so: far below any payload; broadcast only under the session's threshold
-    located = files.join(starts, ["part", "shard"])
+    earlier = F.coalesce(F.sum("n").over(W.orderBy("part").rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
+    parts = files.groupBy("part").agg(F.sum("n_ids").alias("n")).select("part", earlier.alias("base"))
+    located = files.join(F.broadcast(parts), "part").select((F.col("base") + F.col("before")).alias("base"), "payload")
+    names = ["doc_id", "start", "n_tokens", "ids_crc32"] + ["ids"] * with_ids
 
     def decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for base, blob in zip(batch.column("base").to_pylist(), batch.column("payload"), strict=True):
                 doc_ids, missing, sizes, ids = unpack_shard(blob.as_py())
                 end = np.cumsum(sizes)
-                pieces = [ids[e - s : e] for s, e in zip(sizes, end, strict=True)]
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(doc_ids, pa.int64(), mask=missing), pa.array(base + end - sizes, pa.int64()), pa.array(sizes, pa.int64()), pa.array([crc(x) for x in pieces], pa.int64()), pa.array([x.astype(np.int32) for x in pieces], pa.list_(pa.int32()))],
-                    names=["doc_id", "start", "n_tokens", "ids_crc32", "ids"],
-                )
+                raw = memoryview(ids.astype("<u4").tobytes())
+                crcs = [zlib.crc32(raw[4 * (e - s) : 4 * e]) for s, e in zip(sizes.tolist(), end.tolist(), strict=True)]
+                columns = [pa.array(doc_ids, pa.int64(), mask=missing), pa.array(base + end - sizes, pa.int64()), pa.array(sizes, pa.int64()), pa.array(crcs, pa.int64())]
+                if with_ids:
+                    columns.append(pa.ListArray.from_arrays(pa.array(np.concatenate(([0], end)), pa.int32()), pa.array(ids.astype(np.int32))))
+                yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return located.select("base", "payload").mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long, ids array<int>")
+    return located.mapInArrow(decode, "doc_id long, start long, n_tokens long, ids_crc32 long" + ", ids array<int>" * with_ids)
 
 
 def op6_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Write the ids of all documents as Huffman files and return what reading them back gives."""
     path = scratch_path(spark, "token-files")
     write_token_files(spark.read.parquet(f"{sf_dir}/documents.parquet"), path)
-    return read_token_files(spark, path).drop("ids")
+    return read_token_files(spark, path, with_ids=False)
