@@ -88,7 +88,7 @@ def _counts(words: int, bits: int):
                 for s in shingle_sets(t, words):
                     held.append(s)
                     size += len(s)
-                if size > 1 << 22:
+                if size > 1 << 20:
                     yield flush()
                     held, size = [], 0
         if size:

@@ -13,6 +13,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _LOCAL: list[str] = []
+#: Rows that tasks hand to Python at once while such tables are written: rows with whole texts are large.
+ARROW_ROWS, BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 
 
 def scratch_root(spark: SparkSession) -> str:
@@ -36,7 +38,12 @@ def stash(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet below the shared folder and return the table read back (its size is then known to the planner)."""
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    df.write.option("compression", "zstd").parquet(path)
+    was = spark.conf.get(ARROW_ROWS)
+    spark.conf.set(ARROW_ROWS, str(min(int(was), BATCH)) if int(was) > 0 else str(BATCH))
+    try:
+        df.write.option("compression", "zstd").parquet(path)
+    finally:
+        spark.conf.set(ARROW_ROWS, was)
     return spark.read.schema(df.schema).parquet(path)
 
 

@@ -13,7 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 
 #: Bytes of text handled at once; a longer text is handled by itself.
-CHUNK = 1 << 20
+CHUNK = 1 << 18
 U = np.uint64
 _RNG = np.random.Generator(np.random.PCG64(20240229))
 BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * U(2) + U(1)
