@@ -190,7 +190,13 @@ class Join:
         bits = max(6, min(40, int(total // GROUP).bit_length()))
         counted = self.docs.select("text").mapInArrow(_counts(self.words, bits), "group long, tokens binary, counts binary")
         common = stash(counted.groupBy("group").applyInArrow(_common(bits, COMMON), "token long, df long"), "common")
-        told = common.orderBy(F.desc("df"), "token").limit(TOLD).toArrow()  # TOLD rows at most
+        bins = sorted(common.groupBy(F.floor(F.log2("df") * 32).alias("bin")).count().collect(), reverse=True)  # 64 * 32 rows at most
+        told, least = 0, 1 << 20
+        for bin_, count in bins:
+            if told + count > TOLD:
+                break
+            told, least = told + count, bin_
+        told = common.filter(F.floor(F.log2("df") * 32) >= least).toArrow()  # TOLD rows at most
         token, df = (told.column(k).to_numpy().astype(np.int64) for k in ("token", "df"))
         order = np.argsort(token)
         shared = self.spark.sparkContext.broadcast((token[order], df[order]))
@@ -267,8 +273,11 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """docs with only the document of the least doc_id of each component."""
     found = jaccard_components(docs, doc_id=doc_id, text=text, **options)
-    gone = stash(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_gone")).distinct(), "near-copies")
-    return docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col("_gone")), "left_anti")
+    name = "_gone"
+    while name in docs.columns:
+        name += "_"
+    gone = stash(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct(), "near-copies")
+    return docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col(name)), "left_anti")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -25,11 +25,15 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     A null or empty text is one empty line; a null doc_id is one document, smaller than all others; rows
     that repeat a doc_id count as one document, and each keeps or loses lines like it; keys shorter than
     min_chars code points always stay; an empty table gives an empty result.  docs may have any other
-    columns, except ones that begin with ``_ld_``.
+    columns; of those named like an added one, the added one stays.
     """
+    added = ("n_lines", "n_dropped", "kept_text")
+    own = [c for c in docs.columns if c not in added]
     body = F.coalesce(F.col(text), F.lit(""))
+    # the document's own columns travel as one, so that no name can clash
+    known = docs.select(F.struct(*own).alias("_ld_doc"), F.col(doc_id).isNull().alias("_ld_null"), F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))).alias("_ld_id"), F.xxhash64(body).alias("_ld_text"), body.alias("_ld_body"))
+    body = F.col("_ld_body")
     lines = F.split(body, "\n", -1)
-    known = docs.withColumns({"_ld_null": F.col(doc_id).isNull(), "_ld_id": F.coalesce(F.col(doc_id).cast("long"), F.lit(-(2**63))), "_ld_text": F.xxhash64(body)})
     row = ["_ld_null", "_ld_id", "_ld_text"]
     exploded = known.select(*row, F.posexplode(lines).alias("_ld_pos", "_ld_line")).withColumn("_ld_key", line_key(F.col("_ld_line"))).filter(F.char_length("_ld_key") >= min_chars)
     hashed = stash(exploded.select(*row, "_ld_pos", F.xxhash64("_ld_key").alias("_ld_h1"), F.xxhash64(F.lit(7), F.col("_ld_key")).alias("_ld_h2")), "line-hashes")
@@ -43,7 +47,7 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     joined = known.join(dropped.hint("merge"), row, "left")
     kept = F.transform(F.array(lines), lambda a: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(a) - 1), F.col("_ld_drop")), lambda p: F.get(a, p)), "\n"))
     out = joined.withColumns({"n_lines": F.size(lines).cast("long"), "n_dropped": F.coalesce(F.size("_ld_drop"), F.lit(0)).cast("long"), "kept_text": F.when(F.col("_ld_drop").isNull(), body).otherwise(F.get(kept, F.lit(0)))})
-    return out.drop(*row, "_ld_drop")
+    return out.select("_ld_doc.*", *added)
 
 
 def drop_frequent_lines(docs: DataFrame, *, text: str = "text", **options) -> DataFrame:

@@ -88,16 +88,18 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     cuts = plan.groupBy(*SOURCE).agg(F.max("_epochs").alias("_epochs"), F.max(F.when(extra > 0, place)).alias("_cut"), F.max_by(extra, F.when(extra > 0, place)).alias("_part"))
     cuts = stash(cuts, "mix-cuts")
     key = F.struct(_key(doc_id, options.get("seed", SEED)).alias("_key"), F.col(doc_id).alias("doc_id"))
-    words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0))
-    at = docs.withColumns({SOURCE[0]: _source_keys(source)[0], SOURCE[1]: _source_keys(source)[1], "_at": key}).join(cuts, [*SOURCE])
+    body = F.col("doc").getField(text)
+    words = F.coalesce(F.regexp_count(body, F.lit(WORD)), F.lit(0))
+    # the document's own columns travel as one, so that no name can clash
+    at = docs.select(F.struct(*docs.columns).alias("doc"), *_source_keys(source), key.alias("_at")).join(cuts, [*SOURCE])
     times = F.col("_epochs") + F.when(F.col("_at") <= F.col("_cut"), 1).otherwise(0)
     at = at.withColumn("_times", times.cast("int")).filter("_times > 0").withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_times"))))
     cut = (F.col("_at") == F.col("_cut")) & (F.col("_turn") == F.col("_times")) & (F.col("_part") < words)
-    head = F.array_join(F.slice(F.split(F.col(text), r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), F.col("_part").cast("int")), "")
-    at = at.withColumn(text, F.when(cut, head).otherwise(F.col(text)))
+    head = F.array_join(F.slice(F.split(body, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), F.col("_part").cast("int")), "")
+    at = at.withColumn("doc", F.col("doc").withField(text, F.when(cut, head).otherwise(body)))
     if "n_chars" in docs.columns:
-        at = at.withColumn("n_chars", F.coalesce(F.char_length(text), F.lit(0)).cast("long"))
-    return at.select(*docs.columns)
+        at = at.withColumn("doc", F.col("doc").withField("n_chars", F.coalesce(F.char_length(body), F.lit(0)).cast("long")))
+    return at.select("doc.*")
 
 
 def op2_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
