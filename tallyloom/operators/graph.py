@@ -55,3 +55,10 @@ def missing(names: DataFrame, *known: DataFrame, catalogue: DataFrame | None = N
     for k in known:
         out = out.join(k.select("name").distinct(), "name", "left_anti")
     return out if catalogue is None else out.join(catalogue, "name")
+
+
+def unused_verdict(kind: Column, reasons: Column, mode: str = "safe") -> Column:
+    """What to do with an unused symbol: public ones are unsure, imports safe, ones with side effects suppressed; the rest by mode."""
+    public = F.exists(reasons, lambda r: F.lower(r).contains("public") | F.lower(r).contains("export"))
+    effects = F.arrays_overlap(reasons, F.array(F.lit("side_effect"), F.lit("unsafe_remove")))
+    return F.when(public, "unsure").when(kind.isin("import", "module"), "safe").when(effects, "safe" if mode == "aggressive" else "suppress").otherwise("safe" if mode in ("smart", "aggressive") else "suppress")

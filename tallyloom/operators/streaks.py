@@ -67,22 +67,29 @@ def count_since(df: DataFrame, key: list[str], order: list[str], counted: Column
     return df.withColumn(name, F.sum(F.when(counted & ~reset, 1).otherwise(0)).over(w)).drop("_r")
 
 
-def stop_reason(df: DataFrame, key: list[str], order: list[str], *, count: str, initial: Column, accepted: str, rejected: str, max_cycles: int = 4, growth: float = 1.2, spike: int = 4) -> DataFrame:
-    """The first rule that ends the cycles at each step, with a fixed cap: completed, growth over 120 %, cap, two plateaus, two cycles without progress, reject spike."""
+def stop_reason(df: DataFrame, key: list[str], order: list[str], *, count: str, initial: Column, accepted: str, rejected: str, elapsed: Column | None = None, max_cycles: int = 4, growth: float = 1.2, budget: float = 240.0, spike: int = 4) -> DataFrame:
+    """The first rule that ends the cycles at each step, with a fixed cap.
+
+    In order: nothing left, more than 120 % of the start, time budget, cap, growth in two cycles to above the start,
+    two cycles without any change, two without progress, four rejections and no acceptance in two.
+    accepted and rejected are those of the step itself.
+    """
     w = over(key, order)
-    df = df.withColumn("cycle", F.row_number().over(w))
+    df = df.withColumn("cycle", F.row_number().over(w)).withColumn("_d", F.coalesce(F.lag(count).over(w), initial) - F.col(count))
     lag = lambda c: F.lag(c).over(w)
-    flat = (F.col(count) == lag(count)) & (lag(count) == F.lag(count, 2).over(w))
-    idle = (F.col(accepted) == 0) & (lag(accepted) == 0)
+    two = F.col("cycle") >= 2
+    idle = two & (F.col(accepted) == 0) & (lag(accepted) == 0)
     reason = (
         F.when(F.col(count) == 0, "completed")
         .when((initial > 0) & (F.col(count) > initial * growth), "global_invariant")
+        .when(F.lit(False) if elapsed is None else elapsed >= budget, "runtime_budget")
         .when(F.col("cycle") >= max_cycles, "max_cycles")
-        .when(flat, "plateau")
+        .when(two & (F.col("_d") < 0) & (lag("_d") < 0) & (F.col(count) > initial), "error_growth")
+        .when(idle & (F.col("_d") == 0) & (lag("_d") == 0), "plateau")
+        .when(idle & (F.col("_d") <= 0) & (lag("_d") <= 0), "no_progress")
         .when(idle & (F.col(rejected) + lag(rejected) >= spike), "reject_spike")
-        .when(idle, "no_progress")
     )
-    return df.withColumn("stop_reason", reason)
+    return df.withColumn("stop_reason", reason).drop("_d")
 
 
 def nth_return(df: DataFrame, key: list[str], order: list[str]) -> DataFrame:

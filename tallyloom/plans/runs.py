@@ -195,11 +195,12 @@ def g5d(spark, d):
     return graph.impact(edges(spark, d), _starts(spark, d))
 
 
-@query("g6_unused_symbols", "SELECT CASE WHEN p_size > 40 THEN 'unsure' WHEN p_type LIKE '%O%' AND p_partkey % 2 = 0 THEN 'suppress' ELSE 'safe' END AS verdict, count(*) AS n FROM part WHERE p_partkey % 3 = 0 GROUP BY 1")
+@query("g6_unused_symbols", "SELECT CASE WHEN p_brand LIKE '%1%' THEN 'unsure' WHEN p_type IN ('ECONOMY', 'PROMO') THEN 'safe' ELSE 'suppress' END AS verdict, count(*) AS n FROM part WHERE p_partkey % 3 = 0 GROUP BY 1")
 def g6(spark, d):
-    c = F.col
-    verdict = F.when(c("p_size") > 40, "unsure").when(c("p_type").contains("O") & (c("p_partkey") % 2 == 0), "suppress").otherwise("safe")
-    return table(spark, d, "part").filter("p_partkey % 3 = 0").groupBy(verdict.alias("verdict")).agg(F.count("*").alias("n"))
+    kind = F.when(F.col("p_type").isin("ECONOMY", "PROMO"), "import").otherwise("function")
+    reasons = F.array(F.when(F.col("p_brand").contains("1"), "Public name").otherwise("plain"))
+    rows = table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 3 != 0).alias("used"), kind.alias("kind"), reasons.alias("reasons"))
+    return rows.filter("NOT used").groupBy(graph.unused_verdict(F.col("kind"), F.col("reasons"), "safe").alias("verdict")).agg(F.count("*").alias("n"))
 
 
 @query("g8_state_hash", with_views("decisions", body="SELECT project, sha256(string_agg(concat(file, ':', n), ',' ORDER BY file)) AS state FROM (SELECT project, file, count(*) AS n FROM decisions GROUP BY 1, 2) GROUP BY project"))

@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tallyloom.functions import rules, text
-from tallyloom.operators import diff
+from tallyloom.operators import control, diff
 from tallyloom.plans.adapters import decisions, findings, table, with_views
 from tallyloom.plans.registry import query
 
@@ -91,11 +91,10 @@ def p13(spark, d):
     return findings(spark, d).groupBy("code", rules.infer_language(F.col("code"), F.lit("")).alias("language")).agg(F.count("*").alias("n"))
 
 
-@query("p15_review_queue", with_views("findings", body=f"+{CLASS} SELECT CASE WHEN code IN ('E999', 'E902') THEN 'syntax' WHEN code IN ('E501', 'W503', 'E302') THEN 'style' WHEN cls = 'SECURITY' THEN 'security' WHEN cls = 'CRITICAL_SYNTAX' THEN 'syntax' WHEN cls = 'CLEANUP' THEN 'cleanup' ELSE 'unknown' END AS category, count(*) AS n FROM classed GROUP BY 1"))
+@query("p15_review_queue", with_views("findings", body=f"+{CLASS}, k AS (SELECT CASE WHEN code IN ('W503', 'W504') THEN 'logic' WHEN code = 'F401' THEN 'import' WHEN code = 'E999' THEN 'syntax' WHEN cls = 'SECURITY' THEN 'security' WHEN cls = 'CRITICAL_SYNTAX' THEN 'syntax' WHEN cls = 'CLEANUP' THEN 'formatting' ELSE 'unknown' END AS category FROM classed) SELECT category, CASE category WHEN 'security' THEN 1 WHEN 'logic' THEN 2 WHEN 'type' THEN 3 WHEN 'import' THEN 4 WHEN 'syntax' THEN 5 WHEN 'formatting' THEN 6 ELSE 7 END AS priority, count(*) AS n FROM k GROUP BY 1, 2"))
 def p15(spark, d):
-    c, k = F.col("code"), F.col("cls")
-    cat = F.when(c.isin("E999", "E902"), "syntax").when(c.isin("E501", "W503", "E302"), "style").when(k == "SECURITY", "security").when(k == "CRITICAL_SYNTAX", "syntax").when(k == "CLEANUP", "cleanup").otherwise("unknown")
-    return classed(spark, d).groupBy(cat.alias("category")).agg(F.count("*").alias("n"))
+    rows = classed(spark, d).select(control.review_category(F.col("code"), F.col("cls")).alias("category"))
+    return rows.groupBy("category", control.review_priority(F.col("category")).alias("priority")).agg(F.count("*").alias("n"))
 
 
 @query("p19_symbols", with_views("findings", body=r"""SELECT array_to_string(list_concat(regexp_extract_all(message, '`([A-Za-z_][A-Za-z0-9_:.<>-]*)`', 1), regexp_extract_all(message, '''([A-Za-z_][A-Za-z0-9_:.<>-]*)''', 1)), ',') AS names, count(*) AS n FROM findings GROUP BY 1"""))
@@ -129,11 +128,10 @@ def p22(spark, d):
     return g.select("project", F.round(a, 9).alias("accept"), F.round(r, 9).alias("retry"))
 
 
-@query("p26_baseline_distance", with_views("decisions", body="SELECT seq, round((abs(value - 100) / greatest(100.0, 1.0) + (CASE WHEN seq % 4 = 0 THEN 1.0 ELSE 0.0 END) + (CASE WHEN seq % 5 = 0 THEN 1.0 ELSE 0.0 END) + abs(error_count - 10) / 10.0) / 4, 9) AS distance FROM decisions"))
+@query("p26_baseline_distance", with_views("decisions", body="SELECT seq, round((abs(value - 100) / greatest(value, 100.0, 1.0) + (CASE WHEN seq % 4 = 0 THEN 1.0 ELSE 0.0 END) + (CASE WHEN seq % 5 = 0 THEN 1.0 ELSE 0.0 END) + abs(error_count - 10) / greatest(error_count, 10, 1)) / 4, 9) AS distance FROM decisions"))
 def p26(spark, d):
     c = F.col
-    dist = (F.abs(c("value") - 100) / 100.0 + F.when(c("seq") % 4 == 0, 1.0).otherwise(0.0) + F.when(c("seq") % 5 == 0, 1.0).otherwise(0.0) + F.abs(c("error_count") - 10) / 10.0) / 4
-    return decisions(spark, d).select("seq", F.round(dist, 9).alias("distance"))
+    return decisions(spark, d).select("seq", F.round(control.baseline_distance(c("value"), c("seq") % 4 != 0, c("seq") % 5 != 0, c("error_count"), 100.0, 10), 9).alias("distance"))
 
 
 @query("p30_project_outcome", with_views("decisions", body="""+g AS (SELECT project, count(*) FILTER (WHERE decision = 'ACCEPT') AS a, count(*) FILTER (WHERE decision = 'NEEDS_REVIEW') AS nr, sum(error_count) AS f, count(*) FILTER (WHERE decision = 'FAILED') > 40 AS failed FROM decisions GROUP BY project)

@@ -60,11 +60,12 @@ def w7(spark, d):
     return streaks.deltas(decisions(spark, d), KEY, ORDER, ["error_count", "line"]).select("seq", "error_count_delta", "line_delta")
 
 
-@query("w8_stop_reason", with_views("decisions", body="""+x AS (SELECT *, (decision = 'ACCEPT')::INT AS acc, (decision = 'REJECT')::INT * 3 AS rej, row_number() OVER w AS cycle, first_value(error_count) OVER w AS ini, lag(error_count) OVER w AS l1, lag(error_count, 2) OVER w AS l2 FROM decisions WINDOW w AS (PARTITION BY project ORDER BY seq)),
-y AS (SELECT *, lag(acc) OVER w AS la, lag(rej) OVER w AS lr FROM x WINDOW w AS (PARTITION BY project ORDER BY seq)) SELECT seq, CASE WHEN error_count = 0 THEN 'completed' WHEN ini > 0 AND error_count > ini * 1.2::DOUBLE THEN 'global_invariant' WHEN cycle >= 40 THEN 'max_cycles' WHEN error_count = l1 AND l1 = l2 THEN 'plateau' WHEN acc = 0 AND la = 0 AND rej + lr >= 4 THEN 'reject_spike' WHEN acc = 0 AND la = 0 THEN 'no_progress' END AS stop_reason FROM y"""))
+@query("w8_stop_reason", with_views("decisions", body="""+x AS (SELECT *, (decision = 'ACCEPT')::INT AS acc, (decision = 'REJECT')::INT * 3 AS rej, row_number() OVER w AS cycle, first_value(error_count) OVER w + 5 AS ini, lag(error_count) OVER w AS l1 FROM decisions WINDOW w AS (PARTITION BY project ORDER BY seq)),
+y AS (SELECT *, coalesce(l1, ini) - error_count AS dl FROM x), z AS (SELECT *, lag(acc) OVER w AS la, lag(rej) OVER w AS lr, lag(dl) OVER w AS ld FROM y WINDOW w AS (PARTITION BY project ORDER BY seq))
+SELECT seq, CASE WHEN error_count = 0 THEN 'completed' WHEN ini > 0 AND error_count > ini * 1.2::DOUBLE THEN 'global_invariant' WHEN cycle * 1.0 >= 200 THEN 'runtime_budget' WHEN cycle >= 150 THEN 'max_cycles' WHEN dl < 0 AND ld < 0 AND error_count > ini THEN 'error_growth' WHEN acc = 0 AND la = 0 AND dl = 0 AND ld = 0 THEN 'plateau' WHEN acc = 0 AND la = 0 AND dl <= 0 AND ld <= 0 THEN 'no_progress' WHEN acc = 0 AND la = 0 AND rej + lr >= 4 THEN 'reject_spike' END AS stop_reason FROM z"""))
 def w8(spark, d):
-    df = decisions(spark, d).withColumns({"acc": F.when(F.col("decision") == "ACCEPT", 1).otherwise(0), "rej": F.when(F.col("decision") == "REJECT", 3).otherwise(0), "ini": F.first("error_count").over(streaks.over(KEY, ORDER))})
-    return streaks.stop_reason(df, KEY, ORDER, count="error_count", initial=F.col("ini"), accepted="acc", rejected="rej", max_cycles=40).select("seq", "stop_reason")
+    df = decisions(spark, d).withColumns({"acc": F.when(F.col("decision") == "ACCEPT", 1).otherwise(0), "rej": F.when(F.col("decision") == "REJECT", 3).otherwise(0), "ini": F.first("error_count").over(streaks.over(KEY, ORDER)) + 5})
+    return streaks.stop_reason(df, KEY, ORDER, count="error_count", initial=F.col("ini"), accepted="acc", rejected="rej", elapsed=F.row_number().over(streaks.over(KEY, ORDER)) * 1.0, budget=200.0, max_cycles=150).select("seq", "stop_reason")
 
 
 ISLAND = "x AS (SELECT *, row_number() OVER (PARTITION BY {k} ORDER BY seq) - row_number() OVER (PARTITION BY {k}, {v} ORDER BY seq) AS g FROM decisions)"

@@ -109,3 +109,31 @@ def sanitizer_findings(lines: DataFrame) -> DataFrame:
     kinds = df.filter("kind IS NOT NULL").select("file", "_h", "kind")
     rows = kinds.join(best, ["file", "_h"], "left").select("file", "kind", F.col("b.where").alias("source"), F.col("b.line").cast("int").alias("line"), F.concat(F.lit("SAN_"), F.upper(F.translate("kind", "-", "_"))).alias("code"))
     return rows.groupBy("source", "line", "code").agg(F.min("file").alias("file"), F.min("kind").alias("kind"))
+
+
+def tracebacks(df: DataFrame, text: str = "text", project: str = r"(?!/)") -> DataFrame:
+    """The last exception of each text and its deepest frame in the project (by default: relative paths)."""
+    frame = F.regexp_extract_all(text, F.lit(r'(?m)^\s+File "([^"]+)", line \d+'), 1)
+    line = F.regexp_extract_all(text, F.lit(r'(?m)^\s+File "[^"]+", line (\d+)'), 1)
+    frames = F.filter(F.zip_with(frame, line, lambda f, n: F.struct(f.alias("file"), n.cast("int").alias("line"))), lambda x: x["file"].rlike("^" + project))
+    error = F.element_at(F.regexp_extract_all(text, F.lit(r"(?m)^([A-Za-z_][\w.]*(?:Error|Exception|Warning|Exit|Interrupt))\b"), 1), -1)
+    return df.select("*", F.try_element_at(frames, F.lit(-1)).alias("_f"), error.alias("code")).select(*df.columns, "_f.file", "_f.line", "code")
+
+
+def test_failures(lines: DataFrame, text: str = "value") -> DataFrame:
+    """Failed tests ``path, name`` of a test run's summary lines, each once."""
+    return lines.select(F.regexp_extract(text, r"^FAILED (\S+?)::(\S+)", 1).alias("path"), F.regexp_extract(text, r"^FAILED (\S+?)::(\S+)", 2).alias("name")).filter("path <> ''").distinct()
+
+
+def rustc_messages(docs: DataFrame, text: str = "value") -> DataFrame:
+    """Compiler messages of cargo's JSON lines, at their first span."""
+    schema = "reason string, message struct<level: string, code: struct<code: string>, message: string, spans: array<struct<file_name: string, line_start: int, column_start: int>>>"
+    m = docs.select(F.from_json(text, schema).alias("d")).filter("d.reason = 'compiler-message'").select("d.message.*")
+    first = F.try_element_at("spans", F.lit(1))
+    return m.select(first["file_name"].alias("file"), first["line_start"].alias("line"), first["column_start"].alias("col"), F.coalesce("code.code", F.lit("")).alias("code"), "message", F.col("level").alias("severity"), F.lit("rustc").alias("tool"))
+
+
+def compile_commands(docs: DataFrame, text: str = "value") -> DataFrame:
+    """``file, flag`` of a compile database."""
+    rows = docs.select(F.explode(F.from_json(text, "array<struct<file: string, command: string>>")).alias("c"))
+    return rows.select("c.file", F.explode(F.split("c.command", r"\s+")).alias("flag")).filter("flag LIKE '-%'")

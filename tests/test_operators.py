@@ -228,3 +228,36 @@ def test_streamed_attempts_equal_the_batch(spark, tmp_path):
     q = streaming.attempts(stream).writeStream.outputMode("update").format("memory").queryName("attempts_test").option("checkpointLocation", str(tmp_path / "cp")).trigger(availableNow=True).start()
     q.awaitTermination()
     assert {(r.file, r.attempts, r.blocked) for r in spark.table("attempts_test").collect()} == {("f", 6, True), ("g", 2, False)}
+
+
+def test_parsers_give_nothing_for_broken_texts(spark):
+    from tallyloom.operators import code
+
+    df = spark.createDataFrame([("a", "def f(:"), ("b", None)], "file string, text string")
+    for f in (code.functions_of, code.docstrings, code.macros, code.code_in_comments):
+        assert f(df).count() == 0
+    assert [r.parsed for r in code.literal_counts(df).collect()] == [False, True]
+
+
+def test_logic_changes(spark, rows):
+    from tallyloom.operators import code
+
+    one = lambda t: code.functions_of(spark.createDataFrame([("a", t)], "file string, text string"))
+    rows(code.logic_changes(one("def f(a, b=1):\n  return a"), one("def f(a, c):\n  eval(a)")).select("type", "severity"), ("REQUIRED_PARAM_ADDED", "high"), ("PARAM_REMOVED", "high"), ("RETURN_PATH_LOST", "high"), ("CALL_ADDED", "medium"), ("SIDE_EFFECT_ADDED", "high"))
+
+
+@pytest.mark.parametrize("steps,expected", [([10, 11, 12], "error_growth"), ([10, 10, 10], "plateau"), ([10, 9, 8], "reject_spike")])
+def test_stop_reasons_in_order(spark, steps, expected):
+    df = spark.createDataFrame([(i, "p", c, 0, 2, 10) for i, c in enumerate(steps)], "seq int, project string, n int, acc int, rej int, ini int")
+    out = streaks.stop_reason(df, ["project"], ["seq"], count="n", initial=F.col("ini"), accepted="acc", rejected="rej", max_cycles=9)
+    assert out.orderBy("seq").collect()[-1].stop_reason == expected
+
+
+def test_governor_waits_for_a_move(spark):
+    from tallyloom.operators import control
+
+    cols = "p string, seq int, stability double, success_rate double, entropy double, memory_rate double, rollback_rate double, trend double, overall double"
+    df = spark.createDataFrame([("p", i, 0.0, 0.0, 1.0, 0.0, 1.0, -1.0, o) for i, o in enumerate([0.5, 0.52, 0.9])], cols)
+    out = control.govern(df, "p", "seq").orderBy("seq").collect()
+    assert out[1].accept_threshold == control.GOVERNED["accept_threshold"] < out[2].accept_threshold
+    assert out[2].rollback_limit == 2.0
