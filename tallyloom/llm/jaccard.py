@@ -209,14 +209,21 @@ class Join:
         return joined.select("a", "b").distinct()
 
     def _postings(self) -> DataFrame:
-        """Common shingles of prefixes of documents that can have a partner: without its rare shingles, enough are left."""
+        """Common shingles of documents that can have a partner: without its rare shingles, enough are left.
+
+        A partner that shares none of the rare shingles shares one of the first (m - rare + 1) common ones; no
+        more are posted, and ``prefix`` serves to count matches in all of both prefixes.
+        """
         able = self.prefixes.filter((F.size("heavy") > 0) & ((F.col("n") - F.col("rare")) * self.den >= F.col("n") * self.num))
-        return able.select(F.explode("heavy").alias("token"), "id", "n", "rare")
+        miss = F.col("n") - F.floor((F.col("n") * self.num + self.den - 1) / self.den)
+        posted = F.slice("heavy", F.lit(1), (miss - F.col("rare") + 1).cast("int"))
+        able = able.select("id", "n", "rare", "extra", posted.alias("posted"), F.concat("light", "heavy").alias("prefix"))
+        return able.select(F.explode("posted").alias("token"), "*")
 
     def _leaders(self) -> DataFrame:
         """Each document of a common posting with the posting's leader among documents of about its size."""
         size = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(1 + (self.den - self.num) / self.den / 2)))).alias("size")
-        rows = self._postings().select("*", size)
+        rows = self._postings().select("token", "id", "n", "rare", size)
         lead = stash(rows.groupBy("token", "size").agg(F.min(F.struct("rare", "id", "n")).alias("lead")), "leaders")
         near = rows.join(lead, ["token", "size"]).filter((F.col("id") != F.col("lead.id")) & _alike(F.col("n"), F.col("lead.n"), self.num, self.den))
         # the leaders of neighbouring sizes meet too
@@ -229,7 +236,8 @@ class Join:
         """Pairs of common postings whose documents are not yet in one component; none if all postings are settled.
 
         Such a pair shares no rare shingle (else it was met before, as prefixes with common shingles hold all
-        rare ones), so it shares at most what both have left without theirs.
+        rare ones), so it shares at most what both have left without theirs.  The join itself counts the matches
+        of both prefixes, and gives a pair at its first common posting only.
         """
         rows = self._postings().join(label.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         groups = rows.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("kinds"))
@@ -237,10 +245,12 @@ class Join:
         rows = stash(rows, "unsettled")
         if rows.isEmpty():
             return None
-        other = rows.filter("component <> main").select("token", F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("rare").alias("rare_x"), F.col("component").alias("c_x"))
+        other = rows.filter("component <> main").select("token", F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("rare").alias("rare_x"), F.col("component").alias("c_x"), F.col("extra").alias("extra_x"), F.col("posted").alias("posted_x"), F.col("prefix").alias("prefix_x"))
         shared = F.least(F.col("n") - F.col("rare"), F.col("n_x") - F.col("rare_x"))
         able = (shared * (self.num + self.den) >= (F.col("n") + F.col("n_x")) * self.num) & _alike(F.col("n"), F.col("n_x"), self.num, self.den)
-        pairs = rows.join(other, "token").filter((F.col("component") != F.col("c_x")) & able)
+        once = F.get(F.array_intersect("posted", "posted_x"), F.lit(0)) == F.col("token")
+        enough = F.size(F.array_intersect("prefix", "prefix_x")) >= F.least("extra", "extra_x")
+        pairs = rows.join(other, "token").filter((F.col("component") != F.col("c_x")) & able & once & enough)
         return stash(pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct(), "pairs")
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
