@@ -6,6 +6,7 @@ polynomial over random byte values, so every word, line or word window costs a f
 
 from __future__ import annotations
 
+import ctypes
 from collections.abc import Iterator
 
 import numpy as np
@@ -23,6 +24,10 @@ WINDOW = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * U(2) + U(1)
 BASE = 0x9E3779B97F4A7C15
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+try:
+    _LIBC = ctypes.CDLL("libc.so.6")
+except OSError:  # not glibc
+    _LIBC = None
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
@@ -42,6 +47,13 @@ def mix(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> U(31))
 
 
+def tidy() -> None:
+    """Give memory that is free back to the system: workers live on between tasks, beside the executor's heap."""
+    pa.default_memory_pool().release_unused()
+    if _LIBC is not None:
+        _LIBC.malloc_trim(0)
+
+
 class Texts:
     """Some texts as bytes; off[i]:off[i + 1] are those of text i."""
 
@@ -111,3 +123,4 @@ def batches(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, Te
         hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, "right")) - 1)
         yield lo, hi, Texts(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
         lo = hi
+    tidy()
