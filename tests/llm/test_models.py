@@ -491,3 +491,22 @@ def test_stages(spark, docs):
     packed = corpus_pipeline.run(spark, DIR)
     total = packed.agg(F.sum("length")).first()[0]
     assert total == sum(len(e) for e in encode("byte_bpe_50k.json", [r.text for r in at.collect()], 1))
+
+
+@pytest.mark.parametrize("kind", [pa.string(), pa.large_string()])
+@pytest.mark.parametrize("limit", [1, 3, 100])
+def test_batches_cover_every_row(kind, limit):
+    column = pa.array(["ab", None, "", "cdé", None, "x" * 10], kind).slice(1)
+    got = [t.data[a:b].tobytes().decode() for _, _, t in batches(column, limit) for a, b in zip(t.off, t.off[1:])]
+    assert got == ["", "", "cdé", "", "x" * 10]
+    assert list(batches(pa.array([], kind), limit)) == []
+
+
+def test_most_frequent_is_bounded(spark):
+    from tallyloom.llm.frequent import most_frequent
+
+    df = spark.range(1000).select("id", (F.col("id") % 50 + 1).alias("n"))
+    for most in (0, 10, 100, 5000):
+        rows = most_frequent(df, "n", most).collect()
+        assert len(rows) <= most and (most < 5000 or len(rows) == 1000)
+        assert not rows or min(r.n for r in rows) >= 50 - most // 20
