@@ -190,9 +190,10 @@ def g5(spark, d):
     return graph.impact(edges(spark, d), _starts(spark, d)).select("node", "radius", F.lit(True).alias("reached"))
 
 
-@query("g5_depth")
+@query("g5_depth", f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM ({SQL['edges']})), r(start, node, depth) AS (SELECT DISTINCT dst, dst, 0 FROM e UNION SELECT r.start, e.src, r.depth + 1 FROM r JOIN e ON e.dst = r.node WHERE r.depth < 16),
+m AS (SELECT start, node, min(depth) AS depth FROM r GROUP BY 1, 2), g AS (SELECT start AS node, count(*) FILTER (WHERE depth = 1) AS radius, max(depth) AS depth FROM m GROUP BY 1) SELECT *, round(0.3 * ln(radius + 1) + 0.2 * depth, 9) AS impact FROM g""")
 def g5d(spark, d):
-    return graph.impact(edges(spark, d), _starts(spark, d))
+    return graph.impact(edges(spark, d), _starts(spark, d)).withColumn("impact", F.round("impact", 9))
 
 
 @query("g6_unused_symbols", "SELECT CASE WHEN p_brand LIKE '%1%' THEN 'unsure' WHEN p_type IN ('ECONOMY', 'PROMO') THEN 'safe' ELSE 'suppress' END AS verdict, count(*) AS n FROM part WHERE p_partkey % 3 = 0 GROUP BY 1")

@@ -48,8 +48,23 @@ def _rules(family):
     return run
 
 
-for _family in ("js", "rust", "csharp", "cpp"):
-    query(f"x2_rules_{_family}")(_rules(_family))
+SECRET = "regexp_matches(regexp_extract(text, '{0}', 1), '(?i)(secret|passwd|password|pwd|token|api[_-]?key|apikey)') AND length(regexp_extract(text, '{0}', 2)) >= {1} AND NOT regexp_matches(text, '(?i)(os\\.environ|getenv)')"
+#: The same rules for DuckDB, which has no look-behind.
+FAMILY_SQL = {
+    "js": {"hardcoded_secret": SECRET.format("(?:const|let|var)?\\s*(\\w+)\\s*[:=]\\s*[\"''`]([^\"''`]*)[\"''`]", 6), "dangerous_eval": "regexp_matches(text, '(?:^|[^.\\w])eval\\s*\\(|new\\s+Function\\s*\\(')", "xss": "regexp_matches(text, '\\.(?:inner|outer)HTML\\s*=(?:[^=]|$)|document\\.write\\s*\\(')", "command_injection": "regexp_matches(text, 'child_process|(?:^|[^.\\w])exec(?:Sync)?\\s*\\([^)]*\\+')"},
+    "rust": {"hardcoded_secret": SECRET.format("(?:const|static|let)\\s+(?:mut\\s+)?(\\w+)[^=]*=\\s*\"([^\"]*)\"", 4), "unsafe_deserialization": "regexp_matches(text, 'serde_pickle|bincode::deserialize')", "sql_injection": "regexp_matches(text, '\\b(?:query|query_as|execute|sql_query)\\s*\\(') AND regexp_matches(text, 'format!|\\+|push_str') AND regexp_matches(text, '(?i)\\b(select|insert|update|delete|drop)\\b')"},
+    "csharp": {"hardcoded_secret": SECRET.format("(?:const\\s+string|readonly\\s+string|string|var)\\s+(\\w+)\\s*=\\s*\"([^\"]*)\"", 4), "command_injection": "regexp_matches(text, '\\bProcess\\.Start\\b') AND regexp_matches(text, '\"\\s*\\+|\\+\\s*\"')", "unsafe_deserialization": "regexp_matches(text, '\\b(?:BinaryFormatter|SoapFormatter)\\b')"},
+    "cpp": {"hardcoded_secret": SECRET.format("(?:const\\s+)?(?:char\\s*\\*|std::string|auto|string)\\s+(\\w+)\\s*=\\s*\"([^\"]*)\"", 4), "command_injection": "regexp_matches(text, '\\b(?:system|popen)\\s*\\(') AND regexp_matches(text, '\\+|\\.c_str\\s*\\(\\)|sprintf|format')", "buffer_overflow": "regexp_matches(text, '\\b(?:strcpy|strcat|sprintf|gets)\\s*\\(')"},
+}
+
+
+def _family_sql(family: str) -> str:
+    cases = ", ".join(f"CASE WHEN {test} THEN '{name}' END" for name, test in FAMILY_SQL[family].items())
+    return f"WITH {_snippet_sql()}, h AS (SELECT unnest([{cases}]) AS code FROM sn WHERE NOT regexp_matches(ltrim(text), '^(//|\\*|/\\*)')) SELECT code, count(*) AS n FROM h WHERE code IS NOT NULL GROUP BY code"
+
+
+for _family in FAMILY_SQL:
+    query(f"x2_rules_{_family}", _family_sql(_family))(_rules(_family))
 
 
 @query("x4_authorship", """WITH l AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS ls0, text FROM documents), m AS (SELECT doc_id, CASE WHEN ls0[-1] = '' THEN ls0[:-2] ELSE ls0 END AS ls, text FROM l),
