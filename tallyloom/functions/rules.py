@@ -118,3 +118,49 @@ def infer_language(code: Column, given: Column) -> Column:
         .when(c.startswith("python."), "python")
         .when(c.rlike(r"^(yaml\.|html\.|package_managers\.)"), "config")
     )
+
+
+# Analyzer codes that are noise, and what the other codes mean.
+NOISE_CODES = ("CA1002", "CA1014", "CA1031", "CA1051", "CA1062", "CA1063", "CA1303", "CA1304", "CA1305", "CA1307", "CA1310", "CA1311", "CA1515", "CA1707", "CA1710", "CA1711", "CA1716", "CA1720", "CA1724", "CA1725", "CA1727", "CA1801", "CA1805", "CA1812", "CA1816", "CA1822", "CA1848", "CA1852", "CA2007", "CA5394")
+NOISE_PREFIX = "^(IDE|SA|SX)[0-9]+$"
+BUILD_NOISE, BUILD_NOISE_PER_FILE = ("GCC_UNDECLARED", "GCC_SYNTAX", "GCC_INCLUDE"), 8
+
+
+def noise(code: Column) -> Column:
+    code = F.coalesce(code, F.lit(""))
+    return code.isin(*NOISE_CODES) | code.rlike(NOISE_PREFIX)
+
+
+def synthetic_code(message: Column) -> Column:
+    """A code for compiler messages that have none; empty if they fit no pattern."""
+    m = F.lower(F.coalesce(message, F.lit("")))
+    return (
+        F.when(any_of(m, ("expected ';'", "missing terminating")), "GCC_SEMI")
+        .when(any_of(m, ("expected '}'", "expected '{'")), "GCC_BRACE")
+        .when(any_of(m, ("expected ')'", "expected '('")), "GCC_PAREN")
+        .when(m.contains("no such file"), "GCC_INCLUDE")
+        .when(any_of(m, ("was not declared", "undeclared")), "GCC_UNDECLARED")
+        .when(m.contains("redefinition"), "GCC_REDEFINITION")
+        .when(any_of(m, ("expected unqualified-id", "expected primary-expression", "expected expression", "unterminated", "unclosed")), "GCC_SYNTAX")
+        .otherwise("")
+    )
+
+
+def finding_type(tool: str, code: Column, message: Column) -> Column:
+    """Type of a tool's finding by its code, or by the message where the code does not tell."""
+    code, m = F.coalesce(code, F.lit("")), F.lower(F.coalesce(message, F.lit("")))
+    if tool == "flake8":
+        named = F.when(any_of(m, ("undefined", "name")), "runtime").when(m.contains("import"), "dependency").otherwise("lint")
+        return F.when(code.startswith("E999"), "syntax").when(code.startswith("E"), "compile").when(code.startswith("W"), "warning").when(code.startswith("F"), named).otherwise("lint")
+    if tool == "rustc":
+        known = {"E0277": "trait_not_satisfied", "E0425": "unresolved_function", "E0599": "unresolved_method", "E0382": "ownership_error", "E0596": "mutability_error", "E0594": "mutability_error"}
+        mismatch = F.when(any_of(m, ("argument", "parameter")), "type_mismatch_argument").otherwise("type_mismatch")
+        return F.when(code == "E0308", mismatch).when(code.isin(*known), lookup(code, known, "unknown")).when(code.startswith("E04"), "dependency").when(code.startswith("E03"), "type").when(code.startswith("E05"), "compile").otherwise("unknown")
+    if tool == "gcc":
+        return F.when(code.isin("GCC_SEMI", "GCC_BRACE", "GCC_PAREN", "GCC_SYNTAX", "C2143", "C2059"), "syntax").when(code.isin("GCC_INCLUDE", "C1083"), "dependency").when(code.isin("GCC_UNDECLARED", "GCC_REDEFINITION", "C2065"), "compile").otherwise("unknown")
+    if tool == "tsc":
+        n = F.regexp_replace(code, "^TS", "")
+        return F.when(n.isin("1003", "1005", "1011", "1013", "1109", "1128", "1130", "1131", "1135", "1136", "1138", "1144"), "syntax").when(n == "2307", "dependency").when(n.isin("2304", "2552"), "resolve").when(n.isin("2322", "2339", "2345", "2358", "2367", "2532", "2769"), "type").when(n.isin("6133", "6196", "7006", "7053"), "warning").otherwise("unknown")
+    if tool == "mypy":
+        return F.when(m.contains("is not defined"), "resolve").when(m.contains("has no attribute"), "type").when(any_of(m, ("cannot find module", "cannot find implementation")), "dependency").when(m.contains("unreachable"), "warning").otherwise("type")
+    raise ValueError(f"no types for {tool}")

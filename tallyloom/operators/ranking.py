@@ -80,3 +80,9 @@ def nearest_match(anchors: DataFrame, lines: DataFrame, window: int = 15) -> Dat
     best = hits.groupBy("id").agg(F.min(F.when(gap <= window, F.struct(gap.alias("gap"), "at"))).alias("near"), F.count("*").alias("k"), F.min("at").alias("only"))
     found = F.when(F.col("near").isNotNull(), F.col("near.at")).when(F.col("k") == 1, F.col("only"))
     return anchors.select("id").join(best, "id", "left").select("id", found.alias("found"))
+
+
+def drop_noisy_files(df: DataFrame, codes, most: int) -> DataFrame:
+    """Findings without any of files that have ``most`` or more of the given codes."""
+    noisy = df.groupBy("file").agg(F.count_if(F.col("code").isin(*codes)).alias("_k")).filter(F.col("_k") >= most)
+    return df.join(noisy.select("file"), "file", "left_anti")

@@ -292,11 +292,9 @@ def f9(spark, d):
     return ranking.unprotected(f).agg(F.count("*").alias("n"))
 
 
-@query("f16_group_noise", with_views("findings", body="SELECT seq FROM (SELECT *, sum(CASE WHEN code IN ('E302', 'W503') THEN 1 ELSE 0 END) OVER (PARTITION BY file) AS k FROM findings) WHERE k < 55"))
+@query("f16_group_noise", with_views("findings", body="SELECT seq FROM (SELECT *, sum(CASE WHEN code IN ('E302', 'W503') THEN 1 ELSE 0 END) OVER (PARTITION BY file) AS k FROM findings) WHERE k < 17"))
 def f16(spark, d):
-    f = findings(spark, d)
-    noisy = f.groupBy("file").agg(F.count_if(F.col("code").isin("E302", "W503")).alias("k")).filter("k >= 55")
-    return f.join(noisy, "file", "left_anti").select("seq")
+    return ranking.drop_noisy_files(findings(spark, d), ("E302", "W503"), 17).select("seq")
 
 
 CRIT = "cr AS (SELECT file, arg_min(seq, line::BIGINT * 100000000 + seq) AS root, min(line) AS root_line FROM findings WHERE error_class = 'CRITICAL_SYNTAX' GROUP BY file)"

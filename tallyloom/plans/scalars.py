@@ -159,9 +159,33 @@ def p34(spark, d):
     return f.groupBy("code", F.coalesce("manual", "auto").alias("advice")).agg(F.count("*").alias("n"))
 
 
-@query("f7_noise", with_views("findings", body="SELECT code, count(*) AS n FROM findings WHERE code NOT IN ('E302', 'W503') AND NOT regexp_matches(code, '^CS[0-9]+$') GROUP BY code"))
+@query("f7_noise", with_views("findings", body="SELECT seq FROM findings WHERE NOT (seq % 5 = 0 OR (seq % 5 = 1 AND seq % 3 = 0))"))
 def f7(spark, d):
-    return findings(spark, d).filter(~F.col("code").isin("E302", "W503") & ~F.col("code").rlike("^CS[0-9]+$")).groupBy("code").agg(F.count("*").alias("n"))
+    code = F.when(F.col("seq") % 5 == 0, "CA1303").when((F.col("seq") % 5 == 1) & (F.col("seq") % 3 == 0), "IDE0051").when(F.col("seq") % 5 == 2, "IDEX").otherwise("CS0246")
+    return findings(spark, d).filter(~rules.noise(code)).select("seq")
+
+
+@query("p14_flake8_types", with_views("findings", body="SELECT code, CASE WHEN code LIKE 'E999%' THEN 'syntax' WHEN code LIKE 'E%' THEN 'compile' WHEN code LIKE 'W%' THEN 'warning' WHEN code LIKE 'F%' THEN CASE WHEN lower(message) LIKE '%undefined%' OR lower(message) LIKE '%name%' THEN 'runtime' WHEN lower(message) LIKE '%import%' THEN 'dependency' ELSE 'lint' END ELSE 'lint' END AS type, count(*) AS n FROM findings GROUP BY 1, 2"))
+def p14(spark, d):
+    return findings(spark, d).groupBy("code", rules.finding_type("flake8", F.col("code"), F.col("message")).alias("type")).agg(F.count("*").alias("n"))
+
+
+@query("p14_rustc_types", with_views("findings", body="+x AS (SELECT message, CASE seq % 5 WHEN 0 THEN 'E0308' WHEN 1 THEN 'E0277' WHEN 2 THEN 'E0433' WHEN 3 THEN 'E0596' ELSE 'E0599' END AS code FROM findings) SELECT CASE code WHEN 'E0308' THEN 'type_mismatch' WHEN 'E0277' THEN 'trait_not_satisfied' WHEN 'E0433' THEN 'dependency' WHEN 'E0596' THEN 'mutability_error' ELSE 'unresolved_method' END AS type, count(*) AS n FROM x GROUP BY 1"))
+def p14r(spark, d):
+    code = F.element_at(F.array(*[F.lit(x) for x in ("E0308", "E0277", "E0433", "E0596", "E0599")]), (F.col("seq") % 5 + 1).cast("int"))
+    return findings(spark, d).groupBy(rules.finding_type("rustc", code, F.col("message")).alias("type")).agg(F.count("*").alias("n"))
+
+
+@query("p14_tsc_types", with_views("findings", body="SELECT CASE seq % 4 WHEN 0 THEN 'syntax' WHEN 1 THEN 'dependency' WHEN 2 THEN 'type' ELSE 'unknown' END AS type, count(*) AS n FROM findings GROUP BY 1"))
+def p14t(spark, d):
+    code = F.element_at(F.array(*[F.lit(x) for x in ("TS1005", "TS2307", "TS2345", "TS9999")]), (F.col("seq") % 4 + 1).cast("int"))
+    return findings(spark, d).groupBy(rules.finding_type("tsc", code, F.col("message")).alias("type")).agg(F.count("*").alias("n"))
+
+
+@query("p14_gcc_types", with_views("findings", body="SELECT CASE seq % 4 WHEN 0 THEN 'syntax' WHEN 1 THEN 'dependency' WHEN 2 THEN 'compile' ELSE 'unknown' END AS type, count(*) AS n FROM findings GROUP BY 1"))
+def p14g(spark, d):
+    message = F.element_at(F.array(*[F.lit(x) for x in ("expected ';' before", "x.h: No such file", "'y' was not declared", "odd")]), (F.col("seq") % 4 + 1).cast("int"))
+    return findings(spark, d).groupBy(rules.finding_type("gcc", rules.synthetic_code(message), message).alias("type")).agg(F.count("*").alias("n"))
 
 
 @query("f8_skip_paths", "SELECT p_partkey, concat('a/', p_brand, '/', CASE p_partkey % 3 WHEN 0 THEN 'venv' WHEN 1 THEN 'src' ELSE 'venv2' END) AS path FROM part WHERE p_partkey % 3 <> 0")
