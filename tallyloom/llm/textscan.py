@@ -115,12 +115,16 @@ def code_points(data: np.ndarray) -> np.ndarray:
 
 def batches(column: pa.Array, limit: int = CHUNK) -> Iterator[tuple[int, int, Texts]]:
     """Row ranges of a string array with their Texts, of limit bytes or one row each; null is empty."""
-    column = pc.fill_null(column, "").cast(pa.large_string())
-    off = np.frombuffer(column.buffers()[1], np.int64)[column.offset : column.offset + len(column) + 1]
-    data = np.frombuffer(column.buffers()[2], np.uint8) if column.buffers()[2] else np.zeros(0, np.uint8)
+    end = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(column), 0), np.int64))
     lo = 0
     while lo < len(column):
-        hi = max(lo + 1, int(np.searchsorted(off, off[lo] + limit, "right")) - 1)
-        yield lo, hi, Texts(data[off[lo] : off[hi]], off[lo : hi + 1] - off[lo])
+        hi = max(lo + 1, int(np.searchsorted(end, (end[lo - 1] if lo else 0) + limit, "right")))
+        part = column.slice(lo, hi - lo)
+        if part.null_count:
+            part = pc.fill_null(part, "")
+        wide = np.int64 if pa.types.is_large_string(part.type) else np.int32
+        off = np.frombuffer(part.buffers()[1], wide)[part.offset : part.offset + len(part) + 1].astype(np.int64)
+        data = np.frombuffer(part.buffers()[2], np.uint8) if part.buffers()[2] else np.zeros(0, np.uint8)
+        yield lo, hi, Texts(data[off[0] : off[-1]], off - off[0])
         lo = hi
     tidy()
