@@ -28,23 +28,24 @@ VOID = frozenset("area base br col embed hr img input link meta source track wbr
 ENDS = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 SCOPE = frozenset("html body table ul ol dl article section div main aside nav footer header form".split())
 MARKS = re.compile(r"(?:^|[\s_-])(?:ads?|advert\w*|banner|sponsor\w*|promo\w*|cookies?|consent|gdpr|notices?|alert|popup|modal|overlay|newsletter|subscri\w*|sidebar|side|widget|menu|nav\w*|breadcrumbs?|toolbar|footer|foot|masthead|topbar|comments?|commentlist|respond|replies|disqus|share|sharing|social|related|recommended|login|signin|signup|search|pagination|pager)(?=$|[\s_-])", re.I)
+REPLIES = re.compile(r"(?:^|[\s_-])(?:comments?|commentlist|respond|replies|disqus)(?=$|[\s_-])", re.I)
 TOKEN = re.compile(r"<!--.*?(?:-->|$)|<[!?][^>]*>?|</([a-zA-Z][^\s/>]*)[^>]*>|<([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
 ATTR = re.compile(r"""(?:^|\s)(class|id|role|hidden|aria-hidden)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""", re.I)
 
 
 class Node:
-    """A block element: its tag, marks, whether it is left out, and its children: nodes and texts in page order."""
+    """A block element: its tag, whether it is left out (1: for its marks, 2: for its kind), and its children: nodes and texts in page order."""
 
     __slots__ = ("tag", "out", "items", "parent")
 
-    def __init__(self, tag: str, out: bool, parent: Node | None):
+    def __init__(self, tag: str, out: int, parent: Node | None):
         self.tag, self.out, self.parent = tag, out, parent
         self.items: list[Node | str] = []
 
 
 def parse(page: str) -> Node:
     """The block tree of a page; inline elements leave their texts and marks in their block."""
-    root = Node("html", False, None)
+    root = Node("html", 0, None)
     node, at, n = root, 0, len(page)
     open_: list[tuple[str, Node]] = []  # every open element with the block that was open before it
 
@@ -96,9 +97,16 @@ def parse(page: str) -> Node:
                     break
         marks = " ".join(a[1] or a[2] or a[3] for a in ATTR.findall(attrs) if a[0].lower() in ("class", "id", "role")) if attrs else ""
         hidden = bool(attrs) and any(a[0].lower() == "hidden" or a[0].lower() == "aria-hidden" and "true" in a for a in ATTR.findall(attrs))
-        out = tag in SKIP or hidden or tag not in ("html", "body", "article", "main") and bool(marks) and bool(MARKS.search(marks))
+        out = 2 if tag in SKIP or hidden or marks and REPLIES.search(marks) else 0
         if tag == "header" and not any(t in ("article", "main") for t, _ in open_):
-            out = True
+            out = 2
+        if not out and tag in ("article", "main"):
+            up = node  # marks like "has-sidebar" on what holds the article say nothing
+            while up is not None:
+                up.out = 0 if up.out == 1 else up.out
+                up = up.parent
+        elif not out and tag not in ("html", "body") and marks and MARKS.search(marks):
+            out = 1
         if tag in VOID or attrs.endswith("/") and tag not in BLOCK:
             continue
         open_.append((tag, node))
@@ -182,7 +190,7 @@ def align(pivot: Slot, page: Slot, memo: dict) -> Iterator[tuple[Slot, Slot]]:
 
 
 def _region(tree: Node, varying: Counter) -> Node:
-    """The article or main element with the most text; without one, the smallest subtree that holds four fifths of the text that is not template."""
+    """The article with the most text, or the main element if that has much more; without either, the smallest subtree that holds four fifths of the text that is not template."""
     marked: list[Node] = []
 
     def find(x: Node) -> None:
@@ -196,8 +204,8 @@ def _region(tree: Node, varying: Counter) -> Node:
     mass = lambda x: sum(len(t) for _, t in blocks(x))
     if marked:
         best = max(marked, key=mass)
-        inner = [x for x in marked if x is not best and mass(x) >= 0.8 * mass(best)]
-        return min([best, *inner], key=mass) if mass(best) else tree
+        article = max((x for x in marked if x.tag == "article"), key=mass, default=best)
+        return (article if mass(article) >= 0.4 * mass(best) else best) if mass(best) else tree
     weight = lambda x: sum(varying.get(id(b), len(t)) for b, t in blocks(x))
     at, total = tree, weight(tree)
     while True:

@@ -219,7 +219,7 @@ def test_articles_of_all_pages(spark):
         assert r.text == "\n\n".join(p for p in parts if p) and r.n_chars == len(r.text)
 
 
-@pytest.mark.parametrize("page,text", [("", ""), ("<p>a<p>b", "a\n\nb"), ("plain &amp text", "plain & text"), ("<article><header><h1>A</h1></header><p>x<aside>ad</aside>y</article><footer>f", "A\n\nx\n\ny"), ("<p>broken <b", "broken <b"), ("<div class=ad>x</div><p>y<br>z&nbsp;w", "y z w"), ("<script>var a='<p>no</p>'</script><main><p>m</main><form><p>f</form>", "m"), ("<article>a<div id='comments'>no</div></article>", "a"), ("<!-- <p>x --><p>y", "y"), ("<p>1 < 2</p>", "1 < 2")])
+@pytest.mark.parametrize("page,text", [("", ""), ("<p>a<p>b", "a\n\nb"), ("plain &amp text", "plain & text"), ("<article><header><h1>A</h1></header><p>x<aside>ad</aside>y</article><footer>f", "A\n\nx\n\ny"), ("<p>broken <b", "broken <b"), ("<div class=ad>x</div><p>y<br>z&nbsp;w", "y z w"), ("<script>var a='<p>no</p>'</script><main><p>m</main><form><p>f</form>", "m"), ("<article>a<div id='comments'>no</div></article>", "a"), ("<!-- <p>x --><p>y", "y"), ("<p>1 < 2</p>", "1 < 2"), ("<div class='page has-sidebar'><article><p>text</p></article></div>", "text"), ("<main><article><p>the long article text</article><section id=comments><article class=comment><p>" + "no " * 50 + "</article></section></main>", "the long article text"), ("<body class='nav-open'><div class=sidebar>x</div><p>y", "y")])
 def test_extract_one_page(page, text):
     assert html_extract.extract_part([page]) == [text]
 
