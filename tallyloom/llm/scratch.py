@@ -34,10 +34,16 @@ def scratch_path(spark: SparkSession, label: str) -> str:
     return f"{scratch_root(spark)}/tallyloom/{label}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
-    """Write df as Parquet below the shared folder and return the table read back (its size is then known to the planner)."""
+def stash(df: DataFrame, label: str, derived: bool = False) -> DataFrame:
+    """Write df as Parquet below the shared folder and return the table read back (its size is then known to the planner).
+
+    derived: df comes out of a shuffle and is small beside the input; it is written by four tasks a core at most,
+    however many partitions the shuffle has, instead of as very many small files.
+    """
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    if derived:
+        df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
     was = spark.conf.get(ARROW_ROWS)
     spark.conf.set(ARROW_ROWS, str(min(int(was), BATCH)) if int(was) > 0 else str(BATCH))
     try:

@@ -16,6 +16,9 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tallyloom.llm.frequent import most_frequent
+from tallyloom.llm.scratch import stash
+
 KINDS = ("assign", "access", "hex", "guess")
 ASSIGN = re.compile(r"""(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]{12,}")
@@ -120,10 +123,11 @@ def spans(text: str, rank: dict[str, int], least: float = LEAST) -> list[tuple[i
 
 
 def common_words(docs: DataFrame, text: str = "text", words: int = WORDS) -> dict[str, int]:
-    """Rank, from 1, of the most frequent lower-case ASCII words of three to LONGEST_WORD letters, counted over all documents."""
+    """Rank, from 1, of the most frequent lower-case ASCII words of three to LONGEST_WORD letters, counted over all documents; ``words`` at most."""
     found = docs.select(F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit("(?<![a-z])([a-z]{3,%d})(?![a-z])" % LONGEST_WORD), 1)).alias("w"))
-    top = found.groupBy("w").count().orderBy(F.desc("count"), "w").limit(words).collect()
-    return {r.w: i for i, r in enumerate(top, 1)}
+    counted = stash(found.groupBy("w").agg(F.count("*").alias("n")), "words", derived=True)
+    top = sorted((-r.n, r.w) for r in most_frequent(counted, "n", words).collect())
+    return {w: i for i, (_, w) in enumerate(top, 1)}
 
 
 def scan(docs: DataFrame, rank: dict[str, int] | None = None, *, doc_id: str = "doc_id", text: str = "text", least: float = LEAST) -> DataFrame:
