@@ -35,3 +35,12 @@ def merge_events(df: DataFrame, project: str) -> DataFrame:
 def export_text(df: DataFrame, path: str) -> None:
     """Rows of one string column as lines."""
     df.write.mode("overwrite").text(path)
+
+
+def run_dump(summary: DataFrame, path: str, title: str) -> str:
+    """Write a run's one-row summary as JSON (overwritten), append it to the log of runs, and return it as Markdown."""
+    summary.write.mode("overwrite").json(f"{path}/run")
+    summary.write.mode("append").json(f"{path}/runs")
+    row = summary.limit(1).collect()
+    values = row[0].asDict() if row else {}
+    return "\n".join([f"# {title}", "", "| Figure | Value |", "|-|-|", *(f"| {k} | {'unknown' if v is None else v} |" for k, v in values.items())])

@@ -137,3 +137,15 @@ def compile_commands(docs: DataFrame, text: str = "value") -> DataFrame:
     """``file, flag`` of a compile database."""
     rows = docs.select(F.explode(F.from_json(text, "array<struct<file: string, command: string>>")).alias("c"))
     return rows.select("c.file", F.explode(F.split("c.command", r"\s+")).alias("flag")).filter("flag LIKE '-%'")
+
+
+def project_tree(files: DataFrame, most: int = 2000) -> DataFrame:
+    """``path, kind, depth`` of files ``file`` and all folders above them, folders first; at most so many (the feature's limit), and whether there are more."""
+    from pyspark.sql import Window as W
+
+    parts = F.split("file", "/")
+    above = F.transform(F.sequence(F.lit(1), F.greatest(F.size(parts) - 1, F.lit(1))), lambda n: F.array_join(F.slice(parts, F.lit(1), n), "/"))
+    folders = files.filter(F.size(parts) > 1).select(F.explode(above).alias("path"), F.lit("folder").alias("kind")).distinct()
+    rows = folders.unionByName(files.select(F.col("file").alias("path"), F.lit("file").alias("kind")).distinct()).withColumn("depth", F.size(F.split("path", "/")) - 1)
+    first = rows.orderBy(F.desc("kind"), "path").limit(most + 1)
+    return first.withColumn("_n", F.row_number().over(W.orderBy(F.desc("kind"), "path"))).withColumn("truncated", F.max("_n").over(W.partitionBy()) > most).filter(F.col("_n") <= most).drop("_n")

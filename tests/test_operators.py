@@ -261,3 +261,25 @@ def test_governor_waits_for_a_move(spark):
     out = control.govern(df, "p", "seq").orderBy("seq").collect()
     assert out[1].accept_threshold == control.GOVERNED["accept_threshold"] < out[2].accept_threshold
     assert out[2].rollback_limit == 2.0
+
+
+def test_run_dump(spark, tmp_path):
+    df = spark.createDataFrame([(3, None)], "accepted int, delta int")
+    text = sinks.run_dump(df, str(tmp_path), "Run")
+    sinks.run_dump(df, str(tmp_path), "Run")
+    assert "| accepted | 3 |" in text and "| delta | unknown |" in text
+    assert spark.read.json(str(tmp_path / "run")).count() == 1 and spark.read.json(str(tmp_path / "runs")).count() == 2
+
+
+def test_read_sources_skips_folders(spark, tmp_path):
+    for name in ("a/x.py", "a/y.txt", "node_modules/z.py"):
+        (tmp_path / name).parent.mkdir(exist_ok=True)
+        (tmp_path / name).write_text("import os\n")
+    rows_ = tools.read_sources(spark, str(tmp_path), (".py", ".js")).collect()
+    assert [r.file.rsplit("/", 2)[1:] for r in rows_] == [["a", "x.py"]] and rows_[0].text.strip() == "import os"
+
+
+def test_project_tree(spark, rows):
+    df = spark.createDataFrame([("a/b/x.py",), ("a/y.py",), ("z.py",)], "file string")
+    rows(tools.project_tree(df).select("path", "kind", "depth", "truncated"), ("a", "folder", 0, False), ("a/b", "folder", 1, False), ("a/b/x.py", "file", 2, False), ("a/y.py", "file", 1, False), ("z.py", "file", 0, False))
+    assert tools.project_tree(df, 2).filter("kind = 'folder' AND truncated").count() == 2
