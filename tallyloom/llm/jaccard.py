@@ -22,6 +22,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from tallyloom.llm.components import components
+from tallyloom.llm.frequent import most_frequent
 from tallyloom.llm.scratch import stash
 from tallyloom.llm.textscan import U, batches, mix
 
@@ -175,9 +176,9 @@ class Join:
         """``id, n_shingles, component`` of every row."""
         every = stash(self.docs.mapInArrow(_signatures(self.words), "id long, n long, s1 long, s2 long"), "signatures")
         sign = ["n", "s1", "s2"]
-        classes = stash(every.filter("n > 0").groupBy(*sign).agg(F.min("id").alias("rep")), "classes")
-        self.prefixes = stash(self._prefixes(every).join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "prefixes")
-        links = self._verify(stash(self._rare().unionByName(self._leaders()).distinct(), "pairs"))
+        classes = stash(every.filter("n > 0").groupBy(*sign).agg(F.min("id").alias("rep")), "classes", derived=True)
+        self.prefixes = stash(self._prefixes(every).join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "prefixes", derived=True)
+        links = self._verify(stash(self._rare().unionByName(self._leaders()).distinct(), "pairs", derived=True))
         label = components(links)
         if more := self._rest(label):
             label = components(links.unionByName(self._verify(more)))
@@ -189,14 +190,8 @@ class Join:
         total = every.agg(F.sum("n")).first()[0] or 0
         bits = max(6, min(40, int(total // GROUP).bit_length()))
         counted = self.docs.select("text").mapInArrow(_counts(self.words, bits), "group long, tokens binary, counts binary")
-        common = stash(counted.groupBy("group").applyInArrow(_common(bits, COMMON), "token long, df long"), "common")
-        bins = sorted(common.groupBy(F.floor(F.log2("df") * 32).alias("bin")).count().collect(), reverse=True)  # 64 * 32 rows at most
-        told, least = 0, 1 << 20
-        for bin_, count in bins:
-            if told + count > TOLD:
-                break
-            told, least = told + count, bin_
-        told = common.filter(F.floor(F.log2("df") * 32) >= least).toArrow()  # TOLD rows at most
+        common = stash(counted.groupBy("group").applyInArrow(_common(bits, COMMON), "token long, df long"), "common", derived=True)
+        told = most_frequent(common, "df", TOLD).toArrow()
         token, df = (told.column(k).to_numpy().astype(np.int64) for k in ("token", "df"))
         order = np.argsort(token)
         shared = self.spark.sparkContext.broadcast((token[order], df[order]))
@@ -224,7 +219,7 @@ class Join:
         """Each document of a common posting with the posting's leader among documents of about its size."""
         size = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(1 + (self.den - self.num) / self.den / 2)))).alias("size")
         rows = self._postings().select("token", "id", "n", "rare", size)
-        lead = stash(rows.groupBy("token", "size").agg(F.min(F.struct("rare", "id", "n")).alias("lead")), "leaders")
+        lead = stash(rows.groupBy("token", "size").agg(F.min(F.struct("rare", "id", "n")).alias("lead")), "leaders", derived=True)
         near = rows.join(lead, ["token", "size"]).filter((F.col("id") != F.col("lead.id")) & _alike(F.col("n"), F.col("lead.n"), self.num, self.den))
         # the leaders of neighbouring sizes meet too
         up = lead.select("token", (F.col("size") + 1).alias("size"), F.col("lead").alias("low"))
@@ -241,8 +236,8 @@ class Join:
         """
         rows = self._postings().join(label.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         groups = rows.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("kinds"))
-        rows = rows.join(groups.filter("kinds > 1"), "token")
-        rows = stash(rows, "unsettled")
+        groups = stash(groups.filter("kinds > 1"), "mixed", derived=True)  # as a table, so that the join's hot keys can be split
+        rows = stash(rows.join(groups, "token"), "unsettled", derived=True)
         if rows.isEmpty():
             return None
         other = rows.filter("component <> main").select("token", F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("rare").alias("rare_x"), F.col("component").alias("c_x"), F.col("extra").alias("extra_x"), F.col("posted").alias("posted_x"), F.col("prefix").alias("prefix_x"))
@@ -251,20 +246,20 @@ class Join:
         once = F.get(F.array_intersect("posted", "posted_x"), F.lit(0)) == F.col("token")
         enough = F.size(F.array_intersect("prefix", "prefix_x")) >= F.least("extra", "extra_x")
         pairs = rows.join(other, "token").filter((F.col("component") != F.col("c_x")) & able & once & enough)
-        return stash(pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct(), "pairs")
+        return stash(pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct(), "pairs", derived=True)
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs that share enough of their prefixes and then of their whole sets, as written links."""
         part = lambda s: self.prefixes.select(F.col("id").alias(s), F.col("extra").alias(f"extra_{s}"), F.concat("light", "heavy").alias(f"prefix_{s}"))
         enough = F.size(F.array_intersect("prefix_a", "prefix_b")) >= F.least("extra_a", "extra_b")
-        pairs = stash(pairs.join(part("a"), "a").join(part("b"), "b").filter(enough).select("a", "b").distinct(), "candidates")
+        pairs = stash(pairs.join(part("a"), "a").join(part("b"), "b").filter(enough).select("a", "b").distinct(), "candidates", derived=True)
         wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        sets = stash(self.docs.join(wanted, "id", "left_semi").mapInArrow(_sets(self.words), "id long, shingles array<bigint>"), "sets")
+        sets = stash(self.docs.join(wanted, "id", "left_semi").mapInArrow(_sets(self.words), "id long, shingles array<bigint>"), "sets", derived=True)
         side = lambda s: sets.select(F.col("id").alias(s), F.col("shingles").alias(f"set_{s}"))
         both = F.size(F.array_intersect("set_a", "set_b"))
         union = F.size("set_a") + F.size("set_b") - both
         joined = pairs.join(side("a"), "a").join(side("b"), "b")
-        return stash(joined.filter(both.cast("long") * self.den >= union.cast("long") * self.num).select("a", "b"), "verified")
+        return stash(joined.filter(both.cast("long") * self.den >= union.cast("long") * self.num).select("a", "b"), "verified", derived=True)
 
 
 def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -286,7 +281,7 @@ def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **o
     name = "_gone"
     while name in docs.columns:
         name += "_"
-    gone = stash(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct(), "near-copies")
+    gone = stash(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct(), "near-copies", derived=True)
     return docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col(name)), "left_anti")
 
 

@@ -40,9 +40,9 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
     key = ["_ld_h1", "_ld_h2"]
     holder = F.struct(~F.col("_ld_null"), F.col("_ld_id"))
     frequent = hashed.select(*key, "_ld_null", "_ld_id").distinct().groupBy(*key).agg(F.count("*").alias("_ld_n"), F.max(holder).alias("_ld_keeper")).filter(F.col("_ld_n") >= min_docs).drop("_ld_n")
-    frequent = stash(frequent, "line-frequent")  # as a table, so that both sides of the join are plain exchanges, whose hot keys Spark splits
+    frequent = stash(frequent, "line-frequent", derived=True)  # as a table, so that both sides of the join are plain exchanges, whose hot keys Spark splits
     dropped = hashed.join(frequent, key).filter(holder != F.col("_ld_keeper")).groupBy(*row).agg(F.array_distinct(F.collect_list("_ld_pos")).alias("_ld_drop"))
-    dropped = stash(dropped, "line-drops")
+    dropped = stash(dropped, "line-drops", derived=True)
     # the same plan at every size: texts move once, however few lines go
     joined = known.join(dropped.hint("merge"), row, "left")
     kept = F.transform(F.array(lines), lambda a: F.array_join(F.transform(F.array_except(F.sequence(F.lit(0), F.size(a) - 1), F.col("_ld_drop")), lambda p: F.get(a, p)), "\n"))

@@ -86,7 +86,7 @@ def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source:
     extra = F.col("taken") - F.col("_epochs") * F.col("size")
     place = F.struct("_key", "doc_id")
     cuts = plan.groupBy(*SOURCE).agg(F.max("_epochs").alias("_epochs"), F.max(F.when(extra > 0, place)).alias("_cut"), F.max_by(extra, F.when(extra > 0, place)).alias("_part"))
-    cuts = stash(cuts, "mix-cuts")
+    cuts = stash(cuts, "mix-cuts", derived=True)
     key = F.struct(_key(doc_id, options.get("seed", SEED)).alias("_key"), F.col(doc_id).alias("doc_id"))
     body = F.col("doc").getField(text)
     words = F.coalesce(F.regexp_count(body, F.lit(WORD)), F.lit(0))
