@@ -1,12 +1,10 @@
 """Queries of decisions and steering, parser-based scanners, further sources and sinks."""
 
-import tempfile
-from uuid import uuid4
-
 from pyspark.sql import functions as F
 
 from tallyloom.operators import code, control, graph, mining
 from tallyloom.plans.adapters import decisions, edges, findings, scans, table, with_views
+from tallyloom.plans.folders import shared_folder
 from tallyloom.plans.registry import query
 from tallyloom.plans.sequences import HEALTH, _health
 from tallyloom.plans.texts import _snippet_sql, snippets
@@ -193,14 +191,9 @@ def s19(spark, d):
     return rows.select(F.explode(F.from_json("value", "verify_accepts array<struct<verdict: string>>")["verify_accepts"]).alias("v")).groupBy(F.col("v.verdict").alias("decision")).agg(F.count("*").alias("n"))
 
 
-def _folder(spark) -> str:
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    return f"{root.rstrip('/')}/sinks/{uuid4().hex}"
-
-
 @query("k1_append_jsonl", with_views("decisions", body="SELECT project, count(*) AS n FROM decisions GROUP BY project"))
 def k1(spark, d):
-    path = _folder(spark)
+    path = shared_folder(spark, "sinks")
     rows = decisions(spark, d).select("project", "seq")
     sinks.append_jsonl(rows.filter("seq % 2 = 0"), path)
     sinks.append_jsonl(rows.filter("seq % 2 = 1"), path)
@@ -209,7 +202,7 @@ def k1(spark, d):
 
 @query("k5_review_queue", with_views("findings", body="SELECT CASE WHEN code = 'F401' THEN 'import' WHEN code = 'E999' THEN 'syntax' WHEN code = 'W503' THEN 'logic' ELSE 'unknown' END AS category, count(*) AS n FROM findings WHERE seq % 4 = 1 GROUP BY 1"))
 def k5(spark, d):
-    path = _folder(spark)
+    path = shared_folder(spark, "sinks")
     rows = findings(spark, d).filter("seq % 4 = 1").select("seq", control.review_category(F.col("code"), F.lit("")).alias("category"))
     sinks.review_queue(rows, path)
     return spark.read.parquet(path).groupBy("category").agg(F.count("*").alias("n"))
@@ -217,7 +210,7 @@ def k5(spark, d):
 
 @query("k7_training_export", with_views("decisions", body="SELECT count(*) AS n FROM decisions WHERE seq % 3 = 0"))
 def k7(spark, d):
-    path = _folder(spark)
+    path = shared_folder(spark, "sinks")
     rows = decisions(spark, d).filter("seq % 3 = 0").select("code", F.lit("python").alias("language"), F.col("reason").alias("message"), F.array(F.lit("x")).alias("after_snippet"))
     sinks.export_text(mining.export_messages(rows), path)
     return spark.read.text(path).filter(F.get_json_object("value", "$.messages[1].role") == "assistant").agg(F.count("*").alias("n"))

@@ -1,13 +1,11 @@
 """Queries of line scanners, tool-output sources, sinks, and of streams and their batch twins."""
 
-import os
-import tempfile
-
 from pyspark.sql import functions as F
 
 from tallyloom.functions.text import split_lines
 from tallyloom.operators import scanners
 from tallyloom.plans.adapters import decisions, doc_lines, findings, table, with_views
+from tallyloom.plans.folders import shared_folder
 from tallyloom.plans.registry import query
 from tallyloom.sources import sinks, tools
 from tallyloom.streaming import events as streaming
@@ -297,8 +295,7 @@ def _drain(spark, d, build, mode):
 
     name = "t" + uuid4().hex
     source = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events*.parquet").parquet(d)
-    root = spark.conf.get("spark.checkpoint.dir", None) or "file://" + tempfile.mkdtemp()
-    q = build(source.withColumn("ts", F.col("ts").cast("timestamp"))).writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", os.path.join(root, name)).trigger(availableNow=True).start()
+    q = build(source.withColumn("ts", F.col("ts").cast("timestamp"))).writeStream.outputMode(mode).format("memory").queryName(name).option("checkpointLocation", shared_folder(spark, "streams")).trigger(availableNow=True).start()
     q.awaitTermination()
     return spark.table(name)
 
