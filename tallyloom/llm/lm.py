@@ -6,8 +6,8 @@ up by a join of key ranges.
 
 Model.  Symbols are the WORDS most frequent words, four kinds of other words (by shape), and the end.  Other
 words have their kind's probability times their add-one share of it, so all texts have a
-probability.  One task trains on a first sample; then replicas train on shares of the training documents, a
-fixed part of the corpus, and their weights are averaged, weighted by tokens, in two steps.
+probability.  One task trains on a first sample, which only sets where replicas begin; then replicas train on shards
+of all training documents, in one epoch, and their weights are averaged, weighted by tokens, in two steps.
 
 Scoring.  Every document is one sequence with its state carried from the first to the last token.
 """
@@ -26,8 +26,8 @@ from tallyloom.llm.scratch import stash
 from tallyloom.llm.textscan import U, batches
 
 HEAD, WORDS, KINDS = 1 << 18, 4096, 4
-#: Share of the training tokens that replicas train on, tokens a replica has about, tokens of the first sample, groups of averaging.
-PART, REPLICA, SEED_TOKENS, GROUPS = 1 / 32, 1 << 17, 1 << 17, 16
+#: Tokens a replica has at least, about; tokens of the first sample; groups of averaging.
+REPLICA, SEED_TOKENS, GROUPS = 1 << 17, 1 << 17, 16
 RANGE_BYTES = 16 << 20
 PUNCT = np.isin(np.arange(256), list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"))
 LN10 = math.log(10)
@@ -283,10 +283,9 @@ def language_scores(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
             model.weights = _average(table.combine_chunks()).column("weights")[0].as_py()
 
     if model.total:
-        share = lambda seed, part: F.pmod(F.xxhash64(F.lit(seed), "doc_id"), F.lit(1 << 20)) < F.lit(int(part * (1 << 20)))
-        learn(learned.filter(share(1, min(1.0, SEED_TOKENS / model.total))), 1, 0.01)
-        part = min(1.0, PART + SEED_TOKENS / model.total)
-        learn(learned.filter(share(2, part)), max(1, int(part * model.total / REPLICA)), 0.005)
+        first = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(1 << 20)) < F.lit(int(min(1.0, SEED_TOKENS / model.total) * (1 << 20)))
+        learn(learned.filter(first), 1, 0.01)
+        learn(learned, max(1, int(model.total / REPLICA)), 0.005)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, range long, keys binary, rows binary"
     scored = stash(docs.mapInArrow(_score(spark.sparkContext.broadcast(model), bits), schema), "lm-scores")

@@ -5,9 +5,13 @@ Symbols are ``words`` frequent words in classes of CLASS, and ``others`` that ar
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 
 CLASS = 64
+#: Rows of a class up to which a training step joins it with other classes.
+FEW = 32
 f32 = np.float32
 
 
@@ -116,8 +120,14 @@ def train(model: Gru, stream: np.ndarray, fresh: np.ndarray, end: int, *, lanes:
     x = np.where(new, end, x)
     n = model.hidden
     h0 = np.zeros((lanes, n), f32)
-    first = {k: np.zeros_like(getattr(model, k)) for k in model.NAMES}
-    second = {k: np.zeros_like(getattr(model, k)) for k in model.NAMES}
+    weights, grad_all = np.concatenate([getattr(model, k).ravel() for k in model.NAMES]), np.zeros(sum(getattr(model, k).size for k in model.NAMES), f32)
+    first, second, held = np.zeros_like(weights), np.zeros_like(weights), np.empty_like(weights)
+    grad, at = {}, 0
+    for k in model.NAMES:  # weights and gradients are views of one array each, so a step is a few passes in place
+        old = getattr(model, k)
+        setattr(model, k, weights[at : at + old.size].reshape(old.shape))
+        grad[k] = grad_all[at : at + old.size].reshape(old.shape)
+        at += old.size
     total, seen, step = 0.0, 0, 0
     for lo in range(0, size, window):
         xs, ys, fs = x[lo : lo + window], y[lo : lo + window], new[lo : lo + window]
@@ -137,7 +147,7 @@ def train(model: Gru, stream: np.ndarray, fresh: np.ndarray, end: int, *, lanes:
         s, target = hs.reshape(-1, n), ys.ravel()
         rows = np.arange(len(target))
         kind = model.kind[target]
-        grad = {k: np.zeros_like(getattr(model, k)) for k in model.NAMES}
+        grad_all.fill(0)
         logits = s @ model.wc + model.bc
         logits -= logits.max(1, keepdims=True)
         p = np.exp(logits)
@@ -145,23 +155,30 @@ def train(model: Gru, stream: np.ndarray, fresh: np.ndarray, end: int, *, lanes:
         total += float(np.log(np.maximum(p[rows, kind], 1e-30)).sum())
         p[rows, kind] -= 1
         p /= lanes
-        grad["wc"], grad["bc"] = s.T @ p, p.sum(0)
+        grad["wc"][:], grad["bc"][:] = s.T @ p, p.sum(0)
         ds = p @ model.wc.T
         order = np.argsort(kind, kind="stable")
         edge = np.searchsorted(kind[order], np.arange(len(model.wo) + 1))
-        for k in range(len(model.wo)):
-            r = order[edge[k] : edge[k + 1]]
-            if len(r):
-                inner = s[r] @ model.wo[k] + model.bo[k]
-                inner -= inner.max(1, keepdims=True)
-                q = np.exp(inner)
-                q /= q.sum(1, keepdims=True)
-                pick = target[r] - k * CLASS
-                total += float(np.log(np.maximum(q[np.arange(len(r)), pick], 1e-30)).sum())
-                q[np.arange(len(r)), pick] -= 1
-                q /= lanes
-                grad["wo"][k], grad["bo"][k] = s[r].T @ q, q.sum(0)
-                ds[r] += q @ model.wo[k].T
+        many = np.diff(edge)
+        few = np.flatnonzero((many > 0) & (many <= FEW))
+        at = edge[few][:, None] + np.arange(FEW)  # classes of few rows side by side; what is beyond a class's rows counts nothing
+        real = np.arange(FEW) < many[few][:, None]
+        groups = [(few, order[np.minimum(at, max(0, len(order) - 1))], real)] if len(few) else []
+        groups += [(np.array([k]), order[edge[k] : edge[k + 1]][None], np.ones((1, many[k]), bool)) for k in np.flatnonzero(many > FEW)]
+        for k, r, real in groups:
+            inputs = s[r]
+            inner = inputs @ model.wo[k]
+            inner += model.bo[k][:, None]
+            inner -= inner.max(2, keepdims=True)
+            q = np.exp(inner, out=inner)
+            q /= q.sum(2, keepdims=True)
+            i, j = np.nonzero(real)
+            pick = target[r[i, j]] - k[i] * CLASS
+            total += float(np.log(np.maximum(q[i, j, pick], 1e-30)).sum())
+            q[i, j, pick] -= 1
+            q *= real[:, :, None] / f32(lanes)
+            grad["wo"][k], grad["bo"][k] = inputs.transpose(0, 2, 1) @ q, q.sum(1)
+            ds[r[i, j]] += (q @ model.wo[k].transpose(0, 2, 1))[i, j]
         ds = ds.reshape(steps, lanes, n)
         dh = np.zeros((lanes, n), f32)
         da = np.empty((steps, lanes, 3 * n), f32)
@@ -178,15 +195,26 @@ def train(model: Gru, stream: np.ndarray, fresh: np.ndarray, end: int, *, lanes:
             grad["u"] += h.T @ dg
             grad["uh"] += rh.T @ dc
             dh = (dh * (1 - z) + drh * r + dg @ model.u.T) * ~fs[t][:, None]
-        np.add.at(grad["x"], xs.ravel(), da.reshape(-1, 3 * n))
-        norm = np.sqrt(sum(float((g * g).sum()) for g in grad.values()))
+        flat = xs.ravel()
+        order = np.argsort(flat, kind="stable")
+        edge = np.flatnonzero(np.concatenate(([True], flat[order[1:]] != flat[order[:-1]])))
+        grad["x"][flat[order[edge]]] = np.add.reduceat(da.reshape(-1, 3 * n)[order], edge)
+        norm = math.sqrt(float(grad_all @ grad_all))
         step += 1
-        for k, g in grad.items():
-            if norm > 5:
-                g = g * f32(5 / norm)
-            first[k] += f32(0.1) * (g - first[k])
-            second[k] += f32(0.01) * (g * g - second[k])
-            move = rate * (first[k] / (1 - 0.9**step)) / (np.sqrt(second[k] / (1 - 0.99**step)) + 1e-6)
-            setattr(model, k, (getattr(model, k) - move).astype(f32))
+        if norm > 5:
+            grad_all *= f32(5 / norm)
+        np.subtract(grad_all, first, out=held)
+        held *= f32(0.1)
+        first += held
+        np.multiply(grad_all, grad_all, out=held)
+        held -= second
+        held *= f32(0.01)
+        second += held
+        np.multiply(second, f32(1 / (1 - 0.99**step)), out=held)
+        np.sqrt(held, out=held)
+        held += f32(1e-6)
+        np.divide(first, held, out=held)
+        held *= f32(rate / (1 - 0.9**step))
+        weights -= held
         seen += len(target)
     return total / max(1, seen)

@@ -281,6 +281,20 @@ def test_base_scores_by_brute_force(request, monkeypatch, which, head):
         assert sum(r.score for r in out) > sum(r.base_score for r in out) + 0.05 * sum(r.n_tokens for r in out)
 
 
+def test_replicas_train_on_all_training_documents(docs, monkeypatch):
+    weights, plain = [], lm._average
+
+    def average(table):
+        out = plain(table)
+        weights.append(out.column("weight")[0].as_py())
+        return out
+
+    monkeypatch.setattr(lm, "SEED_TOKENS", 1000)  # as if the table were large
+    monkeypatch.setattr(lm, "_average", average)
+    total = lm.language_scores(docs).first().train_tokens
+    assert len(weights) == 2 and weights[0] < total / 2 and weights[1] == total
+
+
 def test_scores_of_nothing(none):
     assert lm.language_scores(none).count() == 0
 
