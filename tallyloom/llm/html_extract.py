@@ -3,8 +3,8 @@
 Pages are dealt by host (large hosts in parts).  A task parses up to PART pages of one host into
 block trees, collapses runs of like siblings, and aligns each tree with the part's pivot page by
 simple tree matching.  Aligned nodes whose text is the same on most pages are template; slots whose
-text varies are content.  The wrapper of the part is the content region: the page's article or main element
-if it has one, else the smallest subtree that holds most of the varying text.  What is
+text varies are content.  The content region is the smallest subtree that holds all article and main elements, or
+the whole page if it has none; all of its text that is not template is kept.  What is
 marked as menu, header, footer, sidebar, notice, advert, form, script, style or comments goes.
 """
 
@@ -189,30 +189,27 @@ def align(pivot: Slot, page: Slot, memo: dict) -> Iterator[tuple[Slot, Slot]]:
             yield from align(pivot.kids[i], page.kids[j], memo)
 
 
-def _region(tree: Node, varying: Counter) -> Node:
-    """The article with the most text, or the main element if that has much more; without either, the smallest subtree that holds four fifths of the text that is not template."""
-    marked: list[Node] = []
+def _region(tree: Node) -> Node:
+    """The smallest subtree that holds all article and main elements with text; without any, the whole page."""
+    paths: list[list[Node]] = []
 
-    def find(x: Node) -> None:
+    def find(x: Node, path: list[Node]) -> None:
         for i in x.items:
             if isinstance(i, Node) and not i.out:
-                if i.tag in ("article", "main"):
-                    marked.append(i)
-                find(i)
-
-    find(tree)
-    mass = lambda x: sum(len(t) for _, t in blocks(x))
-    if marked:
-        best = max(marked, key=mass)
-        article = max((x for x in marked if x.tag == "article"), key=mass, default=best)
-        return (article if mass(article) >= 0.4 * mass(best) else best) if mass(best) else tree
-    weight = lambda x: sum(varying.get(id(b), len(t)) for b, t in blocks(x))
-    at, total = tree, weight(tree)
-    while True:
-        heavy = [i for i in at.items if isinstance(i, Node) and not i.out and i.tag != "p" and weight(i) >= 0.8 * total]
-        if not total or not heavy:
-            return at
-        at = heavy[0]
+                if i.tag not in ("article", "main"):
+                    find(i, [*path, i])
+                elif blocks(i):
+                    paths.append([*path, i])
+
+    find(tree, [tree])
+    if not paths:
+        return tree
+    region = tree
+    for level in zip(*paths):
+        if any(x is not level[0] for x in level):
+            break
+        region = level[0]
+    return region
 
 
 def extract_part(pages: list[str]) -> list[str]:
@@ -241,8 +238,7 @@ def extract_part(pages: list[str]) -> list[str]:
         free = sum(len(t) for b, t in here if id(b) not in template)
         if free < 0.5 * sum(len(t) for _, t in here):
             template = set()  # pages that are near copies of each other have no template to tell
-        region = _region(tree, Counter({k: 0 for k in template}))
-        kept = [t for b, t in blocks(region) if id(b) not in template]
+        kept = [t for b, t in blocks(_region(tree)) if id(b) not in template]
         out.append("\n\n".join(kept))
     return out
 

@@ -224,6 +224,11 @@ def test_extract_one_page(page, text):
     assert html_extract.extract_part([page]) == [text]
 
 
+@pytest.mark.parametrize("page,text", [("<div><h1>Head</h1><p>lead</p></div><div><p>" + "long " * 50 + "</p></div><div>close</div>", "Head\n\nlead\n\n" + " ".join(["long"] * 50) + "\n\nclose"), ("<main><h1>Head</h1><p>intro</p><article><p>one one one one</article><article><p>two</article></main>", "Head\n\nintro\n\none one one one\n\ntwo"), ("<div><div>menu</div><section><article>one one one</article><article>two</article></section></div>", "one one one\n\ntwo")])
+def test_text_beside_the_largest_block_is_kept(page, text):
+    assert html_extract.extract_part([page]) == [text]
+
+
 def test_template_is_what_the_pages_of_a_host_share():
     pages = [f"<body><div><b>Home</b> About us</div><div><div><h2>T{i}</h2><p>Alpha {i} text that varies, {i * i} times.</p><p>more {i}</p></div><div>Same words on all pages</div></div></body>" for i in range(8)]
     assert html_extract.extract_part(pages)[3] == "T3\n\nAlpha 3 text that varies, 9 times.\n\nmore 3"
