@@ -1,7 +1,9 @@
 """Word and line arithmetic on the bytes of many texts at once, with numpy.
 
-A batch of texts is one byte array with offsets.  Spans get 64-bit hashes from prefix sums of a
-polynomial over random byte values, so every word, line or word window costs a few array operations.
+A batch of texts is one byte array with offsets.  Spans get 64-bit hashes from prefix sums of two
+polynomials over random byte values, so every word, line or word window costs a few array operations.
+One polynomial is taken modulo 2**64; as that has well-known collisions for any base (Thue-Morse words),
+the other, modulo the prime 2**31 - 1, goes into the hash too.
 """
 
 from __future__ import annotations
@@ -22,6 +24,11 @@ LOWERED = BYTE.copy()
 LOWERED[65:91] = BYTE[97:123]
 WINDOW = _RNG.integers(1, 2**63, 64, dtype=np.uint64) * U(2) + U(1)
 BASE = 0x9E3779B97F4A7C15
+#: The second polynomial: its prime modulus, its base, its byte values, and the factor with which it joins the first.
+PRIME, BASE2, JOIN = 2**31 - 1, 1_103_527_591, U(0xD1342543DE82EF95)
+BYTE2 = _RNG.integers(1, PRIME, 256, dtype=np.uint64)
+LOWERED2 = BYTE2.copy()
+LOWERED2[65:91] = BYTE2[97:123]
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
 try:
@@ -29,6 +36,7 @@ try:
 except OSError:  # not glibc
     _LIBC = None
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_powers2: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 
 
 def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
@@ -41,6 +49,20 @@ def _power(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def _power2(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """BASE2 and its inverse to the powers 0..n-1, modulo PRIME."""
+    if len(_powers2[0]) < n:
+        for k, b in enumerate((BASE2, pow(BASE2, -1, PRIME))):
+            p = np.ones(max(n, 2 * CHUNK), np.uint64)
+            done = 1
+            while done < len(p):
+                more = p[done : 2 * done]
+                more[:] = p[: len(more)] * U(pow(b, done, PRIME)) % U(PRIME)
+                done *= 2
+            _powers2[k] = p
+    return _powers2[0][:n], _powers2[1][:n]
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     h = (h ^ (h >> U(30))) * U(0xBF58476D1CE4E5B9)
     h = (h ^ (h >> U(27))) * U(0x94D049BB133111EB)
@@ -59,6 +81,7 @@ class Texts:
 
     def __init__(self, data: np.ndarray, off: np.ndarray):
         self.data, self.off, self.n = data, off, len(off) - 1
+        self._sums: dict[bool, tuple[np.ndarray, np.ndarray]] = {}
 
     def per_text(self, flags: np.ndarray) -> np.ndarray:
         """Sum of a per-byte array over each text."""
@@ -90,11 +113,31 @@ class Texts:
         end[same] = self.line_start[same + 1] - 1
         self.line_end = end
 
+    def _totals(self, lower: bool) -> tuple[np.ndarray, np.ndarray]:
+        """Prefix sums of both polynomials over the bytes."""
+        if lower not in self._sums:
+            n = len(self.data)
+            total, total2 = np.zeros(n + 1, np.uint64), np.zeros(n + 1, np.uint64)
+            np.cumsum((LOWERED if lower else BYTE)[self.data] * _power(n)[0], out=total[1:])
+            term = (LOWERED2 if lower else BYTE2)[self.data]
+            term *= _power2(n)[0]
+            low = term & U(PRIME)  # nearly reduced: below 2**32
+            term >>= U(31)
+            low += term
+            np.cumsum(low, out=total2[1:])
+            self._sums[lower] = total, total2
+        return self._sums[lower]
+
+    def pairs(self, start: np.ndarray, end: np.ndarray, lower: bool = False) -> tuple[np.ndarray, np.ndarray]:
+        """Both polynomials of each span, as if it stood at the texts' begin."""
+        total, total2 = self._totals(lower)
+        n = len(self.data) + 1
+        return (total[end] - total[start]) * _power(n)[1][start], (total2[end] - total2[start]) % U(PRIME) * _power2(n)[1][start] % U(PRIME)
+
     def hashes(self, start: np.ndarray, end: np.ndarray, lower: bool = False) -> np.ndarray:
-        up, down = _power(len(self.data) + 1)
-        total = np.zeros(len(self.data) + 1, np.uint64)
-        np.cumsum((LOWERED if lower else BYTE)[self.data] * up[: len(self.data)], out=total[1:])
-        return mix((total[end] - total[start]) * down[start])
+        """One hash of both; spans that differ in the second polynomial alone differ for certain."""
+        first, second = self.pairs(start, end, lower)
+        return mix(first + second * JOIN)
 
     def windows(self, words: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
         """Hash and first word of each run of size words within a text, from the hashes of the words."""

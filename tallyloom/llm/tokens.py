@@ -1,7 +1,8 @@
 """Token ids of whole texts from public tokenizer files, and canonical Huffman files of token ids.
 
 Texts are cut into chunks that no token crosses, by array operations on their bytes; each chunk is
-looked up by its hash, and only new chunks go to the tokenizers library.
+looked up by a hash of 64 bits, and only new chunks go to the tokenizers library.  A chunk found must also
+agree in its length and its polynomial over a prime; if one does not, its batch is encoded text by text.
 """
 
 from __future__ import annotations
@@ -16,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from tallyloom.llm.scratch import scratch_path, stash
-from tallyloom.llm.textscan import SPACE, U, Texts, batches
+from tallyloom.llm.textscan import JOIN, SPACE, U, Texts, batches, mix
 
 #: Chunks that a worker remembers at most, and slots of its table.
 ENTRIES, SLOTS = 1 << 21, 1 << 22
@@ -83,7 +84,7 @@ class Encoder:
     def _clear(self) -> None:
         self.slots = np.zeros(SLOTS, np.uint64)  # keys; 0 is free
         self.entry = np.zeros(SLOTS, np.int32)
-        self.at, self.size = np.zeros(ENTRIES, np.int64), np.zeros(ENTRIES, np.int32)
+        self.at, self.size, self.guard = np.zeros(ENTRIES, np.int64), np.zeros(ENTRIES, np.int32), np.zeros(ENTRIES, np.uint64)
         self.pool = np.zeros(1 << 20, self.kind)
         self.entries = self.used = 0
 
@@ -125,7 +126,7 @@ class Encoder:
             todo, slot = todo[on], (slot[on] + 1) & (SLOTS - 1)
         return out
 
-    def _add(self, key: np.ndarray, texts: list[str]) -> np.ndarray:
+    def _add(self, key: np.ndarray, guard: np.ndarray, texts: list[str]) -> np.ndarray:
         """Entries for new distinct keys."""
         n = len(key)
         order, flat, size = self._new(texts)
@@ -135,6 +136,7 @@ class Encoder:
         new[order] = np.arange(self.entries, self.entries + n)
         self.pool[self.used : self.used + len(flat)] = flat
         self.at[new[order]], self.size[new[order]] = self.used + np.cumsum(size) - size, size
+        self.guard[new] = guard
         self.entries, self.used = self.entries + n, self.used + len(flat)
         todo, slot = np.arange(n), (key >> U(42)).astype(np.int64)
         while len(todo):
@@ -149,7 +151,9 @@ class Encoder:
     def encode(self, t: Texts) -> list[np.ndarray]:
         """The ids of each text, of type kind."""
         start, end = chunks(t, self.keeps_space)
-        key = np.maximum(t.hashes(start, end), U(1))
+        first, second = t.pairs(start, end)
+        key = np.maximum(mix(first + second * JOIN), U(1))
+        guard = second << U(32) | np.minimum(end - start, 2**32 - 1).astype(np.uint64)
         entry = self._find(key)
         missing = np.flatnonzero(entry < 0)
         if len(missing):
@@ -159,7 +163,9 @@ class Encoder:
                 return self.encode(t) if len(new) < ENTRIES else self._whole(t)
             raw = t.data.tobytes()
             texts = [raw[a:b].decode() for a, b in zip(start[missing][first].tolist(), end[missing][first].tolist())]
-            entry[missing] = self._add(new, texts)[back]
+            entry[missing] = self._add(new, guard[missing][first], texts)[back]
+        if (self.guard[entry] != guard).any():  # two chunks of the same key
+            return self._whole(t)
         size = self.size[entry].astype(np.int64)
         total = np.concatenate(([0], np.cumsum(size)))
         flat = self.pool[np.repeat(self.at[entry] - total[:-1], size) + np.arange(total[-1])]
