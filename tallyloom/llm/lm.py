@@ -6,8 +6,8 @@ up by a join of key ranges.
 
 Model.  Symbols are the WORDS most frequent words, four kinds of other words (by shape), and the end.  Other
 words have their kind's probability times their add-one share of it, so all texts have a
-probability.  One task trains on a first sample, which only sets where replicas begin; then replicas train on shards
-of all training documents, in one epoch, and their weights are averaged, weighted by tokens, in two steps.
+probability.  A first sample, written as a table, sets where replicas begin; then replicas train on shards
+of all training documents, in one epoch, and their weights are averaged, weighted by tokens, FAN at a time.
 
 Scoring.  Every document is one sequence with its state carried from the first to the last token.
 """
@@ -26,8 +26,8 @@ from tallyloom.llm.scratch import stash
 from tallyloom.llm.textscan import U, batches
 
 HEAD, WORDS, KINDS = 1 << 18, 4096, 4
-#: Tokens a replica has at least, about; tokens of the first sample; groups of averaging.
-REPLICA, SEED_TOKENS, GROUPS = 1 << 17, 1 << 17, 16
+#: Tokens a replica has at least, about; tokens of the first sample, about; replicas that are averaged by one task.
+REPLICA, SEED_TOKENS, FAN = 1 << 17, 1 << 17, 16
 RANGE_BYTES = 16 << 20
 PUNCT = np.isin(np.arange(256), list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"))
 LN10 = math.log(10)
@@ -172,16 +172,30 @@ def _learn(shared, rate: float):
         if size:
             learn()
         if seen + size:
-            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId() % GROUPS], pa.int64()), pa.array([float(seen + size)]), pa.array([gru.pack()], pa.binary())], names=["group", "weight", "weights"])
+            yield pa.RecordBatch.from_arrays([pa.array([TaskContext.get().partitionId()], pa.int64()), pa.array([float(seen + size)]), pa.array([gru.pack()], pa.binary())], names=["replica", "weight", "weights"])
 
     return run
 
 
+AVERAGED = "replica long, weight double, weights binary"
+
+
 def _average(table: pa.Table) -> pa.Table:
+    """One row of some replicas: their weights' mean by tokens, and all their tokens."""
+    table = table.sort_by("replica")  # sums do not depend on the order of rows
     total, weight = 0.0, 0.0
     for w, blob in zip(table.column("weight").to_pylist(), table.column("weights"), strict=True):
         total, weight = total + w * np.frombuffer(blob.as_py(), np.float32).astype(np.float64), weight + w
-    return pa.table({"group": table.column("group")[:1], "weight": pa.array([weight]), "weights": pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())})
+    return pa.table({"replica": pa.array([table.column("replica")[0].as_py() // FAN]), "weight": pa.array([weight]), "weights": pa.array([(total / weight).astype(np.float32).tobytes()], pa.binary())})
+
+
+def average(found: DataFrame, replicas: int) -> bytes | None:
+    """The mean of the weights of replicas ``replica, weight, weights`` numbered below replicas, FAN of them in a task; none without rows."""
+    while replicas > 1:
+        found = stash(found.groupBy(F.expr(f"replica div {FAN}").alias("_part")).applyInArrow(_average, AVERAGED), "averages")
+        replicas = -(-replicas // FAN)
+    rows = found.select("weights").take(1)
+    return bytes(rows[0].weights) if rows else None
 
 
 def _score(shared, bits: int):
@@ -264,7 +278,7 @@ def language_scores(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     size, n_docs = learned.agg(F.sum(F.octet_length("text")), F.count("*")).first()
     bits = max(4, int((size or 0) // RANGE_BYTES).bit_length())
     counted = learned.select("text").mapInArrow(_count(bits), "range long, keys binary, counts binary")
-    vocabulary = stash(counted.groupBy("range").applyInArrow(_merge, "range long, keys binary, counts binary"), "vocabulary", derived=True)
+    vocabulary = stash(counted.groupBy("range").applyInArrow(_merge, "range long, keys binary, counts binary"), "vocabulary")
     bins = vocabulary.select("keys", "counts").mapInArrow(_histogram, "kind long, bin long, types long, tokens long").groupBy("kind", "bin").agg(F.sum("types").alias("types"), F.sum("tokens").alias("tokens")).collect()  # KINDS * 64 * BINS rows at most
     types, tokens, at = np.zeros(KINDS, np.int64), np.zeros(KINDS, np.int64), np.zeros(64 * BINS, np.int64)
     for r in bins:
@@ -277,14 +291,14 @@ def language_scores(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     model = Model(head.column("key").to_numpy().view(np.uint64), head.column("n").to_numpy(), n_docs, types, tokens, words, hidden)
 
     def learn(rows: DataFrame, replicas: int, rate: float) -> None:
-        found = rows.select("text").coalesce(replicas).mapInArrow(_learn(spark.sparkContext.broadcast(model), rate), "group long, weight double, weights binary")
-        table = found.groupBy("group").applyInArrow(_average, "group long, weight double, weights binary").toArrow()  # GROUPS rows at most
-        if table.num_rows:
-            model.weights = _average(table.combine_chunks()).column("weights")[0].as_py()
+        shards = rows.select("text").coalesce(replicas)
+        replicas = shards.rdd.getNumPartitions()
+        found = stash(shards.mapInArrow(_learn(spark.sparkContext.broadcast(model), rate), AVERAGED), "replicas")
+        model.weights = average(found, replicas) or model.weights
 
     if model.total:
         first = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(1 << 20)) < F.lit(int(min(1.0, SEED_TOKENS / model.total) * (1 << 20)))
-        learn(learned.filter(first), 1, 0.01)
+        learn(stash(learned.filter(first), "lm-first"), 1, 0.01)
         learn(learned, max(1, int(model.total / REPLICA)), 0.005)
     kind = docs.schema["doc_id"].dataType.simpleString()
     schema = f"row long, doc_id {kind}, held_out boolean, n_tokens long, n_known long, base double, score double, range long, keys binary, rows binary"

@@ -106,24 +106,28 @@ class Gru:
 def train(model: Gru, stream: np.ndarray, fresh: np.ndarray, end: int, *, lanes: int = 64, window: int = 16, rate: float = 0.01) -> float:
     """Truncated backpropagation through windows of a stream of symbols; state goes on from window to window, and is cleared where fresh.
 
-    The stream is cut into lanes that run side by side.  Returns the mean ln p of the symbols as they were met.
+    The stream is cut into lanes that run side by side; the last ones are filled up with ends that count nothing, so every
+    symbol is learned.  Steps are Adam's; rows of x move when their symbol is met.  Returns the mean ln p of the symbols as they were met.
     """
-    size = len(stream) // lanes
-    if size < 2:
-        lanes, size = 1, len(stream)
+    size = -(-len(stream) // lanes)
     if size < 1:
         return 0.0
-    y = stream[: lanes * size].reshape(lanes, size).T
-    new = fresh[: lanes * size].reshape(lanes, size).T
+    fill = lanes * size - len(stream)
+    y = np.append(stream, np.full(fill, end, stream.dtype)).reshape(lanes, size).T
+    new = np.append(fresh, np.ones(fill, bool)).reshape(lanes, size).T
+    counts = (np.arange(lanes * size) < len(stream)).reshape(lanes, size).T
     x = np.empty_like(y)
     x[1:], x[0] = y[:-1], end
     x = np.where(new, end, x)
     n = model.hidden
     h0 = np.zeros((lanes, n), f32)
-    weights, grad_all = np.concatenate([getattr(model, k).ravel() for k in model.NAMES]), np.zeros(sum(getattr(model, k).size for k in model.NAMES), f32)
+    dense = [k for k in model.NAMES if k != "x"]
+    model.x = model.x.copy()
+    x_first, x_second = np.zeros_like(model.x), np.zeros_like(model.x)
+    weights, grad_all = np.concatenate([getattr(model, k).ravel() for k in dense]), np.zeros(sum(getattr(model, k).size for k in dense), f32)
     first, second, held = np.zeros_like(weights), np.zeros_like(weights), np.empty_like(weights)
     grad, at = {}, 0
-    for k in model.NAMES:  # weights and gradients are views of one array each, so a step is a few passes in place
+    for k in dense:  # weights and gradients are views of one array each, so a step is a few passes in place
         old = getattr(model, k)
         setattr(model, k, weights[at : at + old.size].reshape(old.shape))
         grad[k] = grad_all[at : at + old.size].reshape(old.shape)
@@ -131,6 +135,8 @@ def train(model: Gru, stream: np.ndarray, fresh: np.ndarray, end: int, *, lanes:
     total, seen, step = 0.0, 0, 0
     for lo in range(0, size, window):
         xs, ys, fs = x[lo : lo + window], y[lo : lo + window], new[lo : lo + window]
+        real_rows = counts[lo : lo + window].ravel().astype(f32)
+        share = real_rows[:, None] / f32(lanes)
         steps = len(xs)
         keep, hs = [], np.empty((steps, lanes, n), f32)
         h = h0
@@ -152,9 +158,9 @@ def train(model: Gru, stream: np.ndarray, fresh: np.ndarray, end: int, *, lanes:
         logits -= logits.max(1, keepdims=True)
         p = np.exp(logits)
         p /= p.sum(1, keepdims=True)
-        total += float(np.log(np.maximum(p[rows, kind], 1e-30)).sum())
+        total += float(np.log(np.maximum(p[rows, kind], 1e-30)) @ real_rows)
         p[rows, kind] -= 1
-        p /= lanes
+        p *= share
         grad["wc"][:], grad["bc"][:] = s.T @ p, p.sum(0)
         ds = p @ model.wc.T
         order = np.argsort(kind, kind="stable")
@@ -174,9 +180,9 @@ def train(model: Gru, stream: np.ndarray, fresh: np.ndarray, end: int, *, lanes:
             q /= q.sum(2, keepdims=True)
             i, j = np.nonzero(real)
             pick = target[r[i, j]] - k[i] * CLASS
-            total += float(np.log(np.maximum(q[i, j, pick], 1e-30)).sum())
+            total += float(np.log(np.maximum(q[i, j, pick], 1e-30)) @ real_rows[r[i, j]])
             q[i, j, pick] -= 1
-            q *= real[:, :, None] / f32(lanes)
+            q *= np.where(real[:, :, None], share[r], f32(0))
             grad["wo"][k], grad["bo"][k] = inputs.transpose(0, 2, 1) @ q, q.sum(1)
             ds[r[i, j]] += (q @ model.wo[k].transpose(0, 2, 1))[i, j]
         ds = ds.reshape(steps, lanes, n)
@@ -198,11 +204,14 @@ def train(model: Gru, stream: np.ndarray, fresh: np.ndarray, end: int, *, lanes:
         flat = xs.ravel()
         order = np.argsort(flat, kind="stable")
         edge = np.flatnonzero(np.concatenate(([True], flat[order[1:]] != flat[order[:-1]])))
-        grad["x"][flat[order[edge]]] = np.add.reduceat(da.reshape(-1, 3 * n)[order], edge)
-        norm = math.sqrt(float(grad_all @ grad_all))
+        met = flat[order[edge]]
+        grad_x = np.add.reduceat(da.reshape(-1, 3 * n)[order], edge)
+        norm = math.sqrt(float(grad_all @ grad_all) + float(grad_x.ravel() @ grad_x.ravel()))
         step += 1
         if norm > 5:
             grad_all *= f32(5 / norm)
+            grad_x *= f32(5 / norm)
+        even, slow = f32(1 / (1 - 0.99**step)), f32(rate / (1 - 0.9**step))
         np.subtract(grad_all, first, out=held)
         held *= f32(0.1)
         first += held
@@ -210,11 +219,16 @@ def train(model: Gru, stream: np.ndarray, fresh: np.ndarray, end: int, *, lanes:
         held -= second
         held *= f32(0.01)
         second += held
-        np.multiply(second, f32(1 / (1 - 0.99**step)), out=held)
+        np.multiply(second, even, out=held)
         np.sqrt(held, out=held)
         held += f32(1e-6)
         np.divide(first, held, out=held)
-        held *= f32(rate / (1 - 0.9**step))
+        held *= slow
         weights -= held
-        seen += len(target)
+        old, old2 = x_first[met], x_second[met]
+        old += f32(0.1) * (grad_x - old)
+        old2 += f32(0.01) * (grad_x * grad_x - old2)
+        x_first[met], x_second[met] = old, old2
+        model.x[met] -= slow * old / (np.sqrt(old2 * even) + f32(1e-6))
+        seen += int(real_rows.sum())
     return total / max(1, seen)
