@@ -7,7 +7,7 @@ over the whole source then says which documents lie before the source's budget,
 budget cuts the last of them.  Budgets over the source's size repeat whole epochs first.
 
 Nothing is collected: per-range sums are at most 4096 rows a source, and the only unpartitioned
-window runs over one row per source.
+window runs over one row per source, so sources should be few beside documents (names, not URLs).
 """
 
 from __future__ import annotations
@@ -26,6 +26,11 @@ def _source_keys(source: str) -> list[Column]:
     return [F.col(source).isNull().alias(SOURCE[0]), F.coalesce(F.col(source).cast("string"), F.lit("")).alias(SOURCE[1])]
 
 
+def _place(doc_id: str, text: str, seed: int) -> list[Column]:
+    """What documents of a source are sorted by; rows that agree in all of it have the same id and text."""
+    return [_key(doc_id, seed).alias("_key"), F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("_text")]
+
+
 def _key(doc_id: str, seed: int) -> Column:
     """32 hexadecimal digits; SQL engines agree on them."""
     return F.md5(F.concat_ws(":", F.lit(str(seed)), F.col(doc_id).cast("string")))
@@ -51,14 +56,15 @@ def source_targets(sizes: DataFrame, weights=(5, 2, 1), max_epochs: int = 3, sha
 
 
 def mix_plan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", weights=(5, 2, 1), max_epochs: int = 3, share: float = 1.0, seed: int = SEED) -> DataFrame:
-    """One row per document: ``doc_id, source, _snull, _sval, _key, size, source_size, target, budget, taken``.
+    """One row per row of docs: ``doc_id, source, _snull, _sval, _key, _text, size, source_size, target, budget, taken``.
 
-    A null text has no words; a null source is a source of its own; repeated rows count each for
-    themselves; an empty table gives an empty plan.  ``taken`` are the words that the mix takes of the
+    A null text has no words; a null source is a source of its own; a null doc_id is an id like others; repeated rows count each for
+    themselves: those of one doc_id stand in the order of their texts' hashes, and equal ones are
+    interchangeable; an empty table gives an empty plan.  ``taken`` are the words that the mix takes of the
     document: whole epochs, then the document as far as the source's budget (the target without
     its fraction) reaches.  Other columns of docs are not read.
     """
-    sized = stash(docs.select(F.col(doc_id).alias("doc_id"), F.col(source).alias("source"), *_source_keys(source), _key(doc_id, seed).alias("_key"), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "mix-sizes")
+    sized = stash(docs.select(*_place(doc_id, text, seed), F.col(source).alias("source"), *_source_keys(source), F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long").alias("size")), "mix-sizes")
     sized = sized.withColumn("_range", F.conv(F.substring("_key", 1, 3), 16, 10).cast("int"))
     ranges = sized.groupBy(*SOURCE, "_range").agg(F.sum("size").alias("_sum")).withColumn("_top", F.shiftright("_range", 6))
     tops = ranges.groupBy(*SOURCE, "_top").agg(F.sum("_sum").alias("_top_sum"))
@@ -66,37 +72,46 @@ def mix_plan(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", sou
     earlier = lambda col, part, order: F.coalesce(F.sum(col).over(W.partitionBy(*part).orderBy(order).rowsBetween(W.unboundedPreceding, -1)), F.lit(0))
     tops = tops.withColumn("_before_top", earlier("_top_sum", SOURCE, "_top")).drop("_top_sum").join(targets, [*SOURCE])
     ranges = ranges.withColumn("_before", earlier("_sum", (*SOURCE, "_top"), "_range")).join(tops, [*SOURCE, "_top"]).drop("_sum", "_top")
-    running = F.sum("size").over(W.partitionBy(*SOURCE, "_range").orderBy("_key", "doc_id").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
+    running = F.sum("size").over(W.partitionBy(*SOURCE, "_range").orderBy("_key", "doc_id", "_text").rowsBetween(W.unboundedPreceding, 0)) - F.col("size")
     rows = sized.withColumn("_inside", running).join(ranges, [*SOURCE, "_range"])
     budget = F.floor("target")
     epochs = F.when(F.col("source_size") > 0, F.expr("budget div source_size")).otherwise(F.lit(0))
     rows = rows.withColumn("budget", budget).withColumn("_epochs", epochs)
     left = F.col("budget") - F.col("_epochs") * F.col("source_size") - F.col("_before_top") - F.col("_before") - F.col("_inside")
-    return rows.withColumn("taken", F.col("_epochs") * F.col("size") + F.greatest(F.lit(0), F.least(F.col("size"), left)).cast("long"))
+    rows = rows.withColumn("_left", left.cast("long"))
+    return rows.withColumn("taken", F.col("_epochs") * F.col("size") + F.greatest(F.lit(0), F.least("size", "_left")).cast("long"))
 
 
 def mix(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", source: str = "source", **options) -> DataFrame:
     """The mixed documents: each as often as the mix takes it, the last of a source cut at the budget; columns as before, and n_chars, if there, of the new text.
 
     Only each source's place of the cut (one row per source) is joined back, so texts are not shuffled:
-    documents with a key below it are taken once more than the whole epochs.  A document cut by the
-    budget keeps its first words with the white space before them.
+    documents before it are taken once more than the whole epochs.  A document cut by the budget keeps
+    its first words with the white space before them.  Rows that stand at the cut together (repeated rows, whose ids and
+    texts are equal) are numbered, and take the budget that is left one after the other; only these are shuffled.
+    Null and empty texts have no words and go with whole epochs or with a place before the cut; a null source
+    or doc_id is one like others; an empty table gives an empty result; columns of any name stay as they are.
     """
     plan = mix_plan(docs, doc_id=doc_id, text=text, source=source, **options)
-    extra = F.col("taken") - F.col("_epochs") * F.col("size")
-    place = F.struct("_key", "doc_id")
-    cuts = plan.groupBy(*SOURCE).agg(F.max("_epochs").alias("_epochs"), F.max(F.when(extra > 0, place)).alias("_cut"), F.max_by(extra, F.when(extra > 0, place)).alias("_part"))
-    cuts = stash(cuts, "mix-cuts", derived=True)
-    key = F.struct(_key(doc_id, options.get("seed", SEED)).alias("_key"), F.col(doc_id).alias("doc_id"))
+    place = ["_key", "doc_id", "_text"]
+    # the first of the rows at the cut has most of the budget left
+    cut = F.max(F.when((F.col("_left") > 0) & (F.col("size") > 0), F.struct(*place, "_left"))).alias("_cut")
+    cuts = plan.groupBy(*SOURCE).agg(F.max("_epochs").alias("_epochs"), cut)
+    cuts = stash(cuts.select(*SOURCE, "_epochs", F.struct(*[F.col("_cut").getField(c).alias(c) for c in place]).alias("_cut"), F.col("_cut._left").alias("_left")), "mix-cuts")
     body = F.col("doc").getField(text)
-    words = F.coalesce(F.regexp_count(body, F.lit(WORD)), F.lit(0))
     # the document's own columns travel as one, so that no name can clash
-    at = docs.select(F.struct(*docs.columns).alias("doc"), *_source_keys(source), key.alias("_at")).join(cuts, [*SOURCE])
-    times = F.col("_epochs") + F.when(F.col("_at") <= F.col("_cut"), 1).otherwise(0)
-    at = at.withColumn("_times", times.cast("int")).filter("_times > 0").withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_times"))))
-    cut = (F.col("_at") == F.col("_cut")) & (F.col("_turn") == F.col("_times")) & (F.col("_part") < words)
+    at = docs.select(F.struct(*docs.columns).alias("doc"), *_source_keys(source), F.struct(*_place(doc_id, text, options.get("seed", SEED))).alias("_at")).join(cuts, [*SOURCE])
+    here = F.col("_left").isNotNull() & F.col("_at").eqNullSafe(F.col("_cut"))
+    n_words = F.coalesce(F.regexp_count(body, F.lit(WORD)), F.lit(0)).cast("long")
+    before = at.filter(~here).withColumn("_times", F.col("_epochs").cast("long") + F.when(F.col("_left").isNotNull() & (F.col("_at") < F.col("_cut")), 1).otherwise(0)).withColumn("_part", F.lit(None).cast("long"))
+    turn = F.row_number().over(W.partitionBy(*SOURCE).orderBy(F.to_json("doc"))) - 1
+    tied = at.filter(here).withColumn("_part", F.greatest(F.lit(0), F.least(n_words, F.col("_left") - turn * n_words)))
+    tied = tied.withColumn("_times", F.col("_epochs").cast("long") + F.when(F.col("_part") > 0, 1).otherwise(0)).withColumn("_part", F.when(F.col("_part") > 0, F.col("_part")))
+    own = ["doc", "_times", "_part"]
+    at = before.select(*own).unionByName(tied.select(*own)).filter("_times > 0").withColumn("_turn", F.explode(F.sequence(F.lit(1), F.col("_times").cast("int"))))
+    partly = F.coalesce((F.col("_turn") == F.col("_times")) & (F.col("_part") < n_words), F.lit(False))
     head = F.array_join(F.slice(F.split(body, r"(?<=[^\x20\x09-\x0D])(?=[\x20\x09-\x0D])"), F.lit(1), F.col("_part").cast("int")), "")
-    at = at.withColumn("doc", F.col("doc").withField(text, F.when(cut, head).otherwise(body)))
+    at = at.withColumn("doc", F.col("doc").withField(text, F.when(partly, head).otherwise(body)))
     if "n_chars" in docs.columns:
         at = at.withColumn("doc", F.col("doc").withField("n_chars", F.coalesce(F.char_length(body), F.lit(0)).cast("long")))
     return at.select("doc.*")
