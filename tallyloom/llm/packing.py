@@ -1,7 +1,7 @@
 """Packing token sequences into windows by Karmarkar-Karp multiway differencing.
 
-Every document is cut into whole windows, which need no partner, and a rest, which is cut into
-pieces of PIECE ids at most.  The pieces are dealt to batches by hash.  In a batch, each piece
+Every document is cut into whole windows, which need no partner and are numbered where they are cut, and a rest, which is cut into
+pieces of PIECE ids at most.  These pieces are dealt to batches by hash.  In a batch, each piece
 begins as a partition of its own into k windows, all but one of them empty; the two partitions with
 the largest spread between their fullest and emptiest window are merged again and again, fullest
 with emptiest.  If a window of the last partition exceeds the capacity, k rises and the batch is packed anew.
@@ -20,7 +20,7 @@ from tallyloom.llm.scratch import stash
 from tallyloom.llm.tokens import crc, default_path, encode_batches, encoder
 
 #: Ids a window holds, ids a piece of a rest has at most, windows of a batch (about).
-CAPACITY, PIECE, WINDOWS = 2048, 256, 512
+CAPACITY, PIECE, WINDOWS = 2048, 512, 512
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -85,16 +85,21 @@ def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", tokeniz
     """One row per piece: ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset`` (and ``ids`` if asked for).
 
     Each row of docs is a document, so repeated rows are packed each; null text: empty, its end id only; a null
-    doc_id stays null; an empty table gives an empty result; other columns are not read.  Only pieces are shuffled,
-    texts are not.  Batches hold about ``windows`` windows whatever the corpus's size.
+    doc_id stays null; an empty table gives an empty result; other columns are not read.  Only the pieces of rests are shuffled,
+    texts and whole windows are not, so a text of any length adds one group member per ``piece`` ids of its rest at most.
+    Batches hold about ``windows`` windows whatever the corpus's size.  Pieces that tie in size are told apart by doc_id, start and contents.
     """
     at = tokenizer_path or default_path(tokenizer)
     kind = docs.schema[doc_id].dataType.simpleString()
     schema = f"doc_id {kind}, {PIECES}" + ", ids array<int>" * with_ids
 
     def cut(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
+
+        # the windows of this task have numbers of their own, beyond all batches
+        number = 1 << 62 | TaskContext.get().partitionId() << 33
         for part, encoded in encode_batches(parts, encoder(at, True), "text"):
-            row, start, length, crcs, total, ids = [], [], [], [], [], []
+            row, start, length, crcs, total, ids, alone = [], [], [], [], [], [], []
             for i, x in enumerate(encoded):
                 x = np.append(x.astype(np.uint32), np.uint32(end_id))
                 whole = len(x) // capacity * capacity
@@ -105,14 +110,17 @@ def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", tokeniz
                     length.append(hi - lo)
                     crcs.append(crc(x[lo:hi]))
                     total.append(len(x))
+                    alone.append(number if hi - lo == capacity else None)
+                    number += hi - lo == capacity
                     if with_ids:
                         ids.append(x[lo:hi].astype(np.int32))
             columns = [part.column("doc_id").take(pa.array(row, pa.int64())), *[pa.array(c, pa.int64()) for c in (start, length, crcs, total)]]
             names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens"]
-            yield pa.RecordBatch.from_arrays(columns + [pa.array(ids, pa.list_(pa.int32()))] * with_ids, names=names + ["ids"] * with_ids)
+            yield pa.RecordBatch.from_arrays([*columns, *[pa.array(ids, pa.list_(pa.int32()))] * with_ids, pa.array(alone, pa.int64())], names=[*names, *["ids"] * with_ids, "sequence_id"])
 
-    pieces = stash(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, schema), "pieces")
-    rests = pieces.agg(F.sum(F.when(F.col("length") < capacity, F.col("length")))).first()[0] or 0
+    pieces = stash(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, f"{schema}, sequence_id long"), "pieces")
+    rest = pieces.filter("sequence_id IS NULL").drop("sequence_id")
+    rests = rest.agg(F.sum("length")).first()[0] or 0
     batches = max(1, -(-rests // (capacity * windows)))
     key = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "length"), F.lit(batches))
 
@@ -120,11 +128,7 @@ def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", tokeniz
         table = table.sort_by([(c, "ascending") for c in ("doc_id", "start", "ids_crc32", "doc_tokens")])
         size = table.column("length").to_numpy()
         batch = table.column("_batch").to_numpy()
-        window = np.zeros(len(size), np.int64)
-        part = np.flatnonzero(size < capacity)
-        window[part] = pack_sizes(size[part], capacity)
-        full = np.flatnonzero(size == capacity)
-        window[full] = (window[part].max() + 1 if len(part) else 0) + np.arange(len(full))
+        window = pack_sizes(size, capacity)
         order = np.argsort(window, kind="stable")
         total = np.cumsum(size[order]) - size[order]
         first = np.concatenate(([True], window[order][1:] != window[order][:-1]))
@@ -132,7 +136,8 @@ def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", tokeniz
         offset[order] = total - np.maximum.accumulate(np.where(first, total, 0))
         return table.drop(["_batch"]).append_column("sequence_id", pa.array((batch.astype(np.int64) << 32) | window)).append_column("offset", pa.array(offset))
 
-    return pieces.withColumn("_batch", key).groupBy("_batch").applyInArrow(fill, f"{schema}, sequence_id long, offset long")
+    packed = rest.withColumn("_batch", key).groupBy("_batch").applyInArrow(fill, f"{schema}, sequence_id long, offset long")
+    return packed.unionByName(pieces.filter("sequence_id IS NOT NULL").withColumn("offset", F.lit(0).cast("long")))
 
 
 def sequences(packed: DataFrame, pad_id: int = 0, capacity: int = CAPACITY) -> DataFrame:
