@@ -20,7 +20,7 @@ SYMBOL = np.zeros(256, bool)
 SYMBOL[list(b"#*$%&|<>")] = True
 FEATURES = ("word_chars", "symbols", "dup_lines", "repeats")
 STATS = "n_words long, word_chars long, n_symbols long, n_dup_lines long, n_repeat_words long, features array<double>"
-#: The forest's sample and the labelled rows for its threshold are at most so many documents.
+#: The forest's points and the labelled documents for its threshold are at most so many.
 TREES, POINTS, DEPTH, LABELLED = 128, 256, 12, 20000
 
 
@@ -139,36 +139,36 @@ def failed_rules() -> Column:
 
 
 def _lowest(df: DataFrame, key: Column, most: int, *ties: str) -> DataFrame:
-    """The ``most`` rows with the lowest hashes; rows far above are not even sorted, so tasks send few."""
-    rows = df.count()
-    part = F.shiftrightunsigned(key, 40)  # 24 bits
-    if rows > 2 * most:
-        df = df.filter(part < int((1 << 24) * min(1.0, 1.5 * most / rows)))
-    return df.orderBy(part, key, *ties).limit(most)
+    """The ``most`` rows with the lowest hashes, or all; rows beyond the part of the hashes (1 / 4096 each) that has enough are not sorted, so tasks send few."""
+    part = F.shiftrightunsigned(key, 52)
+    held, last = 0, -1
+    for row in sorted(df.groupBy(part.alias("part")).agg(F.count("*").alias("n")).collect()):  # 4096 rows at most
+        held, last = held + row.n, row.part
+        if held >= most:
+            break
+    return df.filter(part <= last).orderBy(F.shiftrightunsigned(key, 1), key, *ties).limit(most)
 
 
 def fit(stats: DataFrame, labels: DataFrame | None, doc_id: str = "doc_id", seed: int = 11) -> tuple[Forest | None, float]:
     """The forest and its threshold, over documents that pass the rules.
 
-    The box comes from TREES * POINTS documents at most, the points from the good ones among LABELLED labelled
-    documents at most (``doc_id, quality``), the threshold from all of those; each sample has the lowest
-    hashes.  Without labelled good documents the points are those of the box, and nothing is rejected.
+    The box (0.1 % and 99.9 % of each statistic) comes from all of them in one aggregation, the points from the good ones
+    among LABELLED labelled documents at most (``doc_id, quality``), which have the lowest hashes, the threshold from all of those.
+    An id that is labelled more than once has its lowest label; of rows that repeat a labelled id, the one with the lowest
+    statistics counts.  Without labelled good documents nothing is rejected, and there is no forest.
     """
     passing = stats.filter(~failed_rules())
-    sample = _lowest(passing, F.xxhash64(F.lit(seed), F.col(doc_id)), TREES * POINTS, doc_id).select("features").collect()
-    if not sample:
+    if labels is None:
         return None, float("inf")
-    x = np.array([r.features for r in sample])
-    box = (np.quantile(x, 0.001, axis=0), np.quantile(x, 0.999, axis=0))
-    rows = []
-    if labels is not None:
-        known = labels.select(F.col(doc_id).alias("_id"), "quality").filter("quality IS NOT NULL AND _id IS NOT NULL")
-        known = _lowest(known, F.xxhash64(F.lit(seed), F.col("_id")), LABELLED, "_id", "quality")
-        rows = passing.join(F.broadcast(known), F.col(doc_id) == F.col("_id")).select("_id", "features", "quality").collect()
-        rows.sort(key=lambda r: (r._id, r.quality, r.features))  # the order of rows must not decide on the points
+    known = labels.select(F.col(doc_id).alias("_id"), "quality").filter("quality IS NOT NULL AND _id IS NOT NULL").groupBy("_id").agg(F.min("quality").alias("quality"))
+    known = _lowest(known, F.xxhash64(F.lit(seed), F.col("_id")), LABELLED, "_id")
+    found = passing.join(F.broadcast(known), F.col(doc_id) == F.col("_id")).groupBy("_id").agg(F.min(F.struct("features", "quality")).alias("at"))
+    rows = sorted(found.select("_id", "at.*").collect(), key=lambda r: r._id)  # LABELLED rows at most; the order of rows must not decide on the points
     good = np.array([r.quality == 1 for r in rows], bool)
     if not good.any():
-        return Forest(x, box, seed), float("inf")
+        return None, float("inf")
+    ends = passing.agg(*[F.percentile_approx(F.col("features")[i], F.array(F.lit(0.001), F.lit(0.999)), F.lit(20000)) for i in range(len(FEATURES))]).first()
+    box = tuple(np.array([e[k] for e in ends]) for k in (0, 1))
     y = np.array([r.features for r in rows])
     forest = Forest(y[good], box, seed)
     return forest, threshold(forest.score(y), good)
@@ -198,7 +198,8 @@ def text_stats(docs: DataFrame, doc_id: str = "doc_id", text: str = "text") -> D
 def quality(docs: DataFrame, labels: DataFrame | None = None, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: the rules' statistics, ``base_failed``, the forest's ``score``, and ``kept``.
 
-    Without labels, or labels of one class only, the forest rejects nothing.  Null texts fail the rules;
+    Without labels, or labels of one class only, the forest rejects nothing.  Null and empty texts fail the rules; long texts are
+    read to their end; documents of equal statistics have equal scores, and a score at the limit is kept;
     null ids and repeated rows are judged like others; an empty table gives an empty result.
     """
     stats = stash(text_stats(docs, doc_id, text), "quality-stats")
@@ -206,7 +207,11 @@ def quality(docs: DataFrame, labels: DataFrame | None = None, *, doc_id: str = "
 
 
 def keep_good(docs: DataFrame, labels: DataFrame | None, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """The rows of docs that the rules and the forest keep.  Texts are scanned twice (to fit, to judge) and not shuffled."""
+    """The rows of docs that the rules and the forest keep, with their columns, whatever their names.
+
+    Texts are scanned twice (to fit, to judge) and not shuffled.  Null and empty texts go, as they have no words; rows with
+    null ids and repeated rows are judged each; an empty table gives an empty result.
+    """
     model, limit = fit(stash(text_stats(docs, doc_id, text), "quality-stats"), labels, doc_id)
     share = docs.sparkSession.sparkContext.broadcast(model)
 
