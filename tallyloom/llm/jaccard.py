@@ -1,8 +1,9 @@
 """Exact Jaccard join of documents on word shingles with adaptive multi-match prefixes.
 
 * Documents with equal shingle sets form one class; the join runs on classes.
-* Shingles have one global order: those in few documents by hash, then the common ones by
-  document frequency.  Any order is exact; frequencies, counted over all documents, make it sharp.
+* Shingles have one global order: those in few documents by hash, then the common ones: by hash if only
+  a Bloom filter tells of them, and the most frequent by document frequency.  Any order is exact;
+  frequencies, counted over all documents, make it sharp.  No common shingle passes for a rare one.
 * A document that may miss m shingles of a partner shares at least l of its first m + l shingles with
   it.  Each document picks the l with the least estimated cost: postings scanned, and candidates left
   for verification.  A pair must share the lesser l of its two prefixes before it is verified.
@@ -26,8 +27,10 @@ from tallyloom.llm.frequent import most_frequent
 from tallyloom.llm.scratch import stash
 from tallyloom.llm.textscan import U, batches, mix
 
-#: A shingle in so many documents is common; at most so many common shingles (the most frequent) are told to all tasks.
-COMMON, TOLD = 32, 1 << 20
+#: A shingle in so many documents is common; at most so many common shingles (the most frequent) are told to all tasks by name, all others by a
+#: Bloom filter of so many bits at most (a fuller filter only calls more rare shingles common).
+COMMON, TOLD, BLOOM = 32, 1 << 20, 1 << 28
+PROBES = (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0xD6E8FEB86659FD93)
 #: Tokens per group when frequencies are counted; the longest extension of a prefix; cost of verifying a pair in postings scanned.
 GROUP, LONGEST, VERIFY = 1 << 20, 16, 16
 FIRST = -(2**63)
@@ -125,21 +128,55 @@ def choose(weights: np.ndarray, miss: int) -> int:
     return int(np.argmin(scanned * (1 + VERIFY / np.arange(1, most + 1)))) + 1
 
 
+def _positions(token: np.ndarray, bits: int) -> list[np.ndarray]:
+    """Places of 50-bit tokens in a filter of 2**bits bits."""
+    return [(mix(token.astype(np.uint64) * U(k)) >> U(64 - bits)).astype(np.int64) for k in PROBES]
+
+
+def bloom(tokens: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter of 2**bits bits (six at least) of the column token, as 64-bit words.
+
+    Tasks give the words in which they set bits, which are joined by bitwise or; the driver gets one row per word at most.
+    """
+
+    def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for part in parts:
+            at = np.unique(np.concatenate(_positions(part.column("token").to_numpy(), bits)))
+            word, first = np.unique(at >> 6, return_index=True)
+            value = np.bitwise_or.reduceat(U(1) << (at & 63).astype(np.uint64), first) if len(at) else np.zeros(0, np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(word, pa.int64()), pa.array(value.view(np.int64))], names=["word", "bits"])
+
+    out = np.zeros(1 << (bits - 6), np.uint64)
+    found = tokens.select("token").mapInArrow(run, "word long, bits long").groupBy("word").agg(F.bit_or("bits").alias("bits")).toArrow()
+    out[found.column("word").to_numpy()] = found.column("bits").to_numpy().view(np.uint64)
+    return out
+
+
+def _held(words: np.ndarray, token: np.ndarray) -> np.ndarray:
+    """Whether a filter may hold the tokens; it holds all that it was made of."""
+    out = np.ones(len(token), bool)
+    for at in _positions(token, len(words).bit_length() + 5):
+        out &= (words[at >> 6] >> (at & 63).astype(np.uint64) & U(1)).astype(bool)
+    return out
+
+
 def _prefixes(words: int, num: int, den: int, told):
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        token, df = told.value
+        token, df, others = told.value
         for part in parts:
             for lo, hi, t in batches(part.column("text")):
                 rows: dict[str, list] = {k: [] for k in ("n", "extra", "rare", "light", "heavy")}
                 for s in shingle_sets(t, words):
-                    n = len(s)
-                    at = np.minimum(np.searchsorted(token, (s >> U(14)).astype(np.int64)), max(0, len(token) - 1))
-                    heavy = token[at] == (s >> U(14)).astype(np.int64) if len(token) else np.zeros(n, bool)
+                    n, name = len(s), (s >> U(14)).astype(np.int64)
+                    at = np.minimum(np.searchsorted(token, name), max(0, len(token) - 1))
+                    known = token[at] == name if len(token) else np.zeros(n, bool)
+                    count = np.where(known, df[at], 2 * COMMON) if len(token) else np.full(n, 2 * COMMON)
+                    heavy = known if others is None else known | _held(others, name)
                     often = np.flatnonzero(heavy)
-                    often = often[np.lexsort((s[often], df[at[often]]))]
+                    often = often[np.lexsort((s[often], count[often], known[often]))]
                     light = s[~heavy]
                     miss = n - -(-num * n // den)
-                    extra = choose(np.concatenate((np.full(len(light), 2), df[at[often]])), miss) if n else 0
+                    extra = choose(np.concatenate((np.full(len(light), 2), count[often])), miss) if n else 0
                     length = miss + extra if n else 0
                     rows["n"].append(n)
                     rows["extra"].append(extra)
@@ -176,9 +213,9 @@ class Join:
         """``id, n_shingles, component`` of every row."""
         every = stash(self.docs.mapInArrow(_signatures(self.words), "id long, n long, s1 long, s2 long"), "signatures")
         sign = ["n", "s1", "s2"]
-        classes = stash(every.filter("n > 0").groupBy(*sign).agg(F.min("id").alias("rep")), "classes", derived=True)
-        self.prefixes = stash(self._prefixes(every).join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "prefixes", derived=True)
-        links = self._verify(stash(self._rare().unionByName(self._leaders()).distinct(), "pairs", derived=True))
+        classes = stash(every.filter("n > 0").groupBy(*sign).agg(F.min("id").alias("rep")), "classes")
+        self.prefixes = stash(self._prefixes(every).join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "prefixes")
+        links = self._verify(stash(self._rare().unionByName(self._leaders()).distinct(), "pairs"))
         label = components(links)
         if more := self._rest(label):
             label = components(links.unionByName(self._verify(more)))
@@ -190,15 +227,17 @@ class Join:
         total = every.agg(F.sum("n")).first()[0] or 0
         bits = max(6, min(40, int(total // GROUP).bit_length()))
         counted = self.docs.select("text").mapInArrow(_counts(self.words, bits), "group long, tokens binary, counts binary")
-        common = stash(counted.groupBy("group").applyInArrow(_common(bits, COMMON), "token long, df long"), "common", derived=True)
-        told = most_frequent(common, "df", TOLD).toArrow()
+        common = stash(counted.groupBy("group").applyInArrow(_common(bits, COMMON), "token long, df long"), "common")
+        told = most_frequent(common, "df", TOLD, "token").toArrow()  # TOLD rows at most
         token, df = (told.column(k).to_numpy().astype(np.int64) for k in ("token", "df"))
+        others = common.count() - len(token)
+        filter_ = bloom(common, max(6, min(BLOOM.bit_length() - 1, (16 * others).bit_length()))) if others else None
         order = np.argsort(token)
-        shared = self.spark.sparkContext.broadcast((token[order], df[order]))
+        shared = self.spark.sparkContext.broadcast((token[order], df[order], filter_))
         return self.docs.mapInArrow(_prefixes(self.words, self.num, self.den, shared), "id long, n long, extra long, rare long, light array<bigint>, heavy array<bigint>")
 
     def _rare(self) -> DataFrame:
-        """Pairs that share a rare shingle of both prefixes."""
+        """Pairs that share a rare shingle of both prefixes: no posting here is longer than COMMON."""
         side = lambda s: self.prefixes.select(F.explode("light").alias("token"), F.col("id").alias(s), F.col("n").alias(f"n_{s}"))
         joined = side("a").join(side("b"), "token").filter((F.col("a") < F.col("b")) & _alike(F.col("n_a"), F.col("n_b"), self.num, self.den))
         return joined.select("a", "b").distinct()
@@ -213,13 +252,13 @@ class Join:
         miss = F.col("n") - F.floor((F.col("n") * self.num + self.den - 1) / self.den)
         posted = F.slice("heavy", F.lit(1), (miss - F.col("rare") + 1).cast("int"))
         able = able.select("id", "n", "rare", "extra", posted.alias("posted"), F.concat("light", "heavy").alias("prefix"))
-        return able.select(F.explode("posted").alias("token"), "*")
+        return able.select(F.explode("posted").alias("token"), "id", "n", "rare", "extra", "prefix")
 
     def _leaders(self) -> DataFrame:
         """Each document of a common posting with the posting's leader among documents of about its size."""
         size = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(1 + (self.den - self.num) / self.den / 2)))).alias("size")
         rows = self._postings().select("token", "id", "n", "rare", size)
-        lead = stash(rows.groupBy("token", "size").agg(F.min(F.struct("rare", "id", "n")).alias("lead")), "leaders", derived=True)
+        lead = stash(rows.groupBy("token", "size").agg(F.min(F.struct("rare", "id", "n")).alias("lead")), "leaders")
         near = rows.join(lead, ["token", "size"]).filter((F.col("id") != F.col("lead.id")) & _alike(F.col("n"), F.col("lead.n"), self.num, self.den))
         # the leaders of neighbouring sizes meet too
         up = lead.select("token", (F.col("size") + 1).alias("size"), F.col("lead").alias("low"))
@@ -231,35 +270,41 @@ class Join:
         """Pairs of common postings whose documents are not yet in one component; none if all postings are settled.
 
         Such a pair shares no rare shingle (else it was met before, as prefixes with common shingles hold all
-        rare ones), so it shares at most what both have left without theirs.  The join itself counts the matches
-        of both prefixes, and gives a pair at its first common posting only.
+        rare ones), so it shares at most what both have left without theirs.  Of postings with the same documents (the
+        shingles of a passage that they share) one is joined, and only with documents of sizes that can be alike: the key is
+        the posting and a step of sizes, of which alike ones lie in the same or in neighbouring steps.  The join itself
+        counts the matches of both prefixes.
         """
         rows = self._postings().join(label.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
-        groups = rows.groupBy("token", "component").agg(F.count("*").alias("k")).groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("kinds"))
-        groups = stash(groups.filter("kinds > 1"), "mixed", derived=True)  # as a table, so that the join's hot keys can be split
-        rows = stash(rows.join(groups, "token"), "unsettled", derived=True)
+        sums = [F.sum(F.xxhash64(F.lit(k), "id").cast("decimal(38,0)")).alias(f"s{k}") for k in (1, 2)]
+        groups = rows.groupBy("token", "component").agg(F.count("*").alias("k"), *sums)
+        groups = groups.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("kinds"), F.sum("k").alias("k"), *[F.sum(f"s{k}").alias(f"s{k}") for k in (1, 2)])
+        groups = groups.filter("kinds > 1").groupBy("k", "s1", "s2").agg(F.min(F.struct("token", "main")).alias("at")).select("at.*")
+        groups = stash(groups, "mixed")  # as a table, so that the join's hot keys can be split
+        step = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(self.den / self.num)) + 1e-9)).alias("step")
+        rows = stash(rows.join(groups, "token").select("*", step), "unsettled")
         if rows.isEmpty():
             return None
-        other = rows.filter("component <> main").select("token", F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("rare").alias("rare_x"), F.col("component").alias("c_x"), F.col("extra").alias("extra_x"), F.col("posted").alias("posted_x"), F.col("prefix").alias("prefix_x"))
+        steps = F.explode(F.array(*[F.col("step") + F.lit(k) for k in (-1, 0, 1)])).alias("step")
+        other = rows.filter("component <> main").select("token", steps, F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("rare").alias("rare_x"), F.col("component").alias("c_x"), F.col("extra").alias("extra_x"), F.col("prefix").alias("prefix_x"))
         shared = F.least(F.col("n") - F.col("rare"), F.col("n_x") - F.col("rare_x"))
         able = (shared * (self.num + self.den) >= (F.col("n") + F.col("n_x")) * self.num) & _alike(F.col("n"), F.col("n_x"), self.num, self.den)
-        once = F.get(F.array_intersect("posted", "posted_x"), F.lit(0)) == F.col("token")
         enough = F.size(F.array_intersect("prefix", "prefix_x")) >= F.least("extra", "extra_x")
-        pairs = rows.join(other, "token").filter((F.col("component") != F.col("c_x")) & able & once & enough)
-        return stash(pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct(), "pairs", derived=True)
+        pairs = rows.join(other, ["token", "step"]).filter((F.col("component") != F.col("c_x")) & able & enough)
+        return stash(pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct(), "pairs")
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs that share enough of their prefixes and then of their whole sets, as written links."""
         part = lambda s: self.prefixes.select(F.col("id").alias(s), F.col("extra").alias(f"extra_{s}"), F.concat("light", "heavy").alias(f"prefix_{s}"))
         enough = F.size(F.array_intersect("prefix_a", "prefix_b")) >= F.least("extra_a", "extra_b")
-        pairs = stash(pairs.join(part("a"), "a").join(part("b"), "b").filter(enough).select("a", "b").distinct(), "candidates", derived=True)
+        pairs = stash(pairs.join(part("a"), "a").join(part("b"), "b").filter(enough).select("a", "b").distinct(), "candidates")
         wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
-        sets = stash(self.docs.join(wanted, "id", "left_semi").mapInArrow(_sets(self.words), "id long, shingles array<bigint>"), "sets", derived=True)
+        sets = stash(self.docs.join(wanted, "id", "left_semi").mapInArrow(_sets(self.words), "id long, shingles array<bigint>"), "sets")
         side = lambda s: sets.select(F.col("id").alias(s), F.col("shingles").alias(f"set_{s}"))
         both = F.size(F.array_intersect("set_a", "set_b"))
         union = F.size("set_a") + F.size("set_b") - both
         joined = pairs.join(side("a"), "a").join(side("b"), "b")
-        return stash(joined.filter(both.cast("long") * self.den >= union.cast("long") * self.num).select("a", "b"), "verified", derived=True)
+        return stash(joined.filter(both.cast("long") * self.den >= union.cast("long") * self.num).select("a", "b"), "verified")
 
 
 def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:
@@ -276,12 +321,16 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
 
 
 def keep_one(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs with only the document of the least doc_id of each component."""
+    """docs with only the document of the least doc_id of each component.
+
+    Rows that repeat a doc_id stay or go together; documents without words stay; a null doc_id is smaller than all
+    others, so its row stays; an empty table gives an empty result; columns of any name stay as they are.
+    """
     found = jaccard_components(docs, doc_id=doc_id, text=text, **options)
     name = "_gone"
     while name in docs.columns:
         name += "_"
-    gone = stash(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct(), "near-copies", derived=True)
+    gone = stash(found.filter(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias(name)).distinct(), "near-copies")
     return docs.join(gone, F.col(doc_id).cast("long").eqNullSafe(F.col(name)), "left_anti")
 
 

@@ -1,60 +1,82 @@
 """Intermediate tables in the folder that all executors share.
 
 A table written here cuts the lineage: if an executor is lost, later stages read the files again
-instead of computing them anew.  The folder is the one that ``spark.checkpoint.dir`` names; only if
-that is unset (local tests) a folder of its own is made.
+instead of computing them anew.  Each application writes to a folder of its own below the one that
+``spark.checkpoint.dir`` names, which goes when the application ends or calls ``discard``.
 """
 
 from __future__ import annotations
 
-import tempfile
 import uuid
+from contextlib import contextmanager
+from threading import Lock
 
 from pyspark.sql import DataFrame, SparkSession
 
-_LOCAL: list[str] = []
+from tallyloom.plans.folders import shared_root
+
 #: Rows that tasks hand to Python at once while such tables are written: rows with whole texts are large.
 ARROW_ROWS, BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+_ROOTS: dict[str, str] = {}
+_LOCK = Lock()
+#: Writers at work, and the setting before the first of them.
+_writers: list[str] = []
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of the session, without a slash at its end."""
-    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not root:
-        if not spark.sparkContext.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-        if not _LOCAL:
-            _LOCAL.append("file://" + tempfile.mkdtemp(prefix="tallyloom-"))
-        root = _LOCAL[0]
-    return root.rstrip("/")
+    """This application's folder, without a slash at its end."""
+    app = spark.sparkContext.applicationId
+    with _LOCK:
+        if app not in _ROOTS:
+            _ROOTS[app] = f"{shared_root(spark)}/tallyloom-{app}-{uuid.uuid4().hex[:8]}"
+            path, fs = _hadoop(spark, _ROOTS[app])
+            fs.mkdirs(path)
+            fs.deleteOnExit(path)
+        return _ROOTS[app]
+
+
+def _hadoop(spark: SparkSession, at: str):
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(at)
+    return path, path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
 
 
 def scratch_path(spark: SparkSession, label: str) -> str:
-    """A new path below the shared folder."""
-    return f"{scratch_root(spark)}/tallyloom/{label}-{uuid.uuid4().hex}"
+    """A new path in this application's folder."""
+    return f"{scratch_root(spark)}/{label}-{uuid.uuid4().hex}"
 
 
-def stash(df: DataFrame, label: str, derived: bool = False) -> DataFrame:
+@contextmanager
+def _small_batches(spark: SparkSession):
+    """Small Arrow batches while any table is written; the setting comes back with the last writer."""
+    was = spark.conf.get(ARROW_ROWS)
+    with _LOCK:
+        _writers.append(_writers[0] if _writers else was)
+        spark.conf.set(ARROW_ROWS, str(min(int(_writers[0]), BATCH)) if int(_writers[0]) > 0 else str(BATCH))
+    try:
+        yield
+    finally:
+        with _LOCK:
+            was = _writers.pop()
+            if not _writers:
+                spark.conf.set(ARROW_ROWS, was)
+
+
+def stash(df: DataFrame, label: str) -> DataFrame:
     """Write df as Parquet below the shared folder and return the table read back (its size is then known to the planner).
 
-    derived: df comes out of a shuffle and is small beside the input; it is written by four tasks a core at most,
-    however many partitions the shuffle has, instead of as very many small files.
+    Adaptive execution sizes the files: what comes out of a shuffle has as many as its bytes ask for.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
-    if derived:
-        df = df.coalesce(4 * spark.sparkContext.defaultParallelism)
-    was = spark.conf.get(ARROW_ROWS)
-    spark.conf.set(ARROW_ROWS, str(min(int(was), BATCH)) if int(was) > 0 else str(BATCH))
-    try:
+    with _small_batches(spark):
         df.write.option("compression", "zstd").parquet(path)
-    finally:
-        spark.conf.set(ARROW_ROWS, was)
     return spark.read.schema(df.schema).parquet(path)
 
 
 def discard(spark: SparkSession) -> None:
-    """Delete all tables of this module below the shared folder of the session."""
-    jvm = spark.sparkContext._jvm
-    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/tallyloom")
-    path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+    """Delete all tables that this application has written here; tables of others stay."""
+    with _LOCK:
+        at = _ROOTS.pop(spark.sparkContext.applicationId, None)
+    if at:
+        path, fs = _hadoop(spark, at)
+        fs.delete(path, True)
