@@ -5,6 +5,7 @@ import html as htmllib
 import math
 import random
 import re
+import time
 import zlib
 from collections import Counter, defaultdict
 
@@ -20,7 +21,7 @@ from tallyloom.llm.components import components
 from tallyloom.llm.queries import QUERIES
 from tallyloom.llm.textscan import batches
 
-RANK = {"password": 1, "sunshine": 30, "dragon": 10}
+WORDS = secrets.Words({"password": 1, "sunshine": 30, "dragon": 10})
 
 # --- secret scans ---
 
@@ -46,31 +47,79 @@ def test_base_secrets_by_brute_force(spark, texts):
 
 @pytest.mark.parametrize("text,kinds", [("token: secret = hunter2222", []), ("TOKEN='abcdefgh'", ["assign"]), ("toKen=abcdefg", []), ("my pwd is x8Jk!2mQzR9", ["guess"]), ("the password is sunshine", []), ("AKIA123456789012 AKIA12345678901", ["access"]), ("é" * 3 + "0" * 32, ["hex"])])
 def test_secret_kinds(text, kinds):
-    assert [s[2] for s in secrets.spans(text, RANK)] == kinds
+    assert [s[2] for s in secrets.spans(text, WORDS)] == kinds
+
+
+def brute_segments(value):
+    """(start, end, cost) of all that may stand in value but brute force, by looking at every span."""
+    low = "".join(c.lower() if c.isascii() else c for c in value)
+    leet = low.translate(str.maketrans("@4301!5$7", "aaeoiisst"))
+    rows = ("`1234567890-=", "qwertyuiop[]", "asdfghjkl;'", "zxcvbnm,./")
+    place = {c: (y, 2 * x + y) for y, r in enumerate(rows) for x, c in enumerate(r)}
+    near = lambda a, b: a in place and b in place and a != b and abs(place[a][0] - place[b][0]) <= 1 and abs(place[a][1] - place[b][1]) <= (2 if place[a][0] == place[b][0] else 1)
+    one = lambda c: math.log10(10 if c.isdigit() else 26 if c.isascii() and c.isalpha() else 33 if c.isascii() else 200)
+    n = len(value)
+    for i in range(n):
+        ends = [m.end() for m in [secrets.DATE.match(value, i)] if m]
+        for j in range(i + 1, n + 1):
+            part = value[i:j]
+            for form, extra in ((low, 0), (leet, 0.5)):
+                if form[i:j] in WORDS.rank and (form is low or leet[i:j] != low[i:j]):
+                    case = 0 if part == low[i:j] else 0.3 if part.isupper() or part[0].isupper() and part[1:] == low[i + 1 : j] else 1
+                    yield i, j, math.log10(WORDS.rank[form[i:j]] + 1) + case + extra
+            if j in ends:
+                yield i, j, math.log10(150 if j - i == 4 else 365 * 150) + (0.6 if "-" in part or "/" in part or "." in part else 0)
+            if j - i >= 3 and all(near(a, b) for a, b in zip(low[i:j], low[i + 1 : j])):
+                yield i, j, math.log10(47) + (j - i - 1) * math.log10(2.5)
+            for p in range(1, 9):
+                k = (j - i) // p
+                if (j - i) % p == 0 and k >= (3 if p == 1 else 2) and part == value[i : i + p] * k and value[j : j + p] != value[i : i + p]:
+                    yield i, j, sum(map(one, value[i : i + p])) + math.log10(k)
+    for i in range(n):
+        for j in range(i + 1, n + 1):
+            yield i, j, sum(map(one, value[i:j]))
 
 
 def brute_cost(value):
     """Least cost over all segmentations, by recursion over every cut."""
-    found = secrets._matches(value, RANK)
-    cost = lambda i, j: sum(map(secrets._char_cost, value[i:j]))
+    found = defaultdict(list)
+    for i, j, c in brute_segments(value):
+        found[i].append((j, c))
 
     def best(i):
-        if i == len(value):
-            return 0.0
-        options = [cost(i, j) + secrets.SEGMENT + best(j) for j in range(i + 1, len(value) + 1)]
-        options += [c + secrets.SEGMENT + best(j) for j, c in found[i]]
-        return min(options)
+        return 0.0 if i == len(value) else min(c + math.log10(2) + best(j) for j, c in found[i])
 
     return best(0)
 
 
-@pytest.mark.parametrize("value", ["", "a", "password", "Password1", "aaaaaa", "abcabc", "qwerty9", "19840312", "dr4gonXy", "x9!Qz"])
+@pytest.mark.parametrize("value", ["", "a", "password", "Password1", "aaaaaa", "abcabc", "qwerty9", "19840312", "dr4gonXy", "x9!Qz", "asdfdsa", "PASSWORD", "pAssword", "aab2aab2", "1.2.1999z", "İé日aaa", "qaqaqaq"])
 def test_guess_cost_is_the_least_over_all_segmentations(value):
-    got, parts = secrets.guess_cost(value, RANK)
+    got, parts = secrets.guess_cost(value, WORDS)
     assert math.isclose(got, brute_cost(value), abs_tol=1e-9)
     assert [p[0] for p in parts] == [0, *[p[1] for p in parts[:-1]]][: len(parts)]
 
 
+def test_guess_cost_of_random_values():
+    rnd = random.Random(4)
+    for _ in range(60):
+        value = "".join(rnd.choice(["a", "s", "d", "1", "9", "12", "-", "dragon", "as", "É"]) for _ in range(rnd.randint(1, 6)))[:12]
+        assert math.isclose(secrets.guess_cost(value, WORDS)[0], brute_cost(value), abs_tol=1e-9), value
+
+
+@pytest.mark.parametrize("unit", ["as", "a", "qwerty", "dragon", "1-"])
+def test_guess_cost_of_long_values(unit):
+    start = time.time()
+    assert secrets.guess_cost(unit * (300_000 // len(unit)), WORDS)[0] < 20
+    assert time.time() - start < 20
+
+
+def test_secrets_do_not_teach_the_dictionary(spark):
+    rows = [(i, f"plain words here pwd=zqxvkjwpmt and api_key: mybluehorse{'' if i else 'x'} r{'abcde'[i // 10]}{'fghijklmno'[i % 10]}") for i in range(50)] + [(50, None)]
+    rank = secrets.common_words(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert set(rank) == {"plain", "words", "here", "and"}
+    assert len(secrets.common_words(spark.createDataFrame(rows, "doc_id long, text string"), words=2)) == 2
+
+
 def test_scan_of_odd_documents(odd, none):
     rows = secrets.scan(odd).collect()
     assert len(rows) == odd.count() and all(r.secrets == [] for r in rows)
@@ -229,10 +278,51 @@ def test_text_beside_the_largest_block_is_kept(page, text):
     assert html_extract.extract_part([page]) == [text]
 
 
+def site(i, long=True):
+    """A page without an article element or telling class names."""
+    body = "".join(f"<p>Line {k} of story {i} with words of its own {i * 31 + k}.</p>" for k in range(3 if long else 1))
+    menu = "".join(f'<div><a href="/{k}{i}">entry {k} {i}</a></div>' for k in range(4))  # varies
+    return f"<html><title>Story {i}</title><body><div class=k1><b>The Site</b> since 1999</div><div class=k2>{menu}</div><div class=k3><div><h2>Story {i}</h2>{body}</div></div><div class=k4>{'Please accept all of this long legal text. ' * 20}</div></body></html>"
+
+
+def story(i, long=True):
+    return "\n\n".join([f"Story {i}", *[f"Line {k} of story {i} with words of its own {i * 31 + k}." for k in range(3 if long else 1)]])
+
+
+@pytest.mark.parametrize("n", [2, 3, 5, 40])
+@pytest.mark.parametrize("long", [True, False])
+def test_wrapper_of_sites_without_telling_names(n, long):
+    pages = [site(i, long) for i in range(n)]
+    assert html_extract.extract_part(pages) == [story(i, long) for i in range(n)]
+    assert html_extract.extract_part(pages[:1]) != [story(0, long)]  # without the wrapper the rest stays
+    assert html_extract.extract_part(pages[::-1]) == [story(i, long) for i in range(n)][::-1]
+
+
+def test_class_names_only_break_ties():
+    page = lambda i, mark: f"<title>{i}</title><body><div class='{mark}'><p>{f'the story number {i} goes on ' * 9}</p></div><div class=promo>buy {i}</div><form><p>{i} mail</p></form></body>"
+    want = [" ".join(f"the story number {i} goes on".split() * 9) for i in range(4)]
+    assert html_extract.extract_part([page(i, "main-widget") for i in range(4)]) == want
+    assert html_extract.extract_part([page(i, "x") for i in range(4)]) == want
+    in_form = [f"<title>{i}</title><form class=page><p>{f'story {i} goes on ' * 9}</p><div class=ad>buy {i}</div></form>" for i in range(3)]
+    assert html_extract.extract_part(in_form) == [" ".join(f"story {i} goes on".split() * 9) for i in range(3)]
+
+
+def test_near_copies_have_no_template():
+    page = lambda ad: f"<title>T</title><div class=ad>{ad}</div><div><h1>T</h1><p>{'same story ' * 20}</p></div>"
+    assert html_extract.extract_part([page("one"), page("two"), page("three")]) == ["T\n\n" + " ".join(["same story"] * 20)] * 3
+
+
+@pytest.mark.parametrize("page", ["<div>" * 10_000 + "x" + "</div>" * 10_000, "<b>x<i>y</p>" * 80_000, "<article>" * 10_000 + "x", "<div class=ad>" * 10_000 + "x", "<li><b>x" * 60_000, "<a " * 300_000, "<p '" * 200_000, "<!--" * 200_000, "<script>" * 100_000, "<td>x" * 50_000])
+def test_deep_and_broken_pages(page):
+    start = time.time()
+    html_extract.extract_part([page, page + "<p>y", "<p>z"])
+    assert time.time() - start < 20
+
+
 def test_template_is_what_the_pages_of_a_host_share():
     pages = [f"<body><div><b>Home</b> About us</div><div><div><h2>T{i}</h2><p>Alpha {i} text that varies, {i * i} times.</p><p>more {i}</p></div><div>Same words on all pages</div></div></body>" for i in range(8)]
     assert html_extract.extract_part(pages)[3] == "T3\n\nAlpha 3 text that varies, 9 times.\n\nmore 3"
-    assert len(set(html_extract.extract_part([pages[0]] * 8))) == 1
+    assert html_extract.extract_part([pages[0]]) == ["Home About us\n\nT0\n\nAlpha 0 text that varies, 0 times.\n\nmore 0\n\nSame words on all pages"]
 
 
 def test_simple_tree_matching_by_brute_force():
@@ -261,6 +351,12 @@ def test_extract_of_odd_pages(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
+def test_order_of_rows_and_repeats_do_not_matter(spark):
+    rows = [(i, f"http://h.x/{i}", site(i)) for i in range(300)] + [(7, "http://h.x/7", site(7))] * 40
+    got = [{(r.page_id, r.text) for r in html_extract.extract(spark.createDataFrame(x, "page_id long, url string, html string")).collect()} for x in (rows, rows[::-1])]
+    assert got[0] == got[1] == {(i, story(i)) for i in range(300)}
+
+
 # --- language model ---
 
 
@@ -287,17 +383,64 @@ def test_base_scores_by_brute_force(request, monkeypatch, which, head):
 
 
 def test_replicas_train_on_all_training_documents(docs, monkeypatch):
-    weights, plain = [], lm._average
+    weights, plain = [], lm.average
 
-    def average(table):
-        out = plain(table)
-        weights.append(out.column("weight")[0].as_py())
-        return out
+    def average(found, replicas):
+        weights.append((replicas, found.agg(F.sum("weight")).first()[0]))
+        return plain(found, replicas)
 
     monkeypatch.setattr(lm, "SEED_TOKENS", 1000)  # as if the table were large
-    monkeypatch.setattr(lm, "_average", average)
-    total = lm.language_scores(docs).first().train_tokens
-    assert len(weights) == 2 and weights[0] < total / 2 and weights[1] == total
+    monkeypatch.setattr(lm, "REPLICA", 500)
+    monkeypatch.setattr(lm, "average", average)
+    total = lm.language_scores(docs.repartition(5)).first().train_tokens
+    assert len(weights) == 2 and weights[0][1] < total / 2 and weights[1] == (5, total)
+
+
+def test_averages_equal_those_of_one_process(spark):
+    rng = np.random.default_rng(3)
+    blobs, sizes = rng.normal(0, 1, (40, 25)).astype(np.float32), rng.integers(1, 90, 40)
+    rows = [(i, float(sizes[i]), blobs[i].tobytes()) for i in range(40)]
+    got = np.frombuffer(lm.average(spark.createDataFrame(rows, lm.AVERAGED).repartition(7), 40), np.float32)
+    assert np.allclose(got, (blobs * sizes[:, None]).sum(0) / sizes.sum(), atol=1e-5)
+    assert lm.average(spark.createDataFrame([], lm.AVERAGED), 1) is None
+
+
+def test_replicas_equal_a_run_in_one_process(spark):
+    """The shards' own training and the mean of their weights, done plainly here, is what the tasks give."""
+    rnd = random.Random(1)
+    texts = [" ".join(rnd.choice("abcdefgh") * 2 for _ in range(rnd.randint(1, 60))) for _ in range(30)]
+    column = pa.array(texts)
+    key = np.concatenate([lm.keys(t) for _, _, t in batches(column)])
+    names, n = np.unique(key, return_counts=True)
+    kind = (names & np.uint64(3)).astype(int)
+    model = lm.Model(names, n, 30, np.bincount(kind, minlength=4), np.bincount(kind, weights=n, minlength=4).astype(int), 64, 8)
+    shards, total, weight = [texts[:13], texts[13:]], 0.0, 0.0
+    for shard in shards:
+        gru = model.gru()
+        gru.unpack(model.weights)
+        held = [x for _, _, t in batches(pa.array(shard)) for x in lm._sequences(t, model.look_up(lm.keys(t))[1], model.end)]
+        fresh = np.zeros(sum(map(len, held)), bool)
+        fresh[np.cumsum([0] + [len(x) for x in held[:-1]])] = True
+        recurrent.train(gru, np.concatenate(held), fresh, model.end, rate=0.005)
+        total, weight = total + len(fresh) * np.frombuffer(gru.pack(), np.float32).astype(float), weight + len(fresh)
+    df = spark.createDataFrame([(t,) for t in shards[0]], "text string").coalesce(1).union(spark.createDataFrame([(t,) for t in shards[1]], "text string").coalesce(1))
+    found = df.mapInArrow(lm._learn(spark.sparkContext.broadcast(model), 0.005), lm.AVERAGED)
+    got = np.frombuffer(lm.average(found, 2), np.float32)
+    off, moved = np.abs(got - total / weight), np.abs(got - np.frombuffer(model.weights, np.float32))
+    assert off.mean() < 0.01 * moved.mean()  # rounding apart, which Adam's division can blow up for a weight or two
+
+
+@pytest.mark.parametrize("n", [1, 63, 65, 127, 191, 2000])
+def test_every_symbol_of_a_stream_is_learned(n):
+    model = recurrent.Gru(np.arange(1, 72), 66, 4)
+    model.wc[:] = model.x[:] = 0
+    stream = np.zeros(n, np.int64)
+    got = recurrent.train(model, stream, np.arange(n) == 0, 70, rate=0.0)
+    assert math.isclose(got, model.log_p(np.zeros((1, 4), np.float32), np.array([0]))[0], abs_tol=1e-3)  # the mean over all n
+    last = np.append(stream, 5)
+    recurrent.train(model, last, np.arange(n + 1) == 0, 70, rate=0.1)
+    fresh = recurrent.Gru(np.arange(1, 72), 66, 4)
+    assert model.bo[0, 5] > fresh.bo[0, 5] or n >= 2000  # the last symbol moved its bias
 
 
 def test_scores_of_nothing(none):
@@ -529,3 +672,94 @@ def test_most_frequent_is_bounded(spark):
         rows = most_frequent(df, "n", most).collect()
         assert len(rows) <= most and (most < 5000 or len(rows) == 1000)
         assert not rows or min(r.n for r in rows) >= 50 - most // 20
+
+
+# --- words that defeat polynomial hashes modulo 2**64 ---
+
+
+def thue_morse(n=2048):
+    bits = [0]
+    while len(bits) < n:
+        bits += [1 - x for x in bits]
+    return "".join("ab"[x] for x in bits), "".join("ba"[x] for x in bits)
+
+
+def test_thue_morse_words(spark):
+    a, b = thue_morse()
+    df = spark.createDataFrame([(1, a), (3, b), (4, f"{a}\n{b}"), (5, f"{a} x {b} y {a} z {a}")], "doc_id long, text string")
+    texts = {r.doc_id: r.text for r in df.collect()}
+    ids = dict(zip(texts, encode("byte_bpe_50k.json", list(texts.values()), 1)))
+    got = defaultdict(dict)
+    for r in packing.pack(df, with_ids=True).collect():
+        got[r.doc_id][r.start] = r.ids
+    assert all([x for s in sorted(p) for x in p[s]] == ids[i].tolist() for i, p in got.items()) and len(got) == 4
+    stats = {r.doc_id: r for r in quality.quality(df).collect()}
+    assert [stats[i].n_dup_lines for i in texts] == [0, 0, 0, 0]
+    want = brute_base([(i, t) for i, t in texts.items()])
+    for g, w in zip(sorted(((r.doc_id, r.held_out, r.n_tokens, r.n_known, r.train_tokens, r.base_score) for r in lm.language_scores(df).collect()), key=str), want, strict=True):
+        assert g[:5] == w[:5] and abs(g[5] - w[5]) < 1e-4
+    assert sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard.jaccard_components(df, words=1).collect()), key=str) == brute_components(list(texts.items()), 1, 80, 100)
+
+
+def test_thue_morse_words_in_token_files(spark, tmp_path):
+    a, b = thue_morse()
+    df = spark.createDataFrame([(1, a), (3, b)], "doc_id long, text string").coalesce(1)
+    tokens.write_token_files(df, str(tmp_path / "files"))
+    want = encode("word_bpe_49k.json", [a, b], 2)
+    assert [r.ids for r in tokens.read_token_files(spark, str(tmp_path / "files")).orderBy("doc_id").collect()] == [x.tolist() for x in want]
+
+
+def test_chunks_of_the_same_key_are_told_apart(monkeypatch):
+    monkeypatch.setattr(tokens, "mix", lambda h: np.full(len(h), 12345, np.uint64))
+    coder = tokens.Encoder(tokens.default_path("byte_bpe_50k.json"), True)
+    cases = ["one two", "three", "one", "four five six"]
+    for limit in (5, 1 << 20):
+        got = [x for _, _, t in batches(pa.array(cases), limit) for x in coder.encode(t)]
+        assert all(list(x) == list(y[:-1]) for x, y in zip(got, encode("byte_bpe_50k.json", cases, 0), strict=True))
+
+
+# --- many documents with one shingle in common ---
+
+
+@pytest.mark.parametrize("told", [0, 5, 1 << 20])
+def test_hot_shingles_do_not_make_pairs(spark, monkeypatch, told):
+    monkeypatch.setattr(jaccard, "TOLD", told)
+    monkeypatch.setattr(jaccard, "COMMON", 8)
+    n = 20_000
+    rows = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("all share these words "), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(12)), lambda k: F.hex(F.xxhash64(F.expr("id div 2"), k))), " "), F.when(F.col("id") % 10 < 2, F.lit("")).otherwise(F.concat(F.lit(" "), F.hex("id")))).alias("text"))
+    seen, plain = [], jaccard.Join._verify
+
+    def verify(self, pairs):
+        seen.append(pairs.count())
+        return plain(self, pairs)
+
+    monkeypatch.setattr(jaccard.Join, "_verify", verify)
+    got = {r.doc_id: r.component_id for r in jaccard.jaccard_components(rows, words=3, num=90).collect()}
+    assert sum(seen) < 3 * n
+    # of two documents with the same words those without a word of their own are equal; one more word leaves 14 of 15 or of 16 shingles
+    assert got == {i: (i - i % 2 if i % 10 < 2 else i) for i in range(n)}
+
+
+def test_bloom_filter_holds_what_it_was_made_of(spark):
+    df = spark.range(5000).select((F.col("id") * 7919).alias("token"))
+    words = jaccard.bloom(df, 16)
+    assert jaccard._held(words, np.arange(5000) * 7919).all()
+    assert jaccard._held(words, np.arange(5000) * 7919 + 1).mean() < 0.3
+
+
+# --- the pipeline on odd tables ---
+
+
+@pytest.mark.parametrize("which", ["odd", "none"])
+def test_stages_on_odd_tables(spark, request, which):
+    at = request.getfixturevalue(which)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, at, DIR)
+        assert out.columns == at.columns, name
+        out.count()
+        if which == "odd" and name == "quality rules":
+            continue  # most of these texts have too few words; the other stages get them all
+        if which == "none":
+            at = out
+    packed = corpus_pipeline.STAGES[-1][1](spark, at, DIR)
+    assert packed.filter("length IS NULL").count() == 0 and (packed.count() > 0) == (which == "odd")

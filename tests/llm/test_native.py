@@ -66,11 +66,32 @@ def test_mix_takes_what_the_plan_says(docs):
     assert got == {k: v for k, v in plan.items() if v or k in got}
 
 
-def test_mix_of_odd_documents(odd, none):
-    rows = mixing.mix_plan(odd).collect()
+@pytest.mark.parametrize("share", [0.05, 0.3, 0.5, 1.0, 2.0])
+def test_mix_of_odd_documents(odd, share):
+    """Row by row: the plan and the mixed rows hold the same words of each id and text."""
+    rows = mixing.mix_plan(odd, share=share).collect()
     assert len(rows) == odd.count()
-    assert mixing.mix(odd).columns == odd.columns
-    assert sum(len(words(r.text)) for r in mixing.mix(odd).collect()) == pytest.approx(sum(r.taken for r in rows), abs=2)
+    out = mixing.mix(odd, share=share)
+    assert out.columns == odd.columns
+    taken, got = {}, {}
+    for r in rows:
+        taken[r.doc_id, r.source] = taken.get((r.doc_id, r.source), 0) + r.taken
+    for r in out.collect():
+        got[r.doc_id, r.source] = got.get((r.doc_id, r.source), 0) + len(words(r.text))
+    assert {k: v for k, v in got.items() if v} == {k: v for k, v in taken.items() if v}
+
+
+@pytest.mark.parametrize("share", [0.1, 0.5, 0.6, 1.0])
+def test_mix_of_repeated_rows(spark, share):
+    rows = [(1, "w " * 10, "s", i) for i in range(6)] + [(1, "v " * 7, "s", 9), (2, "u " * 4, "s", 9), (2, None, "s", 1), (2, "", "s", 1)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, source string, doc long")
+    plan = sum(r.taken for r in mixing.mix_plan(df, share=share).collect())
+    got = sorted((r.doc_id, r.text, r.doc) for r in mixing.mix(df, share=share).collect() if r.text)
+    assert sum(len(words(t)) for _, t, _ in got) == plan == int(share * 71)
+    assert got == sorted((r.doc_id, r.text, r.doc) for r in mixing.mix(df.repartition(3, "doc"), share=share).collect() if r.text)
+
+
+def test_mix_of_nothing(none):
     assert mixing.mix_plan(none).count() == mixing.mix(none).count() == 0
 
 
