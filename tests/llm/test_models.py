@@ -414,8 +414,12 @@ def test_replicas_equal_a_run_in_one_process(spark):
     names, n = np.unique(key, return_counts=True)
     kind = (names & np.uint64(3)).astype(int)
     model = lm.Model(names, n, 30, np.bincount(kind, minlength=4), np.bincount(kind, weights=n, minlength=4).astype(int), 64, 8)
-    shards, total, weight = [texts[:13], texts[13:]], 0.0, 0.0
-    for shard in shards:
+    df = spark.createDataFrame(list(enumerate(texts)), "i long, text string").repartitionByRange(2, "i").sortWithinPartitions("i")
+    shards, total, weight = defaultdict(list), 0.0, 0.0
+    for r in df.select(F.spark_partition_id().alias("p"), "text").collect():
+        shards[r.p].append(r.text)
+    assert len(shards) == 2
+    for shard in shards.values():
         gru = model.gru()
         gru.unpack(model.weights)
         held = [x for _, _, t in batches(pa.array(shard)) for x in lm._sequences(t, model.look_up(lm.keys(t))[1], model.end)]
@@ -423,8 +427,7 @@ def test_replicas_equal_a_run_in_one_process(spark):
         fresh[np.cumsum([0] + [len(x) for x in held[:-1]])] = True
         recurrent.train(gru, np.concatenate(held), fresh, model.end, rate=0.005)
         total, weight = total + len(fresh) * np.frombuffer(gru.pack(), np.float32).astype(float), weight + len(fresh)
-    df = spark.createDataFrame([(t,) for t in shards[0]], "text string").coalesce(1).union(spark.createDataFrame([(t,) for t in shards[1]], "text string").coalesce(1))
-    found = df.mapInArrow(lm._learn(spark.sparkContext.broadcast(model), 0.005), lm.AVERAGED)
+    found = df.select("text").mapInArrow(lm._learn(spark.sparkContext.broadcast(model), 0.005), lm.AVERAGED)
     got = np.frombuffer(lm.average(found, 2), np.float32)
     off, moved = np.abs(got - total / weight), np.abs(got - np.frombuffer(model.weights, np.float32))
     assert off.mean() < 0.01 * moved.mean()  # rounding apart, which Adam's division can blow up for a weight or two
