@@ -24,11 +24,12 @@ def components(links: DataFrame, most_rounds: int = 64) -> DataFrame:
     Rounds grow with the logarithm of the longest chain.  Each round is written, so lost executors cost one
     round at most.  Stars are joined by key, so large ones are split like any skewed join; no component is collected.
     """
-    edges = stash(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links")
+    links = links if links.inputFiles() else stash(links, "links")
+    edges = stash(links.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).filter("a <> b").distinct(), "links", links)
     mark = lambda e: tuple(e.agg(F.count("*"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first())
     before = mark(edges)
     for _ in range(most_rounds):
-        edges = stash(_star(_star(edges, True), False), "links")
+        edges = stash(_star(_star(edges, True), False), "links", edges)
         now = mark(edges)
         if now == before:
             break

@@ -213,12 +213,13 @@ class Join:
         """``id, n_shingles, component`` of every row."""
         every = stash(self.docs.mapInArrow(_signatures(self.words), "id long, n long, s1 long, s2 long"), "signatures")
         sign = ["n", "s1", "s2"]
-        classes = stash(every.filter("n > 0").groupBy(*sign).agg(F.min("id").alias("rep")), "classes")
+        classes = stash(every.filter("n > 0").groupBy(*sign).agg(F.min("id").alias("rep")), "classes", every)
         self.prefixes = stash(self._prefixes(every).join(classes.select(F.col("rep").alias("id")).distinct(), "id", "left_semi"), "prefixes")
-        links = self._verify(stash(self._rare().unionByName(self._leaders()).distinct(), "pairs"))
+        links = self._verify(stash(self._rare().unionByName(self._leaders()).distinct(), "pairs", self.prefixes))
         label = components(links)
         if more := self._rest(label):
-            label = components(links.unionByName(self._verify(more)))
+            known = label.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
+            label = components(known.unionByName(self._verify(more)))
         label = label.select(F.col("id").alias("rep"), "component")
         out = every.join(classes.join(label, "rep", "left"), sign, "left")
         return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component"))
@@ -258,7 +259,7 @@ class Join:
         """Each document of a common posting with the posting's leader among documents of about its size."""
         size = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(1 + (self.den - self.num) / self.den / 2)))).alias("size")
         rows = self._postings().select("token", "id", "n", "rare", size)
-        lead = stash(rows.groupBy("token", "size").agg(F.min(F.struct("rare", "id", "n")).alias("lead")), "leaders")
+        lead = stash(rows.groupBy("token", "size").agg(F.min(F.struct("rare", "id", "n")).alias("lead")), "leaders", self.prefixes)
         near = rows.join(lead, ["token", "size"]).filter((F.col("id") != F.col("lead.id")) & _alike(F.col("n"), F.col("lead.n"), self.num, self.den))
         # the leaders of neighbouring sizes meet too
         up = lead.select("token", (F.col("size") + 1).alias("size"), F.col("lead").alias("low"))
@@ -280,9 +281,9 @@ class Join:
         groups = rows.groupBy("token", "component").agg(F.count("*").alias("k"), *sums)
         groups = groups.groupBy("token").agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("kinds"), F.sum("k").alias("k"), *[F.sum(f"s{k}").alias(f"s{k}") for k in (1, 2)])
         groups = groups.filter("kinds > 1").groupBy("k", "s1", "s2").agg(F.min(F.struct("token", "main")).alias("at")).select("at.*")
-        groups = stash(groups, "mixed")  # as a table, so that the join's hot keys can be split
+        groups = stash(groups, "mixed", self.prefixes)  # as a table, so that the join's hot keys can be split
         step = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(self.den / self.num)) + 1e-9)).alias("step")
-        rows = stash(rows.join(groups, "token").select("*", step), "unsettled")
+        rows = stash(rows.join(groups, "token").select("*", step), "unsettled", self.prefixes)
         if rows.isEmpty():
             return None
         steps = F.explode(F.array(*[F.col("step") + F.lit(k) for k in (-1, 0, 1)])).alias("step")
@@ -291,20 +292,20 @@ class Join:
         able = (shared * (self.num + self.den) >= (F.col("n") + F.col("n_x")) * self.num) & _alike(F.col("n"), F.col("n_x"), self.num, self.den)
         enough = F.size(F.array_intersect("prefix", "prefix_x")) >= F.least("extra", "extra_x")
         pairs = rows.join(other, ["token", "step"]).filter((F.col("component") != F.col("c_x")) & able & enough)
-        return stash(pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct(), "pairs")
+        return stash(pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct(), "pairs", self.prefixes)
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs that share enough of their prefixes and then of their whole sets, as written links."""
         part = lambda s: self.prefixes.select(F.col("id").alias(s), F.col("extra").alias(f"extra_{s}"), F.concat("light", "heavy").alias(f"prefix_{s}"))
         enough = F.size(F.array_intersect("prefix_a", "prefix_b")) >= F.least("extra_a", "extra_b")
-        pairs = stash(pairs.join(part("a"), "a").join(part("b"), "b").filter(enough).select("a", "b").distinct(), "candidates")
+        pairs = stash(pairs.join(part("a"), "a").join(part("b"), "b").filter(enough).select("a", "b").distinct(), "candidates", pairs)
         wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         sets = stash(self.docs.join(wanted, "id", "left_semi").mapInArrow(_sets(self.words), "id long, shingles array<bigint>"), "sets")
         side = lambda s: sets.select(F.col("id").alias(s), F.col("shingles").alias(f"set_{s}"))
         both = F.size(F.array_intersect("set_a", "set_b"))
         union = F.size("set_a") + F.size("set_b") - both
         joined = pairs.join(side("a"), "a").join(side("b"), "b")
-        return stash(joined.filter(both.cast("long") * self.den >= union.cast("long") * self.num).select("a", "b"), "verified")
+        return stash(joined.filter(both.cast("long") * self.den >= union.cast("long") * self.num).select("a", "b"), "verified", pairs)
 
 
 def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:

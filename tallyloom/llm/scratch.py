@@ -17,6 +17,8 @@ from tallyloom.plans.folders import shared_root
 
 #: Rows that tasks hand to Python at once while such tables are written: rows with whole texts are large.
 ARROW_ROWS, BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
+#: Bytes of the tables that a result is made of for each task that writes it, if they are named.
+TASK_BYTES = 32 << 20
 _ROOTS: dict[str, str] = {}
 _LOCK = Lock()
 #: Writers at work, and the setting before the first of them.
@@ -61,13 +63,27 @@ def _small_batches(spark: SparkSession):
                 spark.conf.set(ARROW_ROWS, was)
 
 
-def stash(df: DataFrame, label: str) -> DataFrame:
+def written_bytes(*tables: DataFrame) -> int:
+    """Bytes of the files that tables returned by stash read."""
+    total = 0
+    for t in tables:
+        for folder in {f.rpartition("/")[0] for f in t.inputFiles()}:
+            path, fs = _hadoop(t.sparkSession, folder)
+            total += fs.getContentSummary(path).getLength()
+    return total
+
+
+def stash(df: DataFrame, label: str, *made_of: DataFrame) -> DataFrame:
     """Write df as Parquet below the shared folder and return the table read back (its size is then known to the planner).
 
-    Adaptive execution sizes the files: what comes out of a shuffle has as many as its bytes ask for.
+    Adaptive execution sizes the files: what comes out of a shuffle has as many as its bytes ask for.  made_of: written tables
+    that df is not much larger than; the last stage then has a task for every TASK_BYTES of them at most, so a
+    small result is not written as a file for each partition of a shuffle, and a large one has tasks in proportion.
     """
     spark = df.sparkSession
     path = scratch_path(spark, label)
+    if made_of:
+        df = df.coalesce(1 + written_bytes(*made_of) // TASK_BYTES)
     with _small_batches(spark):
         df.write.option("compression", "zstd").parquet(path)
     return spark.read.schema(df.schema).parquet(path)

@@ -728,7 +728,7 @@ def test_chunks_of_the_same_key_are_told_apart(monkeypatch):
 def test_hot_shingles_do_not_make_pairs(spark, monkeypatch, told):
     monkeypatch.setattr(jaccard, "TOLD", told)
     monkeypatch.setattr(jaccard, "COMMON", 8)
-    n = 20_000
+    n = 5_000
     rows = spark.range(n).select(F.col("id").alias("doc_id"), F.concat(F.lit("all share these words "), F.array_join(F.transform(F.sequence(F.lit(1), F.lit(12)), lambda k: F.hex(F.xxhash64(F.expr("id div 2"), k))), " "), F.when(F.col("id") % 10 < 2, F.lit("")).otherwise(F.concat(F.lit(" "), F.hex("id")))).alias("text"))
     seen, plain = [], jaccard.Join._verify
 
