@@ -298,14 +298,14 @@ class Join:
         """The pairs that share enough of their prefixes and then of their whole sets, as written links."""
         part = lambda s: self.prefixes.select(F.col("id").alias(s), F.col("extra").alias(f"extra_{s}"), F.concat("light", "heavy").alias(f"prefix_{s}"))
         enough = F.size(F.array_intersect("prefix_a", "prefix_b")) >= F.least("extra_a", "extra_b")
-        pairs = stash(pairs.join(part("a"), "a").join(part("b"), "b").filter(enough).select("a", "b").distinct(), "candidates", pairs)
+        pairs = stash(pairs.join(part("a"), "a").join(part("b"), "b").filter(enough).select("a", "b").distinct(), "candidates", pairs, self.prefixes)
         wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         sets = stash(self.docs.join(wanted, "id", "left_semi").mapInArrow(_sets(self.words), "id long, shingles array<bigint>"), "sets")
         side = lambda s: sets.select(F.col("id").alias(s), F.col("shingles").alias(f"set_{s}"))
         both = F.size(F.array_intersect("set_a", "set_b"))
         union = F.size("set_a") + F.size("set_b") - both
         joined = pairs.join(side("a"), "a").join(side("b"), "b")
-        return stash(joined.filter(both.cast("long") * self.den >= union.cast("long") * self.num).select("a", "b"), "verified", pairs)
+        return stash(joined.filter(both.cast("long") * self.den >= union.cast("long") * self.num).select("a", "b"), "verified", pairs, sets)
 
 
 def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100) -> DataFrame:

@@ -209,7 +209,7 @@ def quality(docs: DataFrame, labels: DataFrame | None = None, *, doc_id: str = "
 def keep_good(docs: DataFrame, labels: DataFrame | None, *, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of docs that the rules and the forest keep, with their columns, whatever their names.
 
-    Texts are scanned twice (to fit, to judge) and not shuffled.  Null and empty texts go, as they have no words; rows with
+    Texts are scanned twice (to fit, to judge) and not shuffled; the rows come from a written table, so that Python gets few of them at once.  Null and empty texts go, as they have no words; rows with
     null ids and repeated rows are judged each; an empty table gives an empty result.
     """
     model, limit = fit(stash(text_stats(docs, doc_id, text), "quality-stats"), labels, doc_id)
@@ -224,7 +224,7 @@ def keep_good(docs: DataFrame, labels: DataFrame | None, *, doc_id: str = "doc_i
                 keep.append(~failed & ((share.value.score(s["features"]) <= limit) if share.value is not None else True))
             yield part.filter(pa.array(np.concatenate(keep))) if keep else part
 
-    return docs.mapInArrow(run, docs.schema)
+    return stash(docs.mapInArrow(run, docs.schema), "quality-kept")
 
 
 def op9_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:

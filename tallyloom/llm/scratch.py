@@ -18,7 +18,7 @@ from tallyloom.plans.folders import shared_root
 #: Rows that tasks hand to Python at once while such tables are written: rows with whole texts are large.
 ARROW_ROWS, BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch", 1000
 #: Bytes of the tables that a result is made of for each task that writes it, if they are named.
-TASK_BYTES = 32 << 20
+TASK_BYTES = 4 << 20
 _ROOTS: dict[str, str] = {}
 _LOCK = Lock()
 #: Writers at work, and the setting before the first of them.

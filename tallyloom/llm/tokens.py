@@ -2,7 +2,7 @@
 
 Texts are cut into chunks that no token crosses, by array operations on their bytes; each chunk is
 looked up by a hash of 64 bits, and only new chunks go to the tokenizers library.  A chunk found must also
-agree in its length and its polynomial over a prime; if one does not, its batch is encoded text by text.
+agree in its polynomial over a prime; if one does not, its batch is encoded text by text.
 """
 
 from __future__ import annotations
@@ -21,6 +21,8 @@ from tallyloom.llm.textscan import JOIN, SPACE, U, Texts, batches, mix
 
 #: Chunks that a worker remembers at most, and slots of its table.
 ENTRIES, SLOTS = 1 << 21, 1 << 22
+#: Ids that a worker remembers before it starts anew (places are 32-bit numbers).
+FULL = 1 << 30
 LETTER = np.isin(np.arange(256), list(b"ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"))
 STOP = np.isin(np.arange(256), list(b".,"))
 
@@ -82,11 +84,11 @@ class Encoder:
         self._clear()
 
     def _clear(self) -> None:
-        self.slots = np.zeros(SLOTS, np.uint64)  # keys; 0 is free
-        self.entry = np.zeros(SLOTS, np.int32)
-        self.at, self.size, self.guard = np.zeros(ENTRIES, np.int64), np.zeros(ENTRIES, np.int32), np.zeros(ENTRIES, np.uint64)
+        self.slots = np.zeros(SLOTS, np.int32)  # entry; 0 is free
+        self.key, self.guard = np.zeros(ENTRIES + 1, np.uint64), np.zeros(ENTRIES + 1, np.uint32)
+        self.at, self.size = np.zeros(ENTRIES + 1, np.int32), np.zeros(ENTRIES + 1, np.int32)
         self.pool = np.zeros(1 << 20, self.kind)
-        self.entries = self.used = 0
+        self.entries, self.used = 1, 0
 
     def _plain(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
@@ -120,8 +122,8 @@ class Encoder:
         todo, slot = np.arange(len(key)), (key >> U(42)).astype(np.int64)
         while len(todo):
             held = self.slots[slot]
-            hit = held == key[todo]
-            out[todo[hit]] = self.entry[slot[hit]]
+            hit = (held != 0) & (self.key[held] == key[todo])
+            out[todo[hit]] = held[hit]
             on = ~hit & (held != 0)
             todo, slot = todo[on], (slot[on] + 1) & (SLOTS - 1)
         return out
@@ -136,13 +138,13 @@ class Encoder:
         new[order] = np.arange(self.entries, self.entries + n)
         self.pool[self.used : self.used + len(flat)] = flat
         self.at[new[order]], self.size[new[order]] = self.used + np.cumsum(size) - size, size
-        self.guard[new] = guard
+        self.key[new], self.guard[new] = key, guard
         self.entries, self.used = self.entries + n, self.used + len(flat)
         todo, slot = np.arange(n), (key >> U(42)).astype(np.int64)
         while len(todo):
             _, first = np.unique(slot, return_index=True)
             free = first[self.slots[slot[first]] == 0]
-            self.slots[slot[free]], self.entry[slot[free]] = key[todo[free]], new[todo[free]]
+            self.slots[slot[free]] = new[todo[free]]
             on = np.ones(len(todo), bool)
             on[free] = False
             todo, slot = todo[on], (slot[on] + 1) & (SLOTS - 1)
@@ -152,19 +154,18 @@ class Encoder:
         """The ids of each text, of type kind."""
         start, end = chunks(t, self.keeps_space)
         first, second = t.pairs(start, end)
-        key = np.maximum(mix(first + second * JOIN), U(1))
-        guard = second << U(32) | np.minimum(end - start, 2**32 - 1).astype(np.uint64)
+        key, guard = mix(first + second * JOIN), second.astype(np.uint32)
         entry = self._find(key)
         missing = np.flatnonzero(entry < 0)
         if len(missing):
             new, first, back = np.unique(key[missing], return_index=True, return_inverse=True)
-            if self.entries + len(new) > ENTRIES:
+            if self.entries + len(new) > ENTRIES or self.used > FULL:
                 self._clear()
                 return self.encode(t) if len(new) < ENTRIES else self._whole(t)
             raw = t.data.tobytes()
             texts = [raw[a:b].decode() for a, b in zip(start[missing][first].tolist(), end[missing][first].tolist())]
             entry[missing] = self._add(new, guard[missing][first], texts)[back]
-        if (self.guard[entry] != guard).any():  # two chunks of the same key
+        if (self.guard[entry] != guard).any() or self.used > FULL:  # two chunks of the same key
             return self._whole(t)
         size = self.size[entry].astype(np.int64)
         total = np.concatenate(([0], np.cumsum(size)))
