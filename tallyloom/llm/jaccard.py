@@ -274,7 +274,7 @@ class Join:
         rare ones), so it shares at most what both have left without theirs.  Of postings with the same documents (the
         shingles of a passage that they share) one is joined, and only with documents of sizes that can be alike: the key is
         the posting and a step of sizes, of which alike ones lie in the same or in neighbouring steps.  The join itself
-        counts the matches of both prefixes.
+        counts the matches of both prefixes, and gives a pair at its least common posting only.
         """
         rows = self._postings().join(label.select("id", "component"), "id", "left").withColumn("component", F.coalesce("component", "id"))
         sums = [F.sum(F.xxhash64(F.lit(k), "id").cast("decimal(38,0)")).alias(f"s{k}") for k in (1, 2)]
@@ -283,15 +283,18 @@ class Join:
         groups = groups.filter("kinds > 1").groupBy("k", "s1", "s2").agg(F.min(F.struct("token", "main")).alias("at")).select("at.*")
         groups = stash(groups, "mixed", self.prefixes)  # as a table, so that the join's hot keys can be split
         step = F.floor(F.log(F.col("n").cast("double")) / F.lit(float(np.log(self.den / self.num)) + 1e-9)).alias("step")
-        rows = stash(rows.join(groups, "token").select("*", step), "unsettled", self.prefixes)
+        rows = rows.join(groups, "token").select("*", step)
+        kept = rows.groupBy("id").agg(F.collect_set("token").alias("kept"))  # no more than the document's prefix has
+        rows = stash(rows.join(kept, "id"), "unsettled", self.prefixes)
         if rows.isEmpty():
             return None
         steps = F.explode(F.array(*[F.col("step") + F.lit(k) for k in (-1, 0, 1)])).alias("step")
-        other = rows.filter("component <> main").select("token", steps, F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("rare").alias("rare_x"), F.col("component").alias("c_x"), F.col("extra").alias("extra_x"), F.col("prefix").alias("prefix_x"))
+        other = rows.filter("component <> main").select("token", steps, F.col("id").alias("x"), F.col("n").alias("n_x"), F.col("rare").alias("rare_x"), F.col("component").alias("c_x"), F.col("extra").alias("extra_x"), F.col("kept").alias("kept_x"), F.col("prefix").alias("prefix_x"))
         shared = F.least(F.col("n") - F.col("rare"), F.col("n_x") - F.col("rare_x"))
         able = (shared * (self.num + self.den) >= (F.col("n") + F.col("n_x")) * self.num) & _alike(F.col("n"), F.col("n_x"), self.num, self.den)
         enough = F.size(F.array_intersect("prefix", "prefix_x")) >= F.least("extra", "extra_x")
-        pairs = rows.join(other, ["token", "step"]).filter((F.col("component") != F.col("c_x")) & able & enough)
+        once = F.array_min(F.array_intersect("kept", "kept_x")) == F.col("token")
+        pairs = rows.join(other, ["token", "step"]).filter((F.col("component") != F.col("c_x")) & able & once & enough)
         return stash(pairs.select(F.least("id", "x").alias("a"), F.greatest("id", "x").alias("b")).distinct(), "pairs", self.prefixes)
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
