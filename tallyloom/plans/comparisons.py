@@ -131,10 +131,10 @@ def j4d(spark, d):
     return diff.growth_decision(_growth(spark, d))
 
 
-@query("j5_has_fresh", with_views("before_scan", "after_scan", body="SELECT DISTINCT seq FROM before_scan b WHERE seq % 4 = 0 AND EXISTS (SELECT 1 FROM after_scan a WHERE a.seq % 3 = 0 AND a.file = b.file AND a.code = b.code AND abs(a.line - b.line) <= 5)"))
+@query("j5_has_fresh", with_views("before_scan", "after_scan", body="SELECT DISTINCT seq FROM before_scan b WHERE EXISTS (SELECT 1 FROM after_scan a WHERE a.file = b.file AND a.code = b.code AND abs(a.line - b.line) <= 5)"))
 def j5(spark, d):
     b, a = scans(spark, d)
-    return diff.has_fresh(b.filter("seq % 4 = 0").select("seq", "file", "line", "code"), a.filter("seq % 3 = 0")).select("seq").distinct()
+    return diff.has_fresh(b.select("seq", "file", "line", "code"), a).select("seq").distinct()
 
 
 @query("j6_known_fix", with_views("before_scan", "after_scan", body="SELECT a.seq, b.file IS NOT NULL AS known FROM after_scan a LEFT JOIN (SELECT DISTINCT file, code FROM before_scan WHERE seq % 9 = 0) b ON a.file = b.file AND a.code = b.code"))
@@ -144,20 +144,20 @@ def j6(spark, d):
     return a.join(known, ["file", "code"], "left").select("seq", F.coalesce("k", F.lit(False)).alias("known"))
 
 
-@query("j7_target_presence", with_views("before_scan", "after_scan", body=f"+{KEYS}, t AS (SELECT DISTINCT file, line, code FROM findings WHERE seq % 6 = 0) SELECT t.file, t.line, t.code, bk.file IS NOT NULL AS in_before, ak.file IS NOT NULL AS in_after FROM t LEFT JOIN bk ON bk.file = t.file AND bk.line = t.line AND bk.code = t.code LEFT JOIN ak ON ak.file = t.file AND ak.line = t.line AND ak.code = t.code"))
+@query("j7_target_presence", with_views("before_scan", "after_scan", body=f"+{KEYS}, t AS (SELECT DISTINCT file, line, code FROM findings) SELECT t.file, t.line, t.code, bk.file IS NOT NULL AS in_before, ak.file IS NOT NULL AS in_after FROM t LEFT JOIN bk ON bk.file = t.file AND bk.line = t.line AND bk.code = t.code LEFT JOIN ak ON ak.file = t.file AND ak.line = t.line AND ak.code = t.code"))
 def j7(spark, d):
     b, a = scans(spark, d)
     key = ["file", "line", "code"]
     mark = lambda x, n: x.select(*key).distinct().withColumn(n, F.lit(True))
-    t = findings(spark, d).filter("seq % 6 = 0").select(*key).distinct().join(mark(b, "in_before"), key, "left").join(mark(a, "in_after"), key, "left")
+    t = findings(spark, d).select(*key).distinct().join(mark(b, "in_before"), key, "left").join(mark(a, "in_after"), key, "left")
     return t.na.fill(False, ["in_before", "in_after"])
 
 
-@query("j18_reuse_by_hash", with_views("before_scan", "after_scan", body="SELECT b.seq FROM before_scan b JOIN (SELECT DISTINCT file, md5(concat(file, seq % 2)) AS h FROM after_scan WHERE seq % 51 = 0) a ON a.file = b.file AND a.h = md5(concat(b.file, b.seq % 2))"))
+@query("j18_reuse_by_hash", with_views("before_scan", "after_scan", body="SELECT b.seq FROM before_scan b JOIN (SELECT DISTINCT file, md5(concat(file, seq % 2)) AS h FROM after_scan) a ON a.file = b.file AND a.h = md5(concat(b.file, b.seq % 2))"))
 def j18(spark, d):
     b, a = scans(spark, d)
     h = F.md5(F.concat("file", F.col("seq") % 2))
-    return b.withColumn("h", h).join(a.filter("seq % 51 = 0").select("file", h.alias("h")).distinct(), ["file", "h"]).select("seq")
+    return b.withColumn("h", h).join(a.select("file", h.alias("h")).distinct(), ["file", "h"]).select("seq")
 
 
 @query("j19_progress", with_views("before_scan", "after_scan", body="+acc AS (SELECT DISTINCT file FROM findings WHERE seq % 101 = 0) SELECT (SELECT count(*) FROM before_scan WHERE file IN (SELECT file FROM acc)) AS before, (SELECT count(*) FROM after_scan WHERE file IN (SELECT file FROM acc)) AS after"))
@@ -168,12 +168,12 @@ def j19(spark, d):
     return both.join(acc, "file", "left_semi").agg(F.sum("b").alias("before"), F.sum("a").alias("after"))
 
 
-@query("j20_segments", with_views("before_scan", "after_scan", body="""+l AS (SELECT DISTINCT file, line FROM after_scan WHERE seq % 41 = 0), sg AS (SELECT DISTINCT file, line - line % 10 AS a, line - line % 10 + 9 AS b FROM before_scan WHERE seq % 11 = 0),
+@query("j20_segments", with_views("before_scan", "after_scan", body="""+l AS (SELECT DISTINCT file, line FROM after_scan), sg AS (SELECT DISTINCT file, line - line % 10 AS a, line - line % 10 + 9 AS b FROM before_scan),
 h AS (SELECT DISTINCT sg.file, a, b FROM sg JOIN l ON l.file = sg.file AND l.line BETWEEN a AND b) SELECT file, a AS "start", b AS "end" FROM h UNION ALL SELECT DISTINCT file, 1, 0 FROM l WHERE file NOT IN (SELECT file FROM h)"""))
 def j20(spark, d):
     b, a = scans(spark, d)
     lo = F.col("line") - F.col("line") % 10
-    return diff.in_segments(a.filter("seq % 41 = 0").select("file", "line"), b.filter("seq % 11 = 0").select("file", lo.alias("start"), (lo + 9).alias("end")).distinct())
+    return diff.in_segments(a.select("file", "line"), b.select("file", lo.alias("start"), (lo + 9).alias("end")).distinct())
 
 
 @query("a10_signature_sets", with_views("findings", body="SELECT file, count(DISTINCT concat_ws('|', code, message)) AS signatures FROM findings GROUP BY file"))
@@ -223,11 +223,11 @@ def o6(spark, d):
     return rows.orderBy(F.desc("value"), "seq").limit(5).select("seq", "patch_source")
 
 
-@query("o8_nearest_match", with_views("before_scan", "after_scan", body="""+an AS (SELECT seq AS id, file, line, message AS m FROM before_scan WHERE seq % 31 = 0), h AS (SELECT an.id, an.line, a.line AS pos FROM an JOIN after_scan a ON a.file = an.file AND a.message = an.m),
+@query("o8_nearest_match", with_views("before_scan", "after_scan", body="""+an AS (SELECT seq AS id, file, line, message AS m FROM before_scan), h AS (SELECT an.id, an.line, a.line AS pos FROM an JOIN after_scan a ON a.file = an.file AND a.message = an.m),
 g AS (SELECT id, arg_min(pos, abs(pos - line) * 1000 + pos) FILTER (WHERE abs(pos - line) <= 15) AS near, count(*) AS k, min(pos) AS only_ FROM h GROUP BY id) SELECT an.id, CASE WHEN near IS NOT NULL THEN near WHEN k = 1 THEN only_ END AS found FROM an LEFT JOIN g ON g.id = an.id"""))
 def o8(spark, d):
     b, a = scans(spark, d)
-    anchors = b.filter("seq % 31 = 0").select(F.col("seq").alias("id"), "file", "line", F.col("message").alias("match"))
+    anchors = b.select(F.col("seq").alias("id"), "file", "line", F.col("message").alias("match"))
     return ranking.nearest_match(anchors, a.select("file", "line", F.col("message").alias("text")))
 
 

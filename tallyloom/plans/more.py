@@ -7,7 +7,7 @@ from tallyloom.plans.adapters import decisions, edges, findings, scans, table, w
 from tallyloom.plans.folders import shared_folder
 from tallyloom.plans.registry import query
 from tallyloom.plans.sequences import HEALTH, _health
-from tallyloom.plans.texts import _snippet_sql, snippets
+from tallyloom.plans.texts import _lines_sql, _snippet_sql, _source_texts, snippets, source_lines
 from tallyloom.sources import sinks, tools
 
 
@@ -20,9 +20,9 @@ def a12(spark, d):
     return c.withColumn("verdict", F.when((F.col("new") == 0) & (F.col("lost") > 0), "IMPROVED").when(F.col("new") == 0, "NO_DEGRADATION").otherwise("NEW_ERRORS"))
 
 
-@query("p18_prompts", with_views("findings", body="SELECT seq, concat('Fix ', code, ' in ', file, ':', line, ' - ', message) AS prompt FROM findings WHERE seq % 11 = 0"))
+@query("p18_prompts", with_views("findings", body="SELECT seq, concat('Fix ', code, ' in ', file, ':', line, ' - ', message) AS prompt FROM findings"))
 def p18(spark, d):
-    return findings(spark, d).filter("seq % 11 = 0").select("seq", F.format_string("Fix %s in %s:%d - %s", "code", "file", "line", "message").alias("prompt"))
+    return findings(spark, d).select("seq", F.format_string("Fix %s in %s:%d - %s", "code", "file", "line", "message").alias("prompt"))
 
 
 @query("p23_quality_evaluation", with_views("decisions", body="""+x AS (SELECT seq, seq % 3 = 0 AS was, seq % 6 = 0 AS still, CASE WHEN seq % 7 = 0 THEN 'ESCALATE' END AS act, value / 250 - 1 AS score, CASE seq % 4 WHEN 0 THEN 'security' WHEN 1 THEN 'lint' WHEN 2 THEN 'syntax' ELSE 'other' END AS t FROM decisions), y AS (SELECT *, CASE t WHEN 'security' THEN 0.8 WHEN 'lint' THEN 0.3 WHEN 'syntax' THEN 0.6 ELSE 0.5 END AS lim FROM x)
@@ -48,13 +48,13 @@ def p25(spark, d):
     return decisions(spark, d).withColumn("a", action).select("seq", control.soften(c("a"), (c("seq") % 3) / 2.0).alias("action"))
 
 
-@query("p29_patch_score", with_views("findings", body="""+x AS (SELECT seq, lower(message) AS m, lower(concat('def fix import ', code)) AS p, CASE seq % 3 WHEN 0 THEN NULL WHEN 1 THEN concat('def fix import ', code) ELSE 'other' END AS known, concat('def fix import ', code) AS patch, confidence AS h FROM findings WHERE seq % 13 = 0),
+@query("p29_patch_score", with_views("findings", body="""+x AS (SELECT seq, lower(message) AS m, lower(concat('def fix import ', code)) AS p, CASE seq % 3 WHEN 0 THEN NULL WHEN 1 THEN concat('def fix import ', code) ELSE 'other' END AS known, concat('def fix import ', code) AS patch, confidence AS h FROM findings),
 y AS (SELECT *, list_distinct(regexp_extract_all(m, '\\b[a-z_][a-z0-9_]*\\b')) AS names FROM x), z AS (SELECT *, len([n FOR n IN names IF contains(p, n)]) AS hits FROM y)
 SELECT seq, round(0.35 * (CASE WHEN known IS NULL THEN 0.5 WHEN known = patch THEN 1.0 ELSE 0.3 END) + 0.25 * (CASE WHEN len(names) = 0 THEN 0.5 WHEN hits > 0 THEN 0.7 + 0.2 * hits / len(names) ELSE 0.3 END) + 0.20 * (CASE WHEN contains(m, 'import') OR contains(m, 'unresolved') THEN 1.0 WHEN contains(m, 'undefined') OR contains(m, 'cannot find') THEN 0.9 WHEN contains(m, 'type') AND (contains(m, 'mismatch') OR contains(m, 'expected')) AND contains(p, ':') THEN 0.8 ELSE 0.5 END) + 0.20 * coalesce(least(h, 1.0), 0.5), 9)::DOUBLE AS score FROM z"""))
 def p29(spark, d):
     patch = F.concat(F.lit("def fix import "), "code")
     known = F.when(F.col("seq") % 3 == 1, patch).when(F.col("seq") % 3 == 2, "other")
-    return findings(spark, d).filter("seq % 13 = 0").select("seq", F.round(control.patch_score(known, patch, F.col("message"), F.col("confidence")), 9).alias("score"))
+    return findings(spark, d).select("seq", F.round(control.patch_score(known, patch, F.col("message"), F.col("confidence")), 9).alias("score"))
 
 
 @query("p28_governor")
@@ -135,9 +135,9 @@ def a20e(spark, d):
     return decisions(spark, d).select("seq", code.erosion(F.lit("x = 1"), after, F.col("code")).alias("eroded"))
 
 
-@query("x9_symbol_index", f"WITH {_snippet_sql()} SELECT file, line, regexp_extract(text, '^\\s*def\\s+(\\w+)', 1) AS name FROM sn WHERE regexp_matches(text, '^\\s*def\\s+\\w+')")
+@query("x9_symbol_index", f"WITH {_lines_sql()} SELECT file, line, regexp_extract(text, '^\\s*def\\s+(\\w+)', 1) AS name FROM sn WHERE regexp_matches(text, '^\\s*def\\s+\\w+')")
 def x9(spark, d):
-    return snippets(spark, d).select("file", "line", F.regexp_extract("text", r"^\s*def\s+(\w+)", 1).alias("name")).filter("name <> ''")
+    return source_lines(spark, d).select("file", "line", F.regexp_extract("text", r"^\s*def\s+(\w+)", 1).alias("name")).filter("name <> ''")
 
 
 @query("x11_macros", "SELECT r_name AS file, v.* FROM region, (VALUES ('MAX_LEN', 1, 0), ('ADD', 2, 2), ('lower_case', 7, 0)) v(name, line, params)")
@@ -145,25 +145,26 @@ def x11(spark, d):
     return code.macros(_py(spark, d, C_SOURCE)).select("file", "name", "line", F.size("params").alias("params"))
 
 
-@query("j14_relevant_macros", "SELECT p_partkey AS id, CASE WHEN p_partkey % 2 = 0 THEN 'MAX_LEN,ADD' ELSE 'lower_case' END AS macros FROM part WHERE p_partkey % 5 = 0")
+@query("j14_relevant_macros", "SELECT p_partkey AS id, CASE p_partkey % 3 WHEN 0 THEN 'ADD,MAX_LEN' WHEN 1 THEN 'lower_case' ELSE 'MAX_LEN,ADD,lower_case' END AS macros FROM part")
 def j14(spark, d):
-    line = F.when(F.col("p_partkey") % 2 == 0, "y = ADD(1, MAX_LEN)").otherwise("y = lower_case")
-    message = F.when(F.col("p_partkey") % 2 == 0, "MAX_LEN is odd").otherwise("bad")
-    errors = table(spark, d, "part").filter("p_partkey % 5 = 0").select(F.col("p_partkey").alias("id"), line.alias("line_text"), message.alias("message"))
-    out = code.relevant_macros(errors, code.macros(_py(spark, d, C_SOURCE)))
-    return out.withColumn("macros", F.when(F.col("macros") == "ADD,MAX_LEN", "MAX_LEN,ADD").otherwise(F.col("macros")))
+    kind = F.col("p_partkey") % 3
+    line = F.when(kind == 0, "y = ADD(1, MAX_LEN)").when(kind == 1, "y = lower_case").otherwise("y = lower_case + MAX_LEN")
+    message = F.when(kind == 0, "MAX_LEN is odd").when(kind == 1, "bad").otherwise("in expansion of ADD")
+    errors = table(spark, d, "part").select(F.col("p_partkey").alias("id"), line.alias("line_text"), message.alias("message"))
+    return code.relevant_macros(errors, code.macros(_py(spark, d, C_SOURCE)))
 
 
-@query("x13_changed_hunks", "SELECT p_partkey, ['replace:1-2>1-2'] AS hunks FROM part WHERE p_partkey % 9 = 0")
+@query("x13_changed_hunks", "SELECT p_partkey, CASE WHEN p_size % 9 < 5 THEN ['replace:1-2>1-2'] WHEN p_size % 9 = 8 THEN ['replace:8-9>8-9'] ELSE [] END AS hunks FROM part")
 def x13(spark, d):
     before, after = F.lit("a\nb\nc\nd\ne\nf\ng\nh\ni"), F.lit("a\nB\nc\nd\ne\nf\ng\nh\nI")
-    return table(spark, d, "part").filter("p_partkey % 9 = 0").select("p_partkey", code.changed_hunks(before, after, F.lit(2)).alias("hunks"))
+    at = F.when(F.col("p_size") % 9 < 5, 2).when(F.col("p_size") % 9 == 8, 12).otherwise(30)
+    return table(spark, d, "part").select("p_partkey", code.changed_hunks(before, after, at).alias("hunks"))
 
 
-@query("s12_traceback", "SELECT p_partkey, concat('src/', p_name, '.py') AS file, p_size AS line, 'ValueError' AS code FROM part WHERE p_partkey % 6 = 0")
+@query("s12_traceback", "SELECT p_partkey, concat('src/', p_name, '.py') AS file, p_size AS line, 'ValueError' AS code FROM part")
 def s12(spark, d):
     log = F.concat(F.lit('Traceback (most recent call last):\n  File "/usr/lib/x.py", line 3, in a\n  File "src/'), "p_name", F.lit('.py", line '), F.col("p_size").cast("string"), F.lit(', in b\n  File "/usr/lib/y.py", line 9, in c\nValueError: bad'))
-    return tools.tracebacks(table(spark, d, "part").filter("p_partkey % 6 = 0").select("p_partkey", log.alias("text"))).select("p_partkey", "file", "line", "code")
+    return tools.tracebacks(table(spark, d, "part").select("p_partkey", log.alias("text"))).select("p_partkey", "file", "line", "code")
 
 
 @query("s13_test_failures", "SELECT p_brand AS path, concat('test_', p_size) AS name, count(*) > 0 AS failed FROM part GROUP BY 1, 2")
@@ -172,22 +173,22 @@ def s13(spark, d):
     return tools.test_failures(table(spark, d, "part").select(line.alias("value"))).select("path", "name", F.lit(True).alias("failed"))
 
 
-@query("s8_rustc_json", with_views("findings", body="SELECT file, code, count(*) AS n FROM findings WHERE seq % 5 = 4 AND level = 'error' GROUP BY 1, 2"))
+@query("s8_rustc_json", with_views("findings", body="SELECT file, code, count(*) AS n FROM findings WHERE level = 'error' GROUP BY 1, 2"))
 def s8(spark, d):
     doc = F.to_json(F.struct(F.lit("compiler-message").alias("reason"), F.struct("level", F.struct("code").alias("code"), "message", F.array(F.struct(F.col("file").alias("file_name"), F.col("line").alias("line_start"), F.col("col").alias("column_start"))).alias("spans")).alias("message")))
-    return tools.rustc_messages(findings(spark, d).filter("seq % 5 = 4").select(doc.alias("value"))).filter("severity = 'error'").groupBy("file", "code").agg(F.count("*").alias("n"))
+    return tools.rustc_messages(findings(spark, d).select(doc.alias("value"))).filter("severity = 'error'").groupBy("file", "code").agg(F.count("*").alias("n"))
 
 
-@query("s22_compile_commands", "SELECT concat('f', p_partkey, '.c') AS file, concat('-I', p_brand) AS flag FROM part WHERE p_partkey % 10 = 0")
+@query("s22_compile_commands", "SELECT concat('f', p_partkey, '.c') AS file, concat('-I', p_brand) AS flag FROM part")
 def s22(spark, d):
     doc = F.to_json(F.array(F.struct(F.concat(F.lit("f"), "p_partkey", F.lit(".c")).alias("file"), F.concat(F.lit("cc -c -I"), "p_brand", F.lit(" -O2 x.c")).alias("command"))))
-    return tools.compile_commands(table(spark, d, "part").filter("p_partkey % 10 = 0").select(doc.alias("value"))).filter("flag LIKE '-I%'").select("file", "flag")
+    return tools.compile_commands(table(spark, d, "part").select(doc.alias("value"))).filter("flag LIKE '-I%'").select("file", "flag")
 
 
-@query("s19_verify_records", with_views("decisions", body="SELECT decision, count(*) AS n FROM decisions WHERE seq % 2 = 0 GROUP BY 1"))
+@query("s19_verify_records", with_views("decisions", body="SELECT decision, count(*) AS n FROM decisions GROUP BY 1"))
 def s19(spark, d):
     doc = F.to_json(F.struct(F.array(F.struct(F.col("decision").alias("verdict"))).alias("verify_accepts")))
-    rows = decisions(spark, d).filter("seq % 2 = 0").select(doc.alias("value"))
+    rows = decisions(spark, d).select(doc.alias("value"))
     return rows.select(F.explode(F.from_json("value", "verify_accepts array<struct<verdict: string>>")["verify_accepts"]).alias("v")).groupBy(F.col("v.verdict").alias("decision")).agg(F.count("*").alias("n"))
 
 
@@ -200,18 +201,18 @@ def k1(spark, d):
     return tools.read_jsonl(spark, path, "project string, seq long").groupBy("project").agg(F.count("*").alias("n"))
 
 
-@query("k5_review_queue", with_views("findings", body="SELECT CASE WHEN code = 'F401' THEN 'import' WHEN code = 'E999' THEN 'syntax' WHEN code = 'W503' THEN 'logic' ELSE 'unknown' END AS category, count(*) AS n FROM findings WHERE seq % 4 = 1 GROUP BY 1"))
+@query("k5_review_queue", with_views("findings", body="SELECT CASE WHEN code = 'F401' THEN 'import' WHEN code = 'E999' THEN 'syntax' WHEN code = 'W503' THEN 'logic' ELSE 'unknown' END AS category, count(*) AS n FROM findings GROUP BY 1"))
 def k5(spark, d):
     path = shared_folder(spark, "sinks")
-    rows = findings(spark, d).filter("seq % 4 = 1").select("seq", control.review_category(F.col("code"), F.lit("")).alias("category"))
+    rows = findings(spark, d).select("seq", control.review_category(F.col("code"), F.lit("")).alias("category"))
     sinks.review_queue(rows, path)
     return spark.read.parquet(path).groupBy("category").agg(F.count("*").alias("n"))
 
 
-@query("k7_training_export", with_views("decisions", body="SELECT count(*) AS n FROM decisions WHERE seq % 3 = 0"))
+@query("k7_training_export", with_views("decisions", body="SELECT count(*) AS n FROM decisions"))
 def k7(spark, d):
     path = shared_folder(spark, "sinks")
-    rows = decisions(spark, d).filter("seq % 3 = 0").select("code", F.lit("python").alias("language"), F.col("reason").alias("message"), F.array(F.lit("x")).alias("after_snippet"))
+    rows = decisions(spark, d).select("code", F.lit("python").alias("language"), F.col("reason").alias("message"), F.array(F.lit("x")).alias("after_snippet"))
     sinks.export_text(mining.export_messages(rows), path)
     return spark.read.text(path).filter(F.get_json_object("value", "$.messages[1].role") == "assistant").agg(F.count("*").alias("n"))
 
@@ -231,3 +232,15 @@ def g7(spark, d):
 
     rows = top(edges(spark, d), ["src"], 5, [F.col("dst")])
     return rows.groupBy("src").agg(F.count("*").alias("n"), F.min("dst").alias("first"))
+
+
+@query("x_parsers_over_documents")
+def parsers(spark, d):
+    """What the parser-based scanners find in whole documents and snippets."""
+    t = _source_texts(spark, d)
+    count = lambda rows, kind: rows.groupBy("file").agg(F.count("*").alias("n")).withColumn("kind", F.lit(kind))
+    found = [count(code.code_in_comments(t), "comments"), count(code.functions_of(t), "functions"), count(code.docstrings(t), "docstrings"), count(code.macros(t), "macros"), count(code.literal_counts(t), "literals")]
+    out = found[0]
+    for x in found[1:]:
+        out = out.unionByName(x)
+    return out

@@ -38,9 +38,9 @@ def a6(spark, d):
     return findings(spark, d).agg(F.round(F.sum(F.coalesce("base_weight", F.lit(1.0))), 6).alias("total"))
 
 
-@query("a9_cascade_clusters", with_views("findings", "edges", body="+m AS (SELECT concat('c', seq % 25) AS node, count(*) AS n FROM findings WHERE seq % 7 = 0 GROUP BY 1 HAVING count(*) > 1) SELECT m.node, m.n, count(DISTINCT e.src) AS dependents FROM m LEFT JOIN edges e ON e.dst = m.node GROUP BY m.node, m.n"))
+@query("a9_cascade_clusters", with_views("findings", "edges", body="+m AS (SELECT concat('c', seq % 25) AS node, count(*) AS n FROM findings GROUP BY 1 HAVING count(*) > 1) SELECT m.node, m.n, count(DISTINCT e.src) AS dependents FROM m LEFT JOIN edges e ON e.dst = m.node GROUP BY m.node, m.n"))
 def a9(spark, d):
-    m = findings(spark, d).filter("seq % 7 = 0").groupBy(F.concat(F.lit("c"), F.col("seq") % 25).alias("node")).agg(F.count("*").alias("n")).filter("n > 1")
+    m = findings(spark, d).groupBy(F.concat(F.lit("c"), F.col("seq") % 25).alias("node")).agg(F.count("*").alias("n")).filter("n > 1")
     deps = edges(spark, d).groupBy(F.col("dst").alias("node")).agg(F.count_distinct("src").alias("dependents"))
     return m.join(deps, "node", "left").na.fill(0, ["dependents"])
 
@@ -196,12 +196,12 @@ def g5d(spark, d):
     return graph.impact(edges(spark, d), _starts(spark, d)).withColumn("impact", F.round("impact", 9))
 
 
-@query("g6_unused_symbols", "SELECT CASE WHEN p_brand LIKE '%1%' THEN 'unsure' WHEN p_type IN ('ECONOMY', 'PROMO') THEN 'safe' ELSE 'suppress' END AS verdict, count(*) AS n FROM part WHERE p_partkey % 3 = 0 GROUP BY 1")
+@query("g6_unused_symbols", "SELECT CASE WHEN p_brand LIKE '%1%' THEN 'unsure' WHEN p_type IN ('ECONOMY', 'PROMO') THEN 'safe' ELSE 'suppress' END AS verdict, count(*) AS n FROM part GROUP BY 1")
 def g6(spark, d):
     kind = F.when(F.col("p_type").isin("ECONOMY", "PROMO"), "import").otherwise("function")
     reasons = F.array(F.when(F.col("p_brand").contains("1"), "Public name").otherwise("plain"))
-    rows = table(spark, d, "part").select("p_partkey", (F.col("p_partkey") % 3 != 0).alias("used"), kind.alias("kind"), reasons.alias("reasons"))
-    return rows.filter("NOT used").groupBy(graph.unused_verdict(F.col("kind"), F.col("reasons"), "safe").alias("verdict")).agg(F.count("*").alias("n"))
+    rows = table(spark, d, "part").select("p_partkey", kind.alias("kind"), reasons.alias("reasons"))
+    return rows.groupBy(graph.unused_verdict(F.col("kind"), F.col("reasons"), "safe").alias("verdict")).agg(F.count("*").alias("n"))
 
 
 @query("g8_state_hash", with_views("decisions", body="SELECT project, sha256(string_agg(concat(file, ':', n), ',' ORDER BY file)) AS state FROM (SELECT project, file, count(*) AS n FROM decisions GROUP BY 1, 2) GROUP BY project"))
