@@ -24,8 +24,12 @@ from collections.abc import Iterator
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
+from tallyloom.llm.scratch import stash
+
 #: Pages of a part, about; levels of a tree that are aligned (deeper blocks vote with their ancestor there); children that are aligned one by one.
 PART, LEVELS, KIDS = 128, 48, 48
+#: Large hosts that are broadcast, at most; more of them are joined by a shuffle.
+TOLD = 65536
 #: Share of the pages that must have a text for it to be template; share of links that makes a menu; share of shared text that makes near copies.
 MOST, LINKS, ALIKE = 0.6, 0.6, 0.5
 BLOCK = frozenset("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hr html legend li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -385,8 +389,9 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", pag
     """
     rows = pages.select(F.col(page_id).alias("page_id"), F.col(url).alias("url"), F.col(page).alias("html")).withColumn("_host", F.lower(F.regexp_extract(F.coalesce("url", F.lit("")), r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/:?#]*)", 1)))
     counts = rows.groupBy("_host").count().filter(F.col("count") > PART)
-    parts = counts.select(F.col("_host").alias("_h"), F.ceil(F.col("count") / PART).cast("int").alias("_parts"))
-    dealt = rows.join(parts, F.col("_host") == F.col("_h"), "left").withColumn("_part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("_parts", F.lit(1))))
+    parts = stash(counts.select(F.col("_host").alias("_h"), F.ceil(F.col("count") / PART).cast("int").alias("_parts")), "hosts")
+    few = parts.count() <= TOLD
+    dealt = rows.join(F.broadcast(parts) if few else parts, F.col("_host") == F.col("_h"), "left").withColumn("_part", F.pmod(F.xxhash64("page_id", "url"), F.coalesce("_parts", F.lit(1))))
     kind = pages.schema[page_id].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -400,7 +405,10 @@ def extract(pages: DataFrame, *, page_id: str = "page_id", url: str = "url", pag
             rows = held[h]
             yield pa.RecordBatch.from_arrays([pa.array([i for i, _ in rows], id_type), pa.array([u for _, u in rows], pa.string()), pa.array([text] * len(rows), pa.string())], names=["page_id", "url", "text"])
 
-    return dealt.select("_host", "_part", "page_id", "url", "html").groupBy("_host", "_part").applyInArrow(run, f"page_id {kind}, url string, text string")
+    dealt = dealt.select("_host", "_part", "page_id", "url", "html")
+    if not few:  # else the groups would stay where the join has put whole hosts
+        dealt = dealt.repartition("_host", "_part")
+    return dealt.groupBy("_host", "_part").applyInArrow(run, f"page_id {kind}, url string, text string")
 
 
 def op5_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:

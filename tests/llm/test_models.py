@@ -351,7 +351,9 @@ def test_extract_of_odd_pages(spark):
     assert html_extract.extract(df.limit(0)).count() == 0
 
 
-def test_order_of_rows_and_repeats_do_not_matter(spark):
+@pytest.mark.parametrize("told", [0, 65536])
+def test_order_of_rows_and_repeats_do_not_matter(spark, monkeypatch, told):
+    monkeypatch.setattr(html_extract, "TOLD", told)
     rows = [(i, f"http://h.x/{i}", site(i)) for i in range(300)] + [(7, "http://h.x/7", site(7))] * 40
     got = [{(r.page_id, r.text) for r in html_extract.extract(spark.createDataFrame(x, "page_id long, url string, html string")).collect()} for x in (rows, rows[::-1])]
     assert got[0] == got[1] == {(i, story(i)) for i in range(300)}
