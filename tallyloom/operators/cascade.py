@@ -24,24 +24,41 @@ def syntax_cascade(df: DataFrame) -> DataFrame:
 def dependency_cascade(df: DataFrame) -> DataFrame:
     """Per file, in line order: a finding with a missing-dependency code that is not derived yet roots all later findings that mention one of its symbols.
 
-    What a finding becomes depends on the marks of those before it, so a file is handled as a group;
-    findings of one file are few.  df: the result of syntax_cascade.
+    What a finding becomes depends on the marks of those before it, so a file is handled as a group.  One automaton finds
+    all symbols in all messages of the file; each symbol marks the findings that mention it once, for its first root, since all
+    later ones that mention it are derived by then: the time is linear in the messages.  df: the result of syntax_cascade.
     """
     kinds = frozenset(MISSING_DEPENDENCY)
     rows = df.withColumn("_symbols", symbols(F.col("message")))
 
     def mark(group: pd.DataFrame) -> pd.DataFrame:
+        import ahocorasick
+
         group = group.assign(_l=group["line"].fillna(0)).sort_values(["_l", "seq"], kind="stable").reset_index(drop=True)
         if not group["file"].iloc[0]:
             return group.drop(columns=["_symbols", "_l"])
-        derived, root = list(group["derived_from"]), list(group["is_root"])
-        for i, names in enumerate(group["_symbols"]):
-            if derived[i] is not None or group["code"][i] not in kinds or len(names) == 0:
+        derived, root, line = list(group["derived_from"]), list(group["is_root"]), group["_l"].tolist()
+        able = [i for i, names in enumerate(group["_symbols"]) if derived[i] is None and group["code"][i] in kinds and len(names)]
+        found = ahocorasick.Automaton()
+        for n in {n for i in able for n in group["_symbols"][i]}:
+            found.add_word(n, n)
+        places: dict[str, list[int]] = {}
+        if able:
+            found.make_automaton()
+            for j, message in enumerate(group["message"]):
+                for n in {n for _, n in found.iter(message or "")}:
+                    places.setdefault(n, []).append(j)
+        used: set[str] = set()
+        for i in able:
+            if derived[i] is not None:
                 continue
             root[i] = True
-            for j in range(len(group)):
-                if j != i and derived[j] is None and group["_l"][j] >= group["_l"][i] and any(n in (group["message"][j] or "") for n in names):
-                    derived[j] = group["sig"][i]
+            for n in group["_symbols"][i]:
+                if n not in used:
+                    for j in places[n]:
+                        if j != i and derived[j] is None and line[j] >= line[i]:
+                            derived[j] = group["sig"][i]
+                    used.add(n)
         return group.assign(derived_from=derived, is_root=root).drop(columns=["_symbols", "_l"])
 
     return rows.groupBy("file").applyInPandas(mark, df.schema)

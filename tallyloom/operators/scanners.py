@@ -214,3 +214,66 @@ def changed_lines(patch: Column) -> Column:
         return F.struct(at.alias("at"), out.alias("out"))
 
     return F.array_distinct(F.aggregate(rows, start, step)["out"])
+
+
+# Syntax that needs a newer version of Python, newest first.
+NEWER_SYNTAX = (
+    (312, r"(?m)^\s*type\s+[A-Za-z_]\w*\s*(\[[^\]\n]*\])?\s*="),
+    (312, r"(?m)^\s*(?:async\s+)?def\s+[A-Za-z_]\w*\s*\["),
+    (312, r"(?m)^\s*class\s+[A-Za-z_]\w*\s*\["),
+    (311, r"(?m)^\s*except\*\s+"),
+)
+SYNTAX_CODES = ("E999", "invalid-syntax", "E902", "syntax")
+
+
+def newer_syntax(text: Column) -> Column:
+    """The version (100 times the major one and the minor one) that the newest syntax in a text needs; null if there is none."""
+    return F.greatest(*[F.when(F.coalesce(text, F.lit("")).rlike(p), v) for v, p in NEWER_SYNTAX])
+
+
+def split_by_version(findings: DataFrame, files: DataFrame, current: int, required: int | None = None) -> DataFrame:
+    """findings with ``needs``: the version for which a syntax error is none, if that is newer than ours; null for findings to keep.
+
+    The project's own required version counts first, then the syntax of the file's text (``file, text``).
+    """
+    syntax = (F.col("error_type") == "syntax") | F.col("code").isin(*SYNTAX_CODES)
+    asked = files.select("file", newer_syntax(F.col("text")).alias("_needs"))
+    if required is not None and required > current:
+        asked = asked.withColumn("_needs", F.lit(required))
+        return findings.withColumn("needs", F.when(F.coalesce(syntax, F.lit(False)), F.lit(required)))
+    out = findings.join(asked.filter(F.col("_needs") > current), "file", "left")
+    return out.withColumn("needs", F.when(F.coalesce(syntax, F.lit(False)), F.col("_needs"))).drop("_needs")
+
+
+def segments(lines: DataFrame, most: int = 400) -> DataFrame:
+    """``file, segment, start, end`` of each file: cut before the last line that opens a top-level block, so that no segment has more than most lines.
+
+    lines: ``file, line, text``.  A file is read in order once; a segment without such a line is cut at its limit.
+    """
+    opens = F.col("text").rlike(r"^(?:async\s+def|def|class|@|fn|pub|impl|struct|enum|trait|mod|function|export|interface|func|type|public|private|protected|namespace|template)\b|^@")
+    whole = lines.groupBy("file").agg(F.array_sort(F.collect_list(F.when(opens, F.col("line")))).alias("at"), F.max("line").alias("n"))
+    start = F.struct(F.lit(1).cast("long").alias("lo"), F.array().cast("array<struct<start: long, end: long>>").alias("out"))
+
+    def step(s: Column, at: Column) -> Column:
+        # the block before ``at`` ends there; it is cut where it grows over the limit
+        over = at["next"] - s["lo"] > most
+        cut = F.when(at["line"] > s["lo"], at["line"]).otherwise(s["lo"] + most)
+        first = F.struct(s["lo"].alias("start"), (cut - 1).alias("end"))
+        # what is left of an overlong block is cut at the limit as often as needed
+        rest = F.greatest(F.lit(0).cast("long"), F.floor((at["next"] - cut - 1) / F.lit(most)).cast("long"))
+        more = F.when(rest > 0, F.transform(F.sequence(F.lit(0).cast("long"), rest - 1), lambda k: F.struct((cut + k * most).alias("start"), (cut + (k + 1) * most - 1).alias("end")))).otherwise(F.array().cast("array<struct<start: long, end: long>>"))
+        return F.when(over, F.struct((cut + rest * most).alias("lo"), F.concat(s["out"], F.array(first), more).alias("out"))).otherwise(s)
+
+    n = F.col("n").cast("long")
+    places = F.array_distinct(F.concat(F.array(F.lit(1).cast("long")), F.transform("at", lambda x: x.cast("long"))))
+    pairs = F.transform(places, lambda x, i: F.struct(x.alias("line"), F.coalesce(F.get(places, i + 1), n + 1).alias("next")))
+    done = whole.select("file", n.alias("n"), F.aggregate(pairs, start, step).alias("s"))
+    rows = done.select("file", F.posexplode(F.concat("s.out", F.array(F.struct(F.col("s.lo").alias("start"), F.col("n").alias("end"))))).alias("segment", "x"))
+    return rows.select("file", "segment", "x.start", "x.end")
+
+
+def braces(text: Column) -> Column:
+    """Open less closed brackets of each kind ``round, square, curly``; strings and comments are not told apart."""
+    t = F.coalesce(text, F.lit(""))
+    count = lambda c: F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))
+    return F.struct(*[(count(a) - count(b)).alias(n) for n, a, b in (("round", "(", ")"), ("square", "[", "]"), ("curly", "{", "}"))])

@@ -42,6 +42,33 @@ def run_summary(df: DataFrame, key: list[str]) -> DataFrame:
     )
 
 
+def run_kpis(runs: DataFrame, decisions: DataFrame, key: list[str]) -> DataFrame:
+    """The KPIs of each run: its own counters, what they say of each other, and its decisions' counts.
+
+    runs: key, ``initial_errors, final_errors, scan_before, scan_after`` and any further counters, which are kept
+    (timeouts, rollbacks, stop reason ...).  fixed_percent is 0 without initial errors; scan_delta is null unless both scans
+    are there.  Values are counted per key first, so no group of decisions is gathered.
+    """
+    is_ = lambda c, v: F.col(c) == v
+    rebuilt = is_("patch_source", "syntax_reconstruction")
+    numbers = decisions.groupBy(*key).agg(
+        F.count("*").alias("decisions"), F.count_if("symbol_regression").alias("symbol_regressions"), F.count_distinct(F.when(is_("decision", "ACCEPT"), F.col("file"))).alias("accepted_files"), F.count_distinct(F.when(is_("decision", "REJECT"), F.col("file"))).alias("rejected_files"),
+        F.count_if(is_("decision", "NEEDS_REVIEW")).alias("needs_review"), F.count_if(rebuilt).alias("reconstruction_attempts"), F.count_if(rebuilt & is_("decision", "FAILED")).alias("reconstruction_failed"),
+    )
+
+    def by(column: str, name: str, rows: DataFrame) -> DataFrame:
+        each = rows.filter(F.col(column) != "").groupBy(*key, F.col(column).alias("v")).agg(F.count("*").alias("n"))
+        joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("v", "n"))), lambda x: F.concat(x["v"], F.lit("="), x["n"].cast("string"))), ",")
+        return each.groupBy(*key).agg(joined.alias(name))
+
+    initial, fixed = F.col("initial_errors"), F.col("initial_errors") - F.col("final_errors")
+    out = runs.withColumns({"fixed": fixed, "fixed_percent": F.when(initial == 0, 0.0).otherwise(F.round(100.0 * fixed / initial, 1)), "scan_delta": F.col("scan_before") - F.col("scan_after"), "duration_seconds": F.round("duration_seconds", 1)}).join(numbers, key, "left")
+    names = {"by_outcome": ("decision", decisions), "by_source": ("patch_source", decisions), "by_verdict": ("review_verdict", decisions), "reconstruction_outcomes": ("decision", decisions.filter(rebuilt))}
+    for name, (column, rows) in names.items():
+        out = out.join(by(column, name, rows), key, "left")
+    return out.na.fill("", list(names)).na.fill(0, ["decisions", "symbol_regressions", "accepted_files", "rejected_files", "needs_review", "reconstruction_attempts", "reconstruction_failed"])
+
+
 def project_outcome(accepted: Column, needs_review: Column, findings: Column, failed: Column) -> tuple[Column, Column]:
     """FAIL, EMPTY, PARTIAL or PASS, and the score 2 * accepted + needs_review / 2, plus 1 or minus 3."""
     outcome = F.when(failed, "FAIL").when(findings == 0, "EMPTY").when(accepted == 0, "PARTIAL").otherwise("PASS")

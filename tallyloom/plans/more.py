@@ -244,3 +244,21 @@ def parsers(spark, d):
     for x in found[1:]:
         out = out.unionByName(x)
     return out
+
+
+@query("s13_cargo_failures", """SELECT p_partkey, v.* FROM part, LATERAL (SELECT concat('tests::t', p_size) AS name, 'src/lib.rs' AS file, p_size AS line, concat('left != ', p_size) AS message WHERE p_partkey % 3 < 2 UNION ALL SELECT 'tests::other', 'src/a.rs', 7, 'oh no' WHERE p_partkey % 3 < 2 UNION ALL SELECT concat('tests::t', p_size), '', 0, 'test failed' WHERE p_partkey % 3 = 2) v""")
+def s13c(spark, d):
+    n = F.col("p_size").cast("string")
+    old = F.concat(F.lit("---- tests::t"), n, F.lit(" stdout ----\nthread 'x' panicked at 'left != "), n, F.lit("', src/lib.rs:"), n, F.lit(":9\n---- tests::other stdout ----\nthread 'y' panicked at src/a.rs:7:1:\n  oh no\nfailures:\n    tests::other\n"))
+    new = F.concat(F.lit("running 2 tests\n---- tests::t"), n, F.lit(" stdout ----\nthread 'x' panicked at src/lib.rs:"), n, F.lit(":9:\nleft != "), n, F.lit("\n---- tests::other stdout ----\nthread 'y' panicked at src/a.rs:7:1:\n  oh no\n"))
+    names = F.concat(F.lit("x\n\nfailures:\n    tests::t"), n, F.lit("\n\ntest result: FAILED"))
+    kind = F.col("p_partkey") % 3
+    logs = table(spark, d, "part").select("p_partkey", F.when(kind == 0, old).when(kind == 1, new).otherwise(names).alias("text"))
+    return tools.cargo_failures(logs).select("p_partkey", "name", "file", "line", "message")
+
+
+@query("s13_jest_failures", "SELECT p_partkey, v.* FROM part, LATERAL (SELECT concat('math > adds ', p_size) AS name, 'test/math.test.js' AS file, p_size AS line, concat('expected ', p_size) AS message UNION ALL SELECT 'no frame', '', 0, 'test failed' WHERE p_partkey % 2 = 0) v")
+def s13j(spark, d):
+    n = F.col("p_size").cast("string")
+    text = F.concat(F.lit("FAIL test/math.test.js\n  \u25cf math > adds "), n, F.lit("\n\n    expected "), n, F.lit("\n      at Object.<anonymous> (test/math.test.js:"), n, F.lit(":19)\n"), F.when(F.col("p_partkey") % 2 == 0, "  \u25cf no frame\n").otherwise(""))
+    return tools.jest_failures(table(spark, d, "part").select("p_partkey", text.alias("text"))).select("p_partkey", "name", "file", "line", "message")

@@ -28,6 +28,21 @@ def a4s(spark, d):
     return decisions(spark, d).filter("patch_source <> ''").groupBy("patch_source", "decision").agg(F.count("*").alias("n"))
 
 
+RUN = "r AS (SELECT project, max(error_count) AS initial_errors, min(error_count) AS final_errors, CASE WHEN count(*) % 3 <> 0 THEN max(line) END AS scan_before, min(line) AS scan_after, count(DISTINCT user_id) AS iterations, count(*) FILTER (WHERE reason = 'guard') AS rollbacks, sum(value) AS duration_seconds, CASE WHEN count(*) % 2 = 0 THEN 'completed' ELSE 'stalled' END AS stop_reason FROM decisions GROUP BY project)"
+TALLY = "(SELECT string_agg(concat({0}, '=', n), ',' ORDER BY {0}) FROM (SELECT {0}, count(*) AS n FROM decisions x WHERE x.project = r.project AND {1} GROUP BY 1))"
+
+
+@query("a4_run_kpis", with_views("decisions", body=f"""+{RUN}, f AS (SELECT project, count(DISTINCT file) FILTER (WHERE decision = 'ACCEPT') AS accepted_files, count(DISTINCT file) FILTER (WHERE decision = 'REJECT') AS rejected_files, count(*) FILTER (WHERE decision = 'NEEDS_REVIEW') AS needs_review, count(*) AS decisions, count(*) FILTER (WHERE symbol_regression) AS symbol_regressions,
+ count(*) FILTER (WHERE patch_source = 'syntax_reconstruction') AS reconstruction_attempts, count(*) FILTER (WHERE patch_source = 'syntax_reconstruction' AND decision = 'FAILED') AS reconstruction_failed FROM decisions GROUP BY project)
+SELECT r.project, initial_errors, final_errors, initial_errors - final_errors AS fixed, CASE WHEN initial_errors = 0 THEN 0 ELSE round(100 * (initial_errors - final_errors)::DOUBLE / initial_errors, 1) END::DOUBLE AS fixed_percent, scan_before, scan_after, scan_before - scan_after AS scan_delta, decisions, symbol_regressions, accepted_files, rejected_files, needs_review, iterations, rollbacks, round(duration_seconds, 1) AS duration_seconds, stop_reason, reconstruction_attempts, reconstruction_failed,
+ coalesce({TALLY.format('decision', 'true')}, '') AS by_outcome, coalesce({TALLY.format('patch_source', "patch_source <> ''")}, '') AS by_source, coalesce({TALLY.format('review_verdict', "review_verdict <> ''")}, '') AS by_verdict, coalesce({TALLY.format('decision', "patch_source = 'syntax_reconstruction'")}, '') AS reconstruction_outcomes FROM r JOIN f ON f.project = r.project"""))
+def a4k(spark, d):
+    x = decisions(spark, d)
+    n = F.count("*")
+    runs = x.groupBy("project").agg(F.max("error_count").alias("initial_errors"), F.min("error_count").alias("final_errors"), F.when(n % 3 != 0, F.max("line")).alias("scan_before"), F.min("line").alias("scan_after"), F.count_distinct("user_id").alias("iterations"), F.count_if(F.col("reason") == "guard").alias("rollbacks"), F.sum("value").alias("duration_seconds"), F.when(n % 2 == 0, "completed").otherwise("stalled").alias("stop_reason"))
+    return stats.run_kpis(runs, x, ["project"])
+
+
 @query("a5_breakdown", with_views("findings", body="SELECT tool, count(*) AS n FROM findings GROUP BY tool"))
 def a5(spark, d):
     return findings(spark, d).groupBy("tool").agg(F.count("*").alias("n"))
@@ -185,15 +200,23 @@ def g4(spark, d):
     return graph.cascade_score(edges(spark, d), w)
 
 
-@query("g5_impact", _closure("SELECT r.start AS node, (SELECT count(*) FROM e WHERE e.dst = r.start) AS radius, count(*) > 0 AS reached FROM r GROUP BY r.start"))
+#: Nodes as paths, some of them critical, with patches of 10 to 109 lines.
+PATHS = "CASE WHEN {0} LIKE 'n%' THEN concat('config/', {0}) WHEN {0} LIKE 'r%' THEN concat(CASE {0} WHEN 'r0' THEN 'src/main.py' ELSE concat('src/', {0}, '.py') END) ELSE {0} END"
+
+
+@query("g5_impact", f"""WITH RECURSIVE e0 AS ({SQL['edges']}), e AS (SELECT DISTINCT {PATHS.format('src')} AS src, {PATHS.format('dst')} AS dst FROM e0), r(start, node, depth) AS (SELECT DISTINCT dst, dst, 0 FROM e UNION SELECT r.start, e.src, r.depth + 1 FROM r JOIN e ON e.dst = r.node WHERE r.depth < 16),
+m AS (SELECT start, node, min(depth) AS depth FROM r GROUP BY 1, 2), g AS (SELECT start AS node, count(*) FILTER (WHERE depth = 1) AS radius, max(depth) AS depth FROM m GROUP BY 1)
+SELECT node, radius, depth, round(0.3 * ln(radius + 1) + 0.2 * depth + CASE WHEN node LIKE 'config/%' OR node = 'src/main.py' THEN CASE WHEN length(node) * 7 > 50 THEN 0.75 ELSE 0.5 END ELSE 0 END, 9) AS impact FROM g""")
 def g5(spark, d):
-    return graph.impact(edges(spark, d), _starts(spark, d)).select("node", "radius", F.lit(True).alias("reached"))
+    path = lambda c: F.expr(PATHS.format(c)).alias(c)
+    e = edges(spark, d).select(path("src"), path("dst"))
+    return graph.impact(e, e.select(F.col("dst").alias("node")).distinct(), F.length("node") * 7).select("node", "radius", "depth", F.round("impact", 9).alias("impact"))
 
 
 @query("g5_depth", f"""WITH RECURSIVE e AS (SELECT DISTINCT src, dst FROM ({SQL['edges']})), r(start, node, depth) AS (SELECT DISTINCT dst, dst, 0 FROM e UNION SELECT r.start, e.src, r.depth + 1 FROM r JOIN e ON e.dst = r.node WHERE r.depth < 16),
 m AS (SELECT start, node, min(depth) AS depth FROM r GROUP BY 1, 2), g AS (SELECT start AS node, count(*) FILTER (WHERE depth = 1) AS radius, max(depth) AS depth FROM m GROUP BY 1) SELECT *, round(0.3 * ln(radius + 1) + 0.2 * depth, 9) AS impact FROM g""")
 def g5d(spark, d):
-    return graph.impact(edges(spark, d), _starts(spark, d)).withColumn("impact", F.round("impact", 9))
+    return graph.impact(edges(spark, d), _starts(spark, d)).withColumn("impact", F.round("impact", 9)).drop("criticality")
 
 
 @query("g6_unused_symbols", "SELECT CASE WHEN p_brand LIKE '%1%' THEN 'unsure' WHEN p_type IN ('ECONOMY', 'PROMO') THEN 'safe' ELSE 'suppress' END AS verdict, count(*) AS n FROM part GROUP BY 1")

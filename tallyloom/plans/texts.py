@@ -182,22 +182,23 @@ def j10(spark, d):
     return scanners.tokens_to_definitions(s, names)
 
 
-@query("x12_segments", with_views("doc_lines", body="SELECT doc_id, (line - 1) // 40 AS segment, count(*) AS lines FROM doc_lines GROUP BY 1, 2"))
+@query("x12_segments")
 def x12(spark, d):
-    return doc_lines(spark, d).groupBy("doc_id", F.floor((F.col("line") - 1) / 40).alias("segment")).agg(F.count("*").alias("lines"))
+    return scanners.segments(source_lines(spark, d), 40)
 
 
-@query("x15_newer_syntax", f"WITH {_snippet_sql()} SELECT CASE WHEN regexp_matches(text, '^\\s*type\\s+\\w+\\s*=') THEN '3.12' WHEN regexp_matches(text, ':\\s*str\\s*=') THEN '3.6' ELSE 'any' END AS version, count(*) AS n FROM sn GROUP BY 1")
+NEEDS = "greatest(" + ", ".join(f"CASE WHEN regexp_matches(text, {quoted(p)}) THEN {v} END" for v, p in scanners.NEWER_SYNTAX) + ")"
+
+
+@query("x15_newer_syntax", f"WITH {_lines_sql()}, t AS (SELECT file, string_agg(text, chr(10) ORDER BY line) AS text FROM sn GROUP BY file) SELECT file, {NEEDS} AS needs FROM t")
 def x15(spark, d):
-    v = F.when(F.col("text").rlike(r"^\s*type\s+\w+\s*="), "3.12").when(F.col("text").rlike(r":\s*str\s*="), "3.6").otherwise("any")
-    return snippets(spark, d).groupBy(v.alias("version")).agg(F.count("*").alias("n"))
+    return _source_texts(spark, d).select("file", scanners.newer_syntax(F.col("text")).alias("needs"))
 
 
-@query("x16_braces", "SELECT doc_id, length(coalesce(text, '')) - length(replace(coalesce(text, ''), '(', '')) - (length(coalesce(text, '')) - length(replace(coalesce(text, ''), ')', ''))) AS open FROM documents")
+@query("x16_braces", "SELECT doc_id, " + ", ".join(f"length(coalesce(text, '')) - length(replace(coalesce(text, ''), '{a}', '')) - (length(coalesce(text, '')) - length(replace(coalesce(text, ''), '{b}', ''))) AS {n}" for n, a, b in (("round", "(", ")"), ("square", "[", "]"), ("curly", "{", "}"))) + " FROM documents")
 def x16(spark, d):
-    t = F.coalesce("text", F.lit(""))
-    n = lambda c: F.length(t) - F.length(F.replace(t, F.lit(c), F.lit("")))
-    return table(spark, d, "documents").select("doc_id", (n("(") - n(")")).cast("long").alias("open"))
+    b = table(spark, d, "documents").select("doc_id", scanners.braces(F.col("text")).alias("b")).select("doc_id", "b.*")
+    return b.select("doc_id", *[F.col(c).cast("long").alias(c) for c in ("round", "square", "curly")])
 
 
 @query("f14_grep", with_views("doc_lines", body="SELECT doc_id, line, substr(trim(text), 1, 200) AS text FROM doc_lines WHERE regexp_matches(text, '(?i)token =') ORDER BY doc_id, line LIMIT 100"))
@@ -206,10 +207,17 @@ def f14(spark, d):
     return scanners.grep(rows, "token =").select(F.col("file").alias("doc_id"), "line", "text")
 
 
-@query("f1_version_filter", with_views("findings", body="SELECT code, count(*) FILTER (WHERE NOT (code = 'E999' AND seq % 3 = 0)) AS kept, count(*) FILTER (WHERE code = 'E999' AND seq % 3 = 0) AS skipped FROM findings GROUP BY code"))
+#: Findings' files with the texts of the snippets' files, dealt by module.
+FILES = "fs AS (SELECT DISTINCT file, concat('f', length(file) * 7 % 10) AS of FROM findings)"
+
+
+@query("f1_version_filter", with_views("findings", body=f"+{FILES}, {_snippet_sql()}, t AS (SELECT file, string_agg(text, chr(10) ORDER BY line) AS text FROM sn GROUP BY file), n AS (SELECT fs.file, {NEEDS} AS needs FROM fs JOIN t ON t.file = fs.of) SELECT seq, CASE WHEN (error_type = 'syntax' OR code IN ('E999', 'invalid-syntax', 'E902', 'syntax')) AND n.needs > 310 THEN n.needs END AS needs FROM findings f LEFT JOIN n ON n.file = f.file"))
 def f1(spark, d):
-    skip = (F.col("code") == "E999") & (F.col("seq") % 3 == 0)
-    return findings(spark, d).groupBy("code").agg(F.count_if(~skip).alias("kept"), F.count_if(skip).alias("skipped"))
+    f = findings(spark, d)
+    joined = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "text"))), lambda x: x["text"]), "\n")
+    texts = snippets(spark, d).groupBy(F.col("file").alias("of")).agg(joined.alias("text"))
+    files = f.select("file", F.concat(F.lit("f"), F.length("file") * 7 % 10).alias("of")).distinct().join(texts, "of").select("file", "text")
+    return scanners.split_by_version(f, files, 310).select("seq", "needs")
 
 
 @query("p16_changed_lines", "SELECT p_partkey, CASE WHEN p_size % 2 = 0 THEN [p_size + 1, p_size + 2, p_size + 4] ELSE [p_size, p_size + 1, p_size + 70] END::INT[] AS lines FROM part")
@@ -391,3 +399,32 @@ def t_attempts(spark, d):
 def t_expire(spark, d):
     rows = table(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))
     return streaming.expire(rows, "ts", "2024-01-30 00:00:00", 7).agg(F.count("*").alias("n"))
+
+
+@query("s17_project_tree", with_views("findings", body="+p AS (SELECT DISTINCT file FROM findings) SELECT 'src' AS path, 'folder' AS kind, 0 AS depth UNION ALL SELECT DISTINCT regexp_extract(file, '^(src/[^/]*)/', 1), 'folder', 1 FROM p UNION ALL SELECT file, 'file', 2 FROM p"))
+def s17(spark, d):
+    return tools.project_tree(findings(spark, d).select("file").distinct()).select("path", "kind", "depth")
+
+
+@query("t3_append_log", "SELECT event_type, count(*) AS n FROM events GROUP BY event_type")
+def t_append(spark, d):
+    """An append-only log, run twice with one checkpoint: the second run takes up where the first ended, so nothing is there twice."""
+    out, at = shared_folder(spark, "log"), shared_folder(spark, "log-checkpoint")
+    for _ in range(2):
+        source = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events*.parquet").parquet(d)
+        streaming.append_log(source, out, at).awaitTermination()
+    return spark.read.parquet(out).groupBy("event_type").agg(F.count("*").alias("n"))
+
+
+@query("t1_dispatch", "SELECT event_type AS listener, count(*) AS n FROM events WHERE event_type IN ('error', 'view') GROUP BY 1")
+def t_dispatch(spark, d):
+    """Listeners of a bus; one of them always fails, and the others go on."""
+    out = shared_folder(spark, "bus")
+
+    def broken(rows):
+        raise ValueError("listener")
+
+    listeners = {"broken": broken, "error": lambda e: e.filter("event_type = 'error'"), "view": lambda e: e.filter("event_type = 'view'")}
+    source = spark.readStream.schema(table(spark, d, "events").schema).option("pathGlobFilter", "events*.parquet").parquet(d)
+    streaming.dispatch(source, listeners, out, shared_folder(spark, "bus-checkpoint")).awaitTermination()
+    return spark.read.option("recursiveFileLookup", True).parquet(f"{out}/error", f"{out}/view").groupBy(F.col("event_type").alias("listener")).agg(F.count("*").alias("n"))

@@ -121,8 +121,38 @@ def tracebacks(df: DataFrame, text: str = "text", project: str = r"(?!/)") -> Da
 
 
 def test_failures(lines: DataFrame, text: str = "value") -> DataFrame:
-    """Failed tests ``path, name`` of a test run's summary lines, each once."""
-    return lines.select(F.regexp_extract(text, r"^FAILED (\S+?)::(\S+)", 1).alias("path"), F.regexp_extract(text, r"^FAILED (\S+?)::(\S+)", 2).alias("name")).filter("path <> ''").distinct()
+    """Failed tests ``path, name`` of a test run's summary lines (FAILED or ERROR), each once."""
+    shape = r"^(?:FAILED|ERROR)\s+([^\s:]+)::(\S+?)(?:\s+-\s+.*)?$"
+    return lines.select(F.regexp_extract(text, shape, 1).alias("path"), F.regexp_extract(text, shape, 2).alias("name")).filter("path <> ''").distinct()
+
+
+def _blocks(log: Column, head: str) -> Column:
+    """What follows each line of a log that head matches (with the name as its group), up to the next: structs of name and body."""
+    marked = F.regexp_replace(log, head, "\u0001$1\u0002")
+    return F.transform(F.slice(F.split(marked, "\u0001"), 2, 1 << 30), lambda x: F.struct(F.substring_index(x, "\u0002", 1).alias("name"), F.substr(x, F.instr(x, "\u0002") + 1).alias("body")))
+
+
+def cargo_failures(logs: DataFrame, text: str = "text") -> DataFrame:
+    """Failed tests ``name, file, line, message`` of whole cargo logs: the blocks of their output, or else the names listed under "failures:"."""
+    new = r"panicked at\s+([^\s:]+):(\d+):\d+:\s*\n\s*(.+)"
+    old = r"(?s)panicked at\s+'?(.*?)'?\s*,\s*([^\s:]+):(\d+):\d+"
+    rows = logs.withColumn("_b", _blocks(F.col(text), r"(?m)^----\s+(\S+)\s+stdout\s+----\s*$"))
+    b = rows.select("*", F.explode("_b").alias("b")).select(*logs.columns, "b.*")
+    first = lambda p, q, i, j: F.when(F.col("body").rlike(p), F.regexp_extract("body", p, i)).otherwise(F.regexp_extract("body", q, j))
+    line, message = first(new, old, 2, 3), F.trim(first(new, old, 3, 1))
+    found = b.select(*logs.columns, "name", first(new, old, 1, 2).alias("file"), F.coalesce(F.try_to_number(F.when(line != "", line), F.lit("999999999")).cast("int"), F.lit(0)).alias("line"), F.when(message != "", message).otherwise("test panicked").alias("message"))
+    listed = F.regexp_extract(text, r"(?s)(?:^|\n)\s*failures:\s*\n((?:[ \t]*\S[^\n]*\n?)*)", 1)
+    names = F.array_distinct(F.filter(F.transform(F.split(listed, "\n"), lambda x: F.trim(x)), lambda x: (x != "") & ~x.startswith("test result")))
+    rest = rows.filter(F.size("_b") == 0).select(*logs.columns, F.explode(names).alias("name"), F.lit("").alias("file"), F.lit(0).alias("line"), F.lit("test failed").alias("message"))
+    return found.unionByName(rest)
+
+
+def jest_failures(logs: DataFrame, text: str = "text") -> DataFrame:
+    """Failed tests ``name, file, line, message`` of whole jest logs: each bullet's block, its first script frame and first line."""
+    frame = r"\(?([^\s()]+\.[jt]sx?):(\d+):\d+\)?"
+    b = logs.select("*", F.explode(_blocks(F.col(text), r"(?m)^\s*\u25cf\s+(.+?)\s*$")).alias("b")).select(*logs.columns, "b.*")
+    line, message = F.regexp_extract("body", frame, 2), F.trim(F.regexp_extract("body", r"(?m)^[ \t]*(\S.*)$", 1))
+    return b.select(*logs.columns, "name", F.regexp_extract("body", frame, 1).alias("file"), F.coalesce(F.try_to_number(F.when(line != "", line), F.lit("999999999")).cast("int"), F.lit(0)).alias("line"), F.when(message != "", message).otherwise("test failed").alias("message"))
 
 
 def rustc_messages(docs: DataFrame, text: str = "value") -> DataFrame:

@@ -56,3 +56,26 @@ def attempts(events: DataFrame, limit: int = 3) -> DataFrame:
 def expire(df: DataFrame, saved_at: str, now: str, days: int) -> DataFrame:
     """Cache rows that are not older than some days."""
     return df.filter(F.col(saved_at) >= F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {days} DAYS"))
+
+
+def append_log(events: DataFrame, path: str, checkpoint: str):
+    """Append all rows that are new to a log of files, each once, and stop; a later run goes on from the checkpoint."""
+    return events.writeStream.format("parquet").option("path", path).option("checkpointLocation", checkpoint).outputMode("append").trigger(availableNow=True).start()
+
+
+def dispatch(events: DataFrame, listeners: dict, path: str, checkpoint: str):
+    """Give each batch to the listeners (functions of DataFrames), in their order; what each returns is written below its name.
+
+    A listener that fails is logged and skipped for that batch; the others still get it.  A batch that is repeated after a
+    failure is written over, so results are there once.
+    """
+    import logging
+
+    def each(rows: DataFrame, batch: int) -> None:
+        for name, listen in listeners.items():
+            try:
+                listen(rows).write.mode("overwrite").parquet(f"{path}/{name}/batch={batch}")
+            except Exception:  # of one listener, whatever it is
+                logging.getLogger(__name__).exception("listener %s failed on batch %d", name, batch)
+
+    return events.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

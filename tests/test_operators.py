@@ -283,3 +283,81 @@ def test_project_tree(spark, rows):
     df = spark.createDataFrame([("a/b/x.py",), ("a/y.py",), ("z.py",)], "file string")
     rows(tools.project_tree(df).select("path", "kind", "depth", "truncated"), ("a", "folder", 0, False), ("a/b", "folder", 1, False), ("a/b/x.py", "file", 2, False), ("a/y.py", "file", 1, False), ("z.py", "file", 0, False))
     assert tools.project_tree(df, 2).filter("kind = 'folder' AND truncated").count() == 2
+
+
+def test_segments_cover_files_and_keep_blocks(spark):
+    import random
+
+    from tallyloom.operators import scanners
+
+    rnd, rows, opens = random.Random(2), [], {}
+    for f in range(12):
+        n = rnd.randint(1, 130)
+        opens[f"f{f}"] = [i for i in range(1, n + 1) if rnd.random() < (0.1 if f % 3 else 0.01)]
+        rows += [(f"f{f}", i, "def x():" if i in opens[f"f{f}"] else "    y = 1") for i in range(1, n + 1)]
+    df = spark.createDataFrame(rows, "file string, line long, text string")
+    got = {}
+    for r in scanners.segments(df, 20).orderBy("file", "segment").collect():
+        got.setdefault(r.file, []).append((r.start, r.end))
+    for f, parts in got.items():
+        n = max(i for g, i, _ in rows if g == f)
+        assert parts[0][0] == 1 and parts[-1][1] == n and all(a[1] + 1 == b[0] for a, b in zip(parts, parts[1:]))
+        assert all(1 <= e - s + 1 <= 20 for s, e in parts)
+        for (_, e), (s, _) in zip(parts, parts[1:]):  # a cut is at the opening of a block, if any is within reach
+            start = next(p for p in parts if p[1] == e)[0]
+            assert s in opens[f] or not [o for o in opens[f] if start < o <= start + 20] or s - start == 20
+    assert len(got) == 12 and scanners.segments(df.limit(0), 20).count() == 0
+
+
+@pytest.mark.parametrize("line,family,codes", [
+    ("x.password = 'abcdef'", "python", {"hardcoded_secret"}), ("x.password: str = 'abcdef'", "python", set()), ('token = "a" + os.environ["X"]', "python", set()), ("éeval(x)", "python", set()), ('Command::new("powershell")', "rust", {"command_injection"}),
+    ('query("x WHERE id = " + &id)', "rust", {"sql_injection"}), ('query(AssertSqlSafe(format!("SELECT {}", x)))', "rust", set()), ("a.innerHTML == b", "js", set()), ("strncpy(a); strcpy(b)", "cpp", set()), ('cur.execute("drop table t" + x)', "python", set()), (None, "python", set()),
+])
+def test_security_rules(spark, line, family, codes):
+    from tallyloom.operators import scanners
+
+    df = spark.createDataFrame([("f", 1, line)], "file string, line int, text string")
+    assert {r.code for r in scanners.security_scan(df, family).collect()} == codes
+
+
+def test_authorship_features(spark):
+    from tallyloom.operators import scanners
+
+    text = "import os\nimport json\nfrom a.b import c\nuse crate::Player;\nprint(json)\ndef snake_case(): pass\ndef camelCase(): pass\n# TODO\n"
+    r = scanners.authorship(spark.createDataFrame([(text,), (" \n",), (None,)], "text string")).collect()
+    assert (r[0].unused_imports, r[0].mixed_style, r[0].placeholders) == (0.75, 0.3, 1.0)
+    assert abs(r[0].score - (0.3 + 0.15 * 0.75 + 0.2 * 0.3)) < 1e-9 and r[1].score == r[2].score == 0
+
+
+def test_versions(spark, rows):
+    from tallyloom.operators import scanners
+
+    f = spark.createDataFrame([("a", "E999", None), ("a", "W1", None), ("b", "E999", None), ("c", "x", "syntax")], "file string, code string, error_type string")
+    texts = spark.createDataFrame([("a", "type X = int"), ("b", "x = 1"), ("c", "try:\n    pass\nexcept* E:\n    pass")], "file string, text string")
+    rows(scanners.split_by_version(f, texts, 310), ("a", "E999", None, 312), ("a", "W1", None, None), ("b", "E999", None, None), ("c", "x", "syntax", 311))
+    assert scanners.split_by_version(f, texts, 310, 313).filter("needs = 313").count() == 3
+    assert scanners.split_by_version(f, texts, 312).filter("needs IS NOT NULL").count() == 0
+
+
+def test_impact_of_critical_files(spark):
+    edges = spark.createDataFrame([("a", "src/config/x.py"), ("b", "a"), ("c", "z.py")], "src string, dst string")
+    start = spark.createDataFrame([("src/config/x.py", 60), ("z.py", 60), ("a", 10)], "node string, lines int")
+    got = {r.node: r.criticality for r in graph.impact(edges, start, F.col("lines")).collect()}
+    assert got == {"src/config/x.py": 0.75, "z.py": 0.0, "a": 0.0}
+
+
+def test_reach_of_long_chains(spark):
+    edges = spark.createDataFrame([(f"n{i + 1}", f"n{i}") for i in range(8)], "src string, dst string")
+    start = spark.createDataFrame([("n0",)], "node string")
+    assert graph.reach(edges, start).agg(F.max("depth")).first()[0] == 8
+    with pytest.raises(RuntimeError):
+        graph.reach(edges, start, most_steps=5)
+
+
+def test_run_kpis_without_decisions_or_scans(spark):
+    from tallyloom.operators import stats
+
+    runs = spark.createDataFrame([("p", 0, 3, None, 2, 1.26)], "project string, initial_errors int, final_errors int, scan_before int, scan_after int, duration_seconds double")
+    none = spark.createDataFrame([], "project string, decision string, patch_source string, review_verdict string, file string, symbol_regression boolean")
+    r = stats.run_kpis(runs, none, ["project"]).first()
+    assert (r.fixed, r.fixed_percent, r.scan_delta, r.duration_seconds, r.decisions, r.by_outcome) == (-3, 0.0, None, 1.3, 0, "")
