@@ -124,3 +124,20 @@ def thresholds(scores: Column, depth: Column, iterations: Column) -> tuple[Colum
     accept, retry = accept * factor + more, retry * factor - more * 0.5
     middle = (accept + retry) / 2
     return F.when(retry >= accept, middle + 0.05).otherwise(accept), F.when(retry >= accept, middle - 0.05).otherwise(retry)
+
+
+def known_fixes(findings: DataFrame, fixes: DataFrame, key: list[str]) -> DataFrame:
+    """findings with ``known``: whether a fix of the same key is remembered."""
+    mark = fixes.select(*key).distinct().withColumn("_known", F.lit(True))
+    return findings.join(mark, key, "left").withColumn("known", F.coalesce("_known", F.lit(False))).drop("_known")
+
+
+def presence(targets: DataFrame, before: DataFrame, after: DataFrame, key: list[str]) -> DataFrame:
+    """Each target once, with ``in_before`` and ``in_after``."""
+    mark = lambda x, n: x.select(*key).distinct().withColumn(n, F.lit(True))
+    return targets.select(*key).distinct().join(mark(before, "in_before"), key, "left").join(mark(after, "in_after"), key, "left").na.fill(False, ["in_before", "in_after"])
+
+
+def reusable(cached: DataFrame, current: DataFrame, key: list[str]) -> DataFrame:
+    """Cached findings whose file still has the hash that it had."""
+    return cached.join(current.select(*key).distinct(), key, "left_semi")

@@ -90,3 +90,39 @@ def carried_verdicts(lines: DataFrame, key: list[str], order: list[str]) -> Data
     df = df.withColumns({"_code": F.first(F.when(patch, F.col("code")), ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, 0)), "_source": F.first(F.when(patch, F.col("source")), ignorenulls=True).over(inside.rowsBetween(W.unboundedPreceding, 0)), "_ended": F.coalesce(ended, F.lit(0))})
     live = (F.col("_p") > 0) & (F.col("_ended") == 0)
     return df.withColumns({"code": F.when(live, F.col("_code")), "source": F.when(live, F.col("_source"))}).filter(F.col("kind").isin("verdict", "reject")).drop("_p", "_code", "_source", "_ended")
+
+
+def progress(before: DataFrame, after: DataFrame, files: DataFrame) -> DataFrame:
+    """Findings ``before`` and ``after`` in some files, by one aggregation of both scans; null without any finding there."""
+    both = before.select("file", F.lit(1).alias("b"), F.lit(0).alias("a")).unionByName(after.select("file", F.lit(0).alias("b"), F.lit(1).alias("a")))
+    return both.join(files.select("file").distinct(), "file", "left_semi").agg(F.sum("b").alias("before"), F.sum("a").alias("after"))
+
+
+def success_rate(df: DataFrame, key: list[str], value: Column, accepted: Column) -> DataFrame:
+    """Mean value of the accepted rows of each key, 1 at most; 0.5 for keys without any."""
+    return df.groupBy(*key).agg(F.coalesce(F.least(F.avg(F.when(accepted, value)), F.lit(1.0)), F.lit(0.5)).alias("rate"))
+
+
+def merge_counters(parts: DataFrame, key: list[str], count: str) -> DataFrame:
+    """Counters that parallel workers have kept from one common start: the highest of each key."""
+    return parts.groupBy(*key).agg(F.max(count).alias(count))
+
+
+def merge_lists(base: DataFrame, parts: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+    """Rows that parallel workers have added beyond a common base, after it: rows of the base once, others as often as they were added; ``place`` is the new order."""
+    from pyspark.sql import Window as W
+
+    added = parts.join(base.select(*key).distinct(), key, "left_anti")
+    rows = base.withColumn("_new", F.lit(0)).unionByName(added.withColumn("_new", F.lit(1)), allowMissingColumns=True)
+    return rows.withColumn("place", F.row_number().over(W.partitionBy(key[0]).orderBy("_new", *order))).drop("_new")
+
+
+def patch_cap(df: DataFrame, accepted: Column, most: int = 30) -> DataFrame:
+    """Files that have had ``most`` accepted patches or more, with their number."""
+    return df.filter(accepted).groupBy("file").agg(F.count("*").alias("n")).filter(F.col("n") >= most)
+
+
+def decision_integrity(df: DataFrame, rejected: Column, counted: Column) -> DataFrame:
+    """Rejections in the log, those that the counter has, and whether the rows that it passes over explain the gap."""
+    g = df.agg(F.count_if(rejected).alias("log"), F.count_if(rejected & counted).alias("counter"), F.count_if(rejected & ~counted).alias("gap"))
+    return g.select("log", "counter", (F.col("log") - F.col("counter") == F.col("gap")).alias("explained"))

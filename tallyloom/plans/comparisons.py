@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from tallyloom.functions import rules, text
-from tallyloom.operators import cascade, dedup, diff, ranking
+from tallyloom.operators import cascade, dedup, diff, ranking, stats
 from tallyloom.plans.adapters import decisions, findings, scans, table, with_views
 from tallyloom.plans.registry import query
 from tallyloom.plans.scalars import CLASS, NORMAL, WEIGHT, classed
@@ -140,32 +140,27 @@ def j5(spark, d):
 @query("j6_known_fix", with_views("before_scan", "after_scan", body="SELECT a.seq, b.file IS NOT NULL AS known FROM after_scan a LEFT JOIN (SELECT DISTINCT file, code FROM before_scan WHERE seq % 9 = 0) b ON a.file = b.file AND a.code = b.code"))
 def j6(spark, d):
     b, a = scans(spark, d)
-    known = b.filter("seq % 9 = 0").select("file", "code").distinct().withColumn("k", F.lit(True))
-    return a.join(known, ["file", "code"], "left").select("seq", F.coalesce("k", F.lit(False)).alias("known"))
+    return diff.known_fixes(a, b.filter("seq % 9 = 0"), ["file", "code"]).select("seq", "known")
 
 
 @query("j7_target_presence", with_views("before_scan", "after_scan", body=f"+{KEYS}, t AS (SELECT DISTINCT file, line, code FROM findings) SELECT t.file, t.line, t.code, bk.file IS NOT NULL AS in_before, ak.file IS NOT NULL AS in_after FROM t LEFT JOIN bk ON bk.file = t.file AND bk.line = t.line AND bk.code = t.code LEFT JOIN ak ON ak.file = t.file AND ak.line = t.line AND ak.code = t.code"))
 def j7(spark, d):
     b, a = scans(spark, d)
-    key = ["file", "line", "code"]
-    mark = lambda x, n: x.select(*key).distinct().withColumn(n, F.lit(True))
-    t = findings(spark, d).select(*key).distinct().join(mark(b, "in_before"), key, "left").join(mark(a, "in_after"), key, "left")
-    return t.na.fill(False, ["in_before", "in_after"])
+    return diff.presence(findings(spark, d), b, a, ["file", "line", "code"])
 
 
 @query("j18_reuse_by_hash", with_views("before_scan", "after_scan", body="SELECT b.seq FROM before_scan b JOIN (SELECT DISTINCT file, md5(concat(file, seq % 2)) AS h FROM after_scan) a ON a.file = b.file AND a.h = md5(concat(b.file, b.seq % 2))"))
 def j18(spark, d):
     b, a = scans(spark, d)
     h = F.md5(F.concat("file", F.col("seq") % 2))
-    return b.withColumn("h", h).join(a.select("file", h.alias("h")).distinct(), ["file", "h"]).select("seq")
+    return diff.reusable(b.withColumn("h", h), a.withColumn("h", h), ["file", "h"]).select("seq")
 
 
 @query("j19_progress", with_views("before_scan", "after_scan", body="+acc AS (SELECT DISTINCT file FROM findings WHERE seq % 101 = 0) SELECT (SELECT count(*) FROM before_scan WHERE file IN (SELECT file FROM acc)) AS before, (SELECT count(*) FROM after_scan WHERE file IN (SELECT file FROM acc)) AS after"))
 def j19(spark, d):
     b, a = scans(spark, d)
     acc = findings(spark, d).filter("seq % 101 = 0").select("file").distinct()
-    both = b.select("file", F.lit(1).alias("b"), F.lit(0).alias("a")).unionByName(a.select("file", F.lit(0).alias("b"), F.lit(1).alias("a")))
-    return both.join(acc, "file", "left_semi").agg(F.sum("b").alias("before"), F.sum("a").alias("after"))
+    return stats.progress(b, a, acc)
 
 
 @query("j20_segments", with_views("before_scan", "after_scan", body="""+l AS (SELECT DISTINCT file, line FROM after_scan), sg AS (SELECT DISTINCT file, line - line % 10 AS a, line - line % 10 + 9 AS b FROM before_scan),

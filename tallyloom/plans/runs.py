@@ -84,28 +84,33 @@ def a15(spark, d):
     return g.agg(F.count("*").alias("projects"), F.count_if(o == "PASS").alias("passed"), F.round(F.count_if(o == "PASS") / F.nullif(F.count("*"), F.lit(0)), 3).alias("rate"))
 
 
-@query("a18_patch_cap", with_views("decisions", body="SELECT file, count(*) AS n FROM decisions WHERE decision = 'ACCEPT' GROUP BY file HAVING count(*) >= 15"))
+@query("a18_patch_cap", with_views("decisions", body="SELECT file, count(*) AS n FROM decisions WHERE decision IN ('ACCEPT', 'RETRY', 'FAILED') GROUP BY file HAVING count(*) >= 30"))
 def a18(spark, d):
-    return decisions(spark, d).filter("decision = 'ACCEPT'").groupBy("file").agg(F.count("*").alias("n")).filter("n >= 15")
+    return stats.patch_cap(decisions(spark, d), F.col("decision").isin("ACCEPT", "RETRY", "FAILED"))
 
 
 @query("a21_history_rate", with_views("decisions", body="SELECT file, round(coalesce(least(avg(CASE WHEN decision = 'ACCEPT' THEN value / 200 END), 1.0), 0.5), 9) AS rate FROM decisions GROUP BY file"))
 def a21(spark, d):
-    rate = F.coalesce(F.least(F.avg(F.when(F.col("decision") == "ACCEPT", F.col("value") / 200)), F.lit(1.0)), F.lit(0.5))
-    return decisions(spark, d).groupBy("file").agg(F.round(rate, 9).alias("rate"))
+    return stats.success_rate(decisions(spark, d), ["file"], F.col("value") / 200, F.col("decision") == "ACCEPT").withColumn("rate", F.round("rate", 9))
 
 
 @query("a22_parallel_merge", with_views("decisions", body="SELECT concat(file, code) AS k, max(n) AS n FROM (SELECT file, code, seq % 4 AS worker, count(*) AS n FROM decisions GROUP BY 1, 2, 3) GROUP BY 1"))
 def a22(spark, d):
     per = decisions(spark, d).groupBy("file", "code", (F.col("seq") % 4).alias("worker")).agg(F.count("*").alias("n"))
-    return per.groupBy(F.concat("file", "code").alias("k")).agg(F.max("n").alias("n"))
+    return stats.merge_counters(per.withColumn("k", F.concat("file", "code")), ["k"], "n")
+
+
+@query("a22_merge_lists", with_views("decisions", body="SELECT project, seq, row_number() OVER (PARTITION BY project ORDER BY (seq % 5 <> 0)::INT, worker, seq) AS place FROM (SELECT project, seq, 0 AS worker FROM decisions WHERE seq % 5 = 0 UNION ALL SELECT project, seq, seq % 4 FROM decisions WHERE seq % 5 <> 0)"))
+def a22l(spark, d):
+    x = decisions(spark, d).select("project", "seq")
+    base = x.filter("seq % 5 = 0").withColumn("worker", F.lit(0).cast("long"))
+    parts = x.withColumn("worker", F.col("seq") % 4)  # each worker holds the base and what it has added
+    return stats.merge_lists(base, parts, ["project", "seq"], ["worker", "seq"]).select("project", "seq", "place")
 
 
 @query("j15_integrity", with_views("decisions", body="SELECT count(*) FILTER (WHERE decision = 'REJECT') AS log, count(*) FILTER (WHERE decision = 'REJECT' AND reason <> 'guard') AS counter, count(*) FILTER (WHERE decision = 'REJECT') - count(*) FILTER (WHERE decision = 'REJECT' AND reason <> 'guard') = count(*) FILTER (WHERE decision = 'REJECT' AND reason = 'guard') AS explained FROM decisions"))
 def j15(spark, d):
-    rej = F.col("decision") == "REJECT"
-    g = decisions(spark, d).agg(F.count_if(rej).alias("log"), F.count_if(rej & (F.col("reason") != "guard")).alias("counter"), F.count_if(rej & (F.col("reason") == "guard")).alias("gap"))
-    return g.select("log", "counter", (F.col("log") - F.col("counter") == F.col("gap")).alias("explained"))
+    return stats.decision_integrity(decisions(spark, d), F.col("decision") == "REJECT", F.col("reason") != "guard")
 
 
 @query("p36_live_decision", with_views("decisions", body="""SELECT seq, CASE WHEN error_count < line AND seq % 5 <> 0 THEN CASE WHEN review_verdict = 'wrong' OR symbol_regression THEN 'NEEDS_REVIEW' ELSE 'ACCEPT' END WHEN error_count = line AND seq % 5 <> 0 AND review_verdict IN ('ok', 'skipped') AND confidence >= 0.85 THEN 'ACCEPT' WHEN error_count >= line THEN 'REJECT:error_count_not_decreased' ELSE 'REJECT:target_error_still_present' END AS outcome FROM decisions"""))
