@@ -1,6 +1,6 @@
 """Scanners that need a parser: comments, functions, literals, doc strings, macros and diffs of Python, C and other sources.
 
-Each is a function from a text to rows, run over Arrow batches; a text that cannot be parsed gives no rows.
+Each is a function from a text to rows, run over Arrow batches; a text that cannot be parsed, or is too complex for the parser, gives no rows.
 """
 
 from __future__ import annotations
@@ -40,7 +40,7 @@ def _comments(text: str) -> list[dict]:
         for t in tokenize.generate_tokens(io.StringIO(text).readline):
             if t.type == tokenize.COMMENT and DANGEROUS.search(t.string):
                 out.append({"line": t.start[0], "text": t.string})
-    except (tokenize.TokenError, SyntaxError, ValueError):
+    except (tokenize.TokenError, SyntaxError, ValueError, MemoryError, RecursionError):
         pass
     return out
 
@@ -53,7 +53,7 @@ def code_in_comments(df: DataFrame, **names) -> DataFrame:
 def _functions(text: str) -> list[dict]:
     try:
         tree = ast.parse(text)
-    except (SyntaxError, ValueError):
+    except (SyntaxError, ValueError, MemoryError, RecursionError):
         return []
     out = {}
     for node in ast.walk(tree):
@@ -113,7 +113,7 @@ def logic_changes(before: DataFrame, after: DataFrame, key: str = "file") -> Dat
 def _literals(text: str) -> list[dict]:
     try:
         tree = ast.parse(text)
-    except (SyntaxError, ValueError):
+    except (SyntaxError, ValueError, MemoryError, RecursionError):
         return [{"bytes": len(re.findall(r"\bb[\"']", text)), "numbers": 0, "parsed": False}]
     kinds = [type(n.value) for n in ast.walk(tree) if isinstance(n, ast.Constant)]
     return [{"bytes": kinds.count(bytes), "numbers": sum(k in (int, float, complex) for k in kinds), "parsed": True}]
@@ -127,7 +127,7 @@ def literal_counts(df: DataFrame, **names) -> DataFrame:
 def _docs(text: str) -> list[dict]:
     try:
         tree = ast.parse(text)
-    except (SyntaxError, ValueError):
+    except (SyntaxError, ValueError, MemoryError, RecursionError):
         return []
     found = [n for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))]
     return [{"name": n.name, "kind": "class" if isinstance(n, ast.ClassDef) else "function", "doc": d, "line": n.lineno} for n in found if (d := ast.get_docstring(n))]

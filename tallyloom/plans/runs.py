@@ -28,7 +28,7 @@ def a4s(spark, d):
     return decisions(spark, d).filter("patch_source <> ''").groupBy("patch_source", "decision").agg(F.count("*").alias("n"))
 
 
-RUN = "r AS (SELECT project, max(error_count) AS initial_errors, min(error_count) AS final_errors, CASE WHEN count(*) % 3 <> 0 THEN max(line) END AS scan_before, min(line) AS scan_after, count(DISTINCT user_id) AS iterations, count(*) FILTER (WHERE reason = 'guard') AS rollbacks, sum(value) AS duration_seconds, CASE WHEN count(*) % 2 = 0 THEN 'completed' ELSE 'stalled' END AS stop_reason FROM decisions GROUP BY project)"
+RUN = "r AS (SELECT project, max(error_count) AS initial_errors, min(error_count) AS final_errors, CASE WHEN count(*) % 3 <> 0 THEN max(line) END AS scan_before, min(line) AS scan_after, count(DISTINCT user_id) AS iterations, count(*) FILTER (WHERE reason = 'guard') AS rollbacks, sum(floor(value * 4)::BIGINT) / 4.0 AS duration_seconds, CASE WHEN count(*) % 2 = 0 THEN 'completed' ELSE 'stalled' END AS stop_reason FROM decisions GROUP BY project)"
 TALLY = "(SELECT string_agg(concat({0}, '=', n), ',' ORDER BY {0}) FROM (SELECT {0}, count(*) AS n FROM decisions x WHERE x.project = r.project AND {1} GROUP BY 1))"
 
 
@@ -39,7 +39,7 @@ SELECT r.project, initial_errors, final_errors, initial_errors - final_errors AS
 def a4k(spark, d):
     x = decisions(spark, d)
     n = F.count("*")
-    runs = x.groupBy("project").agg(F.max("error_count").alias("initial_errors"), F.min("error_count").alias("final_errors"), F.when(n % 3 != 0, F.max("line")).alias("scan_before"), F.min("line").alias("scan_after"), F.count_distinct("user_id").alias("iterations"), F.count_if(F.col("reason") == "guard").alias("rollbacks"), F.sum("value").alias("duration_seconds"), F.when(n % 2 == 0, "completed").otherwise("stalled").alias("stop_reason"))
+    runs = x.groupBy("project").agg(F.max("error_count").alias("initial_errors"), F.min("error_count").alias("final_errors"), F.when(n % 3 != 0, F.max("line")).alias("scan_before"), F.min("line").alias("scan_after"), F.count_distinct("user_id").alias("iterations"), F.count_if(F.col("reason") == "guard").alias("rollbacks"), (F.sum(F.floor(F.col("value") * 4)) / 4.0).alias("duration_seconds"), F.when(n % 2 == 0, "completed").otherwise("stalled").alias("stop_reason"))
     return stats.run_kpis(runs, x, ["project"])
 
 

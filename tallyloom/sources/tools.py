@@ -88,7 +88,7 @@ def python_syntax(df: DataFrame, file: str = "file", text: str = "text") -> Data
             for f, t in zip(batch.column("file").to_pylist(), batch.column("text").to_pylist(), strict=True):
                 try:
                     ast.parse(t or "")
-                except (SyntaxError, ValueError) as e:
+                except (SyntaxError, ValueError, MemoryError, RecursionError) as e:
                     out.append({"file": f, "line": getattr(e, "lineno", None) or 0, "message": str(getattr(e, "msg", e))})
             yield pa.RecordBatch.from_pylist(out, pa.schema([("file", pa.string()), ("line", pa.int32()), ("message", pa.string())]))
 

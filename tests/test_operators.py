@@ -361,3 +361,12 @@ def test_run_kpis_without_decisions_or_scans(spark):
     none = spark.createDataFrame([], "project string, decision string, patch_source string, review_verdict string, file string, symbol_regression boolean")
     r = stats.run_kpis(runs, none, ["project"]).first()
     assert (r.fixed, r.fixed_percent, r.scan_delta, r.duration_seconds, r.decisions, r.by_outcome) == (-3, 0.0, None, 1.3, 0, "")
+
+
+def test_texts_too_complex_for_the_parser(spark):
+    from tallyloom.operators import code
+
+    df = spark.createDataFrame([("f", "(" * 5000 + "x"), ("g", "a." * 40000 + "b"), ("h", None), ("i", "not " * 30000 + "x")], "file string, text string")
+    assert tools.python_syntax(df).filter("file = 'f'").count() == 1
+    for scan in (code.functions_of, code.docstrings, code.code_in_comments, code.literal_counts):
+        scan(df).collect()
