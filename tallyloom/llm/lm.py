@@ -29,6 +29,8 @@ HEAD, WORDS, KINDS = 1 << 18, 4096, 4
 #: Tokens a replica has at least, about; tokens of the first sample, about; replicas that are averaged by one task.
 REPLICA, SEED_TOKENS, FAN = 1 << 17, 1 << 17, 16
 RANGE_BYTES = 16 << 20
+#: Bytes of texts that are scored side by side.
+BESIDE = 12 << 20
 PUNCT = np.isin(np.arange(256), list(b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"))
 LN10 = math.log(10)
 BINS = 32
@@ -217,30 +219,46 @@ def _score(shared, bits: int):
             return pa.RecordBatch.from_arrays([none(pa.int64(), n), none(ids, n), none(pa.bool_(), n), *[none(pa.int64(), n)] * 2, *[none(pa.float64(), n)] * 2, *runs.columns], names=names)
 
         names = ["row", "doc_id", "held_out", "n_tokens", "n_known", "base", "score", "range", "keys", "rows"]
+        waiting: list[tuple] = []  # texts whose model probabilities are still to come, and their other columns
+
+        def score() -> Iterator[pa.RecordBatch]:
+            p = np.array([x.sum() for x in gru.score([x for texts, *_ in waiting for x in texts], model.end)]) / LN10
+            at = 0
+            for texts, columns, inner in waiting:
+                n = len(texts)
+                yield pa.RecordBatch.from_arrays([*columns, pa.array(p[at : at + n] + inner), none(pa.int64(), n), none(pa.binary(), n), none(pa.binary(), n)], names=names)
+                at += n
+            waiting.clear()
+
+        weight = 0
         for part in parts:
             ids = part.column("doc_id").type
             for lo, hi, t in batches(part.column("text"), 2 << 20):
                 key = keys(t)
                 n, symbol = model.look_up(key)
-                texts = _sequences(t, symbol, model.end)
                 ends = np.log10(model.docs + 1.0)
                 base = np.where(n >= 0, np.log10(np.maximum(n, 0) + 1.0), 0.0)
                 other = symbol >= model.words
                 inner = np.where(other, base - model.other_lower[np.where(other, symbol - model.words, 0)], 0.0)
                 per = lambda x: np.bincount(t.of, weights=x, minlength=t.n)
                 size_of = np.diff(t.first) + 1
-                p = np.array([x.sum() for x in gru.score(texts, model.end)]) / LN10
                 first = row + np.arange(t.n)
-                out = [pa.array(first), part.column("doc_id")[lo:hi], part.column("held_out")[lo:hi], pa.array(size_of), pa.array((per(n > 0) + (model.docs > 0)).astype(np.int64)), pa.array(per(base) + ends - size_of * model.lower), pa.array(p + per(inner))]
-                yield pa.RecordBatch.from_arrays([*out, none(pa.int64(), t.n), none(pa.binary(), t.n), none(pa.binary(), t.n)], names=names)
+                out = [pa.array(first), part.column("doc_id")[lo:hi], part.column("held_out")[lo:hi], pa.array(size_of), pa.array((per(n > 0) + (model.docs > 0)).astype(np.int64)), pa.array(per(base) + ends - size_of * model.lower)]
+                waiting.append((_sequences(t, symbol.astype(np.int32), model.end), out, per(inner)))
                 away = np.flatnonzero(n < 0)
                 rare.append(key[away])
                 rows.append(first[t.of[away]])
                 size += len(away)
                 row += t.n
+                weight += len(t.data)
+                if weight >= BESIDE:
+                    yield from score()
+                    weight = 0
                 if size > 1 << 19:
                     yield flush()
                     rare, rows, size = [], [], 0
+        if waiting:
+            yield from score()
         if size:
             yield flush()
 

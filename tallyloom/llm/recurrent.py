@@ -12,6 +12,8 @@ import numpy as np
 CLASS = 64
 #: Rows of a class up to which a training step joins it with other classes.
 FEW = 32
+#: Rows of a softmax that fit the processor's cache; states that are scored together.
+ROWS, BLOCK = 2048, 1 << 15
 f32 = np.float32
 
 
@@ -19,6 +21,15 @@ def _sigmoid(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-x))
 
 
+def _log_share(logits: np.ndarray, bias: np.ndarray, pick: np.ndarray) -> np.ndarray:
+    """The log softmax of each row at its pick; logits are used up."""
+    logits += bias
+    logits -= logits.max(1, keepdims=True)
+    own = logits[np.arange(len(pick)), pick]
+    np.exp(logits, out=logits)
+    return own - np.log(logits.sum(1))
+
+
 class Gru:
     """h' = (1 - z) h + z tanh(x_h + (r h) U_h), with x looked up by symbol; p(w) = p(class | h) p(w | class, h)."""
 
@@ -63,40 +74,50 @@ class Gru:
 
     def log_p(self, states: np.ndarray, target: np.ndarray) -> np.ndarray:
         """Natural log of the probability of each target after its state."""
-        out = np.empty(len(target), np.float64)
-        for lo in range(0, len(target), 1 << 15):
-            s, t = states[lo : lo + (1 << 15)], target[lo : lo + (1 << 15)]
-            kind = self.kind[t]
-            logits = s @ self.wc + self.bc
-            top = logits.max(1)
-            p = logits[np.arange(len(t)), kind] - top - np.log(np.exp(logits - top[:, None]).sum(1))
-            order = np.argsort(kind, kind="stable")
-            edge = np.searchsorted(kind[order], np.arange(len(self.wo) + 1))
-            for c in range(len(self.wo)):
-                rows = order[edge[c] : edge[c + 1]]
-                if len(rows):
-                    inner = s[rows] @ self.wo[c] + self.bo[c]
-                    top = inner.max(1)
-                    p[rows] += inner[np.arange(len(rows)), t[rows] - c * CLASS] - top - np.log(np.exp(inner - top[:, None]).sum(1))
-            out[lo : lo + (1 << 15)] = p
+        kind = self.kind[target]
+        order = np.argsort(kind, kind="stable")
+        s, t, kind = states[order], target[order], kind[order]
+        p = np.empty(len(t), np.float64)
+        for lo in range(0, len(t), ROWS):
+            part = slice(lo, lo + ROWS)
+            p[part] = _log_share(s[part] @ self.wc, self.bc, kind[part])
+        edge = np.searchsorted(kind, np.arange(len(self.wo) + 1))
+        for c in range(len(self.wo)):
+            for lo in range(edge[c], edge[c + 1], ROWS):
+                part = slice(lo, min(lo + ROWS, edge[c + 1]))
+                p[part] += _log_share(s[part] @ self.wo[c], self.bo[c], t[part] - c * CLASS)
+        out = np.empty(len(t), np.float64)
+        out[order] = p
         return out
 
     def score(self, texts: list[np.ndarray], end: int) -> list[np.ndarray]:
-        """ln p of every symbol of each text (which end with ``end``).  Each text is one sequence from first to last symbol; texts run side by side."""
+        """ln p of every symbol of each text (which end with ``end``).
+
+        Each text is one sequence from first to last symbol; texts run side by side.  States are kept only until BLOCK
+        of them are there, so the memory grows with the symbols, not with the states.
+        """
         order = np.argsort([-len(t) for t in texts], kind="stable")
         sizes = np.array([len(texts[i]) for i in order])
         start = np.concatenate(([0], np.cumsum(sizes)))
         flat = np.concatenate([texts[i] for i in order]) if len(texts) else np.zeros(0, np.int64)
-        states = np.empty((len(flat), self.hidden), f32)
+        p = np.empty(len(flat), np.float64)
         h = np.zeros((len(texts), self.hidden), f32)
         seen = np.full(len(texts), end)
-        for t in range(sizes[0] if len(sizes) else 0):
-            live = int(np.searchsorted(-sizes, -t))
+        held, places, n = [], [], 0
+        longest = sizes[0] if len(sizes) else 0
+        lives = np.searchsorted(-sizes, -np.arange(longest)) if len(sizes) else []
+        for t in range(longest):
+            live = int(lives[t])
             h = self.step(seen[:live], h[:live])
             at = start[:live] + t
-            states[at] = h
+            held.append(h)
+            places.append(at)
+            n += live
+            if n >= BLOCK or t == longest - 1:
+                where = np.concatenate(places)
+                p[where] = self.log_p(np.concatenate(held), flat[where])
+                held, places, n = [], [], 0
             seen = flat[at]
-        p = self.log_p(states, flat)
         out: list = [None] * len(texts)
         for k, i in enumerate(order):
             out[i] = p[start[k] : start[k + 1]]
