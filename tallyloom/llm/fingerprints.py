@@ -81,7 +81,7 @@ def fingerprint_with_next(docs: DataFrame, *, doc_id: str = "doc_id", text: str
     Documents are dealt to ranges of doc_id and sorted there; the last of a range gets the first of the
     next range.  Texts are shuffled once.  Null text: empty.  Null ids come last, equal ids in
     order of their texts, so repeated rows follow each other; a table of one row is its own successor; an empty table gives an
-    empty result.  Other columns of docs are not read.
+    empty result; doc_ids must be numbers.  Texts of any length are read whole.  Other columns of docs are not read.
     """
     docs = docs.select(F.col(doc_id).cast("long").alias("_id"), F.coalesce(F.col(text), F.lit("")).alias("_text"))
     docs = docs.withColumn("_range", _ranges(docs))

@@ -316,7 +316,7 @@ def jaccard_components(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "
 
     Documents without words (null or empty text) have no shingles and are linked with nothing.  Rows that repeat
     a doc_id are one document, linked with each other where they have words; a null doc_id is one document, smaller
-    than all others, whose component_id is null.  An empty table gives an empty result; other columns are not read.
+    than all others, whose component_id is null; doc_ids must be numbers.  An empty table gives an empty result; other columns are not read.
     """
     plain = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(FIRST)).alias("id"), F.col(text).alias("text"))
     out = Join(plain, words, num, den).run()

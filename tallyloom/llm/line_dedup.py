@@ -24,7 +24,8 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
     A null or empty text is one empty line; a null doc_id is one document, smaller than all others; rows
     that repeat a doc_id count as one document, and each keeps or loses lines like it; keys shorter than
-    min_chars code points always stay; an empty table gives an empty result.  docs may have any other
+    min_chars code points always stay; texts and lines of any length are read whole; doc_ids must be numbers (a string that is none
+    fails the cast); an empty table gives an empty result.  docs may have any other
     columns; of those named like an added one, the added one stays.
     """
     added = ("n_lines", "n_dropped", "kept_text")
@@ -51,7 +52,10 @@ def dedup_lines(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text",
 
 
 def drop_frequent_lines(docs: DataFrame, *, text: str = "text", **options) -> DataFrame:
-    """docs with the frequent lines gone from their texts; n_chars, if there, is that of the new text."""
+    """docs with the frequent lines gone from their texts; n_chars, if there, is that of the new text.
+
+    Rows, columns and odd values are as in dedup_lines: every row stays, a null text becomes empty, repeated rows lose the same lines.
+    """
     out = dedup_lines(docs, text=text, **options).withColumn(text, F.col("kept_text"))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.char_length(text).cast("long"))
