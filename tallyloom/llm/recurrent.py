@@ -10,8 +10,8 @@ import math
 import numpy as np
 
 CLASS = 64
-#: Rows of a class up to which a training step joins it with other classes.
-FEW = 32
+#: Classes with at most so many rows (and more than the bound before) are handled together in a training step.
+FEW = (4, 8, 16, 32)
 #: Rows of a softmax that fit the processor's cache; states that are scored together.
 ROWS, BLOCK = 2048, 1 << 15
 f32 = np.float32
@@ -187,11 +187,13 @@ def train(model: Gru, stream: np.ndarray, fresh: np.ndarray, end: int, *, lanes:
         order = np.argsort(kind, kind="stable")
         edge = np.searchsorted(kind[order], np.arange(len(model.wo) + 1))
         many = np.diff(edge)
-        few = np.flatnonzero((many > 0) & (many <= FEW))
-        at = edge[few][:, None] + np.arange(FEW)  # classes of few rows side by side; what is beyond a class's rows counts nothing
-        real = np.arange(FEW) < many[few][:, None]
-        groups = [(few, order[np.minimum(at, max(0, len(order) - 1))], real)] if len(few) else []
-        groups += [(np.array([k]), order[edge[k] : edge[k + 1]][None], np.ones((1, many[k]), bool)) for k in np.flatnonzero(many > FEW)]
+        groups = []
+        for below, most in zip((0, *FEW), FEW):
+            few = np.flatnonzero((many > below) & (many <= most))
+            if len(few):
+                at = edge[few][:, None] + np.arange(most)  # classes of few rows side by side; what is beyond a class's rows counts nothing
+                groups.append((few, order[np.minimum(at, len(order) - 1)], np.arange(most) < many[few][:, None]))
+        groups += [(np.array([k]), order[edge[k] : edge[k + 1]][None], np.ones((1, many[k]), bool)) for k in np.flatnonzero(many > FEW[-1])]
         for k, r, real in groups:
             inputs = s[r]
             inner = inputs @ model.wo[k]
@@ -217,11 +219,11 @@ def train(model: Gru, stream: np.ndarray, fresh: np.ndarray, end: int, *, lanes:
             drh = dc @ model.uh.T
             dz = dh * (c - h) * z * (1 - z)
             dr = drh * h * r * (1 - r)
-            da[t] = np.concatenate((dr, dz, dc), 1)
-            dg = da[t, :, : 2 * n]
-            grad["u"] += h.T @ dg
-            grad["uh"] += rh.T @ dc
-            dh = (dh * (1 - z) + drh * r + dg @ model.u.T) * ~fs[t][:, None]
+            da[t, :, :n], da[t, :, n : 2 * n], da[t, :, 2 * n :] = dr, dz, dc
+            dh = (dh * (1 - z) + drh * r + da[t, :, : 2 * n] @ model.u.T) * ~fs[t][:, None]
+        before, gated = (np.concatenate([k[i] for k in keep]) for i in (0, 2))
+        grad["u"][:] = before.T @ da[:, :, : 2 * n].reshape(-1, 2 * n)
+        grad["uh"][:] = gated.T @ da[:, :, 2 * n :].reshape(-1, n)
         flat = xs.ravel()
         order = np.argsort(flat, kind="stable")
         edge = np.flatnonzero(np.concatenate(([True], flat[order[1:]] != flat[order[:-1]])))
