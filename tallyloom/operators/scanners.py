@@ -21,6 +21,8 @@ CPP_UNBOUNDED = ("strcpy", "strcat", "sprintf", "gets", "vsprintf", "scanf")
 CPP_BOUNDED = ("strncpy", "strncat", "snprintf", "vsnprintf", "fgets")
 SHELLS = ("sh", "bash", "zsh", "cmd", "powershell")
 PLACEHOLDERS = ("TODO", "FIXME", "XXX", "HACK", r"implementation\s+here", r"your\s+code\s+here", r"add\s+(?:logic|implementation|code)\s+here", "placeholder", r"\.\.\.", "unimplemented!")
+#: White space at a line's ends.
+BLANKS = " \t\n\x0b\x0c\r\x1c\x1d\x1e\x1f\x85\xa0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
 AUTHORSHIP = {"placeholders": 0.30, "repeated_lines": 0.20, "long_names": 0.15, "unused_imports": 0.15, "mixed_style": 0.20}
 COMMENT = {"python": ("#",), "js": ("//", "*", "/*"), "rust": ("//",), "csharp": ("//", "*", "/*"), "cpp": ("//", "*", "/*")}
 
@@ -136,25 +138,29 @@ def authorship(df: DataFrame, text: str = "text") -> DataFrame:
     t = F.coalesce(F.col(text), F.lit(""))
     lines = split_lines(F.col(text))
     n = F.greatest(F.size(lines), F.lit(1))
-    placeholders = F.least(F.lit(1.0), F.size(F.filter(lines, lambda x: x.rlike("(?i)" + _any(PLACEHOLDERS, r"\b", r"\b")))) / n * 10)
-    kept = F.filter(F.transform(lines, lambda x: F.regexp_replace(x, r"(?U)^\s+|\s+$", "")), lambda x: (F.length(x) >= 10) & ~x.rlike(r"^(#|//|/\*|\*)"))
+    # patterns with Unicode classes are slow: each runs only on texts that a plain one lets through
+    marked = t.rlike("(?i)" + "|".join(PLACEHOLDERS))
+    placeholders = F.when(marked, F.least(F.lit(1.0), F.size(F.filter(lines, lambda x: x.rlike("(?i)" + _any(PLACEHOLDERS, r"\b", r"\b")))) / n * 10)).otherwise(0.0)
+    kept = F.filter(F.transform(lines, lambda x: F.btrim(x, F.lit(BLANKS))), lambda x: (F.length(x) >= 10) & ~x.rlike(r"^(#|//|/\*|\*)"))
     # the longest run of equal lines once they are sorted; no quadratic comparison within a text
     run = F.aggregate(F.array_sort(kept), F.struct(F.lit("").alias("v"), F.lit(0).alias("k"), F.lit(0).alias("best")), lambda s, x: F.struct(x.alias("v"), F.when(x == s["v"], s["k"] + 1).otherwise(1).alias("k"), F.greatest(s["best"], F.when(x == s["v"], s["k"] + 1).otherwise(1)).alias("best")))["best"]
     repeated = F.when(run < 3, 0.0).otherwise(F.least(F.lit(1.0), (run - 2) / 6))
-    names = F.least(F.lit(1.0), F.size(F.array_distinct(F.regexp_extract_all(t, F.lit(r"(?U)\b([A-Za-z_][A-Za-z0-9_]{34,})\b"), 1))) / 5)
+    names = F.when(t.rlike("[A-Za-z0-9_]{35}"), F.least(F.lit(1.0), F.size(F.array_distinct(F.regexp_extract_all(t, F.lit(r"(?U)\b([A-Za-z_][A-Za-z0-9_]{34,})\b"), 1))) / 5)).otherwise(0.0)
     imported = F.concat(_last_names(t, r"(?mdU)^\s*use\s+([A-Za-z_][\w:]*)", "::"), _last_names(t, r"(?mdU)^\s*(?:import|from)\s+([A-Za-z_][\w.]*)", "[.]"))
+    importing = t.rlike(r"(?:^|[^\x21-\x7e])(?:use|import|from)[^\x21-\x7e]")
     unused = F.size(F.filter(imported, lambda x: (x != "") & (F.regexp_count(t, F.concat(F.lit(r"(?U)\b"), x, F.lit(r"\b"))) <= 1))) / F.greatest(F.size(imported), F.lit(1))
+    unused = F.when(importing, unused).otherwise(0.0)
     tabs = F.when(t.contains("\n\t") & t.contains("\n    "), 0.4).otherwise(0.0)
     ends = F.when(t.contains("\r\n") & F.replace(t, F.lit("\r\n"), F.lit("")).contains("\n"), 0.3).otherwise(0.0)
     function = r"(?U)\b(?:def|fn)\s+"
     snake = F.exists(F.regexp_extract_all(t, F.lit("(?i)" + function + "([a-z][a-z0-9_]*)"), 1), lambda x: x.contains("_") | (F.lower(x) == x))
     camel = t.rlike(function + r"[a-z][A-Za-z0-9]*[A-Z]\w*")
-    style = F.least(F.lit(1.0), tabs + ends + F.when(snake & camel, 0.3).otherwise(0.0))
+    style = F.least(F.lit(1.0), tabs + ends + F.when(t.rlike("(?i)(?:def|fn)[^\\x21-\\x7e]") & snake & camel, 0.3).otherwise(0.0))
     found = {"placeholders": placeholders, "repeated_lines": repeated, "long_names": names, "unused_imports": unused, "mixed_style": style}
     blank = ~t.rlike(r"(?U)\S")
     found = {k: F.when(blank, 0.0).otherwise(v) for k, v in found.items()}
-    score = sum((found[k] * w for k, w in AUTHORSHIP.items()), F.lit(0.0))
-    return df.withColumns({**found, "score": F.greatest(F.lit(0.0), F.least(F.lit(1.0), score))})
+    score = sum((F.col(k) * w for k, w in AUTHORSHIP.items()), F.lit(0.0))
+    return df.withColumns(found).withColumn("score", F.greatest(F.lit(0.0), F.least(F.lit(1.0), score)))
 
 
 #: Definitions by language group; group 1 is the name.
