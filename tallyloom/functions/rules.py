@@ -146,6 +146,58 @@ def synthetic_code(message: Column) -> Column:
     )
 
 
+# Families of codes, and patterns of messages with the code and type that stand for them; the first that fits counts.
+RUFF_TYPES = {
+    "ASYNC": "lint", "SIM": "lint", "COM": "lint", "TCH": "lint", "RUF": "lint", "PLE": "compile", "PLR": "lint", "PLW": "warning", "PL": "lint", "UP": "lint", "C4": "lint",
+    "B": "compile", "S": "security", "F": "lint", "I": "lint", "N": "lint", "E": "compile", "W": "warning", "D": "lint", "T": "lint", "Q": "lint", "A": "lint",
+}
+CSHARP_SYNTAX = ("CS1001", "CS1002", "CS1003", "CS1004", "CS1010", "CS1011", "CS1012", "CS1013", "CS1014", "CS1019", "CS1020", "CS1023", "CS1024", "CS1026", "CS1027", "CS1031", "CS1037", "CS1513", "CS1519", "CS1525")
+CSHARP_DEPENDENCY = ("CS0006", "CS0234", "CS0246")
+CSHARP_TYPE = ("CS0019", "CS0029", "CS0030", "CS0103", "CS0118", "CS0120", "CS0122", "CS0123", "CS0161", "CS0165", "CS0177", "CS0266", "CS1061", "CS1503", "CS1729")
+CSHARP_NULLABLE = ("CS8600", "CS8601", "CS8602", "CS8603", "CS8604", "CS8605", "CS8607", "CS8608", "CS8609", "CS8610", "CS8614", "CS8618", "CS8619", "CS8620", "CS8625", "CS8629", "CS8631", "CS8634")
+CSHARP_FAMILIES = {"CA": "lint", "IDE": "style", "IDISP": "resource", "SA": "style", "SX": "style", "RCS": "lint", "AD": "lint", "ASYNC": "concurrency", "ASP": "lint", "NU": "dependency", "VSTHRD": "concurrency", "S": "lint"}
+MESSAGES = {
+    "go": (
+        (r"(?i)syntax error: unexpected", "GO_SYNTAX", "syntax"), ("missing return at end of function", "GO_RETURN", "control"), (r"expected (?:\{|\}|\(|\))", "GO_SYNTAX", "syntax"), ("undefined:", "GO_UNDEFINED", "resolve"), ("imported and not used", "GO_UNUSED_IMP", "warning"),
+        (r"no required module provides|cannot find module|could not import|package .* is not in (?:GOROOT|std)", "GO_IMPORT", "dependency"), ("cannot use .* as .* in", "GO_TYPES", "type"), ("too many arguments|not enough arguments", "GO_ARGS", "type"), ("invalid operation", "GO_OPERAND", "type"),
+        ("cannot convert", "GO_TYPES", "type"), ("declared (?:but )?not used", "GO_UNUSED_VAR", "warning"), ("shadows declaration", "GO_SHADOW", "warning"), ("possible misuse of unsafe.Pointer", "GO_UNSAFE", "warning"), ("", "GO_UNKNOWN", "unknown"),
+    ),
+    "javac": (
+        ("';' expected", "JAVAC_SEMI", "syntax"), (r"'\}' expected|class, interface, .* expected", "JAVAC_BRACE", "syntax"), (r"'\)' expected|'\(' expected", "JAVAC_PAREN", "syntax"), ("reached end of file while parsing", "JAVAC_EOF", "syntax"), ("illegal start of (?:expression|type)", "JAVAC_SYNTAX", "syntax"),
+        ("cannot find symbol", "JAVAC_SYMBOL", "resolve"), ("package .* does not exist", "JAVAC_PACKAGE", "dependency"), ("incompatible types", "JAVAC_TYPES", "type"), ("bad operand types", "JAVAC_OPERAND", "type"), ("missing return statement", "JAVAC_RETURN", "control"),
+        ("variable .* might not have been initialized", "JAVAC_UNINIT", "control"), (r"\[unchecked\]", "JAVAC_UNCHECKED", "warning"), (r"\[deprecation\]", "JAVAC_DEPRECATED", "warning"), ("", "JAVAC_UNKNOWN", "unknown"),
+    ),
+    "kotlin": (
+        ("unresolved reference", "KT_UNRESOLVED", "resolve"), ("cannot resolve symbol|cannot access", "KT_UNRESOLVED", "resolve"), ("type mismatch", "KT_TYPES", "type"), ("argument type mismatch", "KT_TYPES", "type"), ("no value passed for parameter", "KT_ARGS", "type"), ("too many arguments", "KT_ARGS", "type"),
+        (r"only safe \(\?\.\) or non-null", "KT_NULLSAFE", "null_safety"), ("null can not be a value", "KT_NULLSAFE", "null_safety"), (r"expecting (?:'\}'|'\)'|'\{'|'\('|';'|an expression)", "KT_SYNTAX", "syntax"), ("syntax error", "KT_SYNTAX", "syntax"), (r"parameter '\w+' is never used", "KT_UNUSED_PARAM", "warning"),
+        (r"variable '\w+' is never used", "KT_UNUSED_VAR", "warning"), ("unused expression", "KT_UNUSED_EXPR", "warning"), ("deprecated", "KT_DEPRECATED", "warning"), ("a 'return' expression required", "KT_RETURN", "control"), ("", "KT_UNKNOWN", "unknown"),
+    ),
+}
+WEAK_MARKERS = {"any_type": r"\bAny\b", "type_ignore_comment": r"#\s*type:\s*ignore", "cast_any": r"\bcast\s*\(\s*Any\b", "return_object": r"->\s*object\b", "noqa_suppress": r"#\s*noqa\b"}
+CHECK_LINE = r"^\s*(?:assert\b|if\s)"
+ERODIBLE = ("import-untyped", "import-not-found", "untyped-decorator")
+
+
+def message_class(tool: str, message: Column) -> Column:
+    """Struct of the code and type that stand for a compiler's message."""
+    found = None
+    for pattern, code, kind in MESSAGES[tool]:
+        value = F.struct(F.lit(code).alias("code"), F.lit(kind).alias("type"))
+        found = (F if found is None else found).when(F.coalesce(message, F.lit("")).rlike(pattern), value)
+    return found
+
+
+def fix_strength(removed: Column, added: Column, code: Column) -> Column:
+    """Struct of strength, markers and category of a fix by its removed and added lines: weak if it gives up types, or drops checks for none."""
+    text = F.array_join(added, "\n")
+    given_up = [F.when(text.rlike(p), F.lit(name)) for name, p in WEAK_MARKERS.items()]
+    check = lambda lines: F.exists(lines, lambda x: x.rlike(CHECK_LINE))
+    markers = F.array_compact(F.array(*given_up, F.when(check(removed) & ~check(added), F.lit("removed_check_without_replacement"))))
+    weak = F.size(markers) > 0
+    category = F.when(weak & F.coalesce(code, F.lit("")).isin(*ERODIBLE), "by_design").when(weak, "concerning")
+    return F.struct(F.when(weak, "weak").otherwise("strong").alias("strength"), markers.alias("weak_markers"), category.alias("weak_category"))
+
+
 def finding_type(tool: str, code: Column, message: Column) -> Column:
     """Type of a tool's finding by its code, or by the message where the code does not tell."""
     code, m = F.coalesce(code, F.lit("")), F.lower(F.coalesce(message, F.lit("")))
@@ -163,4 +215,14 @@ def finding_type(tool: str, code: Column, message: Column) -> Column:
         return F.when(n.isin("1003", "1005", "1011", "1013", "1109", "1128", "1130", "1131", "1135", "1136", "1138", "1144"), "syntax").when(n == "2307", "dependency").when(n.isin("2304", "2552"), "resolve").when(n.isin("2322", "2339", "2345", "2358", "2367", "2532", "2769"), "type").when(n.isin("6133", "6196", "7006", "7053"), "warning").otherwise("unknown")
     if tool == "mypy":
         return F.when(m.contains("is not defined"), "resolve").when(m.contains("has no attribute"), "type").when(any_of(m, ("cannot find module", "cannot find implementation")), "dependency").when(m.contains("unreachable"), "warning").otherwise("type")
+    if tool in MESSAGES:
+        return message_class(tool, message)["type"]
+    if tool == "ruff":
+        return lookup(F.regexp_extract(code, r"^([\p{L}]*)", 1), RUFF_TYPES, "lint")
+    if tool == "dotnet":
+        family = lookup(F.regexp_extract(code, r"^(.*?)\d+$", 1), CSHARP_FAMILIES, "")
+        bracket = m.contains("expected") & any_of(m, ("'{'", "'}'", "'('", "')'", "';'"))
+        known = F.when(code.isin(*CSHARP_SYNTAX), "syntax").when(code.isin(*CSHARP_DEPENDENCY), "dependency").when(code.isin(*CSHARP_NULLABLE), "nullable").when(code.isin(*CSHARP_TYPE), "type").when(family != "", family)
+        said = known.when(bracket, "syntax").when(any_of(m, ("does not exist", "could not be found")), "dependency").when(any_of(m, ("cannot convert", "no overload", "does not contain a definition")), "type")
+        return said.when(code.startswith("CS0"), "compile").otherwise("unknown")
     raise ValueError(f"no types for {tool}")

@@ -6,6 +6,7 @@ Each is a function from a text to rows, run over Arrow batches; a text that cann
 from __future__ import annotations
 
 import ast
+import bisect
 import difflib
 import io
 import re
@@ -124,17 +125,79 @@ def literal_counts(df: DataFrame, **names) -> DataFrame:
     return explode_text(df, _literals, "bytes int, numbers int, parsed boolean", pa.schema([("bytes", pa.int32()), ("numbers", pa.int32()), ("parsed", pa.bool_())]), **names)
 
 
-def _docs(text: str) -> list[dict]:
+RUST_ITEM = re.compile(r"\s*(?:pub\s+)?(?:async\s+)?(fn|struct|enum|trait)\s+([A-Za-z_]\w*)")
+JS_ITEM = re.compile(r"\s*(?:export\s+)?(?:default\s+)?(?:async\s+)?(?:(?:function|(class))\s+([A-Za-z_$][\w$]*)|(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=\s*(?:async\s+)?(?:function|\([^)]*\)\s*=>)|([A-Za-z_$][\w$]*)\s*\([^)]*\)\s*\{)")
+CODE_LINES, BODY_LINES = 60, 81
+
+
+def _cut(lines: list[str]) -> str:
+    more = len(lines) - CODE_LINES
+    return "\n".join(lines[:CODE_LINES] + ([f"// ... [{more} more lines truncated]"] if more > 0 else []))
+
+
+def _item(lines: list[str], at: int, end: str | None) -> str:
+    """Code from a declaration to the brace that closes it, or to a line that ends with ``end`` before any brace."""
+    depth, opened, n = 0, False, 0
+    for n, x in enumerate(lines[at : at + BODY_LINES], 1):
+        opened = opened or "{" in x
+        depth += x.count("{") - x.count("}")
+        if (opened and depth <= 0) or (end and not opened and x.rstrip().endswith(end)):
+            break
+    return _cut(lines[at : at + n])
+
+
+def _python_docs(text: str) -> list[dict]:
     try:
         tree = ast.parse(text)
     except (SyntaxError, ValueError, MemoryError, RecursionError):
         return []
+    lines = text.splitlines()
     found = [n for n in ast.walk(tree) if isinstance(n, (ast.FunctionDef, ast.AsyncFunctionDef, ast.ClassDef))]
-    return [{"name": n.name, "kind": "class" if isinstance(n, ast.ClassDef) else "function", "doc": d, "line": n.lineno} for n in found if (d := ast.get_docstring(n))]
+    docs = ((n, (ast.get_docstring(n) or "").strip()) for n in found)
+    return [{"name": n.name, "kind": "class" if isinstance(n, ast.ClassDef) else "function", "doc": d, "line": n.lineno, "code": _cut(lines[n.lineno - 1 : n.end_lineno])} for n, d in docs if d]
+
+
+def _rust_docs(text: str) -> list[dict]:
+    lines, out, doc = text.splitlines(), [], []
+    pending = False  # a block of comments has ended, attributes may follow
+    for at, x in enumerate(lines):
+        start = x.strip()[:3]
+        if start in ("///", "//!"):
+            doc = ([] if pending else doc) + [re.sub(r"^\s*//[/!]\s?", "", x)]
+            pending = False
+        elif doc:
+            pending = True
+            if not start.startswith("#["):
+                if m := RUST_ITEM.match(x):
+                    out.append({"name": m[2], "kind": m[1], "doc": "\n".join(doc).strip(), "line": at + 1, "code": _item(lines, at, ";")})
+                doc, pending = [], False
+    return out
 
 
-def docstrings(df: DataFrame, **names) -> DataFrame:
-    return explode_text(df, _docs, "name string, kind string, doc string, line int", pa.schema([("name", pa.string()), ("kind", pa.string()), ("doc", pa.string()), ("line", pa.int32())]), **names)
+def _js_docs(text: str) -> list[dict]:
+    lines, out, at = text.splitlines(), [], 0
+    full = [n for n, x in enumerate(lines) if x.strip()]
+    while at < len(lines):
+        if "/**" not in lines[at]:
+            at += 1
+            continue
+        end = next((n for n in range(at, len(lines)) if "*/" in lines[n]), len(lines))
+        place = bisect.bisect_right(full, end)
+        m = JS_ITEM.match(lines[full[place]]) if place < len(full) else None
+        if m:
+            doc = (re.sub(r"^\*\s?", "", re.sub(r"\*/$", "", re.sub(r"^/\*\*?", "", x.strip()))).strip() for x in lines[at : end + 1])
+            out.append({"name": m[2] or m[3] or m[4], "kind": "class" if m[1] else "function", "doc": "\n".join(d for d in doc if d), "line": full[place] + 1, "code": _item(lines, full[place], None)})
+        at = end + 1
+    return out
+
+
+DOCS = {"python": _python_docs, "rust": _rust_docs, "js": _js_docs}
+
+
+def docstrings(df: DataFrame, language: str = "python", **names) -> DataFrame:
+    """Documented items ``name, kind, doc, line, code`` of each text; code is cut after 60 lines (the feature's limit)."""
+    arrow = pa.schema([("name", pa.string()), ("kind", pa.string()), ("doc", pa.string()), ("line", pa.int32()), ("code", pa.string())])
+    return explode_text(df, DOCS[language], "name string, kind string, doc string, line int, code string", arrow, **names)
 
 
 def _macros(text: str) -> list[dict]:
@@ -192,6 +255,57 @@ def python_edges(files: DataFrame) -> DataFrame:
     return used.join(there, "m").select("src", "dst").distinct()
 
 
+def _found(used: DataFrame, files: DataFrame) -> DataFrame:
+    """Edges from src to the first of its candidate paths that is a file."""
+    tried = used.select("src", "name", F.posexplode("paths").alias("_n", "dst"))
+    there = tried.join(files.select(F.col("file").alias("dst")).distinct(), "dst")
+    return there.groupBy("src", "name").agg(F.min_by("dst", "_n").alias("dst")).select("src", "dst").distinct()
+
+
+def rust_edges(files: DataFrame) -> DataFrame:
+    """``src, dst`` of "mod x;" lines: x.rs or x/mod.rs beside the file."""
+    used = files.select(F.col("file").alias("src"), F.explode(F.regexp_extract_all("text", F.lit(r"(?m)^\s*mod\s+([a-zA-Z_][a-zA-Z0-9_]*)\s*;"), 1)).alias("name")).distinct()
+    path = F.concat(F.regexp_extract("src", r"^(.*/)?[^/]*$", 1), "name")
+    return _found(used.withColumn("paths", F.array(F.concat(path, F.lit(".rs")), F.concat(path, F.lit("/mod.rs")))), files)
+
+
+def plain_path(path: Column) -> Column:
+    """The path without ".", ".." and empty parts; null if it leaves the root."""
+
+    def step(s: Column, x: Column) -> Column:
+        up = F.when(F.size(s) > 0, F.slice(s, 1, F.greatest(F.size(s) - 1, F.lit(0))))
+        return F.when(x.isin("", "."), s).when(x == "..", up).otherwise(F.concat(s, F.array(x)))
+
+    return F.array_join(F.aggregate(F.split(path, "/"), F.array().cast("array<string>"), step), "/")
+
+
+def js_edges(files: DataFrame) -> DataFrame:
+    """``src, dst`` of relative imports and requires of .js and .ts files: the path itself, with .js or .ts, or the index of the folder."""
+    quoted = r"[\"']([^\"']+)[\"']"
+    calls = F.regexp_extract_all("text", F.lit(r"import\s+.*?\s+from\s+" + quoted + r"|require\(" + quoted + r"\)"), 0)
+    name = F.regexp_extract("call", quoted + r"\)?$", 1)
+    used = files.filter(F.col("file").rlike(r"\.[jt]s$")).select(F.col("file").alias("src"), F.explode(calls).alias("call")).select("src", name.alias("name")).filter("name LIKE '.%'").distinct()
+    base = plain_path(F.concat(F.regexp_extract("src", r"^(.*/)?[^/]*$", 1), F.regexp_extract("name", r"^([^?#]*)", 1)))
+    return _found(used.withColumn("paths", F.array(*[F.concat(base, F.lit(x)) for x in ("", ".js", ".ts", "/index.js", "/index.ts")])), files)
+
+
+#: Lines that define a symbol, by language: (pattern, group of the kind or the kind itself, group of the name).
+SYMBOLS = {
+    "python": ((r"^\s*(?:async\s+)?def\s+([A-Za-z_]\w*)", "function", 1), (r"^\s*class\s+([A-Za-z_]\w*)", "class", 1)),
+    "rust": ((r"^\s*(?:pub(?:\([^)]+\))?\s+)?(?:async\s+)?(fn|struct|enum|trait|union|type|const|static|mod)\s+([A-Za-z_]\w*)", 1, 2),),
+    "js": tuple((r"^\s*(?:export\s+)?" + p, kind, 1) for p, kind in (
+        (r"(?:default\s+)?(?:async\s+)?function\s+([A-Za-z_$][\w$]*)", "function"), (r"(?:default\s+)?class\s+([A-Za-z_$][\w$]*)", "class"), (r"(?:const|let|var)\s+([A-Za-z_$][\w$]*)\s*=", "binding"), (r"interface\s+([A-Za-z_$][\w$]*)", "interface"), (r"type\s+([A-Za-z_$][\w$]*)", "type"),
+    )),
+}
+
+
+def symbol_index(lines: DataFrame, language: str) -> DataFrame:
+    """``file, line, name, kind, signature`` (the line, cut to 200 characters) of the lines that define something."""
+    shapes = [F.when(F.col("text").rlike(p), F.struct(F.regexp_extract("text", p, n).alias("name"), (F.regexp_extract("text", p, k) if isinstance(k, int) else F.lit(k)).alias("kind"))) for p, k, n in SYMBOLS[language]]
+    rows = lines.select("file", "line", "text", F.explode(F.array_compact(F.array(*shapes))).alias("s"))
+    return rows.select("file", "line", "s.name", "s.kind", F.substring(F.trim("text"), 1, 200).alias("signature"))
+
+
 def erosion(before: Column, after: Column, code: Column) -> Column:
     """Whether a patch added marks of given-up typing, for a code that could be fixed properly."""
     marks = (r":\s*Any\b", r"#\s*type:\s*ignore", r"\bcast\s*\(\s*Any\b", r"->\s*object\b")

@@ -108,3 +108,40 @@ def export_messages(rows: DataFrame) -> DataFrame:
     ask = F.format_string("Fix %s in this %s code: %s", F.coalesce("code", F.lit("?")), F.coalesce("language", F.lit("unknown")), F.coalesce("message", F.lit("")))
     turn = lambda role, text: F.struct(F.lit(role).alias("role"), text.alias("content"))
     return rows.select(F.to_json(F.struct(F.array(turn("user", ask), turn("assistant", F.array_join("after_snippet", "\n"))).alias("messages"))).alias("value"))
+
+
+def _rows(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), "\\r\\n|\\n|\\r", -1)
+
+
+# What begins the lines of a patch that are no code.
+PATCH_HEADERS = ("--- ", "+++ ", "diff --git", "index ", "rename ", "new file", "deleted file", "similarity ")
+
+
+def after_text(patch: Column) -> Column:
+    """The new text of a unified diff: from its first hunk on, context and added lines without their marks."""
+    rows = _rows(patch)
+    first = F.array_position(F.transform(rows, lambda x: x.startswith("@@")), True)
+    head = lambda x: F.exists(F.array(*[F.lit(h) for h in PATCH_HEADERS]), lambda h: x.startswith(h))
+    kept = F.filter(F.slice(rows, F.greatest(first, F.lit(1)).cast("int"), F.when(first > 0, F.size(rows)).otherwise(0)), lambda x: ~(head(x) | x.startswith("@@") | x.startswith("-")))
+    text = F.array_join(F.transform(kept, lambda x: F.regexp_replace(x, "^[+ ]", "")), "\n")
+    return F.regexp_replace(text, r"\A\n+|\n+\z", "")
+
+
+def is_diff(text: Column) -> Column:
+    begin = F.regexp_replace(text, r"\A\s+", "")
+    return text.contains("@@") | text.contains("+++ b/") | begin.startswith("--- ") | begin.startswith("diff --git")
+
+
+def prompt(code: Column, language: Column, message: Column, context: Column) -> Column:
+    """What a model is asked: the finding and the lines around it."""
+    given = lambda c, other: F.coalesce(F.when(c != "", c), F.lit(other))
+    lines = F.array_join(F.coalesce(context, F.array().cast("array<string>")), "\n")
+    return F.concat(F.lit("Language: "), given(language, "code"), F.lit("\nFinding: "), given(code, "?"), F.lit("\nMessage: "), given(message, ""), F.lit("\n\nCODE:\n"), lines, F.lit("\n\nProduce the fix."))
+
+
+def target(after: Column, patch: Column) -> Column:
+    """What a model is to answer: the lines after the fix, else the new text of the patch; empty if neither is plain code."""
+    text = after_text(patch)
+    plain = is_diff(patch) & (F.trim(text) != "") & ~is_diff(text) & ~text.startswith("a/")
+    return F.when(F.size(_full(after)) > 0, F.array_join(after, "\n")).when(plain, text).otherwise("")

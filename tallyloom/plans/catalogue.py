@@ -1,4 +1,4 @@
 """All registered queries of the engine."""
 
-from tallyloom.plans import comparisons, more, runs, scalars, sequences, texts  # noqa: F401
+from tallyloom.plans import comparisons, further, more, runs, scalars, sequences, texts  # noqa: F401
 from tallyloom.plans.registry import ORACLES, QUERIES  # noqa: F401

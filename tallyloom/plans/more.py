@@ -20,11 +20,6 @@ def a12(spark, d):
     return c.withColumn("verdict", F.when((F.col("new") == 0) & (F.col("lost") > 0), "IMPROVED").when(F.col("new") == 0, "NO_DEGRADATION").otherwise("NEW_ERRORS"))
 
 
-@query("p18_prompts", with_views("findings", body="SELECT seq, concat('Fix ', code, ' in ', file, ':', line, ' - ', message) AS prompt FROM findings"))
-def p18(spark, d):
-    return findings(spark, d).select("seq", F.format_string("Fix %s in %s:%d - %s", "code", "file", "line", "message").alias("prompt"))
-
-
 @query("p23_quality_evaluation", with_views("decisions", body="""+x AS (SELECT seq, seq % 3 = 0 AS was, seq % 6 = 0 AS still, CASE WHEN seq % 7 = 0 THEN 'ESCALATE' END AS act, value / 250 - 1 AS score, CASE seq % 4 WHEN 0 THEN 'security' WHEN 1 THEN 'lint' WHEN 2 THEN 'syntax' ELSE 'other' END AS t FROM decisions), y AS (SELECT *, CASE t WHEN 'security' THEN 0.8 WHEN 'lint' THEN 0.3 WHEN 'syntax' THEN 0.6 ELSE 0.5 END AS lim FROM x)
 SELECT seq, CASE WHEN was AND NOT still THEN 'ACCEPT' WHEN was THEN 'REJECT' WHEN act IS NOT NULL THEN act WHEN score >= lim THEN 'ACCEPT' WHEN score >= -lim THEN 'RETRY' ELSE 'REJECT' END AS outcome FROM y"""))
 def p23(spark, d):
@@ -120,7 +115,7 @@ def x7(spark, d):
 
 @query("x8_docstrings", "SELECT r_name AS file, v.* FROM region, (VALUES ('A', 'class', 'Doc of A.', 1), ('f', 'function', 'Doc of f.', 3)) v(name, kind, doc, line)")
 def x8(spark, d):
-    return code.docstrings(_py(spark, d, PY))
+    return code.docstrings(_py(spark, d, PY)).drop("code")
 
 
 @query("a20_literals", "SELECT r_name AS file, 2 AS before, 1 AS after FROM region")
@@ -135,11 +130,6 @@ def a20e(spark, d):
     return decisions(spark, d).select("seq", code.erosion(F.lit("x = 1"), after, F.col("code")).alias("eroded"))
 
 
-@query("x9_symbol_index", f"WITH {_lines_sql()} SELECT file, line, regexp_extract(text, '^\\s*def\\s+(\\w+)', 1) AS name FROM sn WHERE regexp_matches(text, '^\\s*def\\s+\\w+')")
-def x9(spark, d):
-    return source_lines(spark, d).select("file", "line", F.regexp_extract("text", r"^\s*def\s+(\w+)", 1).alias("name")).filter("name <> ''")
-
-
 @query("x11_macros", "SELECT r_name AS file, v.* FROM region, (VALUES ('MAX_LEN', 1, 0), ('ADD', 2, 2), ('lower_case', 7, 0)) v(name, line, params)")
 def x11(spark, d):
     return code.macros(_py(spark, d, C_SOURCE)).select("file", "name", "line", F.size("params").alias("params"))
@@ -185,13 +175,6 @@ def s22(spark, d):
     return tools.compile_commands(table(spark, d, "part").select(doc.alias("value"))).filter("flag LIKE '-I%'").select("file", "flag")
 
 
-@query("s19_verify_records", with_views("decisions", body="SELECT decision, count(*) AS n FROM decisions GROUP BY 1"))
-def s19(spark, d):
-    doc = F.to_json(F.struct(F.array(F.struct(F.col("decision").alias("verdict"))).alias("verify_accepts")))
-    rows = decisions(spark, d).select(doc.alias("value"))
-    return rows.select(F.explode(F.from_json("value", "verify_accepts array<struct<verdict: string>>")["verify_accepts"]).alias("v")).groupBy(F.col("v.verdict").alias("decision")).agg(F.count("*").alias("n"))
-
-
 @query("k1_append_jsonl", with_views("decisions", body="SELECT project, count(*) AS n FROM decisions GROUP BY project"))
 def k1(spark, d):
     path = shared_folder(spark, "sinks")

@@ -230,20 +230,6 @@ def p16(spark, d):
     return table(spark, d, "part").select("p_partkey", scanners.changed_lines(patch).alias("lines"))
 
 
-@query("p17_after_text", "SELECT p_partkey, concat('keep ', p_name, chr(10), 'new') AS after FROM part")
-def p17(spark, d):
-    patch = F.concat(F.lit("@@ -1,2 +1,2 @@\n keep "), "p_name", F.lit("\n-old\n+new"))
-    rows = F.filter(F.split(patch, "\n"), lambda x: ~x.startswith("@@") & ~x.startswith("-"))
-    return table(spark, d, "part").select("p_partkey", F.array_join(F.transform(rows, lambda x: F.substr(x, F.lit(2))), "\n").alias("after"))
-
-
-@query("p31_strength", with_views("decisions", body="SELECT seq, CASE WHEN seq % 4 = 0 THEN CASE WHEN code = 'name-defined' THEN 'by_design' ELSE 'concerning' END END AS weak FROM decisions"))
-def p31(spark, d):
-    added = F.array(F.lit("x = 1"), F.when(F.col("seq") % 4 == 0, "y = cast(Any, x)").otherwise("y = x"))
-    marked = F.exists(added, lambda x: x.rlike(r"type:\s*ignore|\bcast\(Any|#\s*noqa"))
-    return decisions(spark, d).select("seq", F.when(marked & (F.col("code") == "name-defined"), "by_design").when(marked, "concerning").alias("weak"))
-
-
 @query("p33_synthetic_codes", with_views("findings", body="SELECT CASE seq % 6 WHEN 0 THEN 'GCC_SEMI' WHEN 1 THEN 'GCC_BRACE' WHEN 2 THEN 'GCC_REDEFINITION' WHEN 3 THEN 'GCC_SYNTAX' WHEN 4 THEN 'GCC_PAREN' ELSE '' END AS code, count(*) AS n FROM findings GROUP BY 1"))
 def p33(spark, d):
     from tallyloom.functions.rules import synthetic_code

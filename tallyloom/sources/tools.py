@@ -15,7 +15,14 @@ TEXT = {
     "go": (r"^(.+?\.go):(\d+):(\d+): (.*)$", 1, 2, 3, 0, 4),
     "kotlin": (r"^(?:e|w): (?:file://)?(.+?\.kts?):(\d+):(\d+):? (.*)$", 1, 2, 3, 0, 4),
     "rustc": (r"^\s*--> (.+?):(\d+):(\d+)()$", 1, 2, 3, 0, 4),
+    "clang_tidy": (r"^\s*(.+?):(\d+):(\d+):\s+(?:error|warning):\s+(.+?)\s*\[([\w\-.]+)[\w\-.,\s]*\]\s*$", 1, 2, 3, 5, 4),
 }
+# cppcheck's identifiers of style and configuration, and its severities.
+CPPCHECK_NOISE = (
+    "functionStatic", "functionConst", "passedByValue", "useInitializationList", "constParameter", "constParameterPointer", "constParameterReference", "constVariable", "constVariablePointer", "constVariableReference", "unusedFunction", "unusedStructMember",
+    "unusedVariable", "unmatchedSuppression", "missingInclude", "missingIncludeSystem", "unknownMacro", "toomanyconfigs", "normalCheckLevelMaxBranches", "checkersReport", "purgedConfiguration", "ConfigurationNotChecked", "noValidConfiguration", "missingOverride", "cstyleCast",
+)
+CPPCHECK_SEVERITY = {"error": "error", "warning": "warning", "style": "warning", "performance": "warning", "portability": "warning", "information": "note", "debug": "note"}
 #: JSON shapes: tool -> (schema of the document, path of the array, file, line, column, code, message, severity).
 JSON = {
     "ruff": ("array<struct<filename: string, code: string, message: string, location: struct<row: int, column: int>>>", None, "filename", "location.row", "location.column", "code", "message", None),
@@ -35,6 +42,8 @@ def parse_text(lines: DataFrame, tool: str, text: str = "value") -> DataFrame:
     if tool == "flake8":
         severity = F.when(code.startswith("E"), "error").otherwise("warning")
     hit = F.col(text).rlike(pattern) & ~F.col(text).contains(": note:")
+    if tool == "clang_tidy":  # the compiler itself reports what it cannot compile
+        hit &= ~code.startswith("clang-diagnostic")
     number = lambda c: F.expr("1") * F.try_to_number(F.when(c == "", None).otherwise(c), F.lit("999999999")).cast("int")
     return lines.filter(hit).select(file.alias("file"), number(line).alias("line"), number(col).alias("col"), code.alias("code"), message.alias("message"), severity.alias("severity"), F.lit(tool).alias("tool"))
 
@@ -155,12 +164,53 @@ def jest_failures(logs: DataFrame, text: str = "text") -> DataFrame:
     return b.select(*logs.columns, "name", F.regexp_extract("body", frame, 1).alias("file"), F.coalesce(F.try_to_number(F.when(line != "", line), F.lit("999999999")).cast("int"), F.lit(0)).alias("line"), F.when(message != "", message).otherwise("test failed").alias("message"))
 
 
-def rustc_messages(docs: DataFrame, text: str = "value") -> DataFrame:
-    """Compiler messages of cargo's JSON lines, at their first span."""
+def cppcheck_findings(docs: DataFrame, text: str = "value") -> DataFrame:
+    """Findings of cppcheck's XML documents, at their first place; noise, findings without a place and broken documents give none."""
+    schema = "errors struct<error: array<struct<_id: string, _severity: string, _msg: string, _verbose: string, location: array<struct<_file: string, _line: string, _column: string>>>>>"
+    e = docs.select(F.explode(F.from_xml(F.col(text), schema)["errors"]["error"]).alias("e")).select("e.*")
+    name, place = F.coalesce("_id", F.lit("unknown")), F.try_element_at("location", F.lit(1))
+    number = lambda c: F.coalesce(F.expr("1") * F.try_to_number(F.when(c != "", c), F.lit("999999999")).cast("int"), F.lit(0))
+    severity = F.coalesce(F.create_map(*[F.lit(x) for pair in CPPCHECK_SEVERITY.items() for x in pair])[F.coalesce("_severity", F.lit("warning"))], F.lit("warning"))
+    message = F.trim(F.coalesce(F.when(F.col("_msg") != "", F.col("_msg")), "_verbose", F.lit("")))
+    rows = e.filter(~name.isin(*CPPCHECK_NOISE) & place.isNotNull())
+    return rows.select(F.coalesce(place["_file"], F.lit("")).alias("file"), number(place["_line"]).alias("line"), number(place["_column"]).alias("col"), F.concat(F.lit("cppcheck::"), name).alias("code"), message.alias("message"), severity.alias("severity"), F.lit("cppcheck").alias("tool"))
+
+
+def cargo_audit(docs: DataFrame, manifests: DataFrame, by: list[str], text: str = "value") -> DataFrame:
+    """Advisories of cargo's audit reports (JSON, one a row, ``by, value``), with the first fixed version and the first line of the manifest that names the package (0: none).
+
+    manifests: ``by, line, text`` of Cargo.toml files.  Lines are joined by their words, so a package costs as much as lines name it.
+    """
+    advisory = "advisory: struct<id: string, title: string, severity: string, patched: array<string>>"
+    schema = f"vulnerabilities struct<list: array<struct<{advisory}, package: struct<name: string, version: string>, versions: struct<patched: array<string>>>>>"
+    v = docs.select(*by, F.explode(F.from_json(text, schema)["vulnerabilities"]["list"]).alias("v")).select(*by, "v.*")
+    patched = F.when(F.size(F.coalesce("versions.patched", F.array().cast("array<string>"))) > 0, F.col("versions.patched")).otherwise(F.coalesce("advisory.patched", F.array().cast("array<string>")))
+    versions = F.filter(F.transform(patched, lambda x: F.regexp_extract(x, r"(\d+\.\d+\.\d+)", 1)), lambda x: x != "")
+    none = lambda c, other="": F.coalesce(c, F.lit(other))
+    package = none("package.name")
+    message = F.concat(none("advisory.title"), F.lit(": "), package, F.lit(" "), none("package.version"))
+    rows = v.select(*by, package.alias("_package"), none("advisory.id").alias("code"), message.alias("message"), none("advisory.severity", "unknown").alias("severity"), F.try_element_at(versions, F.lit(1)).alias("fix_version"))
+    # A name stands in a line as a whole when it is a run of its words: all runs of words and marks of the line's names are its keys.
+    words = F.regexp_extract_all("text", F.lit(r"([\w-]+)"), 1)
+    runs = F.flatten(F.transform(words, lambda x: F.transform(F.sequence(F.lit(1), F.size(F.split(x, "-"))), lambda i: F.transform(F.sequence(i, F.size(F.split(x, "-"))), lambda j: F.array_join(F.slice(F.split(x, "-"), i, j - i + 1), "-")))))
+    first = manifests.select(*by, "line", F.explode(F.array_distinct(F.flatten(runs))).alias("_package")).groupBy(*by, "_package").agg(F.min("line").alias("_line"))
+    return rows.join(first, [*by, "_package"], "left").select(*by, F.lit("Cargo.toml").alias("file"), F.coalesce("_line", F.lit(0)).cast("int").alias("line"), F.lit(0).alias("col"), "code", "message", "severity", "fix_version", F.lit("cargo_audit").alias("tool"))
+
+
+def verify_records(docs: DataFrame, text: str = "value") -> DataFrame:
+    """``file, code, verdict`` of the accepted fixes in verification results (JSON documents); broken documents give none."""
+    records = F.from_json(text, "verify_accepts array<struct<file: string, code: string, verdict: string>>")["verify_accepts"]
+    return docs.select(F.explode(records).alias("v")).select("v.*")
+
+
+def rustc_messages(docs: DataFrame, text: str = "value", lint: bool = False) -> DataFrame:
+    """Compiler messages of cargo's JSON lines, at their first span; lint: clippy's, warnings and errors with a place, all of them warnings."""
     schema = "reason string, message struct<level: string, code: struct<code: string>, message: string, spans: array<struct<file_name: string, line_start: int, column_start: int>>>"
     m = docs.select(F.from_json(text, schema).alias("d")).filter("d.reason = 'compiler-message'").select("d.message.*")
     first = F.try_element_at("spans", F.lit(1))
-    return m.select(first["file_name"].alias("file"), first["line_start"].alias("line"), first["column_start"].alias("col"), F.coalesce("code.code", F.lit("")).alias("code"), "message", F.col("level").alias("severity"), F.lit("rustc").alias("tool"))
+    if lint:
+        m = m.filter(F.col("level").isin("warning", "error") & (F.coalesce(first["file_name"], F.lit("")) != "")).withColumn("level", F.lit("warning"))
+    return m.select(first["file_name"].alias("file"), first["line_start"].alias("line"), first["column_start"].alias("col"), F.coalesce("code.code", F.lit("")).alias("code"), "message", F.col("level").alias("severity"), F.lit("clippy" if lint else "rustc").alias("tool"))
 
 
 def compile_commands(docs: DataFrame, text: str = "value") -> DataFrame:

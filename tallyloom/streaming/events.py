@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -53,6 +53,46 @@ def attempts(events: DataFrame, limit: int = 3) -> DataFrame:
     return events.groupBy("file").applyInPandasWithState(step, "file string, attempts long, streak long, blocked boolean", "seen string, tries long, last string, streak long, blocked boolean", "update", "NoTimeout")
 
 
+def breaker(events: DataFrame, limit: int = 3) -> DataFrame:
+    """Circuit breaker per ``key`` over ``key, ok, seq``: open when ``limit`` failures have come in a row; a success closes it."""
+
+    def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
+        (failures,) = state.get if state.exists else (0,)
+        last = -1
+        for part in parts:
+            for row in part.sort_values("seq").itertuples():
+                failures, last = 0 if row.ok else failures + 1, row.seq
+        state.update((failures,))
+        yield pd.DataFrame({"key": [key[0]], "seq": [last], "failures": [failures], "open": [failures >= limit]})
+
+    return events.groupBy("key").applyInPandasWithState(step, "key string, seq long, failures long, open boolean", "failures long", "update", "NoTimeout")
+
+
+def rescan(changes: DataFrame, scan: Callable[[DataFrame], DataFrame], path: str, checkpoint: str, every: int = 3):
+    """Findings kept up to date from a stream of changed files (``file`` and what ``scan`` needs): all files are scanned in
+    every so many batches, the changed ones in the others; findings of files that are not scanned are taken over.
+
+    path holds, per batch, the files as they are then and their findings.  A batch that is repeated after a failure reads only the
+    batch before it and is written over, so results are the same.
+    """
+    from pyspark.sql import Window as W
+
+    def each(rows: DataFrame, batch: int) -> None:
+        spark = rows.sparkSession
+        read = lambda kind: spark.read.parquet(f"{path}/{kind}/batch={batch - 1}")
+        place = W.partitionBy("file").orderBy(F.desc("seq"))
+        new = rows.withColumn("_n", F.row_number().over(place)).filter("_n = 1").drop("_n")
+        files = new if batch == 0 else new.unionByName(read("files").join(new.select("file"), "file", "left_anti"))
+        files.write.mode("overwrite").parquet(f"{path}/files/batch={batch}")
+        if batch % every == 0:
+            found = scan(spark.read.parquet(f"{path}/files/batch={batch}"))
+        else:
+            found = scan(new).unionByName(read("findings").join(new.select("file"), "file", "left_anti"))
+        found.write.mode("overwrite").parquet(f"{path}/findings/batch={batch}")
+
+    return changes.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
+
+
 def expire(df: DataFrame, saved_at: str, now: str, days: int) -> DataFrame:
     """Cache rows that are not older than some days."""
     return df.filter(F.col(saved_at) >= F.lit(now).cast("timestamp") - F.expr(f"INTERVAL {days} DAYS"))
