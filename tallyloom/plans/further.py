@@ -3,11 +3,11 @@
 from pyspark.sql import functions as F
 
 from tallyloom.functions import rules
-from tallyloom.operators import code, mining, packages
+from tallyloom.operators import code, mining, packages, symbols
 from tallyloom.plans.adapters import decisions, findings, table, with_views
 from tallyloom.plans.folders import shared_folder
 from tallyloom.plans.registry import query
-from tallyloom.plans.texts import _drain, _lines_sql, quoted, source_lines
+from tallyloom.plans.texts import TEXT, _drain, _lines_sql, _snippet_sql, _texts, quoted, snippets, source_lines
 from tallyloom.sources import tools
 from tallyloom.streaming import events as streaming
 
@@ -111,6 +111,39 @@ def x8_js(spark, d):
     return code.docstrings(table(spark, d, "region").select(F.col("r_name").alias("file"), F.lit(JS).alias("text")), "js")
 
 
+def _lost_sql(shapes) -> str:
+    every = lambda t, patterns: "list_distinct(list_concat(" + ", ".join(["[]::VARCHAR[]", *[f"regexp_extract_all({t}, {quoted(p)}, 1)" for p in patterns]]) + "))"
+    parts = [f"SELECT file, '{kind}' AS kind, unnest({every('before', p)}) AS name, {every('after', p)} AS there FROM t" for kind, p in shapes.items()]
+    return f"WITH {_lines_sql()}, sp AS (SELECT CASE WHEN file LIKE 'f%' THEN concat('p', line // 4) ELSE file END AS file, line, text FROM sn), {TEXT[1:].replace('FROM sn', 'FROM sp')}, b AS ({' UNION ALL '.join(parts)}) SELECT file, kind, name FROM b WHERE NOT list_contains(there, name)"
+
+
+def _lost(language):
+    def run(spark, d):
+        # the snippets as texts of four lines, so that most symbols are there once
+        t = _texts(spark, d, lambda lines: lines.withColumn("file", F.when(F.col("file").startswith("f"), F.concat(F.lit("p"), F.floor(F.col("line") / 4))).otherwise(F.col("file"))))
+        return symbols.lost(t.select("file", F.col("before").alias("text")), t.select("file", F.col("after").alias("text")), language).select("file", "kind", "name")
+
+    return run
+
+
+for _language, _shapes in symbols.SHAPES.items():
+    query(f"u6_lost_{_language}", _lost_sql(_shapes))(_lost(_language))
+query("u6_lost_python")(_lost("python"))
+
+RELATED_SQL = f"""WITH {_snippet_sql()}, i AS (SELECT file, line, unnest([regexp_extract(text, {quoted(code.SYMBOLS['python'][0][0])}, 1), regexp_extract(text, {quoted(code.SYMBOLS['python'][1][0])}, 1)]) AS name FROM sn),
+q AS (SELECT p_partkey AS id, concat('f', p_size % 10) AS own, unnest(['load_all', 'Reader', 'first', 'later', 'absent_name']) AS name, unnest([1, 2, 3, 4, 5]) AS n FROM part),
+c AS (SELECT id, n, q.name, file, line, file = own AS same_file, row_number() OVER (PARTITION BY id, q.name ORDER BY file = own, file, line) AS k FROM q JOIN i ON i.name = q.name)
+SELECT id, row_number() OVER (PARTITION BY id ORDER BY n)::INT AS place, name, file, line, same_file FROM c WHERE k = 1"""
+
+
+@query("g7_related_symbols", RELATED_SQL)
+def g7_symbols(spark, d):
+    lines = snippets(spark, d)
+    message = F.lit("`load_all` and 'Reader' of class Reader lack absent_name; method later and class Box, fn first, def, self")
+    asked = table(spark, d, "part").select(F.col("p_partkey").alias("id"), F.concat(F.lit("f"), F.col("p_size") % 10).alias("file"), message.alias("message"))
+    return symbols.related_definitions(asked, code.symbol_index(lines, "python"), lines).select("id", "place", "name", "file", "line", "same_file")
+
+
 # --- tool formats ---
 
 

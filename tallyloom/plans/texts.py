@@ -20,6 +20,7 @@ SNIPPETS = (
     'let mut token: &str = "abcd";', 'let pwd = "abc";', 'let secret = std::env::var("A") + "abcd";', 'Command::new("sh")', 'Command::new("zsh")', 'Command::new("powershell")', 'Command::new("ls")', 'c.arg("-c")', "bincode::deserialize(&b)", "serde_pickle::from_slice(b)", 'query("x WHERE id = " + &id)', 'sqlx::query_as(&format!("SELECT {}", x))', 'q.push_str("a"); execute("DELETE")', 'query(AssertSqlSafe(format!("SELECT {}", x)))', 'batch_execute("SELECT 1")',
     'const string ApiKey = "abcd1234";', 'readonly string Token = "abc";', 'var password = Environment.GetEnvironmentVariable("P") ?? "abcd";', 'string secret = "abcd"; // IConfiguration', "var f = new BinaryFormatter();", "new LosFormatter()", "MyBinaryFormatters()", 'Process.Start("cmd " + arg);', "new ProcessStartInfo(String.Format(a, b))", 'Process.Start("ls")', 'new SqlCommand($"SELECT {x}")', 'cmd.CommandText = "DELETE FROM t WHERE a=" + a;', 'db.FromSqlRaw("SELECT 1")',
     "strcpy(dst, src);", "strncpy(dst, src, n); strcpy(a, b);", "my_gets(x)", "vsprintf (a, b);", "system(cmd.c_str());", "popen(a + b)", 'system("ls")', 'execvp(format("{}", a), b)', 'std::string token = "abcd";', 'const char* passwd = "abcd";', 'auto apikey = getenv("abcd") ? "a" : "abcd";',
+    "pub fn load<T>(x: T) -> T {", "impl Reader {", "pub trait Shape {", "func (r Reader) Open(x int) {", "type Reader struct {", "public static void main(String args) {", "int add(int a, int b);", "const walk = async (x) => x;", "enum class Color { RED };", "interface Shape {", "fun area(x: Int) {",
 )
 #: Word characters of Unicode and what stands before a call, for DuckDB, which has no look-behind.
 WORD, FREE = r"[\p{L}\p{M}\p{N}_]", r"(?:^|[^.\p{L}\p{M}\p{N}_])"
@@ -142,8 +143,8 @@ def x4(spark, d):
 TEXT = "+t AS (SELECT file, string_agg(text, chr(10) ORDER BY line) AS before, string_agg(CASE WHEN line % 3 <> 0 THEN text END, chr(10) ORDER BY line) AS after FROM sn GROUP BY file)"
 
 
-def _texts(spark, d):
-    s = source_lines(spark, d)
+def _texts(spark, d, dealt=lambda lines: lines):
+    s = dealt(source_lines(spark, d))
     joined = lambda c: F.array_join(F.transform(F.array_sort(F.collect_list(F.when(c, F.struct("line", "text")))), lambda x: x["text"]), "\n")
     return s.groupBy("file").agg(joined(F.lit(True)).alias("before"), joined(F.col("line") % 3 != 0).alias("after"))
 
