@@ -2,6 +2,7 @@
 
 from tallyloom.llm.fingerprints import op10_fingerprints
 from tallyloom.llm.html_extract import op5_html_extract
+from tallyloom.llm.importance import OP12_SQL, op12_importance
 from tallyloom.llm.jaccard import op8_jaccard_join
 from tallyloom.llm.line_dedup import OP4_SQL, op4_line_dedup
 from tallyloom.llm.lm import op7_lm_scores
@@ -22,5 +23,6 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
     "op10_fingerprints": op10_fingerprints,
+    "op12_importance": op12_importance,
 }
-ORACLES = {"op2_mix_sources": OP2_SQL, "op4_line_dedup": OP4_SQL}
+ORACLES = {"op2_mix_sources": OP2_SQL, "op4_line_dedup": OP4_SQL, "op12_importance": OP12_SQL}

@@ -31,6 +31,9 @@ LOWERED2 = BYTE2.copy()
 LOWERED2[65:91] = BYTE2[97:123]
 SPACE = np.zeros(256, bool)
 SPACE[[9, 10, 11, 12, 13, 32]] = True
+#: Bytes outside of terms: all but digits, letters and the bytes of characters beyond ASCII.
+NO_TERM = np.ones(256, bool)
+NO_TERM[48:58] = NO_TERM[65:91] = NO_TERM[97:123] = NO_TERM[128:] = False
 try:
     _LIBC = ctypes.CDLL("libc.so.6")
 except OSError:  # not glibc
@@ -88,9 +91,9 @@ class Texts:
         total = np.concatenate(([0], np.cumsum(flags, dtype=np.int64)))
         return total[self.off[1:]] - total[self.off[:-1]]
 
-    def words(self) -> None:
-        """Sets start, end and text number of each maximal run of non-space bytes, and first: the first word of each text."""
-        filled = ~SPACE[self.data]
+    def words(self, apart: np.ndarray = SPACE) -> None:
+        """Sets start, end and text number of each maximal run of bytes that are not apart (white space), and first: the first word of each text."""
+        filled = ~apart[self.data]
         edge = np.zeros(len(self.data) + 1, bool)
         edge[self.off] = True
         before = np.concatenate(([False], filled[:-1])) if len(filled) else filled
