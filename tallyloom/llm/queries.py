@@ -9,6 +9,7 @@ from tallyloom.llm.lm import op7_lm_scores
 from tallyloom.llm.mixing import OP2_SQL, op2_mix_sources
 from tallyloom.llm.packing import op3_packing
 from tallyloom.llm.quality import op9_quality_rules
+from tallyloom.llm.search import OP11_SQL, op11_lexical_search
 from tallyloom.llm.secrets import op1_secret_scan
 from tallyloom.llm.tokens import op6_token_files
 
@@ -23,6 +24,7 @@ QUERIES = {
     "op8_jaccard_join": op8_jaccard_join,
     "op9_quality_rules": op9_quality_rules,
     "op10_fingerprints": op10_fingerprints,
+    "op11_lexical_search": op11_lexical_search,
     "op12_importance": op12_importance,
 }
-ORACLES = {"op2_mix_sources": OP2_SQL, "op4_line_dedup": OP4_SQL, "op12_importance": OP12_SQL}
+ORACLES = {"op2_mix_sources": OP2_SQL, "op4_line_dedup": OP4_SQL, "op11_lexical_search": OP11_SQL, "op12_importance": OP12_SQL}
