@@ -6,6 +6,7 @@ from tallyloom.llm.importance import OP12_SQL, op12_importance
 from tallyloom.llm.jaccard import op8_jaccard_join
 from tallyloom.llm.line_dedup import OP4_SQL, op4_line_dedup
 from tallyloom.llm.lm import op7_lm_scores
+from tallyloom.llm.minhash import op13_minhash
 from tallyloom.llm.mixing import OP2_SQL, op2_mix_sources
 from tallyloom.llm.packing import op3_packing
 from tallyloom.llm.quality import op9_quality_rules
@@ -26,5 +27,6 @@ QUERIES = {
     "op10_fingerprints": op10_fingerprints,
     "op11_lexical_search": op11_lexical_search,
     "op12_importance": op12_importance,
+    "op13_minhash": op13_minhash,
 }
 ORACLES = {"op2_mix_sources": OP2_SQL, "op4_line_dedup": OP4_SQL, "op11_lexical_search": OP11_SQL, "op12_importance": OP12_SQL}
