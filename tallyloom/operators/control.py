@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
 from functools import reduce
 from operator import or_
 
@@ -87,35 +88,114 @@ def patch_score(known: Column, patch: Column, message: Column, history: Column)
     return 0.35 * memory + 0.25 * shared + 0.20 * fit + 0.20 * F.coalesce(F.least(history, F.lit(1.0)), F.lit(0.5))
 
 
+def governed(now: dict[str, float], last: float | None, r, rate: float = 0.3, hysteresis: float = 0.05) -> dict[str, float]:
+    """The parameters after a row of health figures: they move towards targets only when overall health has moved by more than the hysteresis since last."""
+    if last is None or abs(r.overall - last) <= hysteresis:
+        return now
+    unstable = 1.0 - r.stability
+    aim = {
+        "accept_threshold": min(0.7, max(0.1, GOVERNED["accept_threshold"] + unstable * 0.2 + (1.0 - r.success_rate) * 0.15)),
+        "exploration_rate": min(0.8, max(0.2, GOVERNED["exploration_rate"] + r.entropy * 0.3 + (1.0 - r.memory_rate) * 0.2)),
+        "max_patch_size": min(200, max(20, GOVERNED["max_patch_size"] * (1.0 - (r.rollback_rate * 0.8 + unstable * 0.5) * 0.7))),
+        "max_iterations": min(30, max(5, GOVERNED["max_iterations"] + r.trend * 5.0)),
+        "rollback_limit": min(5, max(1, GOVERNED["rollback_limit"] - unstable * 2.0)),
+    }
+    moved = {k: now[k] + rate * (aim[k] - now[k]) for k in GOVERNED}
+    return {k: float(round(v)) if k in ("max_iterations", "rollback_limit") else v for k, v in moved.items()}
+
+
 def govern(df: DataFrame, key: str, order: str, rate: float = 0.3, hysteresis: float = 0.05) -> DataFrame:
-    """Parameters after each step: they move towards targets only when overall health moved by more than the hysteresis.
+    """Parameters after each step, from the fixed ones on; see governed.
 
     Each value depends on the one before it, so a key's steps are one group.  df: ``stability, success_rate, entropy, memory_rate, rollback_rate, trend, overall``.
     """
-    names = list(GOVERNED)
 
     def run(group: pd.DataFrame) -> pd.DataFrame:
-        group = group.sort_values(order)
         now, last, out = dict(GOVERNED), None, []
-        for r in group.itertuples():
-            if last is not None and abs(r.overall - last) > hysteresis:
-                unstable = 1.0 - r.stability
-                aim = {
-                    "accept_threshold": min(0.7, max(0.1, GOVERNED["accept_threshold"] + unstable * 0.2 + (1.0 - r.success_rate) * 0.15)),
-                    "exploration_rate": min(0.8, max(0.2, GOVERNED["exploration_rate"] + r.entropy * 0.3 + (1.0 - r.memory_rate) * 0.2)),
-                    "max_patch_size": min(200, max(20, GOVERNED["max_patch_size"] * (1.0 - (r.rollback_rate * 0.8 + unstable * 0.5) * 0.7))),
-                    "max_iterations": min(30, max(5, GOVERNED["max_iterations"] + r.trend * 5.0)),
-                    "rollback_limit": min(5, max(1, GOVERNED["rollback_limit"] - unstable * 2.0)),
-                }
-                for k in names:
-                    moved = now[k] + rate * (aim[k] - now[k])
-                    now[k] = float(round(moved)) if k in ("max_iterations", "rollback_limit") else moved
-            last = r.overall
+        for r in group.sort_values(order).itertuples():
+            now, last = governed(now, last, r, rate, hysteresis), r.overall
             out.append({key: getattr(r, key), order: getattr(r, order), **now})
         return pd.DataFrame(out)
 
     kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
-    return df.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, " + ", ".join(f"{n} double" for n in names))
+    return df.groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {order} {kinds[order]}, " + ", ".join(f"{n} double" for n in GOVERNED))
+
+
+@dataclass
+class Cycles:
+    """What is known of a run of cycles: its start, its cap, its last two cycles as (accepted, rejected, fewer findings), and why it ended.
+
+    The rules are those of streaks.stop_reason, but the cap grows by ``step`` while cycles make progress, up to ``most``, in the first
+    0.8 of the budget; and the budget ends a run by itself, so no cycle is recorded from then on.
+    """
+
+    initial: int
+    began: float
+    cap: int = 4
+    cycle: int = 0
+    errors: int = -1
+    recent: tuple = ()
+    reason: str | None = None
+    budget: float = 240.0
+    most: int = 30
+    step: int = 2
+
+    def record(self, at: float, errors: int, accepted: int, rejected: int) -> None:
+        """A cycle that ended at a time (in seconds) with so many findings; accepted and rejected are its own."""
+        if at - self.began >= self.budget:
+            self.reason = "runtime_budget"
+            return
+        fell = (self.initial if self.errors < 0 else self.errors) - errors
+        self.cycle, self.errors, self.recent = self.cycle + 1, errors, (*self.recent[-1:], (accepted, rejected, fell))
+        self.reason = self._reason(at)
+
+    def _reason(self, at: float) -> str | None:
+        accepted, rejected, fell = zip(*self.recent, strict=True)
+        if self.errors == 0:
+            return "completed"
+        if self.initial > 0 and self.errors > self.initial * 1.2:
+            return "global_invariant"
+        if self.cycle >= self.cap:
+            if self.cycle >= self.most or at - self.began >= 0.8 * self.budget or not (accepted[-1] > 0 or fell[-1] > 0):
+                return "max_cycles"
+            self.cap = min(self.cap + self.step, self.most)
+            return None
+        if self.cycle < 2:
+            return None
+        if max(fell) < 0 and self.errors > self.initial:
+            return "error_growth"
+        if any(accepted):
+            return None
+        if not any(fell):
+            return "plateau"
+        if max(fell) <= 0:
+            return "no_progress"
+        return "reject_spike" if sum(rejected) >= 4 else None
+
+
+CYCLE = "seq bigint, cycle int, cap int, stop_reason string"
+
+
+def cycles(df: DataFrame, key: str = "key", budget: float = 240.0) -> DataFrame:
+    """``key, seq, cycle, cap, stop_reason`` of each cycle up to the one that ends its run.
+
+    df: ``key, seq, ts, initial, errors, accepted, rejected``; initial is that of the first row.  Each cycle's cap depends on those before, so a
+    key's cycles are one group.  A cycle at or after the budget's end gives a row with the reason and the cycles so far.
+    """
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        state, out = None, []
+        for r in group.sort_values("seq").itertuples():
+            at = r.us / 1e6
+            state = state or Cycles(int(r.initial), at, budget=budget)
+            state.record(at, int(r.errors), int(r.accepted), int(r.rejected))
+            out.append({key: getattr(r, key), "seq": r.seq, "cycle": state.cycle, "cap": state.cap, "stop_reason": state.reason})
+            if state.reason:
+                break
+        return pd.DataFrame(out)
+
+    kinds = {f.name: f.dataType.simpleString() for f in df.schema.fields}
+    return df.withColumn("us", F.unix_micros("ts")).groupBy(key).applyInPandas(run, f"{key} {kinds[key]}, {CYCLE}")
 
 
 def beam(candidates: DataFrame, width: int = 3, depth: int = 2) -> DataFrame:

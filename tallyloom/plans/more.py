@@ -7,6 +7,7 @@ from tallyloom.plans.adapters import decisions, edges, findings, scans, table, w
 from tallyloom.plans.folders import shared_folder
 from tallyloom.plans.registry import query
 from tallyloom.plans.sequences import HEALTH, _health
+from tallyloom.plans.state import GOVERN, ROUNDED, TO_MILLIONTHS
 from tallyloom.plans.texts import _lines_sql, _snippet_sql, _source_texts, snippets, source_lines
 from tallyloom.sources import sinks, tools
 
@@ -52,10 +53,17 @@ def p29(spark, d):
     return findings(spark, d).select("seq", F.round(control.patch_score(known, patch, F.col("message"), F.col("confidence")), 9).alias("score"))
 
 
-@query("p28_governor")
+#: Health figures as doubles, from the windows of w2, w3 and w5.
+GOVERNED_HEALTH = """a AS (SELECT seq, n, rb, fl, ac, mem, pat, slope, list_sum([CASE WHEN c = 0 THEN 0 ELSE -(c / n) * log2(c / n) END FOR c IN [c1, c2, c3, c4, c5]]) / 2.0 AS e FROM h),
+b AS (SELECT seq, CASE WHEN n < 2 THEN 1.0 ELSE 1 - (rb + fl) / n END::DOUBLE AS stability, CASE WHEN n < 2 OR ac + rb = 0 THEN 1.0 ELSE ac / (ac + rb) END::DOUBLE AS success_rate, CASE WHEN n < 2 THEN 0.0 ELSE e END::DOUBLE AS entropy, CASE WHEN n < 2 OR pat = 0 THEN 0.0 ELSE mem / pat END::DOUBLE AS memory_rate, CASE WHEN n < 2 THEN 0.0 ELSE rb / n END::DOUBLE AS rollback_rate, CASE WHEN n < 2 THEN 0.0 ELSE greatest(-1.0, least(1.0, -coalesce(slope, 0) / 5.0)) END::DOUBLE AS trend FROM a),
+r AS (SELECT d.project AS key, b.*, 0.2::DOUBLE * stability + 0.2::DOUBLE * trend + 0.15::DOUBLE * (1 - rollback_rate) + 0.15::DOUBLE * success_rate + 0.1::DOUBLE * memory_rate AS overall, row_number() OVER (PARTITION BY d.project ORDER BY b.seq) AS n FROM b JOIN decisions d ON d.seq = b.seq)"""
+
+
+@query("p28_governor", with_views("decisions", body=f"+{HEALTH}, {GOVERNED_HEALTH}, {GOVERN} SELECT key AS project, seq, {ROUNDED} FROM g").replace("WITH ", "WITH RECURSIVE ", 1))
 def p28(spark, d):
     h = _health(spark, d).withColumn("overall", 0.2 * F.col("stability") + 0.2 * F.col("trend") + 0.15 * (1 - F.col("rollback_rate")) + 0.15 * F.col("success_rate") + 0.1 * F.col("memory_rate"))
-    return control.govern(h.select("project", "seq", "stability", "success_rate", "entropy", "memory_rate", "rollback_rate", "trend", "overall"), "project", "seq")
+    out = control.govern(h.select("project", "seq", "stability", "success_rate", "entropy", "memory_rate", "rollback_rate", "trend", "overall"), "project", "seq")
+    return out.selectExpr("project", "seq", *[f"{TO_MILLIONTHS.format(n)} AS {n}" for n in control.GOVERNED])
 
 
 @query("w4_rates", with_views("decisions", body=f"+{HEALTH} SELECT count(*) AS n, sum((rb * 2 > n)::INT) AS mostly_rolled_back, sum((ac > rb)::INT) AS more_accepted FROM h"))
