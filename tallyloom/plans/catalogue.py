@@ -1,4 +1,4 @@
 """All registered queries of the engine."""
 
-from tallyloom.plans import comparisons, further, more, nesting, runs, scalars, sequences, state, texts  # noqa: F401
+from tallyloom.plans import comparisons, diffs, further, more, nesting, runs, scalars, sequences, state, texts  # noqa: F401
 from tallyloom.plans.registry import ORACLES, QUERIES  # noqa: F401
