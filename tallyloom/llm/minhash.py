@@ -21,24 +21,23 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from tallyloom.llm.components import components
-from tallyloom.llm.jaccard import FIRST, shingle_sets
+from tallyloom.llm.jaccard import BLOOM, FIRST, _held, bloom, shingle_sets
 from tallyloom.llm.scratch import stash
 from tallyloom.llm.textscan import U, batches, mix
 
 #: Bands and rows: at a similarity of 0.85 a pair shares no band with probability 4e-8, at 0.8 with 2e-5.
 BANDS, ROWS = 36, 6
-COORDINATES = BANDS * ROWS
+#: Coordinates of a sketch, a byte each; the first BANDS * ROWS make the bands, all tell how alike a pair is.
+COORDINATES = 432
 #: A candidate goes if its sketches agree in fewer coordinates than so many standard deviations below what the threshold makes one expect.
-DEVIATIONS = 8
-#: Bytes of text sketched at once.
-SKETCHED = 1 << 20
+DEVIATIONS = 5.5
 _RNG = np.random.Generator(np.random.PCG64(13))
 ROUND = _RNG.integers(1, 2**63, 2 * 4096, dtype=np.uint64) * U(2) + U(1)
 SUMS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
 
 
 def sketches(sets: list[np.ndarray], coordinates: int = COORDINATES) -> np.ndarray:
-    """A row of 16-bit coordinates for each set; zeros for an empty one."""
+    """A row of coordinates, a byte each, for each set; zeros for an empty one."""
     size = np.array([len(s) for s in sets], np.int64)
     best = np.full((len(sets), coordinates), np.iinfo(np.uint64).max, np.uint64)
     flat = best.reshape(-1)
@@ -55,7 +54,7 @@ def sketches(sets: list[np.ndarray], coordinates: int = COORDINATES) -> np.ndarr
         low = mix(h) >> U(16) | U(i << 48)  # a later round never replaces an earlier one
         np.minimum.at(flat, at, low)
         missing = np.count_nonzero(best == np.iinfo(np.uint64).max, axis=1) * (size > 0)
-    return np.where(size[:, None] > 0, mix(best) & U(0xFFFF), U(0)).astype(np.uint16)
+    return np.where(size[:, None] > 0, mix(best) & U(0xFF), U(0)).astype(np.uint8)
 
 
 def _sketched(words: int, coordinates: int):
@@ -63,7 +62,7 @@ def _sketched(words: int, coordinates: int):
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
-            for lo, hi, t in batches(part.column("text"), SKETCHED):
+            for lo, hi, t in batches(part.column("text")):
                 sets = shingle_sets(t, words)
                 sums = [np.array([mix(s * U(k)).sum(dtype=np.uint64) for s in sets], np.uint64).view(np.int64) for k in SUMS]
                 sketch = pa.array([row.tobytes() for row in sketches(sets, coordinates)], pa.binary())
@@ -74,21 +73,24 @@ def _sketched(words: int, coordinates: int):
 
 def _matrix(column: pa.Array) -> np.ndarray:
     """The sketches of a batch as rows of coordinates."""
-    return np.frombuffer(b"".join(column.to_pylist()), np.uint16).reshape(len(column), -1)
+    return np.frombuffer(b"".join(column.to_pylist()), np.uint8).reshape(len(column), -1)
 
 
-def _banded(bands: int):
-    """Rows (bucket, id, n): the bucket of each band of each sketch."""
+def _banded(bands: int, rows: int, shared=None):
+    """Rows (bucket, id, n): the bucket of each band of each sketch; shared: a filter of the buckets that are asked for."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
             if part.num_rows:
-                rows = _matrix(part.column("sketch")).reshape(part.num_rows, bands, -1).astype(np.uint64)
+                held = _matrix(part.column("sketch"))[:, : bands * rows].reshape(part.num_rows, bands, rows).astype(np.uint64)
                 key = np.arange(bands, dtype=np.uint64) * U(0x9E3779B97F4A7C15) + U(1)
-                for j in range(rows.shape[2]):
-                    key = mix((key ^ rows[:, :, j]) * U(0xD1342543DE82EF95))
-                at = pa.array(np.repeat(np.arange(part.num_rows), bands))
-                yield pa.RecordBatch.from_arrays([pa.array(key.reshape(-1).view(np.int64)), part.column("id").take(at), part.column("n").take(at)], names=["bucket", "id", "n"])
+                for j in range(rows):
+                    key = mix((key ^ held[:, :, j]) * U(0xD1342543DE82EF95))
+                bucket, of = key.reshape(-1).view(np.int64), np.repeat(np.arange(part.num_rows), bands)
+                if shared is not None:
+                    asked = _held(shared.value, bucket)
+                    bucket, of = bucket[asked], of[asked]
+                yield pa.RecordBatch.from_arrays([pa.array(bucket), *[part.column(c).take(pa.array(of)) for c in ("id", "n")]], names=["bucket", "id", "n"])
 
     return run
 
@@ -127,8 +129,8 @@ def _sets(words: int):
 class NearDuplicates:
     """The steps over docs ``id, text`` (ids are not null)."""
 
-    def __init__(self, docs: DataFrame, words: int, num: int, den: int, bands: int, rows: int):
-        self.docs, self.words, self.num, self.den, self.bands, self.coordinates = docs, words, num, den, bands, bands * rows
+    def __init__(self, docs: DataFrame, words: int, num: int, den: int, bands: int, rows: int, coordinates: int):
+        self.docs, self.words, self.num, self.den, self.bands, self.rows, self.coordinates = docs, words, num, den, bands, rows, coordinates
         share = num / den
         self.least = max(1, int(self.coordinates * share - DEVIATIONS * (self.coordinates * share * (1 - share)) ** 0.5))
 
@@ -136,13 +138,10 @@ class NearDuplicates:
         """``id, n_shingles, component`` of every row."""
         every = stash(self.docs.mapInArrow(_sketched(self.words, self.coordinates), "id long, n long, s1 long, s2 long, sketch binary"), "sketches")
         sign = ["n", "s1", "s2"]
-        self.classes = stash(every.filter("n > 0").groupBy(*sign).agg(F.min("id").alias("id"), F.min("sketch").alias("sketch")), "classes")
-        rows = self.classes.select("id", "n", "sketch").mapInArrow(_banded(self.bands), "bucket long, id long, n long")
-        postings = stash(rows, "postings")
-        full = stash(postings.groupBy("bucket").agg(F.count("*").alias("members")).filter("members > 1"), "buckets")
-        self.postings = stash(postings.join(full, "bucket"), "shared")
-        popular = self.postings.groupBy("id").agg(F.sum("members").alias("popular"))
-        self.popular = stash(popular, "popular")
+        classes = stash(every.filter("n > 0").groupBy(*sign).agg(F.min("id").alias("id"), F.min("sketch").alias("sketch")), "classes")
+        self.postings = self._shared(classes)
+        self.popular = stash(self.postings.groupBy("id").agg(F.sum("members").alias("popular")), "popular")
+        self.near = stash(classes.select("id", "sketch").join(self.popular, "id", "left_semi"), "near")
         links = self._verify(self._led(self.postings.select("bucket", "id", "n")))
         label = components(links)
         for met in (self._led, self._met):
@@ -151,9 +150,22 @@ class NearDuplicates:
             known = label.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
             label = components(known.unionByName(self._verify(met(rest))))
         label = label.distinct()
-        out = every.drop("sketch").join(self.classes.drop("sketch").withColumnRenamed("id", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left"), sign, "left")
+        out = every.drop("sketch").join(classes.drop("sketch").withColumnRenamed("id", "rep").join(label.withColumnRenamed("id", "rep"), "rep", "left"), sign, "left")
         return out.select("id", F.col("n").alias("n_shingles"), F.coalesce("component", "rep", "id").alias("component"))
 
+    def _shared(self, classes: DataFrame) -> DataFrame:
+        """``bucket, id, n, members`` of the buckets with several members.
+
+        Most buckets have one; buckets alone are counted, and a Bloom filter of the others keeps single members out of the join.
+        """
+        sketches = classes.select("id", "n", "sketch")
+        rows = "bucket long, id long, n long"
+        counted = sketches.mapInArrow(_banded(self.bands, self.rows), rows).groupBy("bucket").agg(F.count("*").alias("members"))
+        full = stash(counted.filter("members > 1"), "buckets")
+        bits = max(6, min(BLOOM.bit_length() - 1, (16 * full.count()).bit_length()))
+        asked = classes.sparkSession.sparkContext.broadcast(bloom(full.withColumnRenamed("bucket", "token"), bits))
+        return stash(sketches.mapInArrow(_banded(self.bands, self.rows, asked), rows).join(full, "bucket"), "shared")
+
     def _pairs(self, joined: DataFrame, a: str, b: str) -> DataFrame:
         """Distinct pairs (a, b) of sizes that can be alike."""
         sizes = F.least("n", "n_b") * self.den >= F.greatest("n", "n_b") * self.num
@@ -177,17 +189,20 @@ class NearDuplicates:
         groups = rows.groupBy("bucket", "component").agg(F.count("*").alias("k"), *sums).groupBy("bucket")
         groups = groups.agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("kinds"), F.sum("k").alias("k"), *[F.sum(f"s{k}").alias(f"s{k}") for k in (1, 2)])
         groups = stash(groups.filter("kinds > 1").groupBy("k", "s1", "s2").agg(F.min(F.struct("bucket", "main")).alias("at")).select("at.*"), "mixed")
-        return stash(rows.join(groups, "bucket").withColumn("outside", F.expr("component <> main")).drop("main"), "unsettled")
+        rows = rows.join(groups, "bucket").withColumn("outside", F.expr("component <> main")).drop("main")
+        kept = rows.groupBy("id").agg(F.collect_set("bucket").alias("kept"))  # a bucket for each band at most
+        return stash(rows.join(kept, "id"), "unsettled")
 
     def _met(self, rows: DataFrame) -> DataFrame:
-        """Members outside of their bucket's largest component with all members in other components."""
-        other = rows.filter("outside").select("bucket", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"))
-        return self._pairs(rows.join(other, "bucket").filter("component <> component_b"), "id", "b")
+        """Members outside of their bucket's largest component with all members in other components, at the least bucket that both share."""
+        other = rows.filter("outside").select("bucket", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"), F.col("kept").alias("kept_b"))
+        once = F.array_min(F.array_intersect("kept", "kept_b")) == F.col("bucket")
+        return self._pairs(rows.join(other, "bucket").filter((F.col("component") != F.col("component_b")) & once), "id", "b")
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs that the sketches allow and whose whole sets are alike, as written links."""
         pairs = stash(pairs, "candidates")
-        side = lambda s: self.classes.select(F.col("id").alias(s), F.col("sketch").alias(f"sketch_{s}"))
+        side = lambda s: self.near.select(F.col("id").alias(s), F.col("sketch").alias(f"sketch_{s}"))
         close = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_agreeing(self.least), "a long, b long")
         pairs = stash(close.distinct(), "close")
         wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
@@ -199,7 +214,7 @@ class NearDuplicates:
         return stash(joined.filter(both.cast("long") * self.den >= union.cast("long") * self.num).select("a", "b").distinct(), "verified")
 
 
-def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", words: int = 5, num: int = 80, den: int = 100, bands: int = BANDS, rows: int = ROWS, coordinates: int = COORDINATES) -> DataFrame:
     """``doc_id, n_shingles, component_id, kept`` of every row: documents are linked if den * intersection >= num * union of their shingle sets.
 
     Links are confirmed on the whole sets, so no link is false; a pair at the threshold is missed if no band of
@@ -208,10 +223,10 @@ def near_duplicates(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "tex
     have words; a null doc_id is one document, smaller than all others, whose component_id is null, and kept; doc_ids are
     numbers.  An empty table gives an empty result; other columns are not read.
     """
-    if not 0 < bands * rows <= len(ROUND) // 2:
-        raise ValueError("bands * rows is out of range")
+    if not 0 < bands * rows <= coordinates <= len(ROUND) // 2:
+        raise ValueError("bands * rows must not exceed the coordinates, nor these 4096")
     plain = docs.select(F.coalesce(F.col(doc_id).cast("long"), F.lit(FIRST)).alias("id"), F.col(text).alias("text"))
-    out = NearDuplicates(plain, words, num, den, bands, rows).run()
+    out = NearDuplicates(plain, words, num, den, bands, rows, coordinates).run()
     real = lambda c: F.when(F.col(c) != FIRST, F.col(c))
     return out.select(real("id").alias("doc_id"), "n_shingles", real("component").alias("component_id"), (F.col("id") == F.col("component")).alias("kept"))
 

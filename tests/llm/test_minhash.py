@@ -64,7 +64,7 @@ def test_sketches_fill_and_agree():
         a = new(n)
         one, again, none = minhash.sketches([np.sort(a), np.sort(a)[::-1], np.zeros(0, np.uint64)], 216)
         assert (one == again).all() and not none.any()
-        assert np.count_nonzero(one) >= 210  # 16 bits are zero by chance only
+        assert np.count_nonzero(one) >= 205  # a byte is zero by chance only
         for share in (0.3, 0.85):
             both = new(round(n * 2 * share / (1 + share)))
             sets = [np.concatenate((both, new(n - len(both)))) for _ in range(2)]
@@ -76,7 +76,7 @@ def test_sketches_fill_and_agree():
 
 def test_sketches_of_one_element_have_all_rounds():
     (row,) = minhash.sketches([np.array([7], np.uint64)], 50)
-    assert len(set(row.tolist())) > 45  # each bin has the hash of its own round
+    assert len(set(row.tolist())) > 38  # each bin has the hash of its own round
 
 
 @pytest.mark.parametrize("hot", [False, True])
