@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from tallyloom.operators import patience
+from tallyloom.operators import patience, renames
 from tallyloom.plans.adapters import table
 from tallyloom.plans.registry import query
 
@@ -23,3 +23,16 @@ def x13_patience(spark, d):
     pairs = docs.select(F.col("doc_id").alias("id"), whole(F.col("ls")).alias("before"), F.when(F.size(after) > 0, whole(after)).otherwise("").alias("after"))
     out = patience.hunks(pairs).withColumnRenamed("id", "doc_id")
     return out.select("doc_id", "tag", *[F.col(c).cast("long").alias(c) for c in ("i1", "i2", "j1", "j2")])
+
+
+#: Names of all parts, in one change: those of even numbers go, those of odd ones come with an ending, a letter less, or in capitals.
+CHANGED = {"old": "CASE WHEN p_partkey % 2 = 0 THEN concat(p_name, p_partkey % 100) END", "new": "CASE p_partkey % 8 WHEN 1 THEN concat(p_name, (p_partkey * 3) % 100) WHEN 3 THEN concat(substring(p_name, 2), p_partkey % 100) WHEN 5 THEN upper(concat(p_name, (p_partkey + 1) % 100)) WHEN 7 THEN concat(p_name, (p_partkey - 1) % 100) END"}
+
+
+@query("j17_renames_joined", f"""WITH o AS (SELECT DISTINCT {CHANGED['old']} AS old FROM part), n AS (SELECT DISTINCT {CHANGED['new']} AS new FROM part), x AS (SELECT old FROM o WHERE old IS NOT NULL AND old NOT IN (SELECT new FROM n WHERE new IS NOT NULL)), y AS (SELECT new FROM n WHERE new IS NOT NULL AND new NOT IN (SELECT old FROM o WHERE old IS NOT NULL))
+SELECT old, new, CASE WHEN lower(old) = lower(new) THEN 'case_rename' ELSE 'near_rename' END AS kind, CASE WHEN lower(old) <> lower(new) THEN levenshtein(lower(old), lower(new)) END AS distance FROM x, y
+WHERE lower(old) = lower(new) OR (abs(length(old) - length(new)) <= 2 AND least(length(old), length(new)) >= 4 AND levenshtein(lower(old), lower(new)) <= 2)""")
+def j17_joined(spark, d):
+    names = table(spark, d, "part").selectExpr("1 AS change", *[f"{e} AS {n}" for n, e in CHANGED.items()])
+    out = renames.renames(names.filter("old IS NOT NULL").select("change", "old"), names.filter("new IS NOT NULL").select("change", "new"), ["change"])
+    return out.select("old", "new", "kind", F.col("distance").cast("long").alias("distance"))

@@ -6,6 +6,7 @@ from tallyloom.operators.control import GOVERNED
 from tallyloom.plans.adapters import decisions, table, with_views
 from tallyloom.plans.folders import shared_folder
 from tallyloom.plans.registry import query
+from tallyloom.sources.memo import Memo
 from tallyloom.sources.snapshots import Snapshots, run
 from tallyloom.streaming import stateful
 
@@ -106,3 +107,15 @@ def t5_cache(spark, d):
     """Entries that are good for two days; what has ended when the stream ends is given as expired."""
     rows = _events(spark, d).selectExpr("concat(event_type, user_id % 40) AS key", "event_id AS seq", "ts")
     return _drained(spark, stateful.cached(rows, 172800.0)).select("key", "seq", "outcome")
+
+
+@query("g8_memo", with_views("decisions", body="SELECT project, count(*) AS rows, count(DISTINCT concat(code, '|', reason)) AS contents, 0::BIGINT AS computed_again, sum(length(concat(code, '|', reason)))::BIGINT AS total FROM decisions GROUP BY project"))
+def g8_memo(spark, d):
+    """Results by contents: a first run computes each content once, a second one over all rows computes none."""
+    memo = Memo(spark, shared_folder(spark, "memo"), "size bigint, run int")
+    rows = decisions(spark, d).select("project", "code", "reason")
+    compute = lambda n: lambda missing: missing.select("key", F.length(F.concat("code", F.lit("|"), "reason")).cast("long").alias("size"), F.lit(n).alias("run"))
+    memo.through(rows.filter("project < 'p2'"), ["code", "reason"], compute(1))
+    memo.through(rows, ["code", "reason"], compute(2))
+    out = memo.through(rows, ["code", "reason"], compute(3))
+    return out.groupBy("project").agg(F.count("*").alias("rows"), F.count_distinct("key").alias("contents"), F.count_if(F.col("run") == 3).alias("computed_again"), F.sum("size").alias("total"))
