@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-
-import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 
 from tallyloom.functions.rules import MISSING_DEPENDENCY
 from tallyloom.functions.text import cascade_signature, symbols
+from tallyloom.operators.graph import written
+from tallyloom.plans.folders import shared_folder
 
 
 def syntax_cascade(df: DataFrame) -> DataFrame:
@@ -21,47 +21,50 @@ def syntax_cascade(df: DataFrame) -> DataFrame:
     return df.withColumns({"is_root": is_root, "derived_from": F.when(~is_root & below, F.col("_root.sig"))}).drop("_root")
 
 
+#: Letters of a name's begin under which messages are looked up, at most.
+GRAM = 3
+
+
+def mentions(texts: DataFrame, names: DataFrame) -> DataFrame:
+    """Distinct ``file, message, name`` where a file's message has one of its names anywhere: a join on the name's first letters, then the whole name."""
+    wide = F.least(F.length("name"), F.lit(GRAM))
+    asked = names.select("file", "name", wide.alias("_w"), F.substr("name", F.lit(1), wide).alias("_g")).distinct()
+    pieces = lambda w: F.transform(F.sequence(F.lit(1), F.length("message") - w + 1), lambda i: F.substr("message", i, F.lit(w)))
+    posted = F.array_compact(F.array(*[F.when(F.length("message") >= w, F.struct(F.lit(w).alias("w"), F.array_distinct(pieces(w)).alias("g"))) for w in range(1, GRAM + 1)]))
+    held = texts.select("file", "message").distinct().select("file", "message", F.explode(posted).alias("p")).select("file", "message", F.col("p.w").alias("_w"), F.explode("p.g").alias("_g"))
+    return held.join(asked, ["file", "_w", "_g"]).filter(F.contains("message", F.col("name"))).select("file", "message", "name").distinct()
+
+
 def dependency_cascade(df: DataFrame) -> DataFrame:
     """Per file, in line order: a finding with a missing-dependency code that is not derived yet roots all later findings that mention one of its symbols.
 
-    What a finding becomes depends on the marks of those before it, so a file is handled as a group.  One automaton finds
-    all symbols in all messages of the file; each symbol marks the findings that mention it once, for its first root, since all
-    later ones that mention it are derived by then: the time is linear in the messages.  df: the result of syntax_cascade.
+    Which candidates are roots depends on those before them, so they are settled in rounds: a candidate is a root once no candidate
+    before it that may still be one has a symbol that it mentions, and derived once a root before it has.  Each round settles the
+    first open one of every file at least, in practice nearly all.  All steps are joins by file and symbol or message, so a file is no group
+    of its own; findings without a file are left out.  Ties in line and seq are told apart by code and message.  df: the result of syntax_cascade.
     """
-    kinds = frozenset(MISSING_DEPENDENCY)
-    rows = df.withColumn("_symbols", symbols(F.col("message")))
-
-    def mark(group: pd.DataFrame) -> pd.DataFrame:
-        import ahocorasick
-
-        group = group.assign(_l=group["line"].fillna(0)).sort_values(["_l", "seq"], kind="stable").reset_index(drop=True)
-        if not group["file"].iloc[0]:
-            return group.drop(columns=["_symbols", "_l"])
-        derived, root, line = list(group["derived_from"]), list(group["is_root"]), group["_l"].tolist()
-        able = [i for i, names in enumerate(group["_symbols"]) if derived[i] is None and group["code"][i] in kinds and len(names)]
-        found = ahocorasick.Automaton()
-        for n in {n for i in able for n in group["_symbols"][i]}:
-            found.add_word(n, n)
-        places: dict[str, list[int]] = {}
-        if able:
-            found.make_automaton()
-            for j, message in enumerate(group["message"]):
-                for n in {n for _, n in found.iter(message or "")}:
-                    places.setdefault(n, []).append(j)
-        used: set[str] = set()
-        for i in able:
-            if derived[i] is not None:
-                continue
-            root[i] = True
-            for n in group["_symbols"][i]:
-                if n not in used:
-                    for j in places[n]:
-                        if j != i and derived[j] is None and line[j] >= line[i]:
-                            derived[j] = group["sig"][i]
-                    used.add(n)
-        return group.assign(derived_from=derived, is_root=root).drop(columns=["_symbols", "_l"])
-
-    return rows.groupBy("file").applyInPandas(mark, df.schema)
+    folder, key, names = shared_folder(df.sparkSession, "cascade"), ["file", "_l", "seq", "code", "message", "_id"], df.columns
+    df = written(df.withColumn("_id", F.monotonically_increasing_id()), f"{folder}/rows")  # ids as written
+    free = df.filter((F.coalesce("file", F.lit("")) != "") & F.col("derived_from").isNull()).select("file", F.coalesce("line", F.lit(0)).alias("_l"), "seq", "code", F.coalesce("message", F.lit("")).alias("message"), "_id", "sig")
+    holds = written(free.filter(F.col("code").isin(*MISSING_DEPENDENCY)).select(*key, "sig", F.explode(symbols(F.col("message"))).alias("name")), f"{folder}/holds")
+    said = written(mentions(free, holds), f"{folder}/said")
+    hears = written(holds.select(*key).distinct().join(said, ["file", "message"]).select(*key, "name"), f"{folder}/hears")
+    status = written(holds.select(*key).distinct().withColumn("root", F.lit(None).cast("boolean")), f"{folder}/round=0")
+    place, number = F.struct("_l", "seq", "code", "message", "_id"), 0
+    while not status.filter("root IS NULL").isEmpty():
+        able = holds.join(status.filter("root IS NULL OR root"), key)
+        first = able.groupBy("file", "name").agg(F.min(place).alias("any"), F.min(F.when(F.col("root"), place)).alias("sure"))
+        judged = hears.join(status.filter("root IS NULL").select(*key), key).join(first, ["file", "name"], "left")
+        judged = judged.groupBy(*key).agg(F.bool_or(F.coalesce(F.col("any") < place, F.lit(False))).alias("waits"), F.bool_or(F.coalesce(F.col("sure") < place, F.lit(False))).alias("derived"))
+        new = judged.select(*key, F.when(F.col("derived"), False).when(~F.col("waits"), True).alias("root"))
+        number += 1
+        status = written(status.filter("root IS NOT NULL").unionByName(new), f"{folder}/round={number}")
+    roots = status.filter("root")
+    source = holds.join(roots.select(*key), key).groupBy("file", "name").agg(F.min(F.struct("_l", "seq", "code", "message", "_id", "sig")).alias("r"))
+    marks = free.join(said.join(source, ["file", "name"]), ["file", "message"]).filter((F.col("_l") >= F.col("r._l")) & (F.col("_id") != F.col("r._id")))
+    marks = marks.groupBy("_id").agg(F.min("r").alias("_r"))
+    out = df.join(marks, "_id", "left").join(roots.select("_id", F.lit(True).alias("_root")), "_id", "left")
+    return out.withColumns({"is_root": F.col("is_root") | F.coalesce("_root", F.lit(False)), "derived_from": F.coalesce("derived_from", "_r.sig")}).select(*names)
 
 
 def symbol_cascade(df: DataFrame, least: int = 3) -> DataFrame:

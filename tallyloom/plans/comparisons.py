@@ -308,12 +308,29 @@ def w16(spark, d):
     return out.filter("is_root OR derived_from IS NOT NULL").select("seq", "is_root", F.col("derived_from").isNotNull().alias("derived"))
 
 
-@query("j9_cascade")
+#: The three rules of a collapse: candidates of a file one by one, with the symbols of the roots so far; what the roots mark; symbol clusters of what is left.
+COLLAPSED = f"""+b0 AS (SELECT row_number() OVER () AS id, seq, file, line, code, message, error_class, concat(file, '::', line, '::', CASE WHEN code <> '' THEN code ELSE substr(message, 1, 60) END) AS sig, list_concat(regexp_extract_all(message, '`([A-Za-z_][A-Za-z0-9_:.<>-]*)`', 1), regexp_extract_all(message, '''([A-Za-z_][A-Za-z0-9_:.<>-]*)''', 1)) AS names FROM findings),
+cr AS (SELECT file, min(struct_pack(l := line, q := seq, g := sig)) AS r FROM b0 WHERE error_class = 'CRITICAL_SYNTAX' GROUP BY file),
+b AS (SELECT b0.*, coalesce(b0.seq = cr.r.q, false) AS r1, coalesce(b0.seq <> cr.r.q AND b0.line >= cr.r.l, false) AS d1, cr.r.g AS by1 FROM b0 LEFT JOIN cr ON cr.file = b0.file),
+c AS (SELECT *, row_number() OVER (PARTITION BY file ORDER BY line, seq, code, message) AS k FROM b WHERE NOT d1 AND len(names) > 0 AND code IN ({', '.join(f"'{x}'" for x in rules.MISSING_DEPENDENCY)})),
+z AS (SELECT file, k, true AS root, names AS known FROM c WHERE k = 1 UNION ALL SELECT c.file, c.k, len(list_filter(z.known, lambda n: contains(c.message, n))) = 0, CASE WHEN len(list_filter(z.known, lambda n: contains(c.message, n))) = 0 THEN list_distinct(list_concat(z.known, c.names)) ELSE z.known END FROM z JOIN c ON c.file = z.file AND c.k = z.k + 1),
+rt AS (SELECT c.* FROM c JOIN z ON z.file = c.file AND z.k = c.k WHERE z.root),
+m AS (SELECT b.id, arg_min(rt.sig, rt.k) AS by2 FROM b JOIN rt ON rt.file = b.file AND rt.line <= b.line AND rt.id <> b.id AND len(list_filter(rt.names, lambda n: contains(b.message, n))) > 0 WHERE NOT b.d1 GROUP BY b.id),
+e AS (SELECT b.*, b.r1 OR rt.id IS NOT NULL AS r2, CASE WHEN b.d1 THEN b.by1 ELSE m.by2 END AS by2 FROM b LEFT JOIN rt ON rt.id = b.id LEFT JOIN m ON m.id = b.id),
+u AS (SELECT id, count(*) OVER w AS n, min(struct_pack(f := file, l := line, q := seq, g := sig)) OVER w AS lead FROM e WHERE by2 IS NULL AND NOT r2 AND len(names) > 0 WINDOW w AS (PARTITION BY names[1])),
+x AS (SELECT e.seq, e.sig, e.r2 OR coalesce(u.n >= 3 AND u.lead.q = e.seq, false) AS is_root, CASE WHEN u.n >= 3 AND u.lead.q <> e.seq THEN u.lead.g ELSE e.by2 END AS derived_from FROM e LEFT JOIN u ON u.id = e.id) """
+
+
+def _collapsed(body: str) -> str:
+    return with_views("findings", body=COLLAPSED + body).replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+@query("j9_cascade", _collapsed("SELECT seq, is_root, derived_from, derived_from IS NOT NULL AS derived FROM x"))
 def j9(spark, d):
     return cascade.collapse(findings(spark, d)).select("seq", "is_root", "derived_from", "derived")
 
 
-@query("j8_cascade_groups")
+@query("j8_cascade_groups", _collapsed("SELECT r.sig, r.root, coalesce(k.derived, 0) AS derived, k.first FROM (SELECT sig, min(seq) AS root FROM x WHERE derived_from IS NULL GROUP BY sig) r LEFT JOIN (SELECT derived_from AS sig, count(*) AS derived, min(seq) AS first FROM x WHERE derived_from IS NOT NULL GROUP BY derived_from) k ON k.sig = r.sig"))
 def j8(spark, d):
     return cascade.groups(cascade.collapse(findings(spark, d)))
 
@@ -325,7 +342,7 @@ def o3(spark, d):
     return ranking.root_cause(findings(spark, d), none, "base_weight").select("seq", "file")
 
 
-@query("o4_cascade_order")
+@query("o4_cascade_order", _collapsed("SELECT derived_from IS NOT NULL AS derived, count(*) AS n, min(seq) AS first FROM x GROUP BY 1"))
 def o4(spark, d):
     return cascade.collapse(findings(spark, d)).groupBy("derived").agg(F.count("*").alias("n"), F.min("seq").alias("first"))
 
