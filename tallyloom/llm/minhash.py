@@ -28,9 +28,11 @@ from tallyloom.llm.textscan import U, batches, mix
 #: Bands and rows: at a similarity of 0.85 a pair shares no band with probability 4e-8, at 0.8 with 2e-5.
 BANDS, ROWS = 36, 6
 #: Coordinates of a sketch, a byte each; the first BANDS * ROWS make the bands, all tell how alike a pair is.
-COORDINATES = 432
+COORDINATES = 648
 #: A candidate goes if its sketches agree in fewer coordinates than so many standard deviations below what the threshold makes one expect.
-DEVIATIONS = 5.5
+DEVIATIONS = 5
+#: Members of a bucket that are compared with as many others by one task; pairs compared at once.
+MEMBERS, COMPARED = 1024, 1 << 13
 _RNG = np.random.Generator(np.random.PCG64(13))
 ROUND = _RNG.integers(1, 2**63, 2 * 4096, dtype=np.uint64) * U(2) + U(1)
 SUMS = (0xD6E8FEB86659FD93, 0xA0761D6478BD642F)
@@ -77,7 +79,7 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _banded(bands: int, rows: int, shared=None):
-    """Rows (bucket, id, n): the bucket of each band of each sketch; shared: a filter of the buckets that are asked for."""
+    """Rows (bucket, band, id, n): the bucket of each band of each sketch; shared: a filter of the buckets that are asked for."""
 
     def run(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in parts:
@@ -86,11 +88,10 @@ def _banded(bands: int, rows: int, shared=None):
                 key = np.arange(bands, dtype=np.uint64) * U(0x9E3779B97F4A7C15) + U(1)
                 for j in range(rows):
                     key = mix((key ^ held[:, :, j]) * U(0xD1342543DE82EF95))
-                bucket, of = key.reshape(-1).view(np.int64), np.repeat(np.arange(part.num_rows), bands)
-                if shared is not None:
-                    asked = _held(shared.value, bucket)
-                    bucket, of = bucket[asked], of[asked]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket), *[part.column(c).take(pa.array(of)) for c in ("id", "n")]], names=["bucket", "id", "n"])
+                bucket = key.reshape(-1).view(np.int64)
+                asked = np.flatnonzero(_held(shared.value, bucket)) if shared is not None else np.arange(len(bucket))
+                of, band = np.divmod(asked, bands)
+                yield pa.RecordBatch.from_arrays([pa.array(bucket[asked]), pa.array(band.astype(np.int32)), *[part.column(c).take(pa.array(of)) for c in ("id", "n")]], names=["bucket", "band", "id", "n"])
 
     return run
 
@@ -107,6 +108,38 @@ def _agreeing(least: int):
     return run
 
 
+def _compared(bands: int, least: int, num: int, den: int):
+    """The pairs (a, b) of two blocks of a bucket, x and y, that are to be verified."""
+
+    def run(table: pa.Table) -> pa.Table:
+        x, y, own, n, of = (table.column(c).to_numpy() for c in ("x", "y", "own", "n", "component"))
+        outside = table.column("outside").to_numpy(zero_copy_only=False).astype(bool)
+        ids, band = table.column("id").to_numpy(), int(table.column("band")[0].as_py())
+        kept, several = np.zeros((len(ids), bands), np.int64), np.zeros(len(ids), bool)  # 0: no bucket; an id with several texts may have several of a band
+        for i, buckets in enumerate(table.column("kept").to_pylist()):
+            for b in buckets:
+                several[i] |= kept[i, b["band"]] != 0
+                kept[i, b["band"]] = b["bucket"]
+        sketch = _matrix(table.column("sketch"))
+        left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
+        out = []
+        step = max(1, COMPARED // max(1, len(right)))
+        for lo in range(0, len(left), step):
+            i, j = (k.ravel() for k in np.meshgrid(left[lo : lo + step], right, indexing="ij"))
+            able = (of[i] != of[j]) & (outside[i] | outside[j]) & (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num)
+            if x[0] == y[0]:
+                able &= ids[i] < ids[j]
+            i, j = i[able], j[able]
+            first = (((kept[i] == kept[j]) & (kept[i] != 0)).argmax(axis=1) == band) | several[i] | several[j]
+            i, j = i[first], j[first]
+            close = (sketch[i] == sketch[j]).sum(axis=1) >= least
+            out.append((np.minimum(ids[i[close]], ids[j[close]]), np.maximum(ids[i[close]], ids[j[close]])))
+        a, b = (np.concatenate([np.zeros(0, np.int64), *[p[k] for p in out]]) for k in (0, 1))
+        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+
+    return run
+
+
 def _sets(words: int):
     """Rows (id, shingles); rows of a task that repeat an id with the same set are given once."""
 
@@ -159,7 +192,7 @@ class NearDuplicates:
         Most buckets have one; buckets alone are counted, and a Bloom filter of the others keeps single members out of the join.
         """
         sketches = classes.select("id", "n", "sketch")
-        rows = "bucket long, id long, n long"
+        rows = "bucket long, band int, id long, n long"
         counted = sketches.mapInArrow(_banded(self.bands, self.rows), rows).groupBy("bucket").agg(F.count("*").alias("members"))
         full = stash(counted.filter("members > 1"), "buckets")
         bits = max(6, min(BLOOM.bit_length() - 1, (16 * full.count()).bit_length()))
@@ -184,20 +217,26 @@ class NearDuplicates:
 
         Of buckets with the same members (bands of a passage that they share) only one is kept.
         """
-        rows = self.postings.select("bucket", "id", "n").join(label.select("id", "component").distinct(), "id", "left").withColumn("component", F.coalesce("component", "id"))
+        rows = self.postings.select("bucket", "band", "id", "n").join(label.select("id", "component").distinct(), "id", "left").withColumn("component", F.coalesce("component", "id"))
         sums = [F.sum(F.xxhash64(F.lit(k), "id").cast("decimal(38,0)")).alias(f"s{k}") for k in (1, 2)]
         groups = rows.groupBy("bucket", "component").agg(F.count("*").alias("k"), *sums).groupBy("bucket")
         groups = groups.agg(F.max_by("component", F.struct("k", "component")).alias("main"), F.count("*").alias("kinds"), F.sum("k").alias("k"), *[F.sum(f"s{k}").alias(f"s{k}") for k in (1, 2)])
-        groups = stash(groups.filter("kinds > 1").groupBy("k", "s1", "s2").agg(F.min(F.struct("bucket", "main")).alias("at")).select("at.*"), "mixed")
+        groups = stash(groups.filter("kinds > 1").groupBy("k", "s1", "s2").agg(F.min(F.struct("bucket", "main")).alias("at")).select("at.*", F.col("k").alias("members")), "mixed")
         rows = rows.join(groups, "bucket").withColumn("outside", F.expr("component <> main")).drop("main")
-        kept = rows.groupBy("id").agg(F.collect_set("bucket").alias("kept"))  # a bucket for each band at most
+        kept = rows.groupBy("id").agg(F.collect_set(F.struct("band", "bucket")).alias("kept"))  # a bucket for each band, or few if an id has several texts
         return stash(rows.join(kept, "id"), "unsettled")
 
     def _met(self, rows: DataFrame) -> DataFrame:
-        """Members outside of their bucket's largest component with all members in other components, at the least bucket that both share."""
-        other = rows.filter("outside").select("bucket", F.col("id").alias("b"), F.col("n").alias("n_b"), F.col("component").alias("component_b"), F.col("kept").alias("kept_b"))
-        once = F.array_min(F.array_intersect("kept", "kept_b")) == F.col("bucket")
-        return self._pairs(rows.join(other, "bucket").filter((F.col("component") != F.col("component_b")) & once), "id", "b")
+        """Members outside of their bucket's largest component with those in other components whose sketches allow it, at the first bucket that both share.
+
+        A bucket's members are dealt to blocks, and each two blocks are compared by a task; only pairs that stand leave it.
+        """
+        blocks = F.ceil(F.col("members") / MEMBERS).cast("int")
+        own = F.pmod(F.xxhash64("id"), blocks).cast("int")
+        rows = rows.join(self.near, "id").withColumns({"blocks": blocks, "own": own})
+        met = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
+        rows = rows.select("bucket", "band", "id", "n", "component", "outside", "kept", "sketch", "own", met).withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
+        return rows.groupBy("bucket", "x", "y").applyInArrow(_compared(self.bands, self.least, self.num, self.den), "a long, b long").distinct()
 
     def _verify(self, pairs: DataFrame) -> DataFrame:
         """The pairs that the sketches allow and whose whole sets are alike, as written links."""
