@@ -126,3 +126,31 @@ def decision_integrity(df: DataFrame, rejected: Column, counted: Column) -> Data
     """Rejections in the log, those that the counter has, and whether the rows that it passes over explain the gap."""
     g = df.agg(F.count_if(rejected).alias("log"), F.count_if(rejected & counted).alias("counter"), F.count_if(rejected & ~counted).alias("gap"))
     return g.select("log", "counter", (F.col("log") - F.col("counter") == F.col("gap")).alias("explained"))
+
+
+def infrastructure_failures(failures: DataFrame, runs: DataFrame, key: list[str]) -> DataFrame:
+    """Per run: failures of the infrastructure in all, and by category as "category=n" in order; runs without any have 0 and nothing."""
+    per = failures.groupBy(*key, F.coalesce("category", F.lit("")).alias("c")).agg(F.count("*").alias("n"))
+    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("c", "n"))), lambda x: F.concat(x["c"], F.lit("="), x["n"].cast("string"))), ",")
+    return runs.select(*key).distinct().join(per.groupBy(*key).agg(F.sum("n").alias("failures"), text.alias("by_category")), key, "left").na.fill(0, ["failures"]).na.fill("", ["by_category"])
+
+
+def audit_counts(audits: DataFrame, key: list[str]) -> DataFrame:
+    """Per run: files whose audits have all passed, and files with one that has not."""
+    files = audits.groupBy(*key, "file").agg(F.bool_and("passed").alias("p"))
+    return files.groupBy(*key).agg(F.count_if("p").alias("passed"), F.count_if(~F.col("p")).alias("failed"))
+
+
+def recent_rates(df: DataFrame, key: list[str], order: list[str], rates: dict[str, tuple[Column, Column]], most: int = 10) -> DataFrame:
+    """Rates over the last ``most`` rows up to each row: share of the rows of the second condition that are of the first; null without such rows."""
+    from pyspark.sql import Window as W
+
+    w = W.partitionBy(*key).orderBy(*order).rowsBetween(1 - most, 0)
+    share = lambda a, b: F.sum((a & b).cast("int")).over(w) / F.nullif(F.sum(b.cast("int")).over(w), F.lit(0))
+    return df.withColumns({n: share(a, b) for n, (a, b) in rates.items()})
+
+
+def series_summary(projects: DataFrame) -> DataFrame:
+    """One row over projects with their outcome: how many there are of each, the share that passed, and the findings of all; null share without projects."""
+    of = lambda o: F.count_if(F.col("outcome") == o)
+    return projects.agg(F.count("*").alias("projects"), of("PASS").alias("passed"), of("PARTIAL").alias("partial"), of("FAIL").alias("failed"), of("EMPTY").alias("empty"), F.round(of("PASS") / F.nullif(F.count("*"), F.lit(0)), 3).alias("rate"), F.coalesce(F.sum("findings"), F.lit(0)).alias("findings"))
