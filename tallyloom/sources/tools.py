@@ -74,7 +74,7 @@ def last_rows(df: DataFrame, n: int, order: str) -> DataFrame:
 
 def read_sources(spark: SparkSession, path: str, extensions: tuple[str, ...], most: int = 1000, skip=("node_modules", ".git", "venv", ".venv", "build", "dist", "target", "__pycache__")) -> DataFrame:
     """``file, text`` of source files by extension, without skipped folders; the first ``most`` by name (the feature's limit)."""
-    files = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", "*{" + ",".join(extensions) + "}").text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
+    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*{" + ",".join(extensions) + "}").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
     return files.filter(~F.arrays_overlap(F.split("file", "/"), F.array(*[F.lit(s) for s in skip]))).orderBy("file").limit(most)
 
 
