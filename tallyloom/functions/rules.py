@@ -107,6 +107,7 @@ def live(file: Column) -> Column:
 
 def infer_language(code: Column, given: Column) -> Column:
     g, c = F.lower(F.coalesce(given, F.lit(""))), F.trim(F.coalesce(code, F.lit("")))
+    # Code families by language, in the order in which they are tried.
     mypy = ("attr-defined", "arg-type", "name-defined", "call-arg", "return-value", "assignment", "import-not-found", "list-item", "index", "union-attr", "var-annotated", "no-redef", "misc", "valid-type", "type-var")
     return (
         F.when(g != "", g)
@@ -134,6 +135,7 @@ def noise(code: Column) -> Column:
 def synthetic_code(message: Column) -> Column:
     """A code for compiler messages that have none; empty if they fit no pattern."""
     m = F.lower(F.coalesce(message, F.lit("")))
+    # Parts of messages and their codes, in the order in which they are tried.
     return (
         F.when(any_of(m, ("expected ';'", "missing terminating")), "GCC_SEMI")
         .when(any_of(m, ("expected '}'", "expected '{'")), "GCC_BRACE")
@@ -201,6 +203,7 @@ def fix_strength(removed: Column, added: Column, code: Column) -> Column:
 def finding_type(tool: str, code: Column, message: Column) -> Column:
     """Type of a tool's finding by its code, or by the message where the code does not tell."""
     code, m = F.coalesce(code, F.lit("")), F.lower(F.coalesce(message, F.lit("")))
+    # Codes and parts of messages by type, tool by tool.
     if tool == "flake8":
         named = F.when(any_of(m, ("undefined", "name")), "runtime").when(m.contains("import"), "dependency").otherwise("lint")
         return F.when(code.startswith("E999"), "syntax").when(code.startswith("E"), "compile").when(code.startswith("W"), "warning").when(code.startswith("F"), named).otherwise("lint")

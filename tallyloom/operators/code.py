@@ -16,6 +16,7 @@ from collections.abc import Callable, Iterator
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
+# Calls with effects, those that count as high, and code that is dangerous in comments.
 EFFECTS = {"open": "file", "print": "output", "exec": "exec", "eval": "exec", "system": "process", "run": "process", "Popen": "process", "remove": "file", "unlink": "file", "urlopen": "network", "get": "network", "post": "network"}
 HIGH_EFFECTS = ("exec", "process", "network")
 SPIKE = 5
@@ -308,6 +309,7 @@ def symbol_index(lines: DataFrame, language: str) -> DataFrame:
 
 def erosion(before: Column, after: Column, code: Column) -> Column:
     """Whether a patch added marks of given-up typing, for a code that could be fixed properly."""
+    # Marks of given-up typing.
     marks = (r":\s*Any\b", r"#\s*type:\s*ignore", r"\bcast\s*\(\s*Any\b", r"->\s*object\b")
     grew = F.lit(False)
     for m in marks:
