@@ -53,7 +53,7 @@ def sketches(sets: list[np.ndarray], coordinates: int = COORDINATES) -> np.ndarr
         h = mix(shingle * ROUND[i])
         place = (h >> U(32)) * U(coordinates) >> U(32) if i < coordinates else np.full(len(h), i - coordinates, np.uint64)
         at = of * coordinates + place.astype(np.int64)
-        low = mix(h) >> U(16) | U(i << 48)  # a later round never replaces an earlier one
+        low = h & U(0xFFFFFFFF) | U(i << 32)  # a later round never replaces an earlier one
         np.minimum.at(flat, at, low)
         missing = np.count_nonzero(best == np.iinfo(np.uint64).max, axis=1) * (size > 0)
     return np.where(size[:, None] > 0, mix(best) & U(0xFF), U(0)).astype(np.uint8)
@@ -109,33 +109,37 @@ def _agreeing(least: int):
 
 
 def _compared(bands: int, least: int, num: int, den: int):
-    """The pairs (a, b) of two blocks of a bucket, x and y, that are to be verified."""
+    """The pairs (a, b) of two blocks, x and y, of each of some buckets that are to be verified."""
 
-    def run(table: pa.Table) -> pa.Table:
-        x, y, own, n, of = (table.column(c).to_numpy() for c in ("x", "y", "own", "n", "component"))
-        outside = table.column("outside").to_numpy(zero_copy_only=False).astype(bool)
-        ids, band = table.column("id").to_numpy(), int(table.column("band")[0].as_py())
-        kept, several = np.zeros((len(ids), bands), np.int64), np.zeros(len(ids), bool)  # 0: no bucket; an id with several texts may have several of a band
-        for i, buckets in enumerate(table.column("kept").to_pylist()):
-            for b in buckets:
-                several[i] |= kept[i, b["band"]] != 0
-                kept[i, b["band"]] = b["bucket"]
-        sketch = _matrix(table.column("sketch"))
+    def compare(x: int, y: int, band: int, own, ids, n, of, outside, kept, several, sketch) -> tuple[np.ndarray, np.ndarray]:
         left, right = np.flatnonzero(own == x), np.flatnonzero(own == y)
-        out = []
-        step = max(1, COMPARED // max(1, len(right)))
+        step, out = max(1, COMPARED // max(1, len(right))), []
         for lo in range(0, len(left), step):
             i, j = (k.ravel() for k in np.meshgrid(left[lo : lo + step], right, indexing="ij"))
             able = (of[i] != of[j]) & (outside[i] | outside[j]) & (np.minimum(n[i], n[j]) * den >= np.maximum(n[i], n[j]) * num)
-            if x[0] == y[0]:
+            if x == y:
                 able &= ids[i] < ids[j]
             i, j = i[able], j[able]
             first = (((kept[i] == kept[j]) & (kept[i] != 0)).argmax(axis=1) == band) | several[i] | several[j]
             i, j = i[first], j[first]
             close = (sketch[i] == sketch[j]).sum(axis=1) >= least
-            out.append((np.minimum(ids[i[close]], ids[j[close]]), np.maximum(ids[i[close]], ids[j[close]])))
-        a, b = (np.concatenate([np.zeros(0, np.int64), *[p[k] for p in out]]) for k in (0, 1))
-        return pa.table({"a": pa.array(a, pa.int64()), "b": pa.array(b, pa.int64())})
+            out += [np.minimum(ids[i[close]], ids[j[close]]), np.maximum(ids[i[close]], ids[j[close]])]
+        none = [np.zeros(0, np.int64)]
+        return np.concatenate(none + out[::2]), np.concatenate(none + out[1::2])
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.sort_by("bucket")
+        bucket, x, y, band, own, ids, n, of = (table.column(c).to_numpy() for c in ("bucket", "x", "y", "band", "own", "id", "n", "component"))
+        outside = table.column("outside").to_numpy(zero_copy_only=False).astype(bool)
+        kept, several = np.zeros((len(ids), bands), np.int64), np.zeros(len(ids), bool)  # 0: no bucket; an id with several texts may have several of a band
+        for i, buckets in enumerate(table.column("kept").to_pylist()):
+            for b in buckets:
+                several[i] |= kept[i, b["band"]] != 0
+                kept[i, b["band"]] = b["bucket"]
+        sketch = _matrix(table.column("sketch"))
+        edge = np.flatnonzero(np.concatenate(([True], bucket[1:] != bucket[:-1], [True])))
+        found = [compare(x[a], y[a], band[a], *(c[a:b] for c in (own, ids, n, of, outside, kept, several, sketch))) for a, b in zip(edge, edge[1:])]
+        return pa.table({k: pa.array(np.concatenate([p[i] for p in found]), pa.int64()) for i, k in enumerate("ab")})
 
     return run
 
@@ -175,9 +179,9 @@ class NearDuplicates:
         self.postings = self._shared(classes)
         self.popular = stash(self.postings.groupBy("id").agg(F.sum("members").alias("popular")), "popular")
         self.near = stash(classes.select("id", "sketch").join(self.popular, "id", "left_semi"), "near")
-        links = self._verify(self._led(self.postings.select("bucket", "id", "n")))
+        links = self._verify(self._close(self._led(self.postings.select("bucket", "id", "n"))))
         label = components(links)
-        for met in (self._led, self._met):
+        for met in (lambda rows: self._close(self._led(rows)), self._met):
             if (rest := self._unsettled(label)).isEmpty():
                 break
             known = label.filter("id <> component").select(F.col("id").alias("a"), F.col("component").alias("b"))
@@ -229,21 +233,26 @@ class NearDuplicates:
     def _met(self, rows: DataFrame) -> DataFrame:
         """Members outside of their bucket's largest component with those in other components whose sketches allow it, at the first bucket that both share.
 
-        A bucket's members are dealt to blocks, and each two blocks are compared by a task; only pairs that stand leave it.
+        A bucket's members are dealt to blocks, and each two blocks are compared as a group, buckets of one block some together; only pairs
+        that stand leave it.
         """
+        together = 1 + rows.count() // (4 * MEMBERS)
         blocks = F.ceil(F.col("members") / MEMBERS).cast("int")
         own = F.pmod(F.xxhash64("id"), blocks).cast("int")
-        rows = rows.join(self.near, "id").withColumns({"blocks": blocks, "own": own})
+        rows = rows.join(self.near, "id").withColumns({"blocks": blocks, "own": own, "deal": F.when(blocks == 1, F.pmod(F.xxhash64("bucket"), F.lit(together))).otherwise(F.col("bucket"))})
         met = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-        rows = rows.select("bucket", "band", "id", "n", "component", "outside", "kept", "sketch", "own", met).withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
-        return rows.groupBy("bucket", "x", "y").applyInArrow(_compared(self.bands, self.least, self.num, self.den), "a long, b long").distinct()
+        rows = rows.select("deal", "bucket", "band", "id", "n", "component", "outside", "kept", "sketch", "own", met).withColumns({"x": F.least("own", "other"), "y": F.greatest("own", "other")})
+        return rows.groupBy("deal", "x", "y").applyInArrow(_compared(self.bands, self.least, self.num, self.den), "a long, b long").distinct()
 
-    def _verify(self, pairs: DataFrame) -> DataFrame:
-        """The pairs that the sketches allow and whose whole sets are alike, as written links."""
+    def _close(self, pairs: DataFrame) -> DataFrame:
+        """The pairs that the sketches allow."""
         pairs = stash(pairs, "candidates")
         side = lambda s: self.near.select(F.col("id").alias(s), F.col("sketch").alias(f"sketch_{s}"))
-        close = pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_agreeing(self.least), "a long, b long")
-        pairs = stash(close.distinct(), "close")
+        return pairs.join(side("a"), "a").join(side("b"), "b").mapInArrow(_agreeing(self.least), "a long, b long").distinct()
+
+    def _verify(self, pairs: DataFrame) -> DataFrame:
+        """The pairs whose whole sets are alike, as written links."""
+        pairs = stash(pairs, "close")
         wanted = pairs.select(F.col("a").alias("id")).unionByName(pairs.select(F.col("b").alias("id"))).distinct()
         sets = stash(self.docs.join(wanted, "id", "left_semi").mapInArrow(_sets(self.words), "id long, shingles array<bigint>"), "sets")
         side = lambda s: sets.select(F.col("id").alias(s), F.col("shingles").alias(f"set_{s}"))
