@@ -19,8 +19,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from tallyloom.llm.scratch import stash
 from tallyloom.llm.tokens import crc, default_path, encode_batches, encoder
 
-#: Ids a window holds, ids a piece of a rest has at most, windows of a batch (about).
-CAPACITY, PIECE, WINDOWS = 2048, 512, 512
+#: Ids a window holds, ids a piece of a rest has at most, windows and pieces of a batch (about).
+CAPACITY, PIECE, WINDOWS, PIECES_OF_BATCH = 2048, 512, 512, 1 << 16
 PIECES = "start long, length long, ids_crc32 long, doc_tokens long"
 
 
@@ -32,7 +32,7 @@ def differencing(sizes: np.ndarray, k: int) -> np.ndarray:
     if k == 1:
         return np.zeros(n, np.int64)
     # a node is a piece (below n) or two nodes merged; -1: an empty window
-    left, right = np.full(n * 2 + n * k, -1, np.int64), np.full(n * 2 + n * k, -1, np.int64)
+    left, right = np.full(n * 2, -1, np.int64), np.full(n * 2, -1, np.int64)  # each merge leaves one node less to merge
     used = n
     heap = []
     for i, size in enumerate(sizes.tolist()):
@@ -87,7 +87,7 @@ def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", tokeniz
     Each row of docs is a document, so repeated rows are packed each; null text: empty, its end id only; a null
     doc_id stays null; an empty table gives an empty result; other columns are not read.  Only the pieces of rests are shuffled,
     texts and whole windows are not, so a text of any length adds one group member per ``piece`` ids of its rest at most.
-    Batches hold about ``windows`` windows whatever the corpus's size.  Pieces that tie in size are told apart by doc_id, start and contents.
+    Batches hold about ``windows`` windows and PIECES_OF_BATCH pieces at most whatever the corpus's size and the texts' lengths.  Pieces that tie in size are told apart by doc_id, start and contents.
     """
     at = tokenizer_path or default_path(tokenizer)
     kind = docs.schema[doc_id].dataType.simpleString()
@@ -120,8 +120,8 @@ def pack(docs: DataFrame, *, doc_id: str = "doc_id", text: str = "text", tokeniz
 
     pieces = stash(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")).mapInArrow(cut, f"{schema}, sequence_id long"), "pieces")
     rest = pieces.filter("sequence_id IS NULL").drop("sequence_id")
-    rests = rest.agg(F.sum("length")).first()[0] or 0
-    batches = max(1, -(-rests // (capacity * windows)))
+    rests, number = rest.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count("*")).first()
+    batches = max(1, -(-rests // (capacity * windows)), -(-number // PIECES_OF_BATCH))
     key = F.pmod(F.xxhash64("doc_id", "start", "ids_crc32", "length"), F.lit(batches))
 
     def fill(table: pa.Table) -> pa.Table:
