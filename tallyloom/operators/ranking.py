@@ -73,13 +73,23 @@ def top(df: DataFrame, key: list[str], n: int, order: list[Column]) -> DataFrame
 def nearest_match(anchors: DataFrame, lines: DataFrame, window: int = 15) -> DataFrame:
     """Per anchor ``id, file, line, match``: the nearest line of the file with that text within the window, else the only one in the file.
 
-    One equi-join on (file, text); no range join is needed.
+    Anchors and lines are reduced to distinct places first, which are put in order within (file, text).  The nearest line before a place and the one
+    after it come from windows that run once in each direction, so no pairs are formed; the one join gives each anchor what its place has found.
     """
-    hits = anchors.join(lines.select("file", F.col("line").alias("at"), F.col("text").alias("match")), ["file", "match"])
-    gap = F.abs(F.col("at") - F.col("line"))
-    best = hits.groupBy("id").agg(F.min(F.when(gap <= window, F.struct(gap.alias("gap"), "at"))).alias("near"), F.count("*").alias("k"), F.min("at").alias("only"))
+    there = (F.col("file").isNotNull()) & F.col("match").isNotNull()  # null is equal to nothing
+    at = lines.select("file", F.col("text").alias("match"), "line").filter(there).withColumn("n", F.lit(1))
+    places = at.unionByName(anchors.select("file", "match", "line").filter(there).withColumn("n", F.lit(0))).groupBy("file", "match", "line").agg(F.sum("n").alias("n"))
+    key = W.partitionBy("file", "match")
+    held = F.when(F.col("n") > 0, F.col("line"))
+    upto = lambda order: F.last(held, ignorenulls=True).over(key.orderBy(order).rowsBetween(W.unboundedPreceding, 0))
+    places = places.select("file", "match", "line", upto(F.asc("line")).alias("before"), upto(F.desc("line")).alias("after"), F.sum("n").over(key).alias("k"), F.min(held).over(key).alias("only"))
+    down, up = F.col("line") - F.col("before"), F.col("after") - F.col("line")
+    near = F.when((down <= window) & (up.isNull() | (down <= up)), F.struct(down.alias("gap"), F.col("before").alias("at"))).when(up <= window, F.struct(up.alias("gap"), F.col("after").alias("at")))
+    places = places.select(F.col("file").alias("_file"), F.col("match").alias("_match"), F.col("line").alias("_line"), near.alias("near"), "k", "only")
+    hits = anchors.join(places, (F.col("file") == F.col("_file")) & (F.col("match") == F.col("_match")) & F.col("line").eqNullSafe(F.col("_line")), "left")
+    best = hits.groupBy("id").agg(F.min("near").alias("near"), F.sum("k").alias("k"), F.min("only").alias("only"), F.count("*").alias("anchors"))
     found = F.when(F.col("near").isNotNull(), F.col("near.at")).when(F.col("k") == 1, F.col("only"))
-    return anchors.select("id").join(best, "id", "left").select("id", found.alias("found"))
+    return best.select("id", found.alias("found"), F.explode(F.sequence(F.lit(1).cast("long"), "anchors"))).select("id", "found")
 
 
 def drop_noisy_files(df: DataFrame, codes, most: int) -> DataFrame:
