@@ -32,3 +32,10 @@ def test_nearest_match_equals_a_search_of_all_pairs(spark):
     schema = "id int, file string, line int, match string"
     found = ranking.nearest_match(spark.createDataFrame(anchors, schema), spark.createDataFrame(lines, schema).withColumnRenamed("match", "text"))
     assert sorted(map(tuple, found.collect()), key=str) == sorted(want, key=str)
+
+
+def test_cargo_audit_sends_no_exploded_side_through_the_driver(spark):
+    docs = spark.range(3).select(F.col("id").alias("p"), F.lit("{}").alias("value"))
+    manifest = spark.range(3).select(F.col("id").alias("p"), F.lit(1).alias("line"), F.lit("time = 1").alias("text"))
+    found = tools.cargo_audit(docs, manifest, ["p"])
+    assert "Broadcast" not in plan(found) and "SortMergeJoin" in plan(found)
