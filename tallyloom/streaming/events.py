@@ -30,6 +30,12 @@ def once(events: DataFrame, key: list[str], late: str = "1 hour") -> DataFrame:
     return events.withWatermark("ts", late).dropDuplicatesWithinWatermark(key)
 
 
+def in_order(parts: Iterator[pd.DataFrame], by: str = "seq") -> pd.DataFrame:
+    """All rows of a key in one batch by ``seq``: Arrow batches cut a key's rows anywhere, and in no order."""
+    parts = list(parts)
+    return pd.concat(parts).sort_values(by) if parts else pd.DataFrame()
+
+
 def attempts(events: DataFrame, limit: int = 3) -> DataFrame:
     """Per file: attempts, longest run of one failure reason, blocked at ``limit`` equal reasons in a row; a new file hash starts over.
 
@@ -38,15 +44,14 @@ def attempts(events: DataFrame, limit: int = 3) -> DataFrame:
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         seen, tries, last, streak, blocked = state.get if state.exists else ("", 0, "", 0, False)
-        for part in parts:
-            for row in part.sort_values("seq").itertuples():
-                if seen and seen != row.file_hash:
-                    tries, last, streak, blocked = 0, "", 0, False
-                seen, tries = row.file_hash, tries + 1
-                if row.reason:
-                    streak = streak + 1 if row.reason == last else 1
-                    last = row.reason
-                blocked = blocked or streak >= limit
+        for row in in_order(parts).itertuples():
+            if seen and seen != row.file_hash:
+                tries, last, streak, blocked = 0, "", 0, False
+            seen, tries = row.file_hash, tries + 1
+            if row.reason:
+                streak = streak + 1 if row.reason == last else 1
+                last = row.reason
+            blocked = blocked or streak >= limit
         state.update((seen, tries, last, streak, blocked))
         yield pd.DataFrame({"file": [key[0]], "attempts": [tries], "streak": [streak], "blocked": [blocked]})
 
@@ -59,9 +64,8 @@ def breaker(events: DataFrame, limit: int = 3) -> DataFrame:
     def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
         (failures,) = state.get if state.exists else (0,)
         last = -1
-        for part in parts:
-            for row in part.sort_values("seq").itertuples():
-                failures, last = 0 if row.ok else failures + 1, row.seq
+        for row in in_order(parts).itertuples():
+            failures, last = 0 if row.ok else failures + 1, row.seq
         state.update((failures,))
         yield pd.DataFrame({"key": [key[0]], "seq": [last], "failures": [failures], "open": [failures >= limit]})
 

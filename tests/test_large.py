@@ -46,3 +46,39 @@ def test_cargo_audit_sends_no_exploded_side_through_the_driver(spark):
 def test_weights_of_no_keys_are_null(spark):
     got = diff.diff_summary(spark.createDataFrame([("improved", 2.0, 1.0)], "status string, before_weight double, after_weight double")).first()
     assert (got.new, got.improved, got.new_weight, got.resolved_weight, got.total_before) == (0, 1, None, None, 2.0)
+
+
+def test_rows_of_a_key_are_put_in_order_across_arrow_batches():
+    parts = [pd.DataFrame({"seq": [5, 1]}), pd.DataFrame({"seq": [4, 0]}), pd.DataFrame({"seq": [3, 2]})]
+    assert list(events.in_order(iter(parts)).seq) == [0, 1, 2, 3, 4, 5]
+
+
+def test_streams_take_rows_by_seq_across_arrow_batches(spark, tmp_path):
+    n = 1000  # every other row fails, but for the last three; batches of ten rows
+    made = spark.range(n).select(F.lit("k").alias("key"), F.lit("h").alias("file_hash"), F.col("id").alias("seq"), ((F.col("id") % 2 == 0) & (F.col("id") < n - 3)).alias("ok"))
+    made.withColumns({"file": F.lit("f"), "reason": F.when(F.col("seq") % 3 == 0, "x").when(F.col("seq") % 3 == 1, "y").otherwise("z")}).orderBy(F.xxhash64("seq")).coalesce(1).write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(spark.read.parquet(str(tmp_path / "in")).schema).parquet(str(tmp_path / "in"))
+    size = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    was = spark.conf.get(size)
+    spark.conf.set(size, "10")
+    try:
+        for name, rows_ in (("ordered_breaker", events.breaker(stream.select("key", "ok", "seq"))), ("ordered_attempts", events.attempts(stream.select("file", "file_hash", "reason", "seq")))):
+            rows_.writeStream.outputMode("update").format("memory").queryName(name).option("checkpointLocation", str(tmp_path / name)).trigger(availableNow=True).start().awaitTermination()
+    finally:
+        spark.conf.set(size, was)
+    assert [tuple(r) for r in spark.table("ordered_breaker").collect()] == [("k", n - 1, 3, True)]
+    assert [tuple(r) for r in spark.table("ordered_attempts").collect()] == [("f", n, 1, False)]
+
+
+def test_a_frequent_category_is_written_by_all_tasks(spark, tmp_path):
+    sinks.review_queue(spark.range(0, 1000, 1, 5).select("id", F.lit("a").alias("category")), str(tmp_path / "q"))
+    assert len(list((tmp_path / "q" / "category=a").glob("*.parquet"))) == 5 and spark.read.parquet(str(tmp_path / "q")).count() == 1000
+
+
+def test_texts_of_sources_are_not_gathered_by_one_task(spark, tmp_path):
+    for i in range(5):
+        (tmp_path / f"a {i}.py").write_text("x" * (i + 1))
+    found = tools.read_sources(spark, str(tmp_path), (".py",), 3)
+    assert [len(r.text) for r in found.orderBy("file").collect()] == [1, 2, 3]
+    limit = next(line for line in plan(found).split("\n") if "TakeOrderedAndProject" in line)
+    assert "text" not in limit and "value" not in limit
