@@ -74,8 +74,13 @@ def last_rows(df: DataFrame, n: int, order: str) -> DataFrame:
 
 def read_sources(spark: SparkSession, path: str, extensions: tuple[str, ...], most: int = 1000, skip=("node_modules", ".git", "venv", ".venv", "build", "dist", "target", "__pycache__")) -> DataFrame:
     """``file, text`` of source files by extension, without skipped folders; the first ``most`` by name (the feature's limit)."""
-    files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*{" + ",".join(extensions) + "}").text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("text"))
-    return files.filter(~F.arrays_overlap(F.split("file", "/"), F.array(*[F.lit(s) for s in skip]))).orderBy("file").limit(most)
+    options = {"recursiveFileLookup": True, "pathGlobFilter": "*{" + ",".join(extensions) + "}"}
+    name = F.col("_metadata.file_path").alias("file")
+    # names alone are put in order; a reader of binary files opens none for them
+    names = spark.read.options(**options).format("binaryFile").load(path).select(name)
+    names = names.filter(~F.arrays_overlap(F.split("file", "/"), F.array(*[F.lit(s) for s in skip]))).orderBy("file").limit(most)
+    texts = spark.read.options(**options).text(path, wholetext=True).select(name, F.col("value").alias("text"))
+    return texts.join(F.broadcast(names), "file")  # at most ``most`` rows
 
 
 def applied_events(lines: DataFrame, text: str = "value") -> DataFrame:
