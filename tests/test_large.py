@@ -5,7 +5,7 @@ import random
 import pandas as pd
 from pyspark.sql import functions as F
 
-from tallyloom.operators import diff, ranking
+from tallyloom.operators import cascade, diff, lexer, ranking, scanners, symbols
 from tallyloom.sources import sinks, tools
 from tallyloom.streaming import events
 
@@ -82,3 +82,63 @@ def test_texts_of_sources_are_not_gathered_by_one_task(spark, tmp_path):
     assert [len(r.text) for r in found.orderBy("file").collect()] == [1, 2, 3]
     limit = next(line for line in plan(found).split("\n") if "TakeOrderedAndProject" in line)
     assert "text" not in limit and "value" not in limit
+
+
+def test_a_cluster_has_one_root_though_its_seq_is_not_unique(spark, rows):
+    df = spark.createDataFrame([(0, 7, "a", 1), (1, 7, "a", 2), (2, 8, "a", 3)], "id int, seq int, file string, line int").withColumns({"code": F.lit("x"), "message": F.lit("`q`"), "sig": F.concat(F.lit("s"), "id"), "is_root": F.lit(False), "derived_from": F.lit(None).cast("string")})
+    rows(cascade.symbol_cascade(df, row="id").select("id", "is_root", "derived_from"), (0, True, None), (1, False, "s0"), (2, False, "s0"))
+
+
+def test_findings_of_frequent_symbols_and_those_without_are_spread(spark, monkeypatch):
+    monkeypatch.setattr(cascade, "HOT", 50)
+    kind = F.when(F.col("seq") % 4 == 0, "`hot`").when(F.col("seq") % 40 == 1, "`cold`").otherwise("none")
+    df = spark.range(400).select(F.col("id").alias("seq"), F.lit("f").alias("file"), F.col("id").cast("int").alias("line"), F.lit("x").alias("code"), kind.alias("message"), F.concat(F.lit("s"), "id").alias("sig"), F.lit(False).alias("is_root"), F.lit(None).cast("string").alias("derived_from"))
+    out = cascade.symbol_cascade(df)
+    got = {r.seq: (r.is_root, r.derived_from) for r in out.collect()}
+    want = {i: (i in (0, 1), "s0" if i % 4 == 0 and i else "s1" if i % 40 == 1 and i > 1 else None) for i in range(400)}
+    assert got == want
+    assert plan(out).count("BroadcastExchange") >= 1
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:  # the keys of the shuffle: no one has many findings
+        keys = cascade.symbol_cascade(df)._jdf.queryExecution().optimizedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    assert "xxhash64" in keys
+
+
+def test_groups_take_one_pass(spark, rows):
+    df = spark.createDataFrame([(3, "a", None), (1, "a", None), (5, "b", "a"), (4, "c", "a"), (6, "d", "gone")], "seq int, sig string, derived_from string")
+    out = cascade.groups(df)
+    rows(out, ("a", 1, 2, 4))
+    assert "Join" not in plan(out)
+
+
+def test_a_line_is_lexed_once_from_each_state(spark):
+    df = spark.createDataFrame([("{ // }",), ('" }',)], "text string")
+    assert [[tuple(x) for x in r[0]] for r in df.select(lexer.effect(F.col("text"))).collect()] == [[(0, 1, 0), (1, 0, 0), (2, 0, 0), (3, 0, 0)], [(2, 0, 0), (1, 0, 0), (0, 0, 1), (3, 0, 0)]]
+    # four states: a search for what hides braces in each, and one for the end of three
+    assert df.select(lexer.effect(F.col("text")))._jdf.queryExecution().optimizedPlan().toString().count("regexp_replace") == 7
+
+
+def test_unused_imports_of_a_long_text(spark):
+    """20,000 names, each imported once and used by every other: a search for each in the whole text would read 10,000 million letters."""
+    n = 20_000
+    text = "\n".join(f"import pkg.name{i}" for i in range(n)) + "\n" + "\n".join(f"name{i}()" for i in range(0, n, 2)) + "\nimport a\nimport a\nuse x:y"
+    r = scanners.authorship(spark.createDataFrame([(text,)], "text string")).first()
+    assert abs(r.unused_imports - (n / 2 + 1) / (n + 3)) < 1e-12
+
+
+def test_segments_of_a_long_file(spark):
+    """Of 600,000 lines every third opens a block; the segments so far were copied at each of them before."""
+    lines = spark.range(1, 600_001).select(F.lit("f").alias("file"), F.col("id").alias("line"), F.when(F.col("id") % 3 == 0, "def x():").otherwise(" y").alias("text"))
+    got = scanners.segments(lines, 40).agg(F.count("*").alias("n"), F.min("start").alias("a"), F.max("end").alias("b"), F.sum(F.expr("end - start + 1")).alias("all"), F.max(F.expr("end - start + 1")).alias("most")).first()
+    assert (got.a, got.b, got["all"]) == (1, 600_000, 600_000) and got.most <= 40
+
+
+def test_findings_are_not_sent_to_all_tasks_for_related_definitions(spark):
+    asked = spark.range(3).select("id", F.lit("g").alias("file"), F.lit("`helper` fails").alias("message"))
+    index = spark.createDataFrame([("f", 1, "helper"), ("g", 2, "helper")], "file string, line int, name string")
+    lines = spark.createDataFrame([("f", 1, "def helper():"), ("f", 2, "  pass"), ("g", 2, "x")], "file string, line int, text string")
+    out = symbols.related_definitions(asked, index, lines)
+    assert sorted(map(tuple, out.collect())) == [(i, 1, "helper", "f", 1, False, "def helper():\n  pass") for i in range(3)]
+    assert "BuildLeft" not in plan(out)
