@@ -2,11 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, functions as F
 
-from tallyloom.functions.text import split_lines
+from tallyloom.functions.text import let, split_lines
 
 # Names and words on which the rules' results depend.
 SECRET_WORDS = ("secret", "passwd", "password", "pwd", "token", "api[_-]?key", "apikey", "access[_-]?key", "private[_-]?key", "auth[_-]?token", "client[_-]?secret")
@@ -148,7 +149,11 @@ def authorship(df: DataFrame, text: str = "text") -> DataFrame:
     names = F.when(t.rlike("[A-Za-z0-9_]{35}"), F.least(F.lit(1.0), F.size(F.array_distinct(F.regexp_extract_all(t, F.lit(r"(?U)\b([A-Za-z_][A-Za-z0-9_]{34,})\b"), 1))) / 5)).otherwise(0.0)
     imported = F.concat(_last_names(t, r"(?mdU)^\s*use\s+([A-Za-z_][\w:]*)", "::"), _last_names(t, r"(?mdU)^\s*(?:import|from)\s+([A-Za-z_][\w.]*)", "[.]"))
     importing = t.rlike(r"(?:^|[^\x21-\x7e])(?:use|import|from)[^\x21-\x7e]")
-    unused = F.size(F.filter(imported, lambda x: (x != "") & (F.regexp_count(t, F.concat(F.lit(r"(?U)\b"), x, F.lit(r"\b"))) <= 1))) / F.greatest(F.size(imported), F.lit(1))
+    # a name stands as a whole where it is a run of word characters: those that are there once come from the sorted runs, not from a search for each name
+    runs = F.sort_array(F.regexp_extract_all(t, F.lit(r"(?U)(\w+)"), 1))
+    once = let(runs, lambda w: F.filter(w, lambda x, i: ~x.eqNullSafe(F.get(w, i - 1)) & ~x.eqNullSafe(F.get(w, i + 1))))
+    odd = lambda found: F.size(F.filter(found, lambda x: x.contains(":") & (F.regexp_count(t, F.concat(F.lit(r"(?U)\b"), x, F.lit(r"\b"))) <= 1)))
+    unused = let(imported, lambda found: F.when(F.size(found) > 0, (F.size(F.array_intersect(once, found)) + odd(found)) / F.size(found)).otherwise(0.0))
     unused = F.when(importing, unused).otherwise(0.0)
     tabs = F.when(t.contains("\n\t") & t.contains("\n    "), 0.4).otherwise(0.0)
     ends = F.when(t.contains("\r\n") & F.replace(t, F.lit("\r\n"), F.lit("")).contains("\n"), 0.3).otherwise(0.0)
@@ -257,25 +262,33 @@ def segments(lines: DataFrame, most: int = 400) -> DataFrame:
     lines: ``file, line, text``.  A file is read in order once; a segment without such a line is cut at its limit.
     """
     opens = F.col("text").rlike(r"^(?:async\s+def|def|class|@|fn|pub|impl|struct|enum|trait|mod|function|export|interface|func|type|public|private|protected|namespace|template)\b|^@")
-    whole = lines.groupBy("file").agg(F.array_sort(F.collect_list(F.when(opens, F.col("line")))).alias("at"), F.max("line").alias("n"))
-    start = F.struct(F.lit(1).cast("long").alias("lo"), F.array().cast("array<struct<start: long, end: long>>").alias("out"))
-
-    def step(s: Column, at: Column) -> Column:
-        # the block before ``at`` ends there; it is cut where it grows over the limit
-        over = at["next"] - s["lo"] > most
-        cut = F.when(at["line"] > s["lo"], at["line"]).otherwise(s["lo"] + most)
-        first = F.struct(s["lo"].alias("start"), (cut - 1).alias("end"))
-        # what is left of an overlong block is cut at the limit as often as needed
-        rest = F.greatest(F.lit(0).cast("long"), F.floor((at["next"] - cut - 1) / F.lit(most)).cast("long"))
-        more = F.when(rest > 0, F.transform(F.sequence(F.lit(0).cast("long"), rest - 1), lambda k: F.struct((cut + k * most).alias("start"), (cut + (k + 1) * most - 1).alias("end")))).otherwise(F.array().cast("array<struct<start: long, end: long>>"))
-        return F.when(over, F.struct((cut + rest * most).alias("lo"), F.concat(s["out"], F.array(first), more).alias("out"))).otherwise(s)
-
-    n = F.col("n").cast("long")
-    places = F.array_distinct(F.concat(F.array(F.lit(1).cast("long")), F.transform("at", lambda x: x.cast("long"))))
-    pairs = F.transform(places, lambda x, i: F.struct(x.alias("line"), F.coalesce(F.get(places, i + 1), n + 1).alias("next")))
-    done = whole.select("file", n.alias("n"), F.aggregate(pairs, start, step).alias("s"))
-    rows = done.select("file", F.posexplode(F.concat("s.out", F.array(F.struct(F.col("s.lo").alias("start"), F.col("n").alias("end"))))).alias("segment", "x"))
-    return rows.select("file", "segment", "x.start", "x.end")
+    whole = lines.groupBy("file").agg(F.sort_array(F.collect_set(F.when(opens, F.col("line").cast("long")))).alias("at"), F.max("line").cast("long").alias("n"))
+    kinds = dict(whole.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k, at, n in zip(batch.column("file").to_pylist(), batch.column("at").to_pylist(), batch.column("n").to_pylist(), strict=True):
+                ends = [(a, b) for a, b in _cut(at, n, most)]
+                columns = [pa.array([k] * len(ends), batch.schema.field("file").type), pa.array(range(len(ends)), pa.int32()), *(pa.array(x, pa.int64()) for x in zip(*ends, strict=True))]
+                yield pa.RecordBatch.from_arrays(columns, ["file", "segment", "start", "end"])
+
+    return whole.mapInArrow(run, f"file {kinds['file']}, segment int, start long, end long")
+
+
+def _cut(at: list[int], n: int, most: int) -> Iterator[tuple[int, int]]:
+    """First and last lines of the segments of a file of n lines whose blocks begin ``at``; a block stays whole unless it is longer than most lines."""
+    places = [1, *(x for x in at if x != 1)]
+    lo = 1
+    for line, following in zip(places, [*places[1:], n + 1], strict=True):
+        if following - lo <= most:
+            continue
+        if line > lo:
+            yield lo, line - 1
+            lo = line
+        while following - lo > most:
+            yield lo, lo + most - 1
+            lo += most
+    yield lo, n
 
 
 def braces(text: Column) -> Column:
