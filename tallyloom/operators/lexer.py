@@ -10,6 +10,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from tallyloom.functions.text import let
+
 CODE, COMMENT, STRING, CHARACTER = range(4)
 #: Lines of a block.
 BLOCK = 512
@@ -51,7 +53,10 @@ def placeholder(line: Column) -> Column:
 
 def _after(line: Column) -> Column:
     """State, opened and closed braces after a line that begins as code."""
-    code = visible(line)
+    return let(visible(line), _state_and_braces)
+
+
+def _state_and_braces(code: Column) -> Column:
     state = F.when(F.endswith(code, F.lit("/* ")), COMMENT).when(F.endswith(code, F.lit('" ')), STRING).when(F.endswith(code, F.lit("' ")), CHARACTER).otherwise(CODE)
     return F.struct(state.alias("state"), _count(code, "{").alias("opened"), _count(code, "}").alias("closed"))
 
@@ -59,12 +64,13 @@ def _after(line: Column) -> Column:
 def effect(line: Column) -> Column:
     """An array with what a line (without its end) does from each of the four states: ``state, opened, closed``."""
 
-    def ended(state: int, end: str) -> Column:
-        left = F.regexp_replace(line, F.lit(rf"(?s)\A{end}"), F.lit(""))
+    def ended(state: int, mark: str, end: str) -> Column:
         stays = F.struct(F.lit(state).alias("state"), F.lit(0).alias("opened"), F.lit(0).alias("closed"))
-        return F.when(F.length(left) < F.length(line), _after(left)).otherwise(stays)
+        after = lambda left: F.when(F.length(left) < F.length(line), _after(left)).otherwise(stays)
+        # most lines have no mark that ends the state
+        return F.when(F.contains(line, F.lit(mark)), let(F.regexp_replace(line, F.lit(rf"(?s)\A{end}"), F.lit("")), after)).otherwise(stays)
 
-    return F.array(_after(line), ended(COMMENT, r".*?\*/"), ended(STRING, _IN_STRING + '"'), ended(CHARACTER, _IN_CHARACTER + "'"))
+    return F.array(_after(line), ended(COMMENT, "*/", r".*?\*/"), ended(STRING, '"', _IN_STRING + '"'), ended(CHARACTER, "'", _IN_CHARACTER + "'"))
 
 
 def depths(lines: DataFrame) -> DataFrame:
