@@ -6,6 +6,8 @@ import pandas as pd
 from pyspark.sql import functions as F
 
 from tallyloom.operators import cascade, diff, lexer, ranking, scanners, symbols
+from tallyloom.plans.adapters import findings
+from tallyloom.plans.comparisons import entry_query
 from tallyloom.sources import sinks, tools
 from tallyloom.streaming import events
 
@@ -142,3 +144,14 @@ def test_findings_are_not_sent_to_all_tasks_for_related_definitions(spark):
     out = symbols.related_definitions(asked, index, lines)
     assert sorted(map(tuple, out.collect())) == [(i, 1, "helper", "f", 1, False, "def helper():\n  pass") for i in range(3)]
     assert "BuildLeft" not in plan(out)
+
+
+def test_findings_of_one_seq_are_told_apart_by_their_place(spark, tmp_path):
+    line = lambda supplier: (1, 3, supplier, 1, 1.0, 1.0, 0.0)
+    schema = "l_orderkey long, l_partkey long, l_suppkey long, l_linenumber int, l_quantity double, l_extendedprice double, l_discount double"
+    spark.createDataFrame([line(6 * k) for k in (8, 7, 1)], schema).withColumn("l_shipdate", F.lit("2024-01-01").cast("timestamp")).coalesce(1).write.parquet(str(tmp_path / "lineitem.parquet"))
+    spark.createDataFrame([(1, "1-URGENT")], "o_orderkey long, o_orderpriority string").write.parquet(str(tmp_path / "orders.parquet"))
+    rows = findings(spark, str(tmp_path), place=True)
+    assert rows.select("seq").distinct().count() == 1
+    assert [r.col for r in rows.orderBy("place").collect()] == [49, 43, 7]
+    assert entry_query(spark, str(tmp_path)).first().n == 1
