@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
+from math import fma
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
+from pyspark.sql.types import DoubleType
 
 
 def over(key: list[str], order: list[str], start: int | None = None, end: int | None = None):
@@ -16,6 +20,25 @@ def degrading(df: DataFrame, key: list[str], order: list[str], count: str, windo
     return df.withColumn("degrading", F.coalesce(F.col(count) > mean, F.lit(False)))
 
 
+def _slope(xs: list[float], ys: list[float]) -> float | None:
+    n, mx, my, both, own = 0, 0.0, 0.0, 0.0, 0.0
+    for x, y in zip(xs, ys, strict=True):
+        n += 1
+        dx = x - mx
+        mx, my = mx + dx / n, my + (y - my) / n
+        both, own = fma(dx, y - my, both), fma(dx, x - mx, own)
+    return (both / n) / (own / n) if own > 0 else None
+
+
+@F.pandas_udf(DoubleType())
+def _slopes(xs: pd.Series, ys: pd.Series) -> pd.Series:
+    """The least-squares slope of each row's ys over its xs: covariance over variance by running means with fused products.
+
+    This rounds to the bit as regr_slope of the SQL; Spark's does not, and steps that stand at a threshold are told by the last bit.
+    """
+    return pd.Series([_slope(x.tolist(), y.tolist()) for x, y in zip(xs, ys, strict=True)], dtype="float64")
+
+
 def health(df: DataFrame, key: list[str], order: list[str], *, count: str, rollback: Column, failed: Column, accepted: Column, rejected: Column, from_memory: Column, has_patch: Column, label: str, window: int = 10) -> DataFrame:
     """Health over the last ten steps: stability, trend of the count, rollback, success and memory-hit rates, entropy of labels, and their weighted sum.
 
@@ -29,7 +52,8 @@ def health(df: DataFrame, key: list[str], order: list[str], *, count: str, rollb
     labels = F.collect_list(label).over(w)
     share = lambda a: F.transform(F.array_distinct(a), lambda x: F.size(F.filter(a, lambda y: y == x)) / F.size(a))
     entropy = F.aggregate(share(labels), F.lit(0.0), lambda s, p: s - p * F.log2(p)) / 2.0
-    slope = F.regr_slope(F.col(count).cast("double"), F.col("_x")).over(w)
+    x = F.when(F.col(count).isNotNull(), F.col("_x"))
+    slope = _slopes(F.collect_list(x).over(w), F.collect_list(F.col(count).cast("double")).over(w))
     few = n < 2
     pick = lambda c, default: F.when(few, F.lit(default)).otherwise(c)
     df = df.withColumns(
