@@ -21,17 +21,30 @@ EFFECTS = {"open": "file", "print": "output", "exec": "exec", "eval": "exec", "s
 HIGH_EFFECTS = ("exec", "process", "network")
 SPIKE = 5
 DANGEROUS = re.compile(r"\b(?:eval|exec|os\.system|pickle\.loads?|subprocess)\s*\(|shell\s*=\s*True")
+#: Rows of texts that a task hands on together.
+FLUSH = 2048
 DEFINE = re.compile(r"^\s*#\s*define\s+(\w+)(\([^)]*\))?\s*(.*)$")
 
 
+def exploded(batches: Iterator[pa.RecordBatch], rows: Callable[[str], list[dict]], schema: pa.Schema, key: str, text: str) -> Iterator[pa.RecordBatch]:
+    """The key and the rows of each text of some batches; besides a batch of texts only the rows of some texts are held, until they are FLUSH."""
+    out = []
+    for batch in batches:
+        for k, t in zip(batch.column(key), batch.column(text), strict=True):
+            name = k.as_py()
+            out += [{key: name, **row} for row in rows(t.as_py() or "")]
+            if len(out) >= FLUSH:
+                yield pa.RecordBatch.from_pylist(out, schema)
+                out = []
+    if out:
+        yield pa.RecordBatch.from_pylist(out, schema)
+
+
 def explode_text(df: DataFrame, rows: Callable[[str], list[dict]], schema: str, arrow: pa.Schema, key: str = "file", text: str = "text") -> DataFrame:
     """key and the rows of each text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        full = pa.schema([pa.field(key, pa.string()), *arrow])
-        for batch in batches:
-            out = [{key: k, **row} for k, t in zip(batch.column(key).to_pylist(), batch.column(text).to_pylist(), strict=True) for row in rows(t or "")]
-            yield pa.RecordBatch.from_pylist(out, full)
+        yield from exploded(batches, rows, pa.schema([pa.field(key, pa.string()), *arrow]), key, text)
 
     return df.select(F.col(key).cast("string").alias(key), F.col(text).alias(text)).mapInArrow(run, f"`{key}` string, {schema}")
 
