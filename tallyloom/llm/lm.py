@@ -126,6 +126,10 @@ class Model:
         other = tokens - np.bincount(kind, weights=self.n[top], minlength=KINDS).astype(np.int64)
         self.other_lower = np.log10(other + types - np.bincount(kind, minlength=KINDS) + 1.0)
         self.counts = np.concatenate((self.n[top], other, [docs]))
+        # keys are hashes: their first bits tell where to look; a last key that no word counts under ends each search
+        self.shift = np.uint64(64 - max(1, len(key).bit_length()))
+        self.begin = np.searchsorted(self.key, np.arange(1 << (64 - int(self.shift)), dtype=np.uint64) << self.shift)
+        self.key, self.n, self.symbol = np.append(self.key, ~U(0)), np.append(self.n, -1), np.append(self.symbol, -1)
         self.weights = self.gru().pack()
 
     def gru(self) -> Gru:
@@ -133,15 +137,14 @@ class Model:
 
     def look_up(self, key: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Count (-1: not in the head) and symbol of each key."""
-        n = np.full(len(key), -1, np.int64)
-        symbol = self.words + (key & U(3)).astype(np.int64)
-        if len(self.key):
-            at = np.minimum(np.searchsorted(self.key, key), len(self.key) - 1)
-            hit = self.key[at] == key
-            n[hit] = self.n[at[hit]]
-            known = hit & (self.symbol[at] >= 0)
-            symbol[known] = self.symbol[at[known]]
-        return n, symbol
+        at = self.begin.take((key >> self.shift).astype(np.int64))
+        ahead = np.flatnonzero(self.key.take(at) < key)
+        while len(ahead):
+            at[ahead] += 1
+            ahead = ahead[self.key.take(at[ahead]) < key[ahead]]
+        hit = self.key.take(at) == key
+        symbol = np.where(hit, self.symbol.take(at), -1)
+        return np.where(hit, self.n.take(at), -1), np.where(symbol >= 0, symbol, self.words + (key & U(3)).astype(np.int64))
 
 
 def _sequences(t, symbol: np.ndarray, end: int) -> list[np.ndarray]:

@@ -435,6 +435,95 @@ def test_replicas_equal_a_run_in_one_process(spark):
     assert off.mean() < 0.01 * moved.mean()  # rounding apart, which Adam's division can blow up for a weight or two
 
 
+def test_words_are_looked_up_without_searching_the_head():
+    rng = np.random.default_rng(4)
+    head = np.unique(rng.integers(0, 2**64, 1 << 18, dtype=np.uint64))
+    head[-1] = 2**64 - 2
+    n = rng.integers(1, 99, len(head))
+    kind = (head & np.uint64(3)).astype(int)
+    model = lm.Model(head, n, 30, np.bincount(kind, minlength=4), np.bincount(kind, weights=n, minlength=4).astype(int), 64, 4)
+    key = np.concatenate((rng.choice(head, 1 << 19), rng.integers(0, 2**64, 1 << 19, dtype=np.uint64), head[-1:], np.array([0, 2**64 - 1], np.uint64)))
+    count, symbol = model.look_up(key)
+    known = dict(zip(head.tolist(), n.tolist()))
+    assert count.tolist() == [known.get(k, -1) for k in key.tolist()]
+    top = {int(head[i]): k for k, i in enumerate(np.lexsort((head, -n))[:64])}
+    assert symbol.tolist() == [top.get(k, 64 + k % 4) for k in key.tolist()]
+
+    def cost(f) -> float:
+        took = []
+        for _ in range(5):
+            begin = time.process_time()
+            f()
+            took.append(time.process_time() - begin)
+        return min(took)
+
+    assert cost(lambda: model.look_up(key)) < cost(lambda: np.searchsorted(head, key))  # a search costs five times as much
+
+
+@pytest.mark.parametrize("shape", ["few", "one", "many", "odd"])
+def test_training_equals_a_plain_step(shape):
+    """One window in float64, symbol by symbol, with Adam written out: the weights move alike, whatever the classes' sizes."""
+    rng = np.random.default_rng(6)
+    stream = {"few": rng.integers(0, 135, 128), "one": np.full(128, 7), "many": np.where(rng.random(128) < 0.7, 3, rng.integers(0, 135, 128)), "odd": rng.integers(128, 135, 101)}[shape]
+    fresh, counts, lanes, n = np.arange(len(stream)) % 37 == 0, np.arange(1, 136), 8, 4
+    model, plain = recurrent.Gru(counts, 130, n), recurrent.Gru(counts, 130, n)
+    for k in model.NAMES:
+        if k[0] in "wb":
+            setattr(plain, k, (getattr(plain, k) + rng.normal(0, 0.3, getattr(plain, k).shape)).astype(np.float32))
+        setattr(model, k, getattr(plain, k).copy())
+        setattr(plain, k, getattr(plain, k).astype(np.float64))
+    size = -(-len(stream) // lanes)
+    grad, loss = {k: np.zeros_like(getattr(plain, k)) for k in plain.NAMES}, 0.0
+
+    def sigmoid(x):
+        return 1 / (1 + np.exp(-x))
+
+    def softmax(x):
+        return np.exp(x - x.max()) / np.exp(x - x.max()).sum()
+
+    for lane in range(lanes):
+        kept, h, seen = [], np.zeros(n), 134
+        for i in range(lane * size, min(lane * size + size, len(stream))):
+            h, seen = (np.zeros(n), 134) if fresh[i] else (h, seen)
+            a = plain.x[seen]
+            r, z = np.split(sigmoid(a[: 2 * n] + h @ plain.u), 2)
+            c = np.tanh(a[2 * n :] + (r * h) @ plain.uh)
+            kept.append((i, seen, h, r, z, c))
+            h, seen = h + z * (c - h), stream[i]
+        d = np.zeros(n)
+        for i, seen, h, r, z, c in reversed(kept):
+            after, y = h + z * (c - h), stream[i]
+            k = plain.kind[y]
+            q = softmax(after @ plain.wc + plain.bc)
+            loss += math.log(q[k])
+            q[k] -= 1
+            grad["wc"] += np.outer(after, q / lanes)
+            grad["bc"] += q / lanes
+            d = d + plain.wc @ q / lanes
+            if k < len(plain.wo):
+                q = softmax(after @ plain.wo[k] + plain.bo[k])
+                loss += math.log(q[y - 64 * k])
+                q[y - 64 * k] -= 1
+                grad["wo"][k] += np.outer(after, q / lanes)
+                grad["bo"][k] += q / lanes
+                d = d + plain.wo[k] @ q / lanes
+            dc = d * z * (1 - c * c)
+            back = plain.uh @ dc
+            gates = np.concatenate((back * h * r * (1 - r), d * (c - h) * z * (1 - z)))
+            grad["x"][seen] += np.concatenate((gates, dc))
+            grad["u"] += np.outer(h, gates)
+            grad["uh"] += np.outer(r * h, dc)
+            d = (d * (1 - z) + back * r + plain.u @ gates) * (not fresh[i])
+    got = recurrent.train(model, stream, fresh, 134, lanes=lanes, window=size, rate=0.01)
+    assert math.isclose(got, loss / len(stream), rel_tol=1e-5)
+    shrink = min(1, 5 / math.sqrt(sum((g * g).sum() for g in grad.values())))
+    for k, g in grad.items():
+        g = g * shrink
+        want = getattr(plain, k) - 0.01 * g / (np.abs(g) + 1e-6)  # Adam's first step
+        sure = (np.abs(g) > 1e-4) | (g == 0)
+        assert sure.any() and np.allclose(getattr(model, k)[sure], want[sure], atol=1e-4), k
+
+
 @pytest.mark.parametrize("n", [1, 63, 65, 127, 191, 2000])
 def test_every_symbol_of_a_stream_is_learned(n):
     model = recurrent.Gru(np.arange(1, 72), 66, 4)
